@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, packing, url_filter
+from . import bpe, exact_dedup, fingerprint, language_id, packing, url_filter
 
 #: Fixed values of the query op9: its rules.
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -38,7 +38,11 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("page_id", "host", "path", "rule", "verdict", "score")
 
 
-QUERIES = {f.__name__: f for f in (op4_exact_dedup, op5_best_fit_packing, op6_byte_bpe, op8_language_id, op9_url_filter)}
+def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op4_exact_dedup, op5_best_fit_packing, op6_byte_bpe, op8_language_id, op9_url_filter, op10_fingerprint)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": """
