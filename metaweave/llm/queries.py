@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprint, language_id, packing, url_filter
+from . import bpe, exact_dedup, fingerprint, language_id, packing, simhash, url_filter
 
 #: Fixed values of the query op9: its rules.
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -16,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.document_components(table(spark, sf_dir, "documents"), words=4, radius=4)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = exact_dedup.exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select(F.col("row.doc_id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
@@ -42,7 +46,7 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_exact_dedup, op5_best_fit_packing, op6_byte_bpe, op8_language_id, op9_url_filter, op10_fingerprint)}
+QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op4_exact_dedup, op5_best_fit_packing, op6_byte_bpe, op8_language_id, op9_url_filter, op10_fingerprint)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": """
