@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprint, language_id, packing, simhash, url_filter
+from . import bpe, exact_dedup, fingerprint, language_id, packing, simhash, substring_dedup, suffix_dedup, url_filter
 
 #: Fixed values of the query op9: its rules.
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -20,6 +20,11 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.document_components(table(spark, sf_dir, "documents"), words=4, radius=4)
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = exact_dedup.exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select(F.col("row.doc_id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
@@ -33,6 +38,11 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = substring_dedup.document_spans(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
@@ -46,7 +56,7 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op4_exact_dedup, op5_best_fit_packing, op6_byte_bpe, op8_language_id, op9_url_filter, op10_fingerprint)}
+QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_suffix_array_dedup, op4_exact_dedup, op5_best_fit_packing, op6_byte_bpe, op7_substring_dedup, op8_language_id, op9_url_filter, op10_fingerprint)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": """
