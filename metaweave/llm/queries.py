@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprint, language_id, packing, simhash, substring_dedup, suffix_dedup, url_filter
+from . import bpe, exact_dedup, fingerprint, language_id, line_dedup, packing, simhash, substring_dedup, suffix_dedup, url_filter
 
 #: Fixed values of the query op9: its rules.
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -16,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = line_dedup.remove_repeated_lines(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", "n_lines", substring_dedup.removed_count().alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.document_components(table(spark, sf_dir, "documents"), words=4, radius=4)
 
@@ -56,9 +61,19 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_suffix_array_dedup, op4_exact_dedup, op5_best_fit_packing, op6_byte_bpe, op7_substring_dedup, op8_language_id, op9_url_filter, op10_fingerprint)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_simhash_near_dedup, op3_suffix_array_dedup, op4_exact_dedup, op5_best_fit_packing, op6_byte_bpe, op7_substring_dedup, op8_language_id, op9_url_filter, op10_fingerprint)}
 
 ORACLE_SQL = {
+    "op1_line_dedup": """
+        WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
+        w AS (SELECT doc_id, k, a[k:k + 2] AS s FROM (SELECT doc_id, a, unnest(range(1, len(a) - 1)) AS k FROM l)),
+        f AS (SELECT doc_id, k, row_number() OVER (PARTITION BY s ORDER BY doc_id, k) AS r FROM w WHERE trim(s[1], ' ') || trim(s[2], ' ') || trim(s[3], ' ') <> ''),
+        c AS (SELECT DISTINCT doc_id, unnest([k, k + 1, k + 2]) AS p FROM f WHERE r > 1),
+        g AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM c AS b WHERE b.doc_id = c.doc_id AND b.p = c.p - 1)) AS runs FROM c GROUP BY doc_id),
+        p AS (SELECT doc_id, unnest(range(1, len(a) + 1)) AS p, unnest(a) AS line FROM l),
+        k AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY p) AS kept FROM p ANTI JOIN c USING (doc_id, p) GROUP BY doc_id)
+        SELECT doc_id, len(a) AS n_lines, coalesce(n, 0) AS n_removed, coalesce(runs, 0) AS n_spans, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM l LEFT JOIN g USING (doc_id) LEFT JOIN k USING (doc_id)""",
     "op4_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256

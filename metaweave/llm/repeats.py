@@ -74,10 +74,10 @@ def resolve(g: np.ndarray, u: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return state
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """i and h, the key and order of a row, and its text t (null: empty)."""
+def keyed(docs: DataFrame, id_col: str, text_col: str, columns: list[str] | None = None) -> DataFrame:
+    """i and h, the key and order of a row, its text t (null: empty), and a struct `row` of these columns."""
     i, h = key_columns(id_col, text_col)
-    return docs.select(i.alias("i"), h.alias("h"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t"))
+    return docs.select(i.alias("i"), h.alias("h"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t"), *([F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")] if columns else []))
 
 
 def packed(ids: np.ndarray, hashes: np.ndarray, whose: np.ndarray, part: np.ndarray, arrays: list[np.ndarray], parts: int) -> Iterator[tuple[int, bytes]]:

@@ -147,8 +147,16 @@ def removed_windows(docs: DataFrame, window: int) -> DataFrame:
     return single.read().unionByName(marks.read().filter(F.col("state") == ALL).select("i", "h", "s", "n"))
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """i, h (the row's key), t, n_words, spans (start and end of the maximal removed runs, in words) and kept (the other words, joined by a space).
+def cut_words(text: str, starts: list[int], ends: list[int]) -> str:
+    """The text without these runs of words, each with the white space up to the next word."""
+    at = [m.start() for m in WORD.finditer(text)] + [len(text)]
+    return "".join(text[x:y] for x, y in zip([0, *(at[z] for z in ends)], [*(at[a] for a in starts), len(text)]))
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None, spaced: bool = False) -> DataFrame:
+    """i (the id; the largest number for null), n_words, spans (start and end of the maximal removed runs, in words), kept (the other words, joined by a space) and row.
+
+    columns: of docs, returned in the struct `row`. With spaced, kept is the text as it is but for the removed words.
 
     A word is removed if a window of `window` words that covers it also starts in a document with a smaller id;
     windows are judged on the input and never cross documents. Null and empty texts, and those shorter than a
@@ -156,7 +164,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     each is judged. Long texts are whole. Other columns aren't read. An empty table gives no rows.
     """
     d = keyed(docs, id_col, text_col)
-    marked = with_marks(d, removed_windows(d, window), ["s", "n"], "left")
+    found = removed_windows(d, window)
+    if columns:
+        d = keyed(docs, id_col, text_col, columns)
+    marked = with_marks(d, found, ["s", "n"], "left")
+    row = ", row " + d.schema["row"].dataType.simpleString() if columns else ""
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "t"):
@@ -169,10 +181,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
                     a, z = (x.tolist() for x in spans(len(words), m[0], m[1].astype(np.int64) - 1 + window))
                     words = [w for x, y in zip([0, *z], [*a, len(words)]) for w in words[x:y]]
                 runs.append([{"start": x, "end": y} for x, y in zip(a, z)])
-                kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
-            yield pa.RecordBatch.from_arrays([b.column("i"), b.column("h"), pa.array(count, pa.int64()), pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.string())], ["i", "h", "n_words", "spans", "kept"])
+                kept.append(cut_words(text, a, z) if spaced else b" ".join(words).decode("utf-8", "surrogatepass"))
+            extra = [b.column("row")] if row else []
+            yield pa.RecordBatch.from_arrays([b.column("i"), pa.array(count, pa.int64()), pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.string()), *extra], ["i", "n_words", "spans", "kept", *(["row"] if row else [])])
 
-    return marked.mapInArrow(finish, "i long, h long, n_words long, spans array<struct<start: long, end: long>>, kept string")
+    return marked.mapInArrow(finish, "i long, n_words long, spans array<struct<start: long, end: long>>, kept string" + row)
 
 
 def removed_count(spans_col: str = "spans"):
