@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import itertools
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import blocks
 
-#: Arcs of the transducer, and encoded words, that a process keeps; beyond these it starts afresh.
-MAX_ARCS, MAX_WORDS = 400_000, 400_000
+#: Arcs of the transducer that a process keeps; beyond these it starts afresh. Encoded words it keeps, in each of two generations.
+MAX_ARCS, MAX_WORDS = 400_000, 600_000
 #: Longer words aren't kept.
 KEPT_CHARS = 32
 #: Words that are encoded, and ids that are decoded, at once.
@@ -200,18 +201,24 @@ class Utf8Stream:
 
 
 class Words(dict):
-    """Word -> its ids as little-endian 32-bit numbers."""
+    """Word -> its ids as little-endian 32-bit numbers. When it is full, what isn't asked for again before it is full once more goes."""
 
     def __init__(self, transducer: Transducer):
         super().__init__()
         self.transducer = transducer
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is not None:
+            self[word] = ids
+            return ids
         data = word.encode("utf-8", "surrogatepass")
         own = self.transducer.ranks.get(data)
-        ids = np.array(self.transducer.encode(data) if own is None else [own], "<u4").tobytes()
+        ids = array("I", self.transducer.encode(data) if own is None else [own]).tobytes()
         if len(word) <= KEPT_CHARS:
             if len(self) >= MAX_WORDS:
+                self.older = dict(self)
                 self.clear()
             self[word] = ids
         return ids
