@@ -481,3 +481,42 @@ def governor_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rule_function_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("o_orderpriority")
     return td.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), scalar.split_at(p, "-", 0).alias("first_part"), F.lower(p).alias("low"), scalar.first_match(p, "([A-Z]+)$").alias("last_word"), scalar.strip_prefix(p, "1-").alias("bare"), scalar.truthy(p).alias("truth"), F.sha2(p, 256).alias("hash"))
+
+
+# Store and stream
+
+
+@query("""SELECT 'User:' || user_id AS qname, sha256(arg_max(event_type, event_id)) AS source_hash FROM events GROUP BY user_id""")
+def stream_merge_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two micro-batches of events by a file stream and foreachBatch leave the last state of each user."""
+    import uuid
+
+    from .store import GraphStore
+    from .streaming.merge import sync
+    from .tables import shared_folder
+
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    e = td.read(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    facts = e.select(F.lit("org1").alias("org_id"), F.lit("User").alias("label"), F.concat(F.lit("User:"), F.col("user_id").cast("string")).alias("qname"), F.lit("{}").alias("attributes"), F.sha2("event_type", 256).alias("source_hash"), F.col("event_id").alias("ordinal"), F.lit(False).alias("obsolete"))
+    middle = e.agg(F.expr("percentile_approx(event_id, 0.5)")).first()[0]
+    facts.filter(F.col("ordinal") <= middle).coalesce(1).write.parquet(f"{root}/in/a")
+    facts.filter(F.col("ordinal") > middle).coalesce(1).write.parquet(f"{root}/in/b")
+    store = GraphStore(spark, f"{root}/store")
+    for part in ("a", "b"):
+        stream = spark.readStream.schema(facts.schema).parquet(f"{root}/in/{part}")
+        sync(spark, store, stream, f"{root}/checkpoint-{part}").awaitTermination()
+    return store.read("nodes").select("qname", "source_hash")
+
+
+@query("SELECT 'inserted' AS action, count(*) AS n, count(*) AS again FROM orders")
+def store_merge_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merging the same facts twice inserts them once, and leaves them unchanged then."""
+    import uuid
+
+    from .store import GraphStore
+    from .tables import shared_folder
+
+    store = GraphStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    facts = td.nodes(spark, sf_dir, ["Order"]).select("org_id", "label", "qname", F.lit("{}").alias("attributes"), "source_hash")
+    one, two = store.merge_nodes(facts, 1), store.merge_nodes(facts, 2)
+    return spark.createDataFrame([("inserted", one["inserted"], two["unchanged"])], "action string, n long, again long")
