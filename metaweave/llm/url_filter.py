@@ -78,15 +78,16 @@ def scored(urls: DataFrame, model: DataFrame) -> DataFrame:
 
 
 def threshold(labelled: DataFrame) -> DataFrame:
-    """labelled: (score, good). One row with `cut`: the score that tells the two apart with the fewest errors, each class counting alike; 0 without both."""
+    """labelled: (score, good). One row with `cut`: the score that tells the two apart with the fewest errors, each class counting alike, in the middle of a gap; 0 without both."""
     at = F.greatest(F.lit(-SPAN * BIN), F.least(F.lit(SPAN * BIN), F.floor(F.col("score") * BIN))).cast("int")
     bins = labelled.groupBy(at.alias("bin")).agg(F.sum(F.col("good").cast("int")).alias("g"), F.sum((~F.col("good")).cast("int")).alias("b"))
     # at most 2 * SPAN * BIN + 1 bins, whatever the input
     a = bins.agg(F.array_sort(F.collect_list(F.struct("bin", "g", "b"))).alias("a"), F.sum("g").alias("sg"), F.sum("b").alias("sb"))
-    below = F.transform(F.col("a"), lambda x: F.struct(
+    middle = lambda x, i: (x["bin"] + F.coalesce(F.get(F.col("a"), i - 1)["bin"] + 1, x["bin"])) / F.lit(2.0 * BIN)  # noqa: E731  of the gap below a bin
+    below = F.transform(F.col("a"), lambda x, i: F.struct(
         (F.aggregate(F.col("a"), F.lit(0.0), lambda s, y: s + F.when(y["bin"] < x["bin"], y["g"]).otherwise(0)) / F.col("sg")
          + F.aggregate(F.col("a"), F.lit(0.0), lambda s, y: s + F.when(y["bin"] >= x["bin"], y["b"]).otherwise(0)) / F.col("sb")).alias("e"),
-        F.abs(x["bin"]).alias("far"), (x["bin"] / F.lit(float(BIN))).alias("cut")))
+        F.abs(middle(x, i)).alias("far"), middle(x, i).alias("cut")))
     best = F.when((F.col("sg") > 0) & (F.col("sb") > 0), F.array_min(below)["cut"]).otherwise(F.lit(0.0))
     return a.select(F.coalesce(best, F.lit(0.0)).alias("cut"))
 
