@@ -280,9 +280,9 @@ def degree_top40(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {FRESH_SQL}, {IN_SQL}, {LOOSE_SQL.replace('i AS (SELECT qname', 'known AS (SELECT qname').replace('FROM i)', 'FROM known)')}
-    SELECT 'dead-code' AS rule_id, 'warning' AS level, count(*) AS n FROM fresh WHERE score < 0.4 AND qname NOT IN (SELECT qname FROM i)
+    SELECT * FROM (SELECT 'dead-code' AS rule_id, 'warning' AS level, count(*) AS n FROM fresh WHERE score < 0.4 AND qname NOT IN (SELECT qname FROM i)
     UNION ALL SELECT 'dangling-reference', 'warning', count(*) FROM loose
-    UNION ALL SELECT 'field-access-gap', 'note', count(*) FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_suppkey < 20 AND l_suppkey IN (SELECT s_suppkey FROM supplier))""")
+    UNION ALL SELECT 'field-access-gap', 'note', count(*) FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_suppkey < 20 AND l_suppkey IN (SELECT s_suppkey FROM supplier))) WHERE n > 0""")
 def findings_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = td.edges(spark, sf_dir, td.CORE)
     found = audit.collect_findings(dead=audit.dead_code(td.nodes(spark, sf_dir), e, NOW), gaps=fls_gaps(spark, sf_dir), loose=audit.dangling(e, _index(spark, sf_dir)))
