@@ -5,7 +5,10 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pandas as pd
@@ -18,16 +21,19 @@ from .common import Table, blocks
 
 #: Tokens of a sequence, and the id that ends a document.
 SIZE, END = 4096, 1
-#: Words whose ids a process keeps; beyond these it starts afresh. Longer words aren't kept.
-MAX_WORDS, KEPT_CHARS = 400_000, 40
+#: Words whose ids a process keeps in each of two generations. Longer words aren't kept.
+MAX_WORDS, KEPT_CHARS = 800_000, 40
 #: Text that is tokenised at once.
 CHARS = 2_000_000
 
 
 class WordTokenizer:
-    """ids of texts by a tokenizer that neither keeps white space nor joins across it, so that words can be tokenised once and kept."""
+    """ids of texts by a tokenizer that lower-cases, and neither keeps white space nor joins across it or across the end of
+    a run of letters; so words can be tokenised once and kept, and their letters apart from the punctuation that follows."""
 
     SPACE = re.compile(r"[\t-\r]")
+    #: ASCII punctuation but the apostrophe, with which the tokenizer splits letters off.
+    MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -35,21 +41,74 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _encode(self, new: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+
+    def _encode_parts(self, new: list[str]) -> list[bytes]:
+        """Parts are one run of letters or of punctuation each, so in a joined text each ends with the first token that ends a word."""
+        if not new:
+            return []
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(cuts) != len(new):
+            return self._encode(new)
+        data = ids.tobytes()
+        return [data[a:z] for a, z in zip([0, *cuts], cuts)]
+
+    def _learn(self, new: set[str]) -> None:
+        """Takes words up; those of letters and then punctuation by way of their two parts."""
+        words, older = self.words, self.older
+        known = new & older.keys()
+        words.update((w, older[w]) for w in known)
+        new -= known
+        parts, split, whole = set(), [], []
+        for w in new:
+            if w > "" and max(w) > "\xff":  # where lower-casing or composition may make marks of letters
+                whole.append(w)
+                continue
+            if w.isalpha():
+                parts.add(w)
+                continue
+            letters = w.rstrip(self.MARKS)
+            if letters.isalpha():
+                split.append((w, letters, w[len(letters) :]))
+            else:
+                whole.append(w)
+        for _, a, z in split:
+            parts.add(a)
+            parts.add(z)
+        missing = list(parts - words.keys())
+        words.update(zip(missing, self._encode_parts(missing)))
+        for w, a, z in split:
+            words[w] = words[a] + words[z]
+        words.update(zip(whole, self._encode(whole)))
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        split = [self.SPACE.sub(" ", t).split(" ") for t in texts]
-        wanted = set().union(*split)
-        new = list(wanted - self.words.keys())
+        flat, ends = [], [0]
+        for t in texts:
+            try:
+                t.encode("latin-1")
+                t = t.lower()  # all versions agree on these letters, and fewer words differ
+            except UnicodeEncodeError:
+                pass
+            flat += self.SPACE.sub(" ", t).split(" ")
+            ends.append(len(flat))
+        ids = list(map(self.words.get, flat))  # one look at each word; b"" (of the empty word) counts as missing, too
+        new = set(compress(flat, map(not_, ids)))
         if len(self.words) + len(new) > MAX_WORDS:
-            self.words.clear()
-            new = list(wanted)
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.words[w] = np.array(e.ids, "<u4").tobytes()
-        out = [np.frombuffer(b"".join(map(self.words.__getitem__, s)), "<u4") for s in split]
-        for w in new:
-            if len(w) > KEPT_CHARS:
-                del self.words[w]
-        return out
+            self.older, self.words = self.words, {}
+        long = [w for w in new if len(w) > KEPT_CHARS]
+        self._learn(new)
+        for k in compress(range(len(flat)), map(not_, ids)):
+            ids[k] = self.words[flat[k]]
+        for w in long:
+            self.words.pop(w, None)
+        return [np.frombuffer(b"".join(ids[a:z]), "<u4") for a, z in zip(ends, ends[1:])]
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
