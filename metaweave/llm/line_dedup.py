@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Table, blocks, real_id, release
@@ -16,16 +17,26 @@ from .repeats import keyed, mark_arrays, spans, with_marks
 WINDOW = 3
 
 
-def window_hashes(lines: Column, window: int) -> Column:
-    """For each window of lines that aren't all blank, its first line (from 0) and 128 bits of hash."""
-    index = F.sequence(F.lit(1), F.size(lines) - window + 1)
-    each = F.transform(index, lambda k: F.struct(
-        (k - 1).alias("k"),
-        F.xxhash64(*[F.element_at(lines, k + j) for j in range(window)]).alias("a"),
-        F.xxhash64(F.lit(1), *[F.element_at(lines, k + j) for j in reversed(range(window))]).alias("b"),
-        sum((F.length(F.trim(F.element_at(lines, k + j))) for j in range(window)), F.lit(0)).alias("n"),
-    ))
-    return F.when(F.size(lines) >= window, F.filter(each, lambda x: x["n"] > 0))
+def windows(docs: DataFrame, window: int) -> DataFrame:
+    """docs: i, h, t. Rows i, h, k, a, b: for each window of lines that aren't all blank its first line (from 0) and 128 bits of hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_128_digest
+        for b in blocks(batches, "t"):
+            rows, places, hashes = [], [], []
+            for row, text in enumerate(b.column("t").to_pylist()):
+                lines = text.split("\n")
+                each = [digest(line.encode("utf-8", "surrogatepass")) if line.strip(" ") else b"" for line in lines]
+                some = [k for k in range(len(lines) - window + 1) if any(each[k : k + window])]
+                each = [e or digest(line) for e, line in zip(each, lines)]
+                rows += [row] * len(some)
+                places += some
+                hashes += [digest(b"".join(each[k : k + window])) for k in some]
+            own = pa.array(rows, pa.int64())
+            pair = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([b.column("i").take(own), b.column("h").take(own), pa.array(places, pa.int32()), pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["i", "h", "k", "a", "b"])
+
+    return docs.mapInArrow(run, "i long, h long, k int, a long, b long")
 
 
 def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
@@ -34,8 +45,7 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
     A window's first place is found by partial aggregation, so a common window is combined before it moves, and
     only windows that occur twice are joined back.
     """
-    each = docs.select("i", "h", F.explode(window_hashes(F.split("t", "\n"), window)).alias("w")).select("i", "h", "w.k", "w.a", "w.b")
-    each = Table(each)
+    each = Table(windows(docs, window))
     again = each.read().groupBy("a", "b").agg(F.min(F.struct("i", "h", "k")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     later = each.read().join(again, ["a", "b"]).filter(F.struct("i", "h", "k") > F.col("first")).select("i", "h", "k")
     out = Table(later).read()
