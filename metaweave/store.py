@@ -115,6 +115,25 @@ class GraphStore:
     def reset_service_ids(self, org: str) -> None:
         self.write("service_ids", self.read("service_ids").filter(F.col("org_id") != org))
 
+    def upsert_vectors(self, vectors: DataFrame, table: str = "node_vectors", key: tuple[str, ...] = ("org_id", "qname")) -> dict[str, int]:
+        """vectors: the key, content_hash and embedding. A vector of the same content stays; others take its place."""
+        if not self._current(table):
+            self.write(table, vectors)
+            return {merge.INSERTED: vectors.count(), merge.UPDATED: 0, merge.UNCHANGED: 0}
+        stored = self.read(table)
+        counts = {r["action"]: r["n"] for r in merge.counts(merge.merge_actions(stored, vectors, list(key), "content_hash")).collect()}
+        new = vectors.join(stored.select(*key, "content_hash"), [*key, "content_hash"], "left_anti")
+        self.write(table, stored.join(new.select(*key), list(key), "left_anti").unionByName(new.select(stored.columns)))
+        return {a: counts.get(a, 0) for a in (merge.INSERTED, merge.UPDATED, merge.UNCHANGED)}
+
+    def missing_explanations(self, org: str, limit: int = 100) -> DataFrame:
+        return self.read("snippets").filter((F.col("org_id") == org) & F.col("explanation").isNull()).orderBy("qname").limit(limit)
+
+    def rebuild(self) -> None:
+        """Empties nodes, edges and snippets for a full sync; their older generations stay."""
+        for table in ("nodes", "edges", "snippets"):
+            self.write(table, self.read(table).limit(0))
+
     # Orgs
 
     def upsert_org(self, org: str, alias: str, url: str, version: str, now: int) -> None:
