@@ -80,8 +80,13 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, columns: list[str] | None
     return docs.select(i.alias("i"), h.alias("h"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t"), *([F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")] if columns else []))
 
 
-def packed(ids: np.ndarray, hashes: np.ndarray, whose: np.ndarray, part: np.ndarray, arrays: list[np.ndarray], parts: int) -> Iterator[tuple[int, bytes]]:
-    """Records as one string of bytes for each part: the keys of its documents with their counts, then the arrays, each byte after byte."""
+#: How many of the low bytes of an array go with its records, by the array's type as named here. Within a part, 56 and 48
+#: bits of two hashes tell strings apart as surely as 104 bits do.
+KEPT_BYTES = {"hash7": ("<u8", 7), "hash6": ("<u8", 6), "hash8": ("<u8", 8), "u4": ("<u4", 4), "u1": ("u1", 1)}
+
+
+def packed(ids: np.ndarray, hashes: np.ndarray, whose: np.ndarray, part: np.ndarray, arrays: list[np.ndarray], kinds: list[str], parts: int) -> Iterator[tuple[int, bytes]]:
+    """Records as one string of bytes for each part: the keys of its documents with their counts, then the arrays (of the kinds KEPT_BYTES names), each byte after byte."""
     order = np.argsort(part, kind="stable")
     edges = np.searchsorted(part[order], np.arange(parts + 1))
     for p in range(parts):
@@ -90,15 +95,16 @@ def packed(ids: np.ndarray, hashes: np.ndarray, whose: np.ndarray, part: np.ndar
             continue
         rows, counts = np.unique(whose[at], return_counts=True)  # in order of documents, as the records are
         out = [np.array([len(rows), len(at)], "<i8").tobytes(), ids[rows].astype("<i8").tobytes(), hashes[rows].astype("<i8").tobytes(), counts.astype("<i4").tobytes()]
-        for a in arrays:
-            x = a[at]
-            out.append(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes())  # byte planes: equal high bytes lie together
+        for a, kind in zip(arrays, kinds):
+            dtype, size = KEPT_BYTES[kind]
+            x = a[at].astype(dtype, copy=False)
+            out.append(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize)[:, :size].T).tobytes())  # byte planes: equal high bytes lie together
         yield p, b"".join(out)
 
 
-def unpacked(blobs: list[bytes], types: list) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+def unpacked(blobs: list[bytes], kinds: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """ids and hashes of each record's document, and the arrays."""
-    ids, hashes, arrays = [], [], [[] for _ in types]
+    ids, hashes, arrays = [], [], [[] for _ in kinds]
     for b in blobs:
         rows, n = np.frombuffer(b, "<i8", 2)
         at = 16
@@ -106,10 +112,11 @@ def unpacked(blobs: list[bytes], types: list) -> tuple[np.ndarray, np.ndarray, l
         at += 20 * rows
         ids.append(np.repeat(own, counts))
         hashes.append(np.repeat(keys, counts))
-        for a, kind in zip(arrays, types):
-            size = np.dtype(kind).itemsize
-            planes = np.frombuffer(b, np.uint8, n * size, at).reshape(size, n)
-            a.append(np.ascontiguousarray(planes.T).view(kind).reshape(n))
+        for a, kind in zip(arrays, kinds):
+            dtype, size = KEPT_BYTES[kind]
+            whole = np.zeros((n, np.dtype(dtype).itemsize), np.uint8)
+            whole[:, :size] = np.frombuffer(b, np.uint8, n * size, at).reshape(size, n).T
+            a.append(whole.view(dtype).reshape(n))
             at += n * size
     return np.concatenate(ids), np.concatenate(hashes), [np.concatenate(a) for a in arrays]
 

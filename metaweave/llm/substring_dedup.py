@@ -70,10 +70,10 @@ def removed_windows(docs: DataFrame, window: int) -> DataFrame:
             place = (start - own.bounds[whose]).astype("<u4")
             # within a part, the low 31 bits tell blocks apart well enough: what is hit is compared in full later
             tag = ((h & np.uint64(0x7FFFFFFF)).astype(np.uint32) << np.uint32(1)) | (place % size == 0)
-            yield list(packed(b.column("i").to_numpy(), b.column("h").to_numpy(), whose, parts_of(h, parts), [tag.astype("<u4"), place], parts))
+            yield list(packed(b.column("i").to_numpy(), b.column("h").to_numpy(), whose, parts_of(h, parts), [tag, place], ["u4", "u4"], parts))
 
     def hit(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        ids, keys, (tag, place) = unpacked(blobs, ["<u4", "<u4"])
+        ids, keys, (tag, place) = unpacked(blobs, ["u4", "u4"])
         h = tag >> np.uint32(1)
         index = np.flatnonzero(tag & np.uint32(1))
         order = index[np.argsort(h[index], kind="stable")]
@@ -92,7 +92,7 @@ def removed_windows(docs: DataFrame, window: int) -> DataFrame:
 
     hits = Table(exchange(docs, probe, hit, "i long, h long, s long"))
     release(docs.sparkSession)
-    types = ["<u8", "<u8", "<u4", "u1"]
+    kinds = ["hash7", "hash6", "u4", "u1"]
 
     def extend(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[list]:
         for b, own in word_blocks(batches, window):
@@ -108,10 +108,10 @@ def removed_windows(docs: DataFrame, window: int) -> DataFrame:
             g = own.hashes(base + s, base + s + size, 7)
             with np.errstate(over="ignore"):
                 u = own.hashes(base + first, base + last + window, 8) ^ mix((s - first).astype(np.uint64) * np.uint64(256) + (last - first).astype(np.uint64), 9)
-            yield list(packed(b.column("i").to_numpy(), b.column("h").to_numpy(), whose, parts_of(g, parts), [g, u, first.astype("<u4"), (last - first + 1).astype("u1")], parts))
+            yield list(packed(b.column("i").to_numpy(), b.column("h").to_numpy(), whose, parts_of(g, parts), [g, u, first, last - first + 1], kinds, parts))
 
     def judge(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        ids, keys, (g, u, start, count) = unpacked(blobs, types)
+        ids, keys, (g, u, start, count) = unpacked(blobs, kinds)
         state = resolve(g, u, ids)
         at = np.flatnonzero(state)
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[at], keys[at], start[at].astype(np.int64), count[at].astype(np.int32), state[at].astype(np.int32))], ["i", "h", "s", "n", "state"])
@@ -131,10 +131,10 @@ def removed_windows(docs: DataFrame, window: int) -> DataFrame:
             whose, s = np.concatenate(rows), np.concatenate(starts)
             at = own.bounds[whose] + s
             g, u = own.hashes(at, at + window, 10), own.hashes(at, at + size, 11) ^ own.hashes(at + size, at + window, 12)
-            yield list(packed(b.column("i").to_numpy(), b.column("h").to_numpy(), whose, parts_of(g, parts), [g, u, s.astype("<u4")], parts))
+            yield list(packed(b.column("i").to_numpy(), b.column("h").to_numpy(), whose, parts_of(g, parts), [g, u, s], ["hash8", "hash8", "u4"], parts))
 
     def compare(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        ids, keys, (g, u, start) = unpacked(blobs, types[:3])
+        ids, keys, (g, u, start) = unpacked(blobs, ["hash8", "hash8", "u4"])
         order = np.lexsort((u, g))
         edge = np.flatnonzero(np.concatenate([[True], (g[order][1:] != g[order][:-1]) | (u[order][1:] != u[order][:-1])]))
         least = np.repeat(np.minimum.reduceat(ids[order], edge), np.diff(np.append(edge, len(order))))

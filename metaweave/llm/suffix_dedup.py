@@ -130,7 +130,7 @@ def cells(parts: list[bytes], window: int, anchor: int) -> tuple[np.ndarray, ...
 
 def removed_windows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     """docs: i, h, t. Rows i, h, s, n: n windows from s on of the row's text also start in a document with a smaller i."""
-    types = ["<u8", "<u8", "<u4", "u1"]
+    kinds = ["hash7", "hash6", "u4", "u1"]
 
     def make(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[list]:
         for b in blocks(batches, "t"):
@@ -145,11 +145,11 @@ def removed_windows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
                 if size >= PIECE or k == len(cut) - 1:
                     which, start, count, g, u = cells([c[2] for c in group], window, anchor)
                     rows, offsets = (np.array([c[x] for c in group], np.int64) for x in (0, 1))
-                    yield list(packed(ids, hashes, rows[which], parts_of(g, parts), [g, u, (start + offsets[which]).astype("<u4"), count.astype("u1")], parts))
+                    yield list(packed(ids, hashes, rows[which], parts_of(g, parts), [g, u, start + offsets[which], count], kinds, parts))
                     group, size = [], 0
 
     def use(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        ids, hashes, (g, u, start, count) = unpacked(blobs, types)
+        ids, hashes, (g, u, start, count) = unpacked(blobs, kinds)
         state = resolve(g, u, ids)
         at = np.flatnonzero(state)
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[at], hashes[at], start[at].astype(np.int64), count[at].astype(np.int32), state[at].astype(np.int32))], ["i", "h", "s", "n", "state"])
@@ -181,7 +181,7 @@ def removed_windows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
             for p in range(parts):
                 at = order[edges[p] : edges[p + 1]]
                 if len(at):
-                    (_, head), = packed(ids, hashes, whose[at], np.zeros(len(at), np.int64), [g[at], start[at].astype("<u4"), count[at].astype("u1")], 1)
+                    (_, head), = packed(ids, hashes, whose[at], np.zeros(len(at), np.int64), [g[at], start[at], count[at]], ["hash8", "u4", "u1"], 1)
                     own = np.argsort(whose[at], kind="stable")
                     out.append((p, len(head).to_bytes(8, "little") + head + b"".join(strings[k] for k in at[own].tolist())))
             yield out
@@ -192,7 +192,7 @@ def removed_windows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
             n = int.from_bytes(b[:8], "little")
             heads.append(b[8 : 8 + n])
             strings.append(b[8 + n :])
-        ids, hashes, (g, start, count) = unpacked(heads, ["<u8", "<u4", "u1"])
+        ids, hashes, (g, start, count) = unpacked(heads, ["hash8", "u4", "u1"])
         text = np.frombuffer(b"".join(strings), np.uint8)
         del strings, heads
         n = count.astype(np.int64)

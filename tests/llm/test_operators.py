@@ -456,6 +456,6 @@ def test_spans_and_packing_of_records():
     assert s.tolist() == [0, 5, 18] and e.tolist() == [2, 11, 20]
     ids, keys, whose = np.array([10, 20, 30]), np.array([1, 2, 3]), np.array([0, 0, 2, 2, 2])
     a, part = np.arange(5, dtype="<u4") * 70000, np.array([1, 0, 1, 1, 0])
-    blobs = dict(repeats.packed(ids, keys, whose, part, [a], 2))
-    i, h, (x,) = repeats.unpacked([blobs[1], blobs[0]], ["<u4"])
+    blobs = dict(repeats.packed(ids, keys, whose, part, [a], ["u4"], 2))
+    i, h, (x,) = repeats.unpacked([blobs[1], blobs[0]], ["u4"])
     assert list(zip(i.tolist(), h.tolist(), x.tolist())) == [(10, 1, 0), (30, 3, 140000), (30, 3, 210000), (10, 1, 70000), (30, 3, 280000)]
