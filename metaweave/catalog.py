@@ -520,3 +520,81 @@ def store_merge_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = td.nodes(spark, sf_dir, ["Order"]).select("org_id", "label", "qname", F.lit("{}").alias("attributes"), "source_hash")
     one, two = store.merge_nodes(facts, 1), store.merge_nodes(facts, 2)
     return spark.createDataFrame([("inserted", one["inserted"], two["unchanged"])], "action string, n long, again long")
+
+
+# Parsing, on members given here
+
+
+MEMBERS = [
+    ("ApexClass", "Orders", "public with sharing class Orders extends Base implements Queueable {\n  public void run(Integer n) {\n    List<Item__c> i = [SELECT Id, Name__c FROM Item__c WHERE Id = :n];\n    Audit.log(n, 'x, y');\n    update i;\n  }\n}"),
+    ("ApexTrigger", "OnItem", "trigger OnItem on Item__c (before insert, after update) { Orders.go(Trigger.new); }"),
+    ("LightningComponentBundle", "tile", '{"files": {"tile.js": "import run from \'@salesforce/apex/Orders.run\';\\nimport NAME from \'@salesforce/schema/Item__c.Name__c\';\\nexport default class Tile { @wire(run) rows; fire() { this.dispatchEvent(new CustomEvent(\'picked\')); } }", "tile.html": "<template><c-small-card onpicked={fire} name={NAME}></c-small-card><p>{title}</p></template>"}}'),
+    ("Flow", "Ship", "<Flow><apiVersion>60.0</apiVersion><start><object>Item__c</object></start><actionCalls><actionType>apex</actionType><actionName>Orders</actionName></actionCalls><recordUpdates><object>Item__c</object></recordUpdates></Flow>"),
+    ("CustomObject", "Item__c", '{"apiName": "Item__c", "objectXml": "<CustomObject><fields><fullName>Name__c</fullName></fields><fields><fullName>Twice__c</fullName><formula>Item__c.Count__c * 2</formula></fields></CustomObject>"}'),
+    ("PermissionSet", "Sales", "<PermissionSet><fieldPermissions><field>Item__c.Name__c</field></fieldPermissions><classAccesses><apexClass>Orders</apexClass></classAccesses></PermissionSet>"),
+    ("Layout", "Item__c-Main", "<Layout><layoutSections><layoutColumns><layoutItems><field>Name__c</field></layoutItems></layoutColumns></layoutSections></Layout>"),
+    ("VlocityIntegrationProcedure", "Sync", '{"elements": [{"Type": "DataRaptor Extract Action", "propertySet": {"bundle": "Load"}}, {"Type": "Remote Action", "propertySet": {"remoteClass": "Orders"}}]}'),
+    ("Workflow", "Item__c", "<Workflow><rules><fullName>R</fullName></rules><fieldUpdates><field>Name__c</field></fieldUpdates></Workflow>"),
+]
+PARSED_EDGES = """CONTAINS_METHOD ApexClass:Orders ApexMethod:Orders.run(1)
+EXTENDS ApexClass:Orders ApexClass:Base
+IMPLEMENTS ApexClass:Orders ApexInterface:Queueable
+EXECUTES_SOQL ApexMethod:Orders.run(1) CustomObject:Item__c
+READS_FIELD ApexMethod:Orders.run(1) CustomField:Item__c.Id
+READS_FIELD ApexMethod:Orders.run(1) CustomField:Item__c.Name__c
+CALLS ApexMethod:Orders.run(1) ApexMethod:Audit.log(2)
+EXECUTES_DML ApexMethod:Orders.run(1) DML:update
+TRIGGERS_ON ApexTrigger:OnItem CustomObject:Item__c
+CONTAINS_COMPONENT LWCBundle:tile LWC:tile
+IMPORTS_APEX LWC:tile ApexMethod:Orders.run(?)
+USES_WIRE LWC:tile ApexMethod:Orders.run(?)
+READS_FIELD LWC:tile CustomField:Item__c.Name__c
+DISPATCHES_EVENT LWC:tile LWCEvent:picked
+EMBEDS_LWC LWC:tile LWC:smallCard
+LISTENS_TO_EVENT LWC:tile LWCEvent:picked
+LWC_BINDS_FIELD LWC:tile CustomField:Item__c.Name__c
+LWC_BINDS_PROPERTY LWC:tile LWCProperty:title
+CONTAINS Flow:Ship FlowVersion:Ship.v60
+TRIGGER_FIRES_ON FlowVersion:Ship.v60 CustomObject:Item__c
+FLOW_INVOKES_APEX FlowVersion:Ship.v60 ApexClass:Orders
+REFERENCES_OBJECT FlowVersion:Ship.v60 CustomObject:Item__c
+DEFINES_FIELD CustomObject:Item__c CustomField:Item__c.Name__c
+DEFINES_FIELD CustomObject:Item__c CustomField:Item__c.Twice__c
+READS_FIELD CustomField:Item__c.Twice__c CustomField:Item__c.Count__c
+GRANTS_FIELD_ACCESS PermissionSet:Sales CustomField:Item__c.Name__c
+GRANTS_APEX_ACCESS PermissionSet:Sales ApexClass:Orders
+RENDERS_FIELD Layout:Item__c-Main CustomField:Item__c.Name__c
+IP_CALLS_DR IntegrationProcedure:Sync DataRaptor:Load
+IP_INVOKES_REMOTE IntegrationProcedure:Sync Remote:Orders
+WORKFLOW_TRIGGERS Workflow:Item__c WorkflowRule:Item__c.R
+TRIGGER_FIRES_ON WorkflowRule:Item__c.R CustomObject:Item__c
+WORKFLOW_UPDATES_FIELD Workflow:Item__c CustomField:Item__c.Name__c"""
+
+
+def _parsed(spark: SparkSession) -> DataFrame:
+    from .parse import registry
+
+    d = spark.createDataFrame(MEMBERS, "member_type string, member_name string, content string")
+    return registry.parse_members(d.select(F.lit("org1").alias("org_id"), "member_type", "member_name", F.lit("").alias("source_uri"), F.lit(None).cast("string").alias("namespace"), "content"))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join("('" + "', '".join(line.split(" ")) + "')" for line in PARSED_EDGES.split("\n")) + ") AS t(rel_type, src, dst)")
+def parse_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges that parsers and rules make of members of nine types."""
+    from .parse import registry
+
+    return registry.edges_of(_parsed(spark)).select("rel_type", "src", "dst").distinct()
+
+
+@query("SELECT * FROM (VALUES ('ApexClass', 1), ('ApexMethod', 1), ('ApexTrigger', 1), ('CustomField', 2), ('CustomObject', 1), ('Flow', 1), ('FlowVersion', 1), ('IntegrationProcedure', 1), ('LWC', 1), ('LWCBundle', 1), ('Layout', 1), ('PermissionSet', 1), ('Workflow', 1), ('WorkflowRule', 1)) AS t(label, n)")
+def parse_node_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .parse import registry
+
+    return registry.nodes_of(_parsed(spark)).groupBy("label").agg(F.count("*").cast("int").alias("n"))
+
+
+@query(f"""WITH {LOOSE_SQL} SELECT 'dangling-reference' AS rule_id, 'warning' AS level, count(*) AS n FROM loose HAVING count(*) > 0""")
+def sarif_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results by rule, as a SARIF document has them (but for its cap)."""
+    found = audit.collect_findings(loose=audit.dangling(td.edges(spark, sf_dir, td.CORE), _index(spark, sf_dir)))
+    return audit.per_rule(found).join(found.select("rule_id", "level").distinct(), "rule_id").select("rule_id", "level", "n")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..tables import materialize
@@ -46,11 +46,9 @@ def walk(edges: DataFrame, seeds: DataFrame, reverse: bool = False, depth: int =
         step = frontier.select("seed", F.col("qname").alias("at")).join(e, "at").groupBy("seed", F.col("to").alias("qname")).agg(F.min(F.struct("rel_type", F.col("at").alias("parent"))).alias("via"))
         new = step.join(seen.select("seed", "qname"), ["seed", "qname"], "left_anti").select("seed", "qname", F.lit(level).alias("depth"), "via.rel_type", "via.parent")
         if cap is not None:
-            from pyspark.sql import Window
-
             have = seen.groupBy("seed").agg(F.count("*").alias("have"))
             place = F.row_number().over(Window.partitionBy("seed").orderBy("rel_type", "qname"))
-            new = new.join(have, "seed").withColumn("place", place).filter(F.col("place") + F.col("have") <= cap).drop("place", "have")
+            new = new.join(have, "seed").withColumn("place", place).filter((F.col("place") <= cap) & (F.col("place") + F.col("have") <= cap)).drop("place", "have")
         frontier = materialize(new)
         if frontier.isEmpty():
             break
