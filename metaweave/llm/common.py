@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -71,9 +72,11 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Between phases: shuffle files go when the JVM collects the handles of the plans that wrote them."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Between phases: shuffle files go when the JVM collects the handles of the plans that wrote them; what a first round frees may hold others."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def key_columns(id_col: str, text_col: str) -> tuple[Column, Column]:
@@ -106,3 +109,12 @@ def map_arrow(df: DataFrame, f: Callable, schema: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def partition_keys(spark: SparkSession, n: int) -> list[int]:
+    """For each of n partitions an int that repartition(n, column) sends there: so n parts go to n tasks, not several to one."""
+    found: dict[int, int] = {}
+    d = spark.range(24 * n).select(F.col("id").cast("int").alias("k"))
+    for r in d.groupBy(F.pmod(F.hash("k"), F.lit(n)).alias("p")).agg(F.min("k").alias("k")).collect():
+        found[r.p] = r.k
+    return [found.get(p, p) for p in range(n)]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Table, blocks, real_id, release
-from .repeats import keyed, mark_arrays, spans, with_marks
+from .repeats import ids_differ, keyed, mark_arrays, spans, with_marks
 
 #: Lines of a window.
 WINDOW = 3
@@ -62,7 +62,7 @@ def remove_repeated_lines(docs: DataFrame, window: int = WINDOW, id_col: str = "
     fewer lines. Null and empty texts are one empty line. A null id comes after all others; rows of one id and
     one text are one document, rows of one id in the order of a hash of their text. Other columns aren't read. An empty table gives no rows.
     """
-    d = keyed(docs, id_col, text_col)
+    d = keyed(docs, id_col, text_col, ids_differ(docs, id_col))
     marked = with_marks(d, repeated_windows(d, window), ["k"], "left")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_columns, partitions
+from .common import key_columns, partition_keys, partitions
 from .fingerprint import mix, powers
 
 NONE, ALL, OPEN, SOURCE = 0, 1, 2, 3
@@ -74,12 +74,30 @@ def resolve(g: np.ndarray, u: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return state
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str, columns: list[str] | None = None) -> DataFrame:
-    """i and h, the key and order of a row, its text t (null: empty), and a struct `row` of these columns."""
+def ids_differ(docs: DataFrame, id_col: str) -> bool:
+    """Whether no id (null counting as one) occurs twice: then the id alone is a row's key. Reads ids only."""
+    i, _ = key_columns(id_col, id_col)
+    return docs.groupBy(i.alias("i")).agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str, differ: bool, columns: list[str] | None = None) -> DataFrame:
+    """i and h, the key and order of a row (h is 0 where ids differ), its text t (null: empty), and a struct `row` of these columns."""
     i, h = key_columns(id_col, text_col)
+    h = F.lit(0).cast("long") if differ else h
     return docs.select(i.alias("i"), h.alias("h"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t"), *([F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")] if columns else []))
 
 
+def _planes(x: np.ndarray, size: int) -> bytes:
+    """The low bytes of all numbers, byte after byte: equal bytes lie together, and compress."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize)[:, :size].T).tobytes()
+
+
+def _from_planes(b: bytes, at: int, n: int, dtype: str, size: int) -> np.ndarray:
+    whole = np.zeros((n, np.dtype(dtype).itemsize), np.uint8)
+    whole[:, :size] = np.frombuffer(b, np.uint8, n * size, at).reshape(size, n).T
+    return whole.view(dtype).reshape(n)
+
+
 #: How many of the low bytes of an array go with its records, by the array's type as named here. Within a part, 56 and 48
 #: bits of two hashes tell strings apart as surely as 104 bits do.
 KEPT_BYTES = {"hash7": ("<u8", 7), "hash6": ("<u8", 6), "hash8": ("<u8", 8), "u4": ("<u4", 4), "u1": ("u1", 1)}
@@ -94,11 +112,10 @@ def packed(ids: np.ndarray, hashes: np.ndarray, whose: np.ndarray, part: np.ndar
         if not len(at):
             continue
         rows, counts = np.unique(whose[at], return_counts=True)  # in order of documents, as the records are
-        out = [np.array([len(rows), len(at)], "<i8").tobytes(), ids[rows].astype("<i8").tobytes(), hashes[rows].astype("<i8").tobytes(), counts.astype("<i4").tobytes()]
+        out = [np.array([len(rows), len(at)], "<i8").tobytes(), *(_planes(x, x.itemsize) for x in (ids[rows].astype("<i8"), hashes[rows].astype("<i8"), counts.astype("<i4")))]
         for a, kind in zip(arrays, kinds):
             dtype, size = KEPT_BYTES[kind]
-            x = a[at].astype(dtype, copy=False)
-            out.append(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize)[:, :size].T).tobytes())  # byte planes: equal high bytes lie together
+            out.append(_planes(a[at].astype(dtype, copy=False), size))
         yield p, b"".join(out)
 
 
@@ -108,15 +125,13 @@ def unpacked(blobs: list[bytes], kinds: list[str]) -> tuple[np.ndarray, np.ndarr
     for b in blobs:
         rows, n = np.frombuffer(b, "<i8", 2)
         at = 16
-        own, keys, counts = np.frombuffer(b, "<i8", rows, at), np.frombuffer(b, "<i8", rows, at + 8 * rows), np.frombuffer(b, "<i4", rows, at + 16 * rows)
+        own, keys, counts = _from_planes(b, at, rows, "<i8", 8), _from_planes(b, at + 8 * rows, rows, "<i8", 8), _from_planes(b, at + 16 * rows, rows, "<i4", 4)
         at += 20 * rows
         ids.append(np.repeat(own, counts))
         hashes.append(np.repeat(keys, counts))
         for a, kind in zip(arrays, kinds):
             dtype, size = KEPT_BYTES[kind]
-            whole = np.zeros((n, np.dtype(dtype).itemsize), np.uint8)
-            whole[:, :size] = np.frombuffer(b, np.uint8, n * size, at).reshape(size, n).T
-            a.append(whole.view(dtype).reshape(n))
+            a.append(_from_planes(b, at, n, dtype, size))
             at += n * size
     return np.concatenate(ids), np.concatenate(hashes), [np.concatenate(a) for a in arrays]
 
@@ -124,11 +139,12 @@ def unpacked(blobs: list[bytes], kinds: list[str]) -> tuple[np.ndarray, np.ndarr
 def exchange(df: DataFrame, make: Callable, use: Callable, schema: str) -> DataFrame:
     """make(batches, parts) yields (part, bytes); use(list of the bytes of a part) yields record batches of the schema. Parts grow in number, not in size, with spark.sql.shuffle.partitions."""
     parts = partitions(df.sparkSession)
+    keys = partition_keys(df.sparkSession, parts)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in make(batches, parts):
             part, blob = zip(*rows) if rows else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(blob, pa.binary())], ["part", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array([keys[p] for p in part], pa.int32()), pa.array(blob, pa.binary())], ["part", "blob"])
 
     def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, []

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import Table, blocks, real_id, release
 from .fingerprint import mix
-from .repeats import ALL, OPEN, SOURCE, Hashes, exchange, keyed, mark_arrays, packed, parts_of, resolve, spans, unpacked, with_marks
+from .repeats import ALL, OPEN, SOURCE, Hashes, exchange, ids_differ, keyed, mark_arrays, packed, parts_of, resolve, spans, unpacked, with_marks
 
 #: Words of a window. A window holds a whole reference block, wherever blocks of half as many words begin.
 WINDOW = 50
@@ -163,10 +163,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     window, stay. A null id comes after all others; rows of one id are one document as to what is smaller, and
     each is judged. Long texts are whole. Other columns aren't read. An empty table gives no rows.
     """
-    d = keyed(docs, id_col, text_col)
+    differ = ids_differ(docs, id_col)
+    d = keyed(docs, id_col, text_col, differ)
     found = removed_windows(d, window)
     if columns:
-        d = keyed(docs, id_col, text_col, columns)
+        d = keyed(docs, id_col, text_col, differ, columns)
     marked = with_marks(d, found, ["s", "n"], "left")
     row = ", row " + d.schema["row"].dataType.simpleString() if columns else ""
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Table, blocks, real_id, release
-from .repeats import ALL, OPEN, SOURCE, Hashes, exchange, keyed, mark_arrays, packed, parts_of, resolve, spans, unpacked, with_marks
+from .repeats import ALL, OPEN, SOURCE, Hashes, exchange, ids_differ, keyed, mark_arrays, packed, parts_of, resolve, spans, unpacked, with_marks
 
 #: Bytes of a window, and of the anchor in it.
 WINDOW, ANCHOR = 50, 20
@@ -248,7 +248,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     window, stay. A null id comes after all others; rows of one id are one document as to what is smaller, and
     each is judged. Long texts are worked on in pieces that overlap. Other columns aren't read. An empty table gives no rows.
     """
-    d = keyed(docs, id_col, text_col)
+    d = keyed(docs, id_col, text_col, ids_differ(docs, id_col))
     marked = with_marks(d, removed_windows(d, window, anchor), ["s", "n"], "left")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
