@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +21,7 @@ CHARS = 250_000
 #: What a document without any letter is.
 NONE = "und"
 
-_OTHERS = re.compile(r"[\W\d_]+")
+_OTHERS, _LETTER = regex.compile(r"[^\p{L}\p{M}]+"), regex.compile(r"\p{L}")
 _letters: dict[int, np.ndarray] = {}
 
 
@@ -42,7 +42,7 @@ def document_vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """
     cleaned = [_OTHERS.sub(" ", t.lower()).strip() for t in texts]
     out, n = np.zeros((len(texts), DIM), np.float32), np.zeros(len(texts), np.int64)
-    some = [i for i, t in enumerate(cleaned) if t]
+    some = [i for i, t in enumerate(cleaned) if _LETTER.search(t)]
     if not some:
         return out, n
     points = [np.frombuffer(f" {cleaned[i]} ".encode("utf-32-le", "surrogatepass"), "<u4") for i in some]

@@ -343,7 +343,7 @@ def test_language_id(spark):
     kinds = {"xx": "an the of ing tion er".split(), "yy": "el os ción que ara".split(), "zz": "ung sch ein keit ber".split()}
     text = lambda parts, k: " ".join("".join(r.choice(parts) for _ in range(3)) for _ in range(k))
     rows = [(k, text(p, r.randint(20, 80)), name) for k, (name, p) in enumerate(list(kinds.items()) * 60)]
-    rows += [(1000, None, "xx"), (1001, "12 34 ...", "xx"), (1002, "", None), (None, text(kinds["yy"], 50), None), (5, rows[5][1], "zz")]
+    rows += [(1000, None, "xx"), (1001, "12 34 ...", "xx"), (1002, "", None), (1003, "½ Ⅷ ٣ \u0301", None), (None, text(kinds["yy"], 50), None), (5, rows[5][1], "zz")]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     out = {x.doc_id: x for x in language_id.language_id(d).collect()}
     import zlib
@@ -352,7 +352,7 @@ def test_language_id(spark):
         assert out[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
         assert not out[i].held_out or out[i].lang_pred == name
         assert 0 <= out[i].score <= 1
-    assert [out[i].lang_pred for i in (1000, 1001, 1002)] == ["und"] * 3 and out[None].lang_pred == "yy"
+    assert [out[i].lang_pred for i in (1000, 1001, 1002, 1003)] == ["und"] * 4 and out[None].lang_pred == "yy"
     empty = spark.createDataFrame([], d.schema)
     assert language_id.language_id(empty).count() == 0
     unlearned = language_id.language_id(d.withColumn("lang", F.lit(None).cast("string")))
