@@ -74,8 +74,25 @@ ORACLE_SQL = {
         k AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY p) AS kept FROM p ANTI JOIN c USING (doc_id, p) GROUP BY doc_id)
         SELECT doc_id, len(a) AS n_lines, coalesce(n, 0) AS n_removed, coalesce(runs, 0) AS n_spans, sha256(coalesce(kept, '')) AS kept_sha256
         FROM l LEFT JOIN g USING (doc_id) LEFT JOIN k USING (doc_id)""",
+    "op3_suffix_array_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+        p AS (SELECT doc_id, x, unnest(range(0, CAST(length(x) / 2 AS BIGINT))) AS k FROM d),
+        b AS (SELECT doc_id, k, substr(x, 2 * k + 1, 2) AS byte, substr(x, 2 * k + 1, 100) AS s FROM p),
+        m AS (SELECT doc_id, k, min(doc_id) OVER (PARTITION BY s) AS f FROM b WHERE length(s) = 100),
+        c AS (SELECT DISTINCT doc_id, unnest(range(k, k + 50)) AS k FROM m WHERE f < doc_id),
+        g AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE k <> before + 1 OR before IS NULL) AS runs FROM (SELECT doc_id, k, lag(k) OVER (PARTITION BY doc_id ORDER BY k) AS before FROM c) GROUP BY doc_id),
+        r AS (SELECT doc_id, string_agg(byte, '' ORDER BY k) AS kept FROM b ANTI JOIN c USING (doc_id, k) GROUP BY doc_id)
+        SELECT doc_id, CAST(length(x) / 2 AS BIGINT) AS n_bytes, coalesce(n, 0) AS n_removed, coalesce(runs, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN g USING (doc_id) LEFT JOIN r USING (doc_id)""",
     "op4_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
         FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""",
+    "op7_substring_dedup": """
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        p AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k, len(w) AS n FROM d),
+        x AS (SELECT doc_id, k, n, md5(string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)) AS h FROM p),
+        m AS (SELECT doc_id, k, min(doc_id) OVER (PARTITION BY h) AS f FROM x WHERE k <= n - 49),
+        c AS (SELECT DISTINCT doc_id, unnest(range(k, k + 50)) AS k FROM m WHERE f < doc_id),
+        r AS (SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS kept, count(*) AS left FROM p ANTI JOIN c USING (doc_id, k) GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, len(w) - coalesce(r.left, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id)""",
 }
