@@ -21,8 +21,8 @@ QUERIES, LANES = 64, 4096
 #: Without a similarity: bits are cut so that a bucket holds about so many fingerprints at most.
 BUCKET = 4096
 #: With a similarity: fingerprints of WIDE bits are compared within WIDE_RADIUS, in buckets of about SIMILAR_BUCKET by draws of
-#: bits. Pairs of similarity 0.8 differ in about APART of the bits; of such, at most MISSED share no bucket.
-WIDE, WIDE_RADIUS, SIMILAR_BUCKET, APART, MISSED = 128, 32, 200, 0.15, 0.005
+#: bits. Pairs of similarity 0.8 differ in about 0.15 of the bits, some in more; of those that differ in APART at most MISSED share no bucket.
+WIDE, WIDE_RADIUS, SIMILAR_BUCKET, APART, MISSED = 128, 32, 200, 0.2, 0.005
 
 
 def shingles(text: str, words: int) -> list[bytes]:
