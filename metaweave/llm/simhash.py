@@ -23,6 +23,8 @@ BUCKET = 4096
 #: With a similarity: fingerprints of WIDE bits are compared within WIDE_RADIUS, in buckets of about SIMILAR_BUCKET by draws of
 #: bits. Pairs of similarity 0.8 differ in about 0.15 of the bits, some in more; of those that differ in APART at most MISSED share no bucket.
 WIDE, WIDE_RADIUS, SIMILAR_BUCKET, APART, MISSED = 128, 32, 200, 0.2, 0.005
+#: Fingerprints this near hang together; of each such group a fingerprint's nearest few are judged.
+TIGHT, EACH = 16, 3
 
 
 def shingles(text: str, words: int) -> list[bytes]:
@@ -100,28 +102,41 @@ class Planes:
         return np.unpackbits(near.view(np.uint8).reshape(len(queries), -1), axis=1).astype(bool)
 
 
-def links_within(f: np.ndarray, radius: int, nearest: bool) -> np.ndarray:
-    """Pairs of places in f within radius, as few as link what all such pairs would; with nearest, also each one's nearest before it."""
+def links_within(f: np.ndarray, radius: int, tight: int | None = None) -> np.ndarray:
+    """Pairs of places in f within radius, as few as link what all such pairs would.
+
+    With tight, pairs to be judged by similarity: for each fingerprint, of every group before it that hangs together
+    within that smaller radius, the EACH nearest members. So a dense group counts once to each, not by its size.
+    """
     n, planes = len(f), Planes(f)
     label, out = np.arange(n), []
     words = planes.planes.shape[1]
     for a in range(0, n, QUERIES):
         queries = np.arange(a, min(a + QUERIES, n))
+        found: dict[int, list[np.ndarray]] = {}
         for w in range(0, min(words, -(-int(queries[-1] + 1) // 64)), LANES // 64):
             hits = planes.within(queries, radius, slice(w, w + LANES // 64))
             base = 64 * w
             hits[:, max(0, n - base) :] = False
             hits &= (base + np.arange(hits.shape[1]))[None, :] < queries[:, None]
             for k in np.flatnonzero(hits.any(axis=1)).tolist():
-                q, at = a + k, base + np.flatnonzero(hits[k])
-                found, first = np.unique(label[at], return_index=True)
-                new = found != label[q]
-                if new.any():
-                    out += [(q, int(x)) for x in at[first[new]]]
-                    label[np.isin(label, found)] = label[q]
-                if nearest:
-                    apart = np.bitwise_count(f[at] ^ f[q]).sum(axis=1)
-                    out.append((q, int(at[np.argmin(apart)])))
+                found.setdefault(a + k, []).append(base + np.flatnonzero(hits[k]))
+        for q in sorted(found):
+            at = np.concatenate(found[q])
+            join = at
+            if tight is not None:
+                apart = np.bitwise_count(f[at] ^ f[q]).sum(axis=1)
+                order = np.lexsort((apart, label[at]))
+                own = label[at][order]
+                first = np.maximum.accumulate(np.where(np.concatenate([[True], own[1:] != own[:-1]]), np.arange(len(own)), 0))
+                out += [(q, int(x)) for x in at[order[np.arange(len(own)) - first < EACH]]]
+                join = at[apart <= tight]
+            groups, first = np.unique(label[join], return_index=True)
+            new = groups != label[q]
+            if new.any():
+                if tight is None:
+                    out += [(q, int(x)) for x in join[first[new]]]
+                label[np.isin(label, groups)] = label[q]
     return np.array(sorted(set(out)), np.int64).reshape(-1, 2)
 
 
@@ -168,7 +183,7 @@ def links(kinds: DataFrame, columns: list[str], radius: int, similar: bool) -> D
             out = []
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
                 if b - a > 1:
-                    pairs = links_within(f[a:b], radius, similar) + a
+                    pairs = links_within(f[a:b], radius, TIGHT if similar else None) + a
                     if len(pairs):
                         out.append(pairs)
             if out:
