@@ -88,7 +88,7 @@ def start_ingest_job(store: GraphStore, source: str, mode: str = "auto") -> Resp
     if mode not in ("auto", "full", "incremental") or any(ord(c) < 32 for c in source):
         raise ToolError("INVALID_INPUT", "mode is auto, full or incremental; source has no control characters")
     quoted = "'" + source.replace("'", "'\\''") + "'"
-    return Response("Run this to ingest", data={"command": f"python -m metaweave.ingest --source {quoted} --mode {mode}"}, follow_up_tools=["get_ingest_job"])
+    return Response("Run this to ingest", data={"command": f"python -m metaweave --store {store.root} ingest --source {quoted} --mode {mode}"}, follow_up_tools=["get_ingest_job"])
 
 
 _JOBS: dict[str, dict[str, Any]] = {}
