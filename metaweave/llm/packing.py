@@ -63,9 +63,9 @@ class WordTokenizer:
     def _learn(self, new: set[str]) -> None:
         """Takes words up; those of letters and then punctuation by way of their two parts."""
         words, older = self.words, self.older
-        known = new & older.keys()
+        known = [w for w in new if w in older]
         words.update((w, older[w]) for w in known)
-        new -= known
+        new.difference_update(known)
         parts, split, whole = set(), [], []
         for w in new:
             if w > "" and max(w) > "\xff":  # where lower-casing or composition may make marks of letters
@@ -82,7 +82,7 @@ class WordTokenizer:
         for _, a, z in split:
             parts.add(a)
             parts.add(z)
-        missing = list(parts - words.keys())
+        missing = [w for w in parts if w not in words]  # (a difference of sets would go through all words)
         words.update(zip(missing, self._encode_parts(missing)))
         for w, a, z in split:
             words[w] = words[a] + words[z]
@@ -99,12 +99,13 @@ class WordTokenizer:
             flat += self.SPACE.sub(" ", t).split(" ")
             ends.append(len(flat))
         ids = list(map(self.words.get, flat))  # one look at each word; b"" (of the empty word) counts as missing, too
-        new = set(compress(flat, map(not_, ids)))
+        missing = list(compress(range(len(flat)), map(not_, ids)))
+        new = {flat[k] for k in missing}
         if len(self.words) + len(new) > MAX_WORDS:
             self.older, self.words = self.words, {}
         long = [w for w in new if len(w) > KEPT_CHARS]
         self._learn(new)
-        for k in compress(range(len(flat)), map(not_, ids)):
+        for k in missing:
             ids[k] = self.words[flat[k]]
         for w in long:
             self.words.pop(w, None)
