@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import scalar
 from .operators import audit, diff, filters, merge, resolve, traverse, vector
 from .sources import testdata as td
+from .tables import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -41,28 +42,33 @@ def bfs_sql(seeds: list[str], reverse: bool, depth: int, rels: str = CORE_EDGES_
 # Traversal
 
 
+def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The core edges, derived from the tables once for all levels of a traversal (a store has them as they are)."""
+    return materialize(td.edges(spark, sf_dir, td.CORE))
+
+
 @query(f"{bfs_sql(['Region:1'], True, 3)} SELECT r.qname, n.label, r.depth FROM reached r JOIN ({ALL_NODES_SQL}) n USING (qname) WHERE r.depth > 0")
 def trace_upstream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Everything that depends on a region, three levels up."""
-    r = traverse.trace(td.edges(spark, sf_dir, td.CORE), "Region:1", reverse=True, depth=3)
+    r = traverse.trace(_graph(spark, sf_dir), "Region:1", reverse=True, depth=3)
     return traverse.hydrate(r.nodes, td.nodes(spark, sf_dir)).select("qname", "label", "depth")
 
 
 @query(f"{bfs_sql(['Order:1'], False, 3)} SELECT r.qname, n.label, r.depth FROM reached r JOIN ({ALL_NODES_SQL}) n USING (qname) WHERE r.depth > 0")
 def trace_downstream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = traverse.trace(td.edges(spark, sf_dir, td.CORE), "Order:1", reverse=False, depth=3)
+    r = traverse.trace(_graph(spark, sf_dir), "Order:1", reverse=False, depth=3)
     return traverse.hydrate(r.nodes, td.nodes(spark, sf_dir)).select("qname", "label", "depth")
 
 
 @query(f"{bfs_sql(['Nation:3'], True, 2)} SELECT DISTINCT e.src, e.dst, e.rel_type FROM e JOIN reached r ON e.dst = r.qname WHERE r.depth < 2")
 def trace_upstream_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return traverse.trace(td.edges(spark, sf_dir, td.CORE), "Nation:3", reverse=True, depth=2).edges
+    return traverse.trace(_graph(spark, sf_dir), "Nation:3", reverse=True, depth=2).edges
 
 
 @query(f"{bfs_sql(['Region:0', 'Nation:3', 'Customer:5'], True, 2)} SELECT seed, qname, depth FROM reached WHERE depth > 0")
 def trace_multi_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     seeds = spark.createDataFrame([("Region:0",), ("Nation:3",), ("Customer:5",)], "qname string")
-    return traverse.walk(td.edges(spark, sf_dir, td.CORE), seeds, True, 2).nodes.filter("depth > 0").select("seed", "qname", "depth")
+    return traverse.walk(_graph(spark, sf_dir), seeds, True, 2).nodes.filter("depth > 0").select("seed", "qname", "depth")
 
 
 FLOW_RELS = ["PLACED_BY", "LOCATED_IN", "PART_OF"]
@@ -70,7 +76,7 @@ FLOW_RELS = ["PLACED_BY", "LOCATED_IN", "PART_OF"]
 
 @query(f"{bfs_sql(['Order:7'], False, 9, td.edges_sql(FLOW_RELS))} SELECT DISTINCT e.src, e.dst, e.rel_type FROM e JOIN reached r ON e.src = r.qname")
 def typed_flow_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return traverse.typed_flow(td.edges(spark, sf_dir, td.CORE), "Order:7", FLOW_RELS).edges
+    return traverse.typed_flow(_graph(spark, sf_dir), "Order:7", FLOW_RELS).edges
 
 
 BOTH_WAYS = f"SELECT rel_type, src, dst FROM ({CORE_EDGES_SQL}) UNION ALL SELECT rel_type, dst, src FROM ({CORE_EDGES_SQL})"
@@ -78,22 +84,22 @@ BOTH_WAYS = f"SELECT rel_type, src, dst FROM ({CORE_EDGES_SQL}) UNION ALL SELECT
 
 @query(f"{bfs_sql(['Customer:7'], False, 2, BOTH_WAYS)} SELECT qname, depth FROM reached")
 def neighborhood_d2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return traverse.neighborhood(td.edges(spark, sf_dir, td.CORE), "Customer:7", 2).nodes.select("qname", "depth")
+    return traverse.neighborhood(_graph(spark, sf_dir), "Customer:7", 2).nodes.select("qname", "depth")
 
 
 @query(f"{bfs_sql(['Customer:7'], False, 2, BOTH_WAYS)} SELECT DISTINCT c.src, c.dst, c.rel_type FROM ({CORE_EDGES_SQL}) c WHERE c.src IN (SELECT qname FROM reached WHERE depth < 2) OR c.dst IN (SELECT qname FROM reached WHERE depth < 2)")
 def neighborhood_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return traverse.neighborhood(td.edges(spark, sf_dir, td.CORE), "Customer:7", 2).edges
+    return traverse.neighborhood(_graph(spark, sf_dir), "Customer:7", 2).edges
 
 
 @query(f"SELECT rel_type, src, dst FROM ({CORE_EDGES_SQL}) WHERE split_part(src, ':', 1) IN ('Region', 'Nation') AND split_part(dst, ':', 1) IN ('Region', 'Nation')")
 def overview_induced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return traverse.overview(td.nodes(spark, sf_dir), td.edges(spark, sf_dir, td.CORE), ["Region", "Nation"])[1].select("rel_type", "src", "dst")
+    return traverse.overview(td.nodes(spark, sf_dir), _graph(spark, sf_dir), ["Region", "Nation"])[1].select("rel_type", "src", "dst")
 
 
 @query(f"SELECT DISTINCT rel_type, src, dst FROM ({CORE_EDGES_SQL}) WHERE rel_type IN ('PART_OF', 'LOCATED_IN') AND (src LIKE 'Nation:%' OR dst LIKE 'Nation:%')")
 def schema_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return traverse.schema_view(td.nodes(spark, sf_dir), td.edges(spark, sf_dir, td.CORE), ["Nation"], ["PART_OF", "LOCATED_IN"])
+    return traverse.schema_view(td.nodes(spark, sf_dir), _graph(spark, sf_dir), ["Nation"], ["PART_OF", "LOCATED_IN"])
 
 
 @query(f"SELECT DISTINCT rel_type, src FROM ({td.edges_sql(['CONTAINS', 'SUPPLIES'])}) WHERE dst = 'Part:1'")
