@@ -23,7 +23,7 @@ BUCKET = 4096
 #: With a similarity: fingerprints of WIDE bits are compared within WIDE_RADIUS, in buckets of about SIMILAR_BUCKET by draws of
 #: bits. Pairs of similarity 0.8 differ in about 0.15 of the bits, some in more; of those that differ in APART at most MISSED share no bucket.
 WIDE, WIDE_RADIUS, SIMILAR_BUCKET, APART, MISSED = 128, 32, 200, 0.2, 0.005
-#: Fingerprints this near hang together; of each such group a fingerprint's nearest few are judged.
+#: Fingerprints this near hang together; of every two such groups a few of the nearest pairs are judged.
 TIGHT, EACH = 16, 3
 
 
@@ -105,11 +105,14 @@ class Planes:
 def links_within(f: np.ndarray, radius: int, tight: int | None = None) -> np.ndarray:
     """Pairs of places in f within radius, as few as link what all such pairs would.
 
-    With tight, pairs to be judged by similarity: for each fingerprint, of every group before it that hangs together
-    within that smaller radius, the EACH nearest members. So a dense group counts once to each, not by its size.
+    With tight, pairs to be judged by similarity: what hangs together within that smaller radius is linked by as few pairs,
+    each to the nearest; and of every two such groups (of one or more) within the radius, the EACH nearest pairs. So
+    a dense group's pairs grow with its size, not with its square.
     """
     n, planes = len(f), Planes(f)
+    near = radius if tight is None else tight
     label, out = np.arange(n), []
+    far: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     words = planes.planes.shape[1]
     for a in range(0, n, QUERIES):
         queries = np.arange(a, min(a + QUERIES, n))
@@ -123,20 +126,28 @@ def links_within(f: np.ndarray, radius: int, tight: int | None = None) -> np.nda
                 found.setdefault(a + k, []).append(base + np.flatnonzero(hits[k]))
         for q in sorted(found):
             at = np.concatenate(found[q])
-            join = at
+            apart = np.bitwise_count(f[at] ^ f[q]).sum(axis=1)
+            order = np.lexsort((apart, label[at]))  # groups, each from the nearest on
+            at, apart, own = at[order], apart[order], label[at[order]]
+            start = np.concatenate([[True], own[1:] != own[:-1]])
             if tight is not None:
-                apart = np.bitwise_count(f[at] ^ f[q]).sum(axis=1)
-                order = np.lexsort((apart, label[at]))
-                own = label[at][order]
-                first = np.maximum.accumulate(np.where(np.concatenate([[True], own[1:] != own[:-1]]), np.arange(len(own)), 0))
-                out += [(q, int(x)) for x in at[order[np.arange(len(own)) - first < EACH]]]
-                join = at[apart <= tight]
-            groups, first = np.unique(label[join], return_index=True)
-            new = groups != label[q]
+                place = np.arange(len(own)) - np.maximum.accumulate(np.where(start, np.arange(len(own)), 0))
+                some = (place < EACH) & ~np.isin(own, own[start & (apart <= near)])
+                far.append((np.full(some.sum(), q), at[some], apart[some]))
+            join = start & (apart <= near)
+            new = join & (own != label[q])
             if new.any():
-                if tight is None:
-                    out += [(q, int(x)) for x in join[first[new]]]
-                label[np.isin(label, groups)] = label[q]
+                out += [(q, int(x)) for x in at[new]]
+                label[np.isin(label, own[new])] = label[q]
+    if far:
+        one, two, apart = (np.concatenate(x) for x in zip(*far))
+        x, y = np.minimum(label[one], label[two]), np.maximum(label[one], label[two])
+        order = np.lexsort((two, one, apart, y, x))
+        order = order[x[order] != y[order]]
+        x, y = x[order], y[order]
+        start = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]) if len(x) else np.zeros(0, bool)
+        place = np.arange(len(x)) - np.maximum.accumulate(np.where(start, np.arange(len(x)), 0)) if len(x) else np.zeros(0, np.int64)
+        out += [(int(one[k]), int(two[k])) for k in order[place < EACH]]
     return np.array(sorted(set(out)), np.int64).reshape(-1, 2)
 
 
