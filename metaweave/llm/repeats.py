@@ -45,6 +45,31 @@ class Hashes:
             return mix((self.sums[length:] - self.sums[:n]) * self.down[:n], seed)
 
 
+#: Added to a count: the record is settled, and goes to any part.
+SETTLED = 128
+
+
+def settled(g: np.ndarray, u: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether a smaller document of the same block has the same symbols: such a record is decided before it moves.
+
+    So of what a block of documents repeats one record goes where its hash says, however many have it.
+    """
+    out = np.zeros(len(g), bool)
+    if len(g):
+        order = np.lexsort((u, g))
+        new = np.concatenate([[True], (g[order][1:] != g[order][:-1]) | (u[order][1:] != u[order][:-1])])
+        edge = np.flatnonzero(new)
+        least = np.repeat(np.minimum.reduceat(doc[order], edge), np.diff(np.append(edge, len(order))))
+        out[order] = doc[order] > least
+    return out
+
+
+def dealt(part: np.ndarray, done: np.ndarray, place: np.ndarray, parts: int) -> np.ndarray:
+    """part, but for records that are done: these are spread by their place."""
+    with np.errstate(over="ignore"):
+        return np.where(done, parts_of(mix(place.astype(np.uint64), 13), parts), part)
+
+
 def resolve(g: np.ndarray, u: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """The state of each cell, from the hash of its anchor's symbols, that of its whole symbols, and its document's place in the order."""
     state = np.zeros(len(g), np.uint8)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import Table, blocks, real_id, release
 from .fingerprint import mix
-from .repeats import ALL, OPEN, SOURCE, Hashes, exchange, ids_differ, keyed, mark_arrays, packed, parts_of, resolve, spans, unpacked, with_marks
+from .repeats import ALL, OPEN, SETTLED, SOURCE, Hashes, dealt, exchange, ids_differ, keyed, mark_arrays, packed, parts_of, resolve, settled, spans, unpacked, with_marks
 
 #: Words of a window. A window holds a whole reference block, wherever blocks of half as many words begin.
 WINDOW = 50
@@ -51,6 +51,26 @@ def word_blocks(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple
         yield b, Block([w if len(w) >= least else [] for w in words])
 
 
+#: Added to a place: the record is settled. Texts of half as many words and more aren't foreseen.
+DONE = 1 << 31
+
+
+def probed(h: np.ndarray, doc: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What the documents of one batch decide among themselves: which records are hits (rolling windows with a block of a smaller document, and blocks that
+    a larger one probes), and which must go to the index still: for each hash the smallest document's block, the largest document's windows, and what isn't decided."""
+    order = np.argsort(h, kind="stable")
+    s, d, is_block = h[order], doc[order], block[order]
+    edge = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+    size = np.diff(np.append(edge, len(s)))
+    least = np.repeat(np.minimum.reduceat(np.where(is_block, d, np.iinfo(np.int64).max), edge), size)
+    last = np.repeat(np.maximum.reduceat(d, edge), size)
+    hit = (least < d) | (is_block & (d < last))
+    needed = (d == last) | (is_block & (d == least))
+    hits, need = np.zeros(len(h), bool), np.zeros(len(h), bool)
+    hits[order], need[order] = hit, needed
+    return hits, need
+
+
 def removed_windows(docs: DataFrame, window: int) -> DataFrame:
     """docs: i, h, t. Rows i, h, s, n: n windows from word s on of the row's text also start in a document with a smaller i.
 
@@ -68,25 +88,31 @@ def removed_windows(docs: DataFrame, window: int) -> DataFrame:
                 continue
             h = own.hashes(start, start + size, 6)
             place = (start - own.bounds[whose]).astype("<u4")
-            # within a part, the low 31 bits tell blocks apart well enough: what is hit is compared in full later
-            tag = ((h & np.uint64(0x7FFFFFFF)).astype(np.uint32) << np.uint32(1)) | (place % size == 0)
-            yield list(packed(b.column("i").to_numpy(), b.column("h").to_numpy(), whose, parts_of(h, parts), [tag, place], ["u4", "u4"], parts))
+            ids = b.column("i").to_numpy()
+            block = place % size == 0
+            hits, needed = probed(h, ids[whose], block)
+            # within a part, the low 30 bits tell blocks apart well enough: what is hit is compared in full later
+            tag = (h & np.uint64(0x3FFFFFFF)).astype(np.uint32) << np.uint32(2) | block.astype(np.uint32) << np.uint32(1) | hits.astype(np.uint32)
+            done = hits & ~needed
+            yield list(packed(ids, b.column("h").to_numpy(), whose, dealt(parts_of(h, parts), done, place, parts), [tag, np.where(done, place | np.uint32(DONE), place)], ["u4", "u4"], parts))
 
     def hit(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         ids, keys, (tag, place) = unpacked(blobs, ["u4", "u4"])
-        h = tag >> np.uint32(1)
-        index = np.flatnonzero(tag & np.uint32(1))
+        done, place = place >= DONE, place & np.uint32(DONE - 1)
+        known, h = (tag & np.uint32(1)).astype(bool), tag >> np.uint32(2)
+        index = np.flatnonzero((tag & np.uint32(2)).astype(bool) & ~done)
         order = index[np.argsort(h[index], kind="stable")]
         s = h[order]
         edge = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
-        if not len(edge):
-            return
-        kinds, least = s[edge], np.minimum.reduceat(ids[order], edge)
-        at = np.minimum(np.searchsorted(kinds, h), len(kinds) - 1)
-        found = (kinds[at] == h) & (least[at] < ids)
-        last = np.full(len(kinds), np.iinfo(np.int64).min)
-        np.maximum.at(last, at[found], ids[found])
-        found[index] |= ids[index] < last[at[index]]
+        found = known
+        if len(edge):
+            kinds, least = s[edge], np.minimum.reduceat(ids[order], edge)
+            at = np.minimum(np.searchsorted(kinds, h), len(kinds) - 1)
+            probes = (kinds[at] == h) & (least[at] < ids) & ~done
+            last = np.full(len(kinds), np.iinfo(np.int64).min)
+            np.maximum.at(last, at[probes], ids[probes])
+            found = found | probes
+            found[index] |= ids[index] < last[at[index]]
         f = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(ids[f]), pa.array(keys[f]), pa.array(place[f].astype(np.int64))], ["i", "h", "s"])
 
@@ -108,11 +134,17 @@ def removed_windows(docs: DataFrame, window: int) -> DataFrame:
             g = own.hashes(base + s, base + s + size, 7)
             with np.errstate(over="ignore"):
                 u = own.hashes(base + first, base + last + window, 8) ^ mix((s - first).astype(np.uint64) * np.uint64(256) + (last - first).astype(np.uint64), 9)
-            yield list(packed(b.column("i").to_numpy(), b.column("h").to_numpy(), whose, parts_of(g, parts), [g, u, first, last - first + 1], kinds, parts))
+            ids = b.column("i").to_numpy()
+            done = settled(g, u, ids[whose])
+            part = dealt(parts_of(g, parts), done, first, parts)
+            yield list(packed(ids, b.column("h").to_numpy(), whose, part, [g, u, first, last - first + 1 + SETTLED * done], kinds, parts))
 
     def judge(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         ids, keys, (g, u, start, count) = unpacked(blobs, kinds)
-        state = resolve(g, u, ids)
+        done = count >= SETTLED
+        state, rest = np.full(len(g), ALL, np.uint8), np.flatnonzero(~done)
+        state[rest] = resolve(g[rest], u[rest], ids[rest])
+        count = count % SETTLED
         at = np.flatnonzero(state)
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[at], keys[at], start[at].astype(np.int64), count[at].astype(np.int32), state[at].astype(np.int32))], ["i", "h", "s", "n", "state"])
 
@@ -131,14 +163,16 @@ def removed_windows(docs: DataFrame, window: int) -> DataFrame:
             whose, s = np.concatenate(rows), np.concatenate(starts)
             at = own.bounds[whose] + s
             g, u = own.hashes(at, at + window, 10), own.hashes(at, at + size, 11) ^ own.hashes(at + size, at + window, 12)
-            yield list(packed(b.column("i").to_numpy(), b.column("h").to_numpy(), whose, parts_of(g, parts), [g, u, s], ["hash8", "hash8", "u4"], parts))
+            ids = b.column("i").to_numpy()
+            done = settled(g, u, ids[whose])
+            yield list(packed(ids, b.column("h").to_numpy(), whose, dealt(parts_of(g, parts), done, s, parts), [g, u, s, done], ["hash8", "hash8", "u4", "u1"], parts))
 
     def compare(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        ids, keys, (g, u, start) = unpacked(blobs, ["hash8", "hash8", "u4"])
+        ids, keys, (g, u, start, done) = unpacked(blobs, ["hash8", "hash8", "u4", "u1"])
         order = np.lexsort((u, g))
         edge = np.flatnonzero(np.concatenate([[True], (g[order][1:] != g[order][:-1]) | (u[order][1:] != u[order][:-1])]))
         least = np.repeat(np.minimum.reduceat(ids[order], edge), np.diff(np.append(edge, len(order))))
-        f = order[ids[order] > least]
+        f = order[(ids[order] > least) | done[order].astype(bool)]
         yield pa.RecordBatch.from_arrays([pa.array(ids[f]), pa.array(keys[f]), pa.array(start[f].astype(np.int64)), pa.array(np.ones(len(f), np.int32))], ["i", "h", "s", "n"])
 
     opened = with_marks(docs, marks.read().filter(F.col("state").isin(OPEN, SOURCE)), ["s", "n"], "inner")

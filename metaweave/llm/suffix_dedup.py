@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Table, blocks, real_id, release
-from .repeats import ALL, OPEN, SOURCE, Hashes, exchange, ids_differ, keyed, mark_arrays, packed, parts_of, resolve, spans, unpacked, with_marks
+from .repeats import ALL, OPEN, SETTLED, SOURCE, Hashes, dealt, exchange, ids_differ, keyed, mark_arrays, packed, parts_of, resolve, settled, spans, unpacked, with_marks
 
 #: Bytes of a window, and of the anchor in it.
 WINDOW, ANCHOR = 50, 20
@@ -145,12 +145,18 @@ def removed_windows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
                 if size >= PIECE or k == len(cut) - 1:
                     which, start, count, g, u = cells([c[2] for c in group], window, anchor)
                     rows, offsets = (np.array([c[x] for c in group], np.int64) for x in (0, 1))
-                    yield list(packed(ids, hashes, rows[which], parts_of(g, parts), [g, u, start + offsets[which], count], kinds, parts))
+                    own, start = rows[which], start + offsets[which]
+                    done = settled(g, u, ids[own])
+                    part = dealt(parts_of(g, parts), done, start, parts)
+                    yield list(packed(ids, hashes, own, part, [g, u, start, count + SETTLED * done], kinds, parts))
                     group, size = [], 0
 
     def use(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         ids, hashes, (g, u, start, count) = unpacked(blobs, kinds)
-        state = resolve(g, u, ids)
+        done = count >= SETTLED
+        state, rest = np.full(len(g), ALL, np.uint8), np.flatnonzero(~done)
+        state[rest] = resolve(g[rest], u[rest], ids[rest])
+        count = count % SETTLED
         at = np.flatnonzero(state)
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[at], hashes[at], start[at].astype(np.int64), count[at].astype(np.int32), state[at].astype(np.int32))], ["i", "h", "s", "n", "state"])
 
