@@ -25,6 +25,8 @@ BUCKET = 4096
 WIDE, WIDE_RADIUS, SIMILAR_BUCKET, APART, MISSED = 128, 32, 200, 0.2, 0.005
 #: Fingerprints this near hang together; of every two such groups a few of the nearest pairs are judged.
 TIGHT, EACH = 16, 3
+#: What was proposed but stays in several parts is judged block by block: texts of a block, and shingles in it, about.
+JUDGED, SHINGLES = 256, 1_000_000
 
 
 def shingles(text: str, words: int) -> list[bytes]:
@@ -223,17 +225,20 @@ def links(kinds: DataFrame, columns: list[str], radius: int, similar: bool) -> D
     return keyed.mapInArrow(run, "u long, v long").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (u, v: numbers of kinds in docs' column m) whose sets of shingles are that similar."""
-    asked = pairs.select(F.col("u").alias("m")).union(pairs.select(F.col("v").alias("m"))).distinct()
-    d = docs.join(asked, "m").select("m", F.col(f"`{text_col}`").alias("t"))
+def shingle_sets(docs: DataFrame, words: int, text_col: str) -> DataFrame:
+    """m and s: the hashes of the different shingles, in order, 8 bytes each."""
+    d = docs.select("m", F.col(f"`{text_col}`").alias("t"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "t"):
             own = [np.unique(np.array([xxhash.xxh64_intdigest(g, SEED) for g in shingles(t or "", words)], np.uint64)).tobytes() for t in b.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("m"), pa.array(own, pa.binary())], ["m", "s"])
 
-    made = Table(d.mapInArrow(sets, "m long, s binary")).read()
+    return d.mapInArrow(sets, "m long, s binary")
+
+
+def verified(pairs: DataFrame, made: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v: numbers of kinds) whose sets of shingles (made: m, s) are that similar."""
     both = pairs.join(made.select(F.col("m").alias("u"), F.col("s").alias("su")), "u").join(made.select(F.col("m").alias("v"), F.col("s").alias("sv")), "v")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,12 +254,74 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float, i
     return both.mapInArrow(judge, "u long, v long")
 
 
+def judged_links(f: np.ndarray, sets: list[np.ndarray], label: np.ndarray, side: np.ndarray, radius: int, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of places within radius whose sets are that similar, as few as unite what all such pairs would.
+
+    Places of one label are united already. side: of two blocks the one a place is in, of which only pairs across
+    are looked at; of one block 0 everywhere. Only a judged pair unites.
+    """
+    label, out, cross = label.copy(), [], side.any()
+    sizes = np.array([len(x) for x in sets], np.int64)
+    ends = np.cumsum(sizes)
+    known, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    own = np.zeros(len(known), bool)
+    for q in range(1, len(f)):
+        near = label[:q] != label[q]
+        if cross:
+            near &= side[:q] != side[q]
+        near &= np.minimum(sizes[:q], sizes[q]) >= similarity * np.maximum(sizes[:q], sizes[q])
+        at = np.flatnonzero(near)
+        at = at[np.bitwise_count(f[at] ^ f[q]).sum(axis=1) <= radius]
+        if not len(at):
+            continue
+        mine = codes[ends[q] - sizes[q] : ends[q]]
+        own[mine] = True
+        shared = np.array([np.count_nonzero(own[codes[ends[k] - sizes[k] : ends[k]]]) for k in at.tolist()], np.int64)
+        own[mine] = False
+        at = at[shared >= similarity * (sizes[at] + sizes[q] - shared)]
+        parts, first = np.unique(label[at], return_index=True)
+        out += [(q, int(k)) for k in at[first]]
+        label[np.isin(label, parts)] = label[q]
+    return out
+
+
+def unjudged(pairs: DataFrame, parts: DataFrame, kinds: DataFrame, made: DataFrame, columns: list[str], similarity: float) -> DataFrame:
+    """Links u, v that judging the proposed pairs has not found: a group that hangs together by proposals, but not by
+    judged links (parts: u, v as components() gives them), has its pairs judged, all those within the radius that are still apart.
+
+    A group is cut into blocks by hash, and each two blocks meet in a task with their sets of shingles; what leaves
+    it is at most a link for each text. Groups all of whose pairs were proposed are done.
+    """
+    group = Table(components(pairs)).read()
+    member = group.union(group.select("v", "v").distinct()).toDF("m", "p")
+    asked = pairs.select(F.greatest("u", "v").alias("m")).join(member, "m").groupBy("p").agg(F.count("*").alias("asked"))
+    member = member.join(parts.select(F.col("u").alias("m"), F.col("v").alias("r")), "m", "left").withColumn("r", F.coalesce("r", "m"))
+    split = member.groupBy("p").agg(F.count("*").alias("n"), F.min("r").alias("least"), F.max("r").alias("most")).join(asked, "p")
+    split = split.filter((F.col("least") < F.col("most")) & (F.col("asked") < F.col("n") * (F.col("n") - 1) / 2)).select("p", "n")
+    member = Table(member.join(split, "p").join(kinds.select("m", *columns), "m")).read()
+    size = member.join(made, "m").groupBy("p").agg(F.greatest(F.ceil(F.first("n") / JUDGED), F.ceil(F.sum(F.length("s")) / (8 * SHINGLES))).alias("blocks"))
+    d = member.join(size, "p").withColumn("b", F.pmod(F.xxhash64("m"), F.col("blocks"))).join(made, "m")
+    d = d.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    d = d.select("p", F.least("b", "c").alias("x"), F.greatest("b", "c").alias("y"), "b", "m", "r", *columns, "s")
+
+    def judge(t: pa.Table) -> pa.Table:
+        m, b = t.column("m").to_numpy(), t.column("b").to_numpy()
+        f = np.stack([t.column(c).to_numpy() for c in columns], axis=1).view(np.uint64)
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("s")]
+        label = np.unique(t.column("r").to_numpy(), return_inverse=True)[1]
+        side = (b != t.column("x")[0].as_py()).astype(np.int8)
+        found = np.array(judged_links(f, sets, label, side, WIDE_RADIUS, similarity), np.int64).reshape(-1, 2)
+        return pa.table({"u": m[found[:, 0]], "v": m[found[:, 1]]})
+
+    return d.groupBy("p", "x", "y").applyInArrow(judge, "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float | None = 0.8, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """i (the id; the largest number for null), h (hash of the text), f0 (, f1) (fingerprint), component (the smallest i linked with the row's).
 
     With similarity None, 64-bit fingerprints link within radius, and no such link is lost. With a similarity,
     128-bit fingerprints within WIDE_RADIUS propose pairs, of which those link whose sets of shingles are that
-    similar. Rows of one fingerprint are one node (with a similarity: rows of one text), counted before any
+    similar; where some of what hangs together by proposals doesn't link, its other pairs within WIDE_RADIUS are judged, too. Rows of one fingerprint are one node (with a similarity: rows of one text), counted before any
     shuffle; so copies are never paired. A bucket's fingerprints are compared in blocks, and only as many pairs
     leave it as link its members. Null and empty texts have fingerprint 0 and link like any other. Ids may repeat
     or be null; rows that repeat give a row each. Other columns aren't read. An empty table gives no rows.
@@ -270,7 +337,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float | None =
         # one row of each text stands for it
         i, h = key_columns(id_col, text_col)
         some = docs.withColumns({"__i": i, "__h": h}).join(kinds.select(F.col("i").alias("__i"), F.col("h").alias("__h"), "m"), ["__i", "__h"]).select("m", F.col(f"`{text_col}`")).dropDuplicates(["m"])
-        pairs = Table(verified(pairs, some, words, similarity, id_col, text_col)).read()
+        asked = pairs.select(F.col("u").alias("m")).union(pairs.select(F.col("v").alias("m"))).distinct()
+        made = Table(shingle_sets(some.join(asked, "m"), words, text_col)).read()
+        judged = components(Table(verified(pairs, made, similarity)).read())
+        more = Table(unjudged(pairs, judged, kinds, made, columns, similarity)).read()
+        pairs = judged.union(more)
     linked = components(pairs)
     kinds = kinds.join(linked.select(F.col("u").alias("m"), F.col("v").alias("r")), "m", "left").withColumn("r", F.coalesce("r", "m"))
     least = kinds.groupBy("r").agg(F.min("i").alias("component"))

@@ -231,6 +231,47 @@ def test_near_duplicates_by_similarity(spark):
     assert simhash.kept_rows(frame(spark, [])).count() == 0
 
 
+def test_only_judged_pairs_unite(spark):
+    """Texts of one template hang together by fingerprints, and few pairs of them are alike enough: each such pair links."""
+    r = random.Random(2)
+    base = [r.choice(WORDS) + str(k) for k in range(80)]
+    texts = []
+    for k in range(200):
+        words = base[:]
+        for at in r.sample(range(20), 3):
+            words[at] = f"own{k}" if r.random() < 0.5 else f"v{r.randint(0, 3)}"
+        texts.append(" ".join(words))
+    sets = [set(simhash.shingles(x, 5)) for x in texts]
+    f = np.array([simhash.fingerprint(simhash.shingles(x, 5), 128) for x in texts], np.uint64)
+    forest = components.Forest(len(texts))
+    for k in range(len(texts)):
+        for j in range(k):
+            if np.bitwise_count(f[j] ^ f[k]).sum() <= simhash.WIDE_RADIUS and len(sets[j] & sets[k]) >= 0.8 * len(sets[j] | sets[k]):
+                forest.join(j, k)
+    kept = simhash.kept_rows(frame(spark, list(enumerate(texts))))
+    assert sorted(x.doc_id for x in kept.collect()) == [k for k in range(len(texts)) if forest.find(k) == k]
+
+
+def test_judged_links():
+    """Across and inside blocks, as few links as unite what all alike pairs within the radius would."""
+    r = np.random.default_rng(5)
+    pool = np.sort(r.integers(0, 2**63, 60, dtype=np.uint64))
+    sets = [np.sort(r.choice(pool, n, replace=False)) for n in r.integers(0, 60, 90)]
+    f = r.integers(0, 4, (90, 2), dtype=np.uint64)
+    label = np.where(np.arange(90) % 7 == 0, 0, np.arange(90))
+    for side in (np.zeros(90, np.int8), (np.arange(90) % 2).astype(np.int8)):
+        one, two = components.Forest(90), components.Forest(90)
+        for k in range(90):
+            one.join(k, int(label[k])), two.join(k, int(label[k]))
+            for j in range(k):
+                x, y = set(sets[j].tolist()), set(sets[k].tolist())
+                if (not side.any() or side[j] != side[k]) and np.bitwise_count(f[j] ^ f[k]).sum() <= 2 and len(x & y) >= 0.6 * len(x | y):
+                    one.join(j, k)
+        got = simhash.judged_links(f, sets, label, side, 2, 0.6)
+        assert got and all(two.join(a, b) for a, b in got)
+        assert [one.find(k) for k in range(90)] == [two.find(k) for k in range(90)]
+
+
 def test_components(spark):
     r = random.Random(3)
     links = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(220)] + [(1000 + k, 1001 + k) for k in range(60)] + [(2000, k) for k in range(2001, 2100)] + [(7, 7)]
