@@ -49,15 +49,16 @@ def fingerprint(grams: list[bytes], width: int = 64) -> list[int]:
     return [int(x) for x in np.packbits(2 * ones > len(grams)).view(">u8")]
 
 
-def fingerprints(docs: DataFrame, words: int, width: int, id_col: str, text_col: str) -> DataFrame:
-    """i, h (the key of the row) and f0, f1, ...: 64 bits each, as signed numbers."""
+def fingerprints(docs: DataFrame, words: int, width: int, id_col: str, text_col: str, distinct: bool = False) -> DataFrame:
+    """i, h (the key of the row) and f0, f1, ...: 64 bits each, as signed numbers. With distinct, a shingle counts once, however often it occurs."""
     i, h = key_columns(id_col, text_col)
     d = docs.select(i.alias("i"), h.alias("h"), F.col(f"`{text_col}`").alias("t"))
     names = [f"f{k}" for k in range(width // 64)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "t"):
-            f = np.array([fingerprint(shingles(t or "", words), width) for t in b.column("t").to_pylist()], np.uint64).view(np.int64)
+            grams = (shingles(t or "", words) for t in b.column("t").to_pylist())
+            f = np.array([fingerprint(list(set(g)) if distinct else g, width) for g in grams], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("i"), b.column("h"), *[pa.array(x) for x in f.T]], ["i", "h", *names])
 
     return d.mapInArrow(run, "i long, h long, " + ", ".join(f"{n} long" for n in names))
@@ -320,7 +321,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float | None =
     """i (the id; the largest number for null), h (hash of the text), f0 (, f1) (fingerprint), component (the smallest i linked with the row's).
 
     With similarity None, 64-bit fingerprints link within radius, and no such link is lost. With a similarity,
-    128-bit fingerprints within WIDE_RADIUS propose pairs, of which those link whose sets of shingles are that
+    128-bit fingerprints of the different shingles within WIDE_RADIUS propose pairs, of which those link whose sets of shingles are that
     similar; where some of what hangs together by proposals doesn't link, its other pairs within WIDE_RADIUS are judged, too. Rows of one fingerprint are one node (with a similarity: rows of one text), counted before any
     shuffle; so copies are never paired. A bucket's fingerprints are compared in blocks, and only as many pairs
     leave it as link its members. Null and empty texts have fingerprint 0 and link like any other. Ids may repeat
@@ -329,7 +330,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float | None =
     spark = docs.sparkSession
     width = 64 if similarity is None else WIDE
     columns = [f"f{k}" for k in range(width // 64)]
-    rows = Table(fingerprints(docs, words, width, id_col, text_col)).read()
+    rows = Table(fingerprints(docs, words, width, id_col, text_col, similarity is not None)).read()
     by = columns if similarity is None else [*columns, "h"]
     kinds = Table(rows.groupBy(*by).agg(F.min("i").alias("i")).withColumn("m", F.monotonically_increasing_id())).read()
     pairs = Table(links(kinds, columns, WIDE_RADIUS if similarity is not None else radius, similarity is not None)).read()

@@ -231,6 +231,16 @@ def test_near_duplicates_by_similarity(spark):
     assert simhash.kept_rows(frame(spark, [])).count() == 0
 
 
+def test_repeats_dont_hide_near_duplicates(spark):
+    """A passage of 100 words that occurs 20 times in one text and once in the other leaves the sets of shingles alike."""
+    r = random.Random(6)
+    rows = []
+    for k in range(4):
+        words = [r.choice(WORDS) + str(r.randint(0, 9999)) for _ in range(1000)]
+        rows += [(k, " ".join(words)), (100 + k, " ".join(words[:500] + 20 * words[400:500] + words[500:]))]
+    assert sorted(x.doc_id for x in simhash.kept_rows(frame(spark, rows)).collect()) == list(range(4))
+
+
 def test_only_judged_pairs_unite(spark):
     """Texts of one template hang together by fingerprints, and few pairs of them are alike enough: each such pair links."""
     r = random.Random(2)
