@@ -19,7 +19,7 @@ CELLS, HASHES = 24, 3
 CHARS = 1_000_000
 #: Ranges of ids for each shuffle partition.
 RANGES = 4
-#: A paragraph is a line; long ones are cut further after words whose last bytes hash to 0 modulo this.
+#: A paragraph is a line; long ones are cut further after words whose last bytes (of the text's own) hash to 0 modulo this.
 CUT = 8
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -53,7 +53,8 @@ def paragraphs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     bounds = np.concatenate([[0], np.cumsum(lengths)])
     space = np.flatnonzero((b == 32) | ((b >= 9) & (b <= 13)))
-    tail = sum(b[np.maximum(space - k, 0)].astype(np.uint64) << np.uint64(8 * k) for k in (1, 2, 3))
+    first = np.repeat(bounds[:-1], np.diff(np.searchsorted(space, bounds)))  # where a space's text starts; bytes before that count as 0
+    tail = sum(np.where(space - k >= first, b[np.maximum(space - k, 0)], 0).astype(np.uint64) << np.uint64(8 * k) for k in (1, 2, 3))
     cut = space[(b[space] == 10) | (mix(tail) % np.uint64(CUT) == 0)]
     edges = np.unique(np.concatenate([bounds, cut + 1]))
     start, end = edges[:-1], edges[1:]

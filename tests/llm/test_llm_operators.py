@@ -491,6 +491,17 @@ def test_fingerprints(spark):
     assert fingerprint.compare(frame(spark, corpus(11))).count() == len(corpus(11))
 
 
+@pytest.mark.parametrize("start", ["It ", "De ", "a ", " ", "  ", "\n", ""])
+def test_paragraphs_of_equal_texts_are_equal(start):
+    """Whatever text stands before one, even an empty one."""
+    text = f"{start}was the first word of a text\nand a line".encode()
+    alone = fingerprint.paragraphs([text])[0].tolist()
+    r = random.Random(8)
+    for _ in range(60):
+        digest, whose = fingerprint.paragraphs([r.randbytes(r.randint(1, 5)), b"", text, r.randbytes(3)])
+        assert digest[whose == 2].tolist() == alone
+
+
 def test_sketches_recover_differences():
     r = np.random.default_rng(7)
     a = r.integers(0, 2**63, 500, dtype=np.uint64)
