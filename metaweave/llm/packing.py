@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -29,9 +30,12 @@ CHARS = 2_000_000
 
 class WordTokenizer:
     """ids of texts by a tokenizer that lower-cases, and neither keeps white space nor joins across it or across the end of
-    a run of letters; so words can be tokenised once and kept, and their letters apart from the punctuation that follows."""
+    a run of letters; so words can be tokenised once and kept, and their letters apart from the punctuation that follows.
+    Texts that hold a special token, in whatever case, and all texts of other tokenizers are tokenised whole."""
 
     SPACE = re.compile(r"[\t-\r]")
+    #: Fixed value: how a tokenizer of this kind finds words.
+    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     #: ASCII punctuation but the apostrophe, with which the tokenizer splits letters off.
     MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -42,6 +46,13 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        steps = json.loads(self.tokenizer.to_str())
+        special = [t["content"] for t in steps["added_tokens"]]
+        self.special = re.compile("|".join(map(re.escape, special)) or "(?!)", re.IGNORECASE)
+        self.firsts = {c for t in special for c in (t[0].lower(), t[0].upper())}
+        kinds = [n["type"] for n in (steps["normalizer"] or {}).get("normalizers", [])]
+        cuts = [(n["type"], n.get("pattern")) for n in (steps["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        self.by_words = kinds == ["NFC", "Replace", "Lowercase"] and cuts == [("Split", {"Regex": self.SPLIT}), ("ByteLevel", None)] and not any(c.isspace() for t in special for c in t)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -89,8 +100,12 @@ class WordTokenizer:
         words.update(zip(whole, self._encode(whole)))
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        whole = {k: t for k, t in enumerate(texts) if not self.by_words or any(c in t for c in self.firsts) and self.special.search(t)}
         flat, ends = [], [0]
-        for t in texts:
+        for k, t in enumerate(texts):
+            if k in whole:
+                ends.append(len(flat))
+                continue
             try:
                 t.encode("latin-1")
                 t = t.lower()  # all versions agree on these letters, and fewer words differ
@@ -109,7 +124,8 @@ class WordTokenizer:
             ids[k] = self.words[flat[k]]
         for w in long:
             self.words.pop(w, None)
-        return [np.frombuffer(b"".join(ids[a:z]), "<u4") for a, z in zip(ends, ends[1:])]
+        found = dict(zip(whole, self._encode(list(whole.values()))))
+        return [np.frombuffer(found[k] if k in found else b"".join(ids[a:z]), "<u4") for k, (a, z) in enumerate(zip(ends, ends[1:]))]
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
