@@ -7,17 +7,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks
+from .common import blocks, partitions
 
 #: Length of a vector, letters of an n-gram, and the seed that letters' random vectors follow from.
 DIM, N, SEED = 1024, 3, 20240601
 #: Documents of one language that a prototype is bundled from, at most; they are taken by the hash of their id.
 FIT_PER_LANG = 3000
-#: Text that is compared at once: its n-grams are bound together.
-CHARS = 250_000
+#: Text that is compared at once: its n-grams are bound together, at most so many of them.
+CHARS, BOUND = 250_000, 16_384
+#: Letters whose vectors a process keeps.
+LETTERS = 30_000
 #: What a document without any letter is.
 NONE = "und"
 
@@ -29,6 +31,8 @@ def letter_vector(code: int) -> np.ndarray:
     """The random vector of +1 and -1 of a code point: the same in all processes."""
     v = _letters.get(code)
     if v is None:
+        if len(_letters) >= LETTERS:
+            _letters.clear()
         v = _letters[code] = np.random.default_rng([SEED, code]).integers(0, 2, DIM, dtype=np.int8) * 2 - 1
         v.setflags(write=False)
     return v
@@ -58,8 +62,7 @@ def document_vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     codes, whose = codes[ok], whose[:size][ok]
     kinds, codes = np.unique(codes, return_inverse=True)
     letters = np.stack([letter_vector(int(c)) for c in alphabet])
-    turned = [np.roll(letters, N - 1 - k, axis=1) for k in range(N)]
-    width = max(1, min(len(kinds), 16_000_000 // max(1, len(some))))
+    width = max(1, min(len(kinds), BOUND, 16_000_000 // max(1, len(some))))
     counts = np.bincount(whose, minlength=len(some))
     order = np.argsort(codes, kind="stable") if len(kinds) > width else None
     for a in range(0, len(kinds), width):
@@ -71,7 +74,7 @@ def document_vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         table = np.bincount(w * (b - a) + (c - a), minlength=len(some) * (b - a)).reshape(len(some), b - a).astype(np.float32)
         bound, left = None, kinds[a:b]
         for k in reversed(range(N)):
-            v = turned[k][left % len(alphabet)]
+            v = np.roll(letters[left % len(alphabet)], N - 1 - k, axis=1)
             bound = v if bound is None else np.multiply(bound, v, out=bound)
             left = left // len(alphabet)
         out[some] += table @ bound.astype(np.float32)
@@ -84,14 +87,18 @@ def held_out(id_col: str) -> Column:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = FIT_PER_LANG) -> tuple[list[str], np.ndarray]:
-    """Languages and their prototypes: the sums of the unit vectors of at most per_lang documents each, of those not held out.
+    """Languages and their prototypes: the sums of the unit vectors of per_lang documents each at most, of those not held out.
 
-    The bound is on documents for each label, so what the driver gathers is a vector for each language.
+    A label's documents are those with the smallest hashes of id and text, equal rows counting once; where there are more than
+    per_lang, about a tenth more than that many are looked at by a threshold first. What the driver gathers is a vector for each language.
     """
     own = docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t"), F.col(f"`{lang_col}`").cast("string").alias("l"), held_out(id_col).alias("held"))
     own = own.filter("t is not null and l is not null and i is not null and not held")
-    share = own.groupBy("l").agg((F.lit(1.0 * per_lang) / F.count("*")).alias("share"))  # a row for each language
-    taken = own.join(F.broadcast(share), "l").filter(F.pmod(F.xxhash64("i"), F.lit(1_000_000)) < F.greatest(F.lit(20), F.ceil(F.col("share") * 1_000_000)))
+    own = own.withColumn("x", F.xxhash64("i", "t"))
+    share = own.groupBy("l").agg((F.lit(1.1 * per_lang + 100) / F.count("*")).alias("share"))  # a row for each language
+    taken = own.join(F.broadcast(share), "l").filter((F.col("x") / F.lit(2.0**64) + 0.5) < F.col("share")).groupBy("l", "x").agg(F.first("t").alias("t"))
+    first = F.row_number().over(Window.partitionBy("l").orderBy("x"))
+    taken = taken.withColumn("rank", first).filter(F.col("rank") <= per_lang).repartition(partitions(docs.sparkSession), "x")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
