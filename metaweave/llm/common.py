@@ -80,12 +80,27 @@ def release(spark: SparkSession) -> None:
 
 
 def key_columns(id_col: str, text_col: str) -> tuple[Column, Column]:
-    """The order of documents and, with it, the key of a row: equal for repeated rows only, whatever ids repeat or are null."""
-    return F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    """The order of documents and, with it, the key of a row: equal for repeated rows only, whatever ids repeat or are null.
 
+    A null id is ordered with the largest number; the lowest bit of the second column tells them apart.
+    """
+    null = F.col(id_col).cast("long").isNull().cast("long")
+    text = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), text.bitwiseAND(F.lit(-2)).bitwiseOR(null)
 
-def real_id(column: str) -> Column:
-    return F.when(F.col(column) != NULL_ID, F.col(column))
+
+def null_flag(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(1))
+
+
+def real_id(i: Column, null: Column) -> Column:
+    return F.when((i != NULL_ID) | (null == 0), i)
+
+
+def real_ids(batch: pa.RecordBatch) -> pa.Array:
+    """The ids of a batch with key columns i and h."""
+    null = pc.and_(pc.equal(batch.column("i"), NULL_ID), pc.equal(pc.bit_wise_and(batch.column("h"), 1), 1))
+    return pc.if_else(null, pa.scalar(None, pa.int64()), batch.column("i"))
 
 
 def blocks(batches: Iterator[pa.RecordBatch], text: str, chars: int = BLOCK_CHARS) -> Iterator[pa.RecordBatch]:

@@ -24,6 +24,15 @@ class Forest:
             up[x] = x = up[up[x]]
         return x
 
+    def labels(self) -> np.ndarray:
+        """The root of each number."""
+        up = np.array(self.up)
+        while True:
+            two = up[up]
+            if (two == up).all():
+                return up
+            up = two
+
     def join(self, a: int, b: int) -> bool:
         a, b = self.find(a), self.find(b)
         if a == b:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_columns, partitions, real_id
+from .common import key_columns, partitions, real_ids
 
 #: Cells of a fingerprint, in HASHES equal parts. A comparison that fails takes twice as many, and so on.
 CELLS, HASHES = 24, 3
@@ -219,7 +219,7 @@ def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         pairs: list[tuple[int, int]] = []
         chars, last, ended = 0, None, True
         for b in batches:
-            for i, t, part, tail in zip(b.column("i").to_pylist(), b.column("t").to_pylist(), b.column("part").to_pylist(), b.column("tail").to_pylist()):
+            for i, t, part, tail in zip(real_ids(b).to_pylist(), b.column("t").to_pylist(), b.column("part").to_pylist(), b.column("tail").to_pylist()):
                 if part != last:
                     last, ended = part, True
                 elif ended:  # a further tail row of this range
@@ -238,5 +238,5 @@ def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         if pairs:
             yield out()
 
-    made = d.select("i", "t", "part", "tail").mapInArrow(run, "i long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    return made.select(real_id("i").alias("doc_id"), *made.columns[1:])
+    made = d.select("i", "h", "t", "part", "tail").mapInArrow(run, "i long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return made.select(F.col("i").alias("doc_id"), *made.columns[1:])

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, blocks, real_id, release
+from .common import Table, blocks, real_ids, release
 from .repeats import ids_differ, keyed, mark_arrays, spans, with_marks
 
 #: Lines of a window.
@@ -78,7 +78,7 @@ def remove_repeated_lines(docs: DataFrame, window: int = WINDOW, id_col: str = "
                     text = "\n".join(line for x, y in zip([0, *z], [*a, len(lines)]) for line in lines[x:y])
                 runs.append([{"start": x, "end": y} for x, y in zip(a, z)])
                 kept.append(text)
-            yield pa.RecordBatch.from_arrays([b.column("i"), pa.array(count, pa.int64()), pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.string())], ["i", "n_lines", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([real_ids(b), pa.array(count, pa.int64()), pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.string())], ["i", "n_lines", "spans", "kept"])
 
     out = marked.mapInArrow(finish, "i long, n_lines long, spans array<struct<start: long, end: long>>, kept string")
-    return out.select(real_id("i").alias("doc_id"), "n_lines", "spans", "kept")
+    return out.select(F.col("i").alias("doc_id"), "n_lines", "spans", "kept")

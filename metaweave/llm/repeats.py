@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_columns, partition_keys, partitions
+from .common import key_columns, null_flag, partition_keys, partitions
 from .fingerprint import mix, powers
 
 NONE, ALL, OPEN, SOURCE = 0, 1, 2, 3
@@ -45,8 +45,13 @@ class Hashes:
             return mix((self.sums[length:] - self.sums[:n]) * self.down[:n], seed)
 
 
-#: Added to a count: the record is settled, and goes to any part.
-SETTLED = 128
+#: Added to a count of 15 bits: the record is settled, and goes to any part.
+SETTLED = 1 << 15
+
+
+def check_window(window: int) -> None:
+    if not 1 <= window < SETTLED:
+        raise ValueError(f"a window has from 1 to {SETTLED - 1} symbols")
 
 
 def settled(g: np.ndarray, u: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -106,9 +111,9 @@ def ids_differ(docs: DataFrame, id_col: str) -> bool:
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, differ: bool, columns: list[str] | None = None) -> DataFrame:
-    """i and h, the key and order of a row (h is 0 where ids differ), its text t (null: empty), and a struct `row` of these columns."""
+    """i and h, the key and order of a row (where ids differ h only tells a null id), its text t (null: empty), and a struct `row` of these columns."""
     i, h = key_columns(id_col, text_col)
-    h = F.lit(0).cast("long") if differ else h
+    h = null_flag(h) if differ else h
     return docs.select(i.alias("i"), h.alias("h"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t"), *([F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")] if columns else []))
 
 
@@ -125,7 +130,7 @@ def _from_planes(b: bytes, at: int, n: int, dtype: str, size: int) -> np.ndarray
 
 #: How many of the low bytes of an array go with its records, by the array's type as named here. Within a part, 56 and 48
 #: bits of two hashes tell strings apart as surely as 104 bits do.
-KEPT_BYTES = {"hash7": ("<u8", 7), "hash6": ("<u8", 6), "hash8": ("<u8", 8), "u4": ("<u4", 4), "u1": ("u1", 1)}
+KEPT_BYTES = {"hash7": ("<u8", 7), "hash6": ("<u8", 6), "hash8": ("<u8", 8), "u4": ("<u4", 4), "u2": ("<u2", 2), "u1": ("u1", 1)}
 
 
 def packed(ids: np.ndarray, hashes: np.ndarray, whose: np.ndarray, part: np.ndarray, arrays: list[np.ndarray], kinds: list[str], parts: int) -> Iterator[tuple[int, bytes]]:

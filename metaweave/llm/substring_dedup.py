@@ -11,9 +11,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, blocks, real_id, release
+from .common import Table, blocks, real_ids, release
 from .fingerprint import mix
-from .repeats import ALL, OPEN, SETTLED, SOURCE, Hashes, dealt, exchange, ids_differ, keyed, mark_arrays, packed, parts_of, resolve, settled, spans, unpacked, with_marks
+from .repeats import ALL, OPEN, SETTLED, SOURCE, Hashes, check_window, dealt, exchange, ids_differ, keyed, mark_arrays, packed, parts_of, resolve, settled, spans, unpacked, with_marks
 
 #: Words of a window. A window holds a whole reference block, wherever blocks of half as many words begin.
 WINDOW = 50
@@ -118,7 +118,7 @@ def removed_windows(docs: DataFrame, window: int) -> DataFrame:
 
     hits = Table(exchange(docs, probe, hit, "i long, h long, s long"))
     release(docs.sparkSession)
-    kinds = ["hash7", "hash6", "u4", "u1"]
+    kinds = ["hash7", "hash6", "u4", "u2"]
 
     def extend(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[list]:
         for b, own in word_blocks(batches, window):
@@ -193,10 +193,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     columns: of docs, returned in the struct `row`. With spaced, kept is the text as it is but for the removed words.
 
     A word is removed if a window of `window` words that covers it also starts in a document with a smaller id;
-    windows are judged on the input and never cross documents. Null and empty texts, and those shorter than a
+    windows (of at most 32 767 words) are judged on the input and never cross documents. Null and empty texts, and those shorter than a
     window, stay. A null id comes after all others; rows of one id are one document as to what is smaller, and
     each is judged. Long texts are whole. Other columns aren't read. An empty table gives no rows.
     """
+    check_window(window)
     differ = ids_differ(docs, id_col)
     d = keyed(docs, id_col, text_col, differ)
     found = removed_windows(d, window)
@@ -218,7 +219,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
                 runs.append([{"start": x, "end": y} for x, y in zip(a, z)])
                 kept.append(cut_words(text, a, z) if spaced else b" ".join(words).decode("utf-8", "surrogatepass"))
             extra = [b.column("row")] if row else []
-            yield pa.RecordBatch.from_arrays([b.column("i"), pa.array(count, pa.int64()), pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.string()), *extra], ["i", "n_words", "spans", "kept", *(["row"] if row else [])])
+            yield pa.RecordBatch.from_arrays([real_ids(b), pa.array(count, pa.int64()), pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.string()), *extra], ["i", "n_words", "spans", "kept", *(["row"] if row else [])])
 
     return marked.mapInArrow(finish, "i long, n_words long, spans array<struct<start: long, end: long>>, kept string" + row)
 
@@ -230,4 +231,4 @@ def removed_count(spans_col: str = "spans"):
 def document_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, spans and kept of each document."""
     d = remove_repeats(docs, window, id_col, text_col)
-    return d.select(real_id("i").alias("doc_id"), "n_words", removed_count().alias("n_removed"), "spans", "kept")
+    return d.select(F.col("i").alias("doc_id"), "n_words", removed_count().alias("n_removed"), "spans", "kept")

@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, blocks, real_id, release
-from .repeats import ALL, OPEN, SETTLED, SOURCE, Hashes, dealt, exchange, ids_differ, keyed, mark_arrays, packed, parts_of, resolve, settled, spans, unpacked, with_marks
+from .common import Table, blocks, real_ids, release
+from .repeats import ALL, OPEN, SETTLED, SOURCE, Hashes, check_window, dealt, exchange, ids_differ, keyed, mark_arrays, packed, parts_of, resolve, settled, spans, unpacked, with_marks
 
 #: Bytes of a window, and of the anchor in it.
 WINDOW, ANCHOR = 50, 20
@@ -130,7 +130,7 @@ def cells(parts: list[bytes], window: int, anchor: int) -> tuple[np.ndarray, ...
 
 def removed_windows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     """docs: i, h, t. Rows i, h, s, n: n windows from s on of the row's text also start in a document with a smaller i."""
-    kinds = ["hash7", "hash6", "u4", "u1"]
+    kinds = ["hash7", "hash6", "u4", "u2"]
 
     def make(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[list]:
         for b in blocks(batches, "t"):
@@ -187,7 +187,7 @@ def removed_windows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
             for p in range(parts):
                 at = order[edges[p] : edges[p + 1]]
                 if len(at):
-                    (_, head), = packed(ids, hashes, whose[at], np.zeros(len(at), np.int64), [g[at], start[at], count[at]], ["hash8", "u4", "u1"], 1)
+                    (_, head), = packed(ids, hashes, whose[at], np.zeros(len(at), np.int64), [g[at], start[at], count[at]], ["hash8", "u4", "u2"], 1)
                     own = np.argsort(whose[at], kind="stable")
                     out.append((p, len(head).to_bytes(8, "little") + head + b"".join(strings[k] for k in at[own].tolist())))
             yield out
@@ -198,7 +198,7 @@ def removed_windows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
             n = int.from_bytes(b[:8], "little")
             heads.append(b[8 : 8 + n])
             strings.append(b[8 + n :])
-        ids, hashes, (g, start, count) = unpacked(heads, ["hash8", "u4", "u1"])
+        ids, hashes, (g, start, count) = unpacked(heads, ["hash8", "u4", "u2"])
         text = np.frombuffer(b"".join(strings), np.uint8)
         del strings, heads
         n = count.astype(np.int64)
@@ -250,10 +250,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     """doc_id, n_bytes, spans (start and end of the maximal removed runs, in bytes) and kept (the remaining bytes) of each document.
 
     A byte is removed if a string of `window` bytes that covers it also starts in a document with a smaller id;
-    strings are judged on the input and never cross documents. Null and empty texts, and those shorter than a
+    strings (of at most 32 767 bytes) are judged on the input and never cross documents. Null and empty texts, and those shorter than a
     window, stay. A null id comes after all others; rows of one id are one document as to what is smaller, and
     each is judged. Long texts are worked on in pieces that overlap. Other columns aren't read. An empty table gives no rows.
     """
+    check_window(window)
     d = keyed(docs, id_col, text_col, ids_differ(docs, id_col))
     marked = with_marks(d, removed_windows(d, window, anchor), ["s", "n"], "left")
 
@@ -270,7 +271,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
                 a, z = a.tolist(), z.tolist()
                 runs.append([{"start": x, "end": y} for x, y in zip(a, z)])
                 kept.append(b"".join(text[x:y] for x, y in zip([0, *z], [*a, len(text)])))
-            yield pa.RecordBatch.from_arrays([b.column("i"), pa.array([len(t) for t in texts], pa.int64()), pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], ["i", "n_bytes", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([real_ids(b), pa.array([len(t) for t in texts], pa.int64()), pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], ["i", "n_bytes", "spans", "kept"])
 
     out = marked.mapInArrow(finish, "i long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
-    return out.select(real_id("i").alias("doc_id"), "n_bytes", "spans", "kept")
+    return out.select(F.col("i").alias("doc_id"), "n_bytes", "spans", "kept")

@@ -215,7 +215,7 @@ def test_bucket_keys_lose_nothing(spark):
         pairs.append((k, *(x - 2**64 if x >= 2**63 else x for x in (a, b))))
     d = spark.createDataFrame(pairs, "k int, a long, b long")
     for n in (10, 10**8, 10**11):
-        keys = [simhash.bucket_keys(64, False, n, 4, [c]) for c in "ab"]
+        keys = [simhash.bucket_keys(64, n, 4, [c]) for c in "ab"]
         assert d.filter(~F.arrays_overlap(*keys)).count() == 0
 
 
@@ -241,45 +241,109 @@ def test_repeats_dont_hide_near_duplicates(spark):
     assert sorted(x.doc_id for x in simhash.kept_rows(frame(spark, rows)).collect()) == list(range(4))
 
 
-def test_only_judged_pairs_unite(spark):
-    """Texts of one template hang together by fingerprints, and few pairs of them are alike enough: each such pair links."""
-    r = random.Random(2)
-    base = [r.choice(WORDS) + str(k) for k in range(80)]
-    texts = []
-    for k in range(200):
+def family(seed, n, size, edits):
+    """Texts of one template, each with up to so many words of its own: some pairs are alike enough, most are not."""
+    r = random.Random(seed)
+    base = [r.choice(WORDS) + str(r.randint(0, 10**6)) for _ in range(size)]
+    out = {}
+    for k in range(n):
         words = base[:]
-        for at in r.sample(range(20), 3):
-            words[at] = f"own{k}" if r.random() < 0.5 else f"v{r.randint(0, 3)}"
-        texts.append(" ".join(words))
+        for at in r.sample(range(size), r.randint(0, edits)):
+            words[at] = f"x{r.randint(0, 10**9)}"
+        out[" ".join(words)] = k
+    return list(out)
+
+
+def united(texts, similarity=0.8):
+    """Brute force: the root of each text's group."""
     sets = [set(simhash.shingles(x, 5)) for x in texts]
-    f = np.array([simhash.fingerprint(simhash.shingles(x, 5), 128) for x in texts], np.uint64)
     forest = components.Forest(len(texts))
     for k in range(len(texts)):
         for j in range(k):
-            if np.bitwise_count(f[j] ^ f[k]).sum() <= simhash.WIDE_RADIUS and len(sets[j] & sets[k]) >= 0.8 * len(sets[j] | sets[k]):
+            if len(sets[j] & sets[k]) >= similarity * len(sets[j] | sets[k]):
                 forest.join(j, k)
-    kept = simhash.kept_rows(frame(spark, list(enumerate(texts))))
-    assert sorted(x.doc_id for x in kept.collect()) == [k for k in range(len(texts)) if forest.find(k) == k]
+    return [forest.find(k) for k in range(len(texts))]
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_dense_groups_lose_no_link(spark, exact):
+    texts = [x for seed, shape in enumerate([(375, 60, 3), (466, 200, 12), (451, 100, 6)]) for x in family(seed, *shape)] + ["", " \n", "a b", "a  b"]
+    got = {r.i: r.component for r in simhash.near_duplicates(frame(spark, list(enumerate(texts))), exact=exact).collect()}
+    assert [got[k] for k in range(len(texts))] == united(texts)
+
+
+def test_large_groups_in_blocks(spark, monkeypatch):
+    """A group of many blocks, most of whose texts are outside its largest part, and buckets cut into blocks."""
+    monkeypatch.setattr(simhash, "JUDGED", 60)
+    monkeypatch.setattr(simhash, "SHINGLES", 4000)
+    monkeypatch.setattr(simhash.split_buckets, "__defaults__", (50,))
+    texts = family(7, 500, 100, 8) + family(8, 150, 150, 2)
+    got = {r.i: r.component for r in simhash.near_duplicates(frame(spark, list(enumerate(texts)))).collect()}
+    assert [got[k] for k in range(len(texts))] == united(texts)
+
+
+def test_links_within():
+    """As few pairs as unite all that are near, whatever the order."""
+    r = np.random.default_rng(3)
+    base = r.integers(0, 2**63, (3, 2), dtype=np.uint64)
+    f = np.concatenate([base[k] ^ (np.uint64(1) << r.integers(0, 63, (80, 2), dtype=np.uint64)) ^ (np.uint64(1) << r.integers(0, 63, (80, 2), dtype=np.uint64)) for k in range(3)])
+    r.shuffle(f)
+    for radius in (1, 3, 4, 6, 70):
+        one, two = components.Forest(len(f)), components.Forest(len(f))
+        for k in range(len(f)):
+            for j in range(k):
+                if np.bitwise_count(f[j] ^ f[k]).sum() <= radius:
+                    one.join(j, k)
+        got = simhash.links_within(f, radius)
+        assert all(np.bitwise_count(f[a] ^ f[b]).sum() <= radius and two.join(int(a), int(b)) for a, b in got)
+        assert [one.find(k) for k in range(len(f))] == [two.find(k) for k in range(len(f))]
 
 
 def test_judged_links():
-    """Across and inside blocks, as few links as unite what all alike pairs within the radius would."""
+    """As few links as unite what all alike pairs would; shared members are counted in products and in pairs."""
     r = np.random.default_rng(5)
     pool = np.sort(r.integers(0, 2**63, 60, dtype=np.uint64))
-    sets = [np.sort(r.choice(pool, n, replace=False)) for n in r.integers(0, 60, 90)]
-    f = r.integers(0, 4, (90, 2), dtype=np.uint64)
-    label = np.where(np.arange(90) % 7 == 0, 0, np.arange(90))
-    for side in (np.zeros(90, np.int8), (np.arange(90) % 2).astype(np.int8)):
-        one, two = components.Forest(90), components.Forest(90)
-        for k in range(90):
-            one.join(k, int(label[k])), two.join(k, int(label[k]))
-            for j in range(k):
-                x, y = set(sets[j].tolist()), set(sets[k].tolist())
-                if (not side.any() or side[j] != side[k]) and np.bitwise_count(f[j] ^ f[k]).sum() <= 2 and len(x & y) >= 0.6 * len(x | y):
-                    one.join(j, k)
-        got = simhash.judged_links(f, sets, label, side, 2, 0.6)
-        assert got and all(two.join(a, b) for a, b in got)
-        assert [one.find(k) for k in range(90)] == [two.find(k) for k in range(90)]
+    sets = [np.sort(np.append(r.choice(pool, n, replace=False), r.integers(0, 2**63, 3, dtype=np.uint64))) for n in r.integers(0, 60, 90)] + [np.zeros(0, np.uint64)] * 2
+    sets[5] = sets[4]
+    n = len(sets)
+    true = np.array([[len(set(x.tolist()) & set(y.tolist())) for y in sets] for x in sets])
+    got = simhash.shared_counts(sets)
+    assert (got[~np.eye(n, dtype=bool)] == true[~np.eye(n, dtype=bool)]).all()
+    label = np.where(np.arange(n) % 7 == 0, 0, np.arange(n))
+    one, two = components.Forest(n), components.Forest(n)
+    for k in range(n):
+        one.join(k, int(label[k])), two.join(k, int(label[k]))
+        for j in range(k):
+            if true[j, k] >= 0.6 * (len(sets[j]) + len(sets[k]) - true[j, k]):
+                one.join(j, k)
+    for a, b in simhash.judged_links(sets, label, 0.6):
+        two.join(int(a), int(b))
+    assert [one.find(k) for k in range(n)] == [two.find(k) for k in range(n)]
+
+
+@pytest.mark.parametrize("name", ["op1", "op2", "op3", "op7", "op10"])
+def test_the_largest_id_is_not_null(spark, name):
+    rows = [(2**63 - 1, "a b c\nd e f\ng h i"), (None, "x y\nz"), (3, "one two\nthree\nfour")]
+    run = {"op1": line_dedup.remove_repeated_lines, "op2": lambda d: simhash.document_components(d, 4, 4), "op3": suffix_dedup.remove_repeats, "op7": substring_dedup.document_spans, "op10": fingerprint.compare}[name]
+    assert sorted((r.doc_id for r in run(frame(spark, rows)).collect()), key=str) == sorted([2**63 - 1, None, 3], key=str)
+
+
+@pytest.mark.parametrize("window", [127, 128, 300])
+def test_long_windows(spark, window):
+    r = random.Random(window)
+    passage = [r.choice(WORDS) + str(r.randint(0, 999)) for _ in range(window + 20)]
+    own = lambda k: [f"own{k}x{j}" for j in range(40)]
+    rows = [(k, " ".join(own(k) + passage[k:] + own(k + 10))) for k in range(4)] + [(9, " ".join(passage[: window - 1]))]
+    got = sorted((x.doc_id, x.n_removed) for x in substring_dedup.document_spans(frame(spark, rows), window).collect())
+    assert got == sorted((i, sum(g)) for i, _, g in removed(rows, str.split, window)) and sum(x[1] for x in got)
+    got = sorted((x.doc_id, x.n_bytes - len(x.kept)) for x in suffix_dedup.remove_repeats(frame(spark, rows), window).collect())
+    assert got == sorted((i, sum(g)) for i, _, g in removed(rows, lambda x: x.encode(), window)) and sum(x[1] for x in got)
+
+
+def test_windows_have_a_bound(spark):
+    for run in (substring_dedup.document_spans, suffix_dedup.remove_repeats):
+        with pytest.raises(ValueError, match="32767"):
+            run(frame(spark, []), 40_000)
 
 
 def test_components(spark):
@@ -521,3 +585,35 @@ def test_spans_and_packing_of_records():
     blobs = dict(repeats.packed(ids, keys, whose, part, [a], ["u4"], 2))
     i, h, (x,) = repeats.unpacked([blobs[1], blobs[0]], ["u4"])
     assert list(zip(i.tolist(), h.tolist(), x.tolist())) == [(10, 1, 0), (30, 3, 140000), (30, 3, 210000), (10, 1, 70000), (30, 3, 280000)]
+
+
+def test_special_tokens_are_text_in_any_other_case():
+    t = packing.WordTokenizer(P.path("word_bpe_49k.json"))
+    assert t.by_words
+    texts = ["A<|ENDOFTEXT|>b", "a<|endoftext|>b <|startoftext|> c", "<|End of", "x <|EndOfText|> Ärger", "plain text's here, <b>"]
+    assert [x.tolist() for x in t(texts)] == [t.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_language_vectors_of_many_letters_are_bounded():
+    """Different n-grams by the hundred thousand are bound a few at a time."""
+    import tracemalloc
+
+    r = random.Random(8)
+    text = "".join(chr(r.randint(0x4E00, 0x9FFF)) for _ in range(300_000))
+    tracemalloc.start()
+    v, n = language_id.document_vectors([text, "ab"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n.tolist() == [300_000, 2] and peak < 300_000_000
+    small, _ = language_id.document_vectors([text[:500]])
+    whole = sum(np.roll(language_id.letter_vector(ord(a)), 2) * np.roll(language_id.letter_vector(ord(b)), 1) * language_id.letter_vector(ord(c)) for a, b, c in zip(" " + text[:500], text[:500] + " ", text[1:500] + " "))
+    assert (small[0] == whole).all()
+
+
+def test_language_is_learned_from_a_bounded_number(spark):
+    rows = [(k, f"alpha beta {k % 70} gamma", "en") for k in range(400)] + [(1001, "same row", "de")] * 300 + [(2000, "delta", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, v = language_id.fit(d, per_lang=50)
+    assert langs == ["de", "en"]
+    same = language_id.fit(d.repartition(5), per_lang=50)
+    assert same[0] == langs and np.allclose(same[1], v)

@@ -43,14 +43,9 @@ def test_ids_differ(spark):
     assert not repeats.ids_differ(spark.createDataFrame([(1, "a"), (1, "b")], "i long, t string"), "i")
 
 
-def test_pairs_to_judge():
-    """A dense group counts once to each: pairs grow with its size, not with its square, and every group near is asked."""
+def test_pairs_of_a_dense_group():
+    """Pairs grow with a group's size, not with its square."""
     r = np.random.default_rng(3)
     base = r.integers(0, 2**63, (1, 2), dtype=np.uint64)
-    dense = np.concatenate([base] + [base ^ (np.uint64(1) << r.integers(0, 63, (1, 2), dtype=np.uint64)) for _ in range(300)])
-    other = base ^ np.array([[2**24 - 1, 0]], np.uint64)
-    f = np.unique(np.concatenate([dense, other]), axis=0)
-    pairs = simhash.links_within(f, simhash.WIDE_RADIUS, simhash.TIGHT)
-    assert len(pairs) <= 2 * simhash.EACH * len(f)
-    at = int(np.flatnonzero((f == other).all(axis=1))[0])
-    assert (pairs == at).any()
+    f = np.unique(np.concatenate([base] + [base ^ (np.uint64(1) << r.integers(0, 63, (1, 2), dtype=np.uint64)) for _ in range(300)]), axis=0)
+    assert len(simhash.links_within(f, simhash.WIDE_RADIUS)) == len(f) - 1
