@@ -155,11 +155,20 @@ def cross_org_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.diff_orgs(*td.two_orgs(spark, sf_dir)).select("qname", "side")
 
 
-@query(f"""WITH {td.TWO_ORGS_SQL}, d AS (SELECT coalesce(a.qname, b.qname) AS qname, {ORGS_CASE} AS side FROM a FULL JOIN b USING (qname))
-    SELECT side = 'only_in_b' AS destructive, 'Customer' AS type, string_agg(split_part(qname, ':', 2), ',' ORDER BY split_part(qname, ':', 2)) AS members, count(*) AS n FROM d WHERE side IS NOT NULL GROUP BY 1""")
+#: Labels that the customers of two orgs stand for in a manifest, and the types they have there (the last has none).
+MANIFEST_LABELS = ["ApexClass", "SharingRule", "CustomLabel", "CustomMetadataType", "CustomMetadataRecord", "MatchingRule", "LightningComponentBundle", "ApexMethod"]
+
+
+@query(f"""WITH {td.TWO_ORGS_SQL}, d AS (SELECT CAST(split_part(coalesce(a.qname, b.qname), ':', 2) AS BIGINT) AS k, {ORGS_CASE} AS side FROM a FULL JOIN b USING (qname)),
+    m AS (SELECT side = 'only_in_b' AS destructive, CASE k % 8 WHEN 0 THEN 'ApexClass' WHEN 1 THEN 'SharingRules' WHEN 2 THEN 'CustomLabels' WHEN 3 THEN 'CustomObject' WHEN 4 THEN 'CustomMetadata' WHEN 5 THEN 'MatchingRules' WHEN 6 THEN 'LightningComponentBundle' END AS type,
+        CASE WHEN k % 8 = 1 THEN 'Obj' || (k % 5) ELSE 'Obj' || (k % 5) || '.R' || k END AS member FROM d WHERE side IS NOT NULL)
+    SELECT destructive, type, string_agg(DISTINCT member, ',' ORDER BY member) AS members, count(*) AS n FROM m WHERE type IS NOT NULL GROUP BY 1, 2""")
 def manifest_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = diff.manifest_members(diff.diff_orgs(*td.two_orgs(spark, sf_dir)))
-    return d.select("destructive", "type", F.array_join("members", ",").alias("members"), "n")
+    """Sharing rules go by their object, labels without a type in manifests go."""
+    k = F.split_part("qname", F.lit(":"), F.lit(2)).cast("long")
+    d = diff.diff_orgs(*td.two_orgs(spark, sf_dir)).withColumn("k", k)
+    d = d.withColumn("label", F.element_at(F.array(*map(F.lit, MANIFEST_LABELS)), (F.col("k") % 8 + 1).cast("int"))).withColumn("qname", F.concat("label", F.lit(":Obj"), (F.col("k") % 5).cast("string"), F.lit(".R"), F.col("k").cast("string")))
+    return diff.manifest_members(d).select("destructive", "type", F.array_join("members", ",").alias("members"), "n")
 
 
 @query(f"WITH {td.SNAPSHOT_SQL} SELECT qname FROM before WHERE qname NOT IN (SELECT qname FROM after)")
@@ -256,28 +265,36 @@ def test_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.covered(near.select("qname"), _tests(spark, sf_dir)).filter("not covered").select("qname")
 
 
+#: Which suppliers are permission sets, by an attribute; the others are profiles.
+GRANTERS_SQL = "g AS (SELECT DISTINCT l_partkey, 'Supplier:' || l_suppkey AS who FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE s_acctbal < 5000)"
+
+
 def _grants(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     e = td.edges(spark, sf_dir, ["SUPPLIES"]).withColumn("rel_type", F.lit("GRANTS_FIELD_ACCESS"))
-    who = td.read(spark, sf_dir, "supplier").filter("s_suppkey < 20").select(F.concat(F.lit("Supplier:"), F.col("s_suppkey").cast("string")).alias("qname"), F.lit("PermissionSet").alias("label"))
+    who = td.read(spark, sf_dir, "supplier").select(F.concat(F.lit("Supplier:"), F.col("s_suppkey").cast("string")).alias("qname"), F.when(F.col("s_acctbal") < 5000, "PermissionSet").otherwise("Profile").alias("label"))
     return e, who
 
 
-@query("SELECT 'Part:' || l_partkey AS qname, string_agg(DISTINCT 'Supplier:' || l_suppkey, ',' ORDER BY 'Supplier:' || l_suppkey) AS granted_by FROM lineitem WHERE l_suppkey < 20 AND l_suppkey IN (SELECT s_suppkey FROM supplier) GROUP BY 1")
+@query(f"WITH {GRANTERS_SQL} SELECT 'Part:' || l_partkey AS qname, string_agg(who, ',' ORDER BY who) AS granted_by FROM g GROUP BY 1")
 def security_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.granted_by(*_grants(spark, sf_dir)).select("qname", F.array_join("granted_by", ",").alias("granted_by"))
 
 
-@query("SELECT 'Part:' || p_partkey AS qname FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_suppkey < 20 AND l_suppkey IN (SELECT s_suppkey FROM supplier))")
+@query(f"WITH {GRANTERS_SQL} SELECT 'Part:' || p_partkey AS qname FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM g)")
 def fls_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.access_gaps(td.nodes(spark, sf_dir, ["Part"]), *_grants(spark, sf_dir))
 
 
-@query(f"""WITH {TESTS_SQL}, c AS (SELECT DISTINCT 'Supplier:' || s_suppkey AS qname FROM supplier WHERE s_suppkey % 10 = 0), d AS (SELECT DISTINCT 'Part:' || l_partkey AS qname FROM lineitem WHERE 'Supplier:' || l_suppkey IN (SELECT qname FROM c))
-    SELECT qname, CASE WHEN qname IN (SELECT dst FROM t) THEN 'covered' ELSE 'at_risk' END AS risk FROM d WHERE qname NOT IN (SELECT src FROM t)""")
+#: Customers whose orders changed between the snapshots are what depends on the change; finished orders test their customers' nations.
+@query(f"""WITH {td.SNAPSHOT_SQL}, c AS (SELECT coalesce(b.qname, a.qname) AS qname FROM before b FULL JOIN after a USING (qname) WHERE b.qname IS NOT NULL AND (a.qname IS NULL OR a.source_hash <> b.source_hash)),
+    p AS (SELECT * FROM ({td.edges_sql(["PLACED_BY"])})), t AS (SELECT DISTINCT 'Order:' || o_orderkey AS src, 'Customer:' || o_custkey AS dst FROM orders WHERE o_orderstatus = 'F')
+    SELECT DISTINCT p.dst AS qname, CASE WHEN p.dst IN (SELECT dst FROM t) THEN 'covered' ELSE 'at_risk' END AS risk FROM p JOIN c ON p.src = c.qname""")
 def what_broke_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changed = td.nodes(spark, sf_dir, ["Supplier"]).filter(F.split_part("qname", F.lit(":"), F.lit(2)).cast("long") % 10 == 0).select("qname")
-    reached = traverse.walk(td.edges(spark, sf_dir, ["SUPPLIES"]), changed, False, 1).nodes.filter("depth > 0")
-    return audit.risk_buckets(changed, reached, _tests(spark, sf_dir))
+    changed = diff.diff_nodes(*td.snapshot_pair(spark, sf_dir)).filter("change <> 'added'").select("qname")
+    reached = traverse.walk(td.edges(spark, sf_dir, ["PLACED_BY"]), changed, False, 1).nodes.filter("depth > 0")
+    o = td.read(spark, sf_dir, "orders").filter("o_orderstatus = 'F'")
+    tests = o.select(F.lit("IS_TEST_FOR").alias("rel_type"), F.concat(F.lit("Order:"), F.col("o_orderkey").cast("string")).alias("src"), F.concat(F.lit("Customer:"), F.col("o_custkey").cast("string")).alias("dst"))
+    return audit.risk_buckets(changed, reached, tests)
 
 
 @query(f"SELECT qname, count(*) AS degree FROM (SELECT src AS qname FROM ({CORE_EDGES_SQL}) UNION ALL SELECT dst FROM ({CORE_EDGES_SQL})) GROUP BY 1 ORDER BY degree DESC, qname LIMIT 40")
@@ -285,14 +302,26 @@ def degree_top40(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.degrees(td.edges(spark, sf_dir, td.CORE), 40)
 
 
-@query(f"""WITH {FRESH_SQL}, {IN_SQL}, {LOOSE_SQL.replace('i AS (SELECT qname', 'known AS (SELECT qname').replace('FROM i)', 'FROM known)')}
-    SELECT * FROM (SELECT 'dead-code' AS rule_id, 'warning' AS level, count(*) AS n FROM fresh WHERE score < 0.4 AND qname NOT IN (SELECT qname FROM i)
-    UNION ALL SELECT 'dangling-reference', 'warning', count(*) FROM loose
-    UNION ALL SELECT 'field-access-gap', 'note', count(*) FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_suppkey < 20 AND l_suppkey IN (SELECT s_suppkey FROM supplier))) WHERE n > 0""")
+@query(f"""WITH {FRESH_SQL}, {IN_SQL}, {LOOSE_SQL.replace('i AS (SELECT qname', 'known AS (SELECT qname').replace('FROM i)', 'FROM known)')}, {GRANTERS_SQL}
+    SELECT 'dead-code.unreferenced' AS rule_id, 'note' AS level, qname, qname || ': no incoming references' AS message FROM fresh WHERE score < 0.4 AND qname NOT IN (SELECT qname FROM i)
+    UNION ALL SELECT 'graph.dangling-edge', 'note', src, src || ' --' || rel_type || '--> ' || dst || ': dst node missing' FROM loose
+    UNION ALL SELECT 'security.fls-gap', 'warning', 'Part:' || p_partkey, 'Part:' || p_partkey || ': no FLS grant on any profile/permission set' FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM g)
+    UNION ALL SELECT 'security.sharing-full-access', 'warning', 'SharingRule:' || n_nationkey, 'SharingRule:' || n_nationkey || ': granted full access via sharing rule or OWD' FROM nation WHERE n_regionkey IN (0, 1, 2)""")
 def findings_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = td.edges(spark, sf_dir, td.CORE)
-    found = audit.collect_findings(dead=audit.dead_code(td.nodes(spark, sf_dir), e, NOW), gaps=fls_gaps(spark, sf_dir), loose=audit.dangling(e, _index(spark, sf_dir)))
-    return found.groupBy("rule_id", "level").agg(F.count("*").alias("n"))
+    found = audit.collect_findings(dead=audit.dead_code(td.nodes(spark, sf_dir), e, NOW), gaps=fls_gaps(spark, sf_dir), sharing=audit.open_sharing(_sharing(spark, sf_dir)), loose=audit.dangling(e, _index(spark, sf_dir)))
+    return found.select("rule_id", "level", "qname", "message")
+
+
+def _sharing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sharing rule for each nation, whose access its region says: in three of five ways it is full."""
+    access = F.element_at(F.array(*[F.lit(x) for x in ('{"accessLevel":"Edit"}', '{"accessLevel":"All"}', '{"access":"Edit","accessLevel":"Read"}', '{"accessLevel":"Read","access":"All"}', '{"accessLevel":"edit"}')]), F.col("n_regionkey") + 1)
+    return td.read(spark, sf_dir, "nation").select(F.lit("org1").alias("org_id"), F.concat(F.lit("SharingRule:"), F.col("n_nationkey").cast("string")).alias("qname"), F.lit("SharingRule").alias("label"), access.alias("attributes"))
+
+
+@query("""SELECT 'SharingRule:' || n_nationkey AS qname, 'sharing.full_access' AS rule_id, 'high' AS severity, CASE n_regionkey WHEN 0 THEN '{"accessLevel":"Edit"}' WHEN 1 THEN '{"accessLevel":"All"}' ELSE '{"accessLevel":"Read"}' END AS evidence FROM nation WHERE n_regionkey < 3""")
+def sharing_full_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.open_sharing(_sharing(spark, sf_dir)).select("qname", "rule_id", "severity", "evidence")
 
 
 # Vectors
@@ -385,48 +414,88 @@ INVOCABLE_SQL = """m AS (SELECT 'C' || (p_partkey % 400) AS c, 'ApexMethod:C' ||
     f AS (SELECT DISTINCT 'Flow:F' || p_partkey AS src, 'C' || (p_partkey % 450) AS c FROM part WHERE p_size < 10)"""
 
 
-@query(f"WITH {INVOCABLE_SQL}, n AS (SELECT c, count(*) AS n, min(q) AS q FROM m GROUP BY 1) SELECT src, q AS dst FROM f JOIN n USING (c) WHERE n = 1")
+@query(f"WITH {INVOCABLE_SQL}, n AS (SELECT c, count(*) AS n FROM m GROUP BY 1) SELECT src, q AS dst, 'FLOW_INVOKES_APEX_METHOD' AS rel_type, n > 1 AS ambiguous FROM f JOIN m USING (c) JOIN n USING (c)")
 def flow_invocable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every invocable method of the class a flow names, marked where there are several."""
+    return _invocable(spark, sf_dir).edges.select("src", "dst", "rel_type", F.get_json_object("attributes", "$.ambiguous").cast("boolean").alias("ambiguous"))
+
+
+@query(f"WITH {INVOCABLE_SQL}, n AS (SELECT c, count(*) AS n FROM m GROUP BY 1) SELECT count(*) AS scanned, count(n) AS resolved, count(*) FILTER (WHERE n > 1) AS ambiguous, count(*) FILTER (WHERE n IS NULL) AS missing FROM f LEFT JOIN n USING (c)")
+def flow_invocable_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _invocable(spark, sf_dir).counters
+
+
+def _invocable(spark: SparkSession, sf_dir: str) -> resolve.Resolved:
     p = td.read(spark, sf_dir, "part")
     methods = p.selectExpr("concat('ApexMethod:C', p_partkey % 400, '.m', p_partkey, '(1)') AS qname", "if(p_size % 10 = 0, '{\"isInvocable\":true}', '{}') AS attributes")
-    flows = p.filter("p_size < 10").selectExpr("'FLOW_INVOKES_APEX' AS rel_type", "concat('Flow:F', p_partkey) AS src", "concat('ApexClass:C', p_partkey % 450) AS dst").distinct()
-    return resolve.resolve_invocable(flows, methods).edges.select("src", "dst")
+    flows = p.filter("p_size < 10").selectExpr("'FLOW_INVOKES_APEX' AS rel_type", "concat('Flow:F', p_partkey) AS src", "concat('ApexClass:C', p_partkey % 450) AS dst", "'{\"actionName\":\"x\"}' AS attributes").distinct()
+    return resolve.resolve_invocable(flows, methods)
 
 
-FLAVOR_SQL = """a AS (SELECT max('DataRaptor:DR_N' || c_custkey) AS x, lower('N' || c_custkey) AS k FROM customer GROUP BY 2), b AS (SELECT 'OmniDataTransform:OMNI_n' || s_suppkey AS y, lower('n' || s_suppkey) AS k FROM supplier)"""
+#: Names of one org: prefixes of a flavour go, and the org's own namespace, no other one; so a third of the older ones, another package's, have no partner.
+FLAVOR_SQL = """a AS (SELECT 'DataRaptor:' || CASE c_custkey % 3 WHEN 0 THEN 'own__' WHEN 1 THEN '' ELSE 'other__' END || 'DR_N' || c_custkey AS x, CASE WHEN c_custkey % 3 = 2 THEN 'other__dr_n' ELSE 'n' END || c_custkey AS k FROM customer),
+    b AS (SELECT 'OmniDataTransform:OMNI_n' || s_suppkey AS y, 'n' || s_suppkey AS k FROM supplier)"""
 
 
 def _flavors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = td.read(spark, sf_dir, "customer").selectExpr("'DataRaptor' AS label", "concat('DataRaptor:DR_N', c_custkey) AS qname")
+    a = td.read(spark, sf_dir, "customer").selectExpr("'DataRaptor' AS label", "concat('DataRaptor:', element_at(array('own__', '', 'other__'), cast(c_custkey % 3 + 1 as int)), 'DR_N', c_custkey) AS qname")
     b = td.read(spark, sf_dir, "supplier").selectExpr("'OmniDataTransform' AS label", "concat('OmniDataTransform:OMNI_n', s_suppkey) AS qname")
     return a.unionByName(b)
 
 
-@query(f"WITH {FLAVOR_SQL} SELECT x AS src, y AS dst, 'CANONICAL_OF' AS rel_type FROM a JOIN b USING (k) UNION ALL SELECT y, x, 'CANONICAL_OF' FROM a JOIN b USING (k)")
+@query(f"WITH {FLAVOR_SQL} SELECT x AS src, y AS dst, 'CANONICAL_OF' AS rel_type, 'DataRaptor<>OmniDataTransform' AS pair FROM a JOIN b USING (k) UNION ALL SELECT y, x, 'CANONICAL_OF', 'OmniDataTransform<>DataRaptor' FROM a JOIN b USING (k)")
 def cross_flavor_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.link_flavors(_flavors(spark, sf_dir))
+    return resolve.link_flavors(_flavors(spark, sf_dir), namespace="own")
+
+
+@query(f"""WITH {FLAVOR_SQL}, q AS (SELECT x AS qname FROM a JOIN b USING (k) UNION ALL SELECT y FROM a JOIN b USING (k))
+    SELECT qname, CASE WHEN qname LIKE '%7' THEN 'DataRaptor,Old,OmniDataTransform' ELSE 'DataRaptor,OmniDataTransform' END AS flavors, 'h+canonical:' || flavors AS source_hash, 'v' AS other FROM q""")
+def flavors_united(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both labels are added to the flavours a node has, and its hash tells."""
+    d = _flavors(spark, sf_dir)
+    attributes = F.when(F.col("qname").endswith("7"), '{"flavors":["Old"],"o":"v"}').otherwise('{"o":"v"}')
+    n = resolve.unite_flavors(d.withColumns({"attributes": attributes, "source_hash": F.lit("h")}), resolve.link_flavors(d, namespace="own"))
+    return n.select("qname", F.array_join(F.from_json(F.get_json_object("attributes", "$.flavors"), "array<string>"), ",").alias("flavors"), "source_hash", F.get_json_object("attributes", "$.o").alias("other"))
+
+
+def _overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs, and what their nodes call: the same, another number of the same, the same under another relation, or nothing."""
+    pairs = resolve.link_flavors(_flavors(spark, sf_dir), namespace="own").select("src", "dst", "rel_type")
+    i = F.regexp_extract(F.col("y"), "([0-9]+)$", 1).cast("long")
+    own = pairs.filter("src like 'DataRaptor%'").select(F.col("src").alias("x"), F.col("dst").alias("y")).withColumn("i", i % 4).filter("i < 3")
+    one = own.selectExpr("x AS src", "'DataRaptor:t' AS dst", "'CALLS_DR' AS rel_type").unionByName(own.selectExpr("x AS src", "'ApexClass:A' AS dst", "'CALLS' AS rel_type"))
+    two = own.selectExpr("y AS src", "explode(if(i = 1, array('OmniDataTransform:t', 'omnidatatransform:u'), array('OmniDataTransform:t'))) AS dst", "if(i = 2, 'CALLS_DATA_TRANSFORM', 'CALLS_DR') AS rel_type").unionByName(own.selectExpr("y AS src", "'ApexClass:B' AS dst", "'CALLS' AS rel_type"))
+    return pairs.unionByName(one).unionByName(two)
 
 
-@query(f"""WITH {FLAVOR_SQL}, p AS (SELECT x, y, CAST(regexp_extract(y, '([0-9]+)$', 1) AS BIGINT) AS i FROM a JOIN b USING (k))
-    SELECT x, y, CASE WHEN i % 3 = 0 THEN 'matched' WHEN i % 3 = 1 THEN 'diverged' ELSE 'empty' END AS status, CASE WHEN i % 3 = 1 THEN 'uses_data|data: 1 vs 2' ELSE '' END AS points FROM p""")
+@query(f"""WITH {FLAVOR_SQL}, p AS (SELECT x, y, CAST(regexp_extract(y, '([0-9]+)$', 1) AS BIGINT) % 4 AS i FROM a JOIN b USING (k))
+    SELECT x, y, CASE i WHEN 0 THEN 'matched' WHEN 3 THEN 'empty' ELSE 'diverged' END AS status,
+        CASE i WHEN 1 THEN 'CALLS_DR|dr_or_odt: 1 vs 2' WHEN 2 THEN 'CALLS_DATA_TRANSFORM|dr_or_odt: 0 vs 1,CALLS_DR|dr_or_odt: 1 vs 0' ELSE '' END AS points FROM p""")
 def overlap_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = resolve.link_flavors(_flavors(spark, sf_dir))
-    k = F.regexp_extract(F.col("y"), "([0-9]+)$", 1).cast("long")
-    own = pairs.filter("src like 'DataRaptor%'").select(F.col("src").alias("x"), F.col("dst").alias("y")).withColumn("i", k).filter("i % 3 <> 2")
-    one = own.selectExpr("x AS src", "'DataRaptor:t' AS dst", "'IP_CALLS_DR' AS rel_type")
-    two = own.selectExpr("y AS src", "explode(if(i % 3 = 0, array('OmniDataTransform:t'), array('OmniDataTransform:t', 'OmniDataTransform:u'))) AS dst", "'OMNI_CALLS_DATA_TRANSFORM' AS rel_type")
-    d = resolve.compare_flavors(pairs.unionByName(one).unionByName(two))
-    return d.select("x", "y", "status", F.array_join("points", ",").alias("points"))
-
-
-@query("""WITH n AS (SELECT 'Customer:Cust' || c_custkey AS qname, 'Supp' || (c_custkey % 300) AS r FROM customer UNION ALL SELECT 'Supplier:Supp' || s_suppkey, 'SUPP' || (s_suppkey + 1) FROM supplier),
-    names AS (SELECT qname, split_part(qname, ':', 2) AS name FROM n)
-    SELECT n.qname AS src, m.qname AS dst FROM n JOIN names m ON m.name = n.r WHERE n.qname <> m.qname
-    UNION SELECT n.qname, m.qname FROM n JOIN names m ON lower(m.name) = lower(n.r) WHERE n.r NOT IN (SELECT name FROM names) AND n.qname <> m.qname""")
+    """Relations count by their own names, targets by their flavours' common token or their label."""
+    return resolve.compare_flavors(_overlap(spark, sf_dir)).select("x", "y", "status", F.array_join("points", ",").alias("points"))
+
+
+@query(f"""WITH {FLAVOR_SQL}, p AS (SELECT x, y, CAST(regexp_extract(y, '([0-9]+)$', 1) AS BIGINT) % 4 AS i FROM a JOIN b USING (k))
+    SELECT x AS src, y AS dst, i IN (0, 3) AS matches FROM p UNION ALL SELECT y, x, i IN (0, 3) FROM p""")
+def overlap_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the comparison writes into the edges of both directions."""
+    e = _overlap(spark, sf_dir).withColumn("attributes", F.lit('{"pair":"p"}'))
+    d = resolve.annotate_flavors(e, resolve.compare_flavors(e), 5)
+    return d.filter(F.get_json_object("attributes", "$.pair") == "p").select("src", "dst", F.get_json_object("attributes", "$.signaturesMatch").cast("boolean").alias("matches"))
+
+
+#: Reserved words are no references, even where a node is named so (Part:undefined, Part:value); names that only look general are (Part:active).
+@query("""WITH n AS (SELECT 'Customer:Cust' || c_custkey AS qname, 'Supp' || (c_custkey % 300) AS r, 'ref' AS via FROM customer UNION ALL SELECT 'Supplier:Supp' || s_suppkey, 'SUPP' || (s_suppkey + 1), 'next' FROM supplier
+        UNION ALL SELECT 'Supplier:Supp' || s_suppkey, 'active', 'w' FROM supplier),
+    names AS (SELECT qname, split_part(qname, ':', 2) AS name FROM n UNION SELECT * FROM (VALUES ('Part:undefined', 'undefined'), ('Part:value', 'value'), ('Part:active', 'active'), ('Order:active', 'active')))
+    , f AS (SELECT n.qname AS src, m.qname AS dst, via, r FROM n JOIN names m ON m.name = n.r UNION SELECT n.qname, m.qname, via, r FROM n JOIN names m ON lower(m.name) = lower(n.r) WHERE n.r NOT IN (SELECT name FROM names))
+    SELECT DISTINCT src, dst, via AS via_key, r = 'active' AS ambiguous FROM f WHERE src <> dst""")
 def reflection_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = td.read(spark, sf_dir, "customer").selectExpr("'Customer' AS label", "concat('Customer:Cust', c_custkey) AS qname", "to_json(named_struct('deep', array(named_struct('ref', concat('Supp', c_custkey % 300), 'word', 'a b c')))) AS attributes")
-    s = td.read(spark, sf_dir, "supplier").selectExpr("'Supplier' AS label", "concat('Supplier:Supp', s_suppkey) AS qname", "to_json(named_struct('next', concat('SUPP', s_suppkey + 1), 'n', '12345')) AS attributes")
-    return resolve.infer_references(c.unionByName(s)).edges.select("src", "dst")
+    c = td.read(spark, sf_dir, "customer").selectExpr("'Customer' AS label", "concat('Customer:Cust', c_custkey) AS qname", "to_json(named_struct('deep', array(named_struct('ref', array(concat('Supp', c_custkey % 300)), 'word', 'a b c', 'v', 'undefined', 'x', ' active')))) AS attributes")
+    s = td.read(spark, sf_dir, "supplier").selectExpr("'Supplier' AS label", "concat('Supplier:Supp', s_suppkey) AS qname", "to_json(named_struct('next', concat('SUPP', s_suppkey + 1), 'n', '12345', 't', 'VALUE', 'w', 'active')) AS attributes")
+    p = spark.createDataFrame([(q.split(":")[0], q, "{}") for q in ("Part:undefined", "Part:value", "Part:active", "Order:active")], "label string, qname string, attributes string")
+    return resolve.infer_references(c.unionByName(s).unionByName(p)).edges.select("src", "dst", "via_key", "ambiguous")
 
 
 # Texts
@@ -437,9 +506,18 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return td.read(spark, sf_dir, "pages").select("page_id", F.explode(scalar.all_matches(F.col("html"), 'href="([^"]*)"')).alias("href"))
 
 
+#: What a DuckDB pattern makes of each kind of secret, from the rules as published, in their order.
+SCRUB_SQL = [
+    ("(?i)Authorization:\\s*Bearer\\s+[A-Za-z0-9._\\-+/=]+", "<bearer-token>"), ("\\bBearer\\s+[A-Za-z0-9._\\-+/=]+", "<bearer-token>"), ("\\b00D[0-9A-Za-z]{12,15}![A-Za-z0-9._\\-+/=]+", "<sf-session>"),
+    ("[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}", "<email>"), ("\\b[a-zA-Z0-9-]+(?:\\.[a-zA-Z0-9-]+)*\\.(?:my\\.salesforce\\.com|lightning\\.force\\.com|visualforce\\.com|cloudforce\\.com|salesforce\\.com|force\\.com)\\b", "<sf-host>"),
+    ("\\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\\b", "<uuid>"), ("\\b[A-Za-z]:\\\\[^\\s\"'']*", "<path>"), ("(?:/Users|/home|/var|/tmp|/private|/opt|/etc)/[^\\s\"'':,]*", "<path>"),
+    ("\\b(?:001|003|005|006|00D|00e|00G|00Q|00T|00U|01p|a00|a01|a02|a03|a04|a05|a06|a07|a08|a09|0WO|0WP)[A-Za-z0-9]{12}(?:[A-Za-z0-9]{3})?\\b", "<sf-id>"),
+]
+
+
 def _scrub_sql(text: str) -> str:
-    for pattern, name in scalar.SCRUBS:
-        text = f"regexp_replace({text}, '{pattern.replace(chr(39), chr(39) * 2)}', '{name}', 'g')"
+    for pattern, name in SCRUB_SQL:
+        text = f"regexp_replace({text}, '{pattern}', '{name}', 'g')"
     return text
 
 
@@ -448,38 +526,70 @@ def scrub_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return td.read(spark, sf_dir, "documents").select("doc_id", F.sha2(scalar.scrub(F.col("text")), 256).alias("scrubbed"))
 
 
-DIFF_TEXT = """--- a/force-app/main/default/classes/Alpha.cls
-+++ b/force-app/main/default/classes/Alpha.cls
-@@ -1 +1 @@
---- /dev/null
-+++ b/force-app/main/default/triggers/Beta.trigger
---- a/force-app/main/default/lwc/tile/tile.js
-+++ /dev/null
---- a/force-app/main/default/objects/Acc/fields/Name.field-meta.xml
-+++ b/force-app/main/default/objects/Acc/fields/Name.field-meta.xml
---- a/force-app/main/default/objects/Acc/Acc.object-meta.xml
-+++ b/force-app/main/default/objects/Acc/Acc.object-meta.xml
---- a/README.md
-+++ b/README.md"""
+#: A text that holds a secret of each kind, by the event's number, and what is left of it.
+SECRET_KINDS = [
+    ("authorization: bearer abc.d-{k}=", "<bearer-token>"), ("Bearer t{k}/x bearer t{k}", "<bearer-token> bearer t{k}"), ("at 00D000000000{p}!AQ.{k}", "at <sf-session>"), ("mail u{k}@ex.co.uk now", "mail <email> now"),
+    ("see a{k}.b.my.salesforce.com, x{k}.example.com", "see <sf-host>, x{k}.example.com"), ("id 0123abcd-00AA-11bb-22cc-0000{q}.", "id <uuid>."), ("C:\\Users\\u{k} and D:", "<path> and D:"), ("in /var/log/{k}.log, /srv/{k}", "in <path>, /srv/{k}"),
+    ("rec 001000000000{p} 002000000000{p}", "rec <sf-id> 002000000000{p}"), ("1.2.3.4 +1 555 123 {k}", "1.2.3.4 +1 555 123 {k}"),
+]
+
+
+def _secret_sql(which: int) -> str:
+    text = lambda t: "'" + t.replace("{k}", "' || event_id || '").replace("{p}", "' || lpad(CAST(event_id % 1000 AS VARCHAR), 3, '0') || '").replace("{q}", "' || lpad(CAST(event_id AS VARCHAR), 8, '0') || '") + "'"
+    return "CASE event_id % 10 " + " ".join(f"WHEN {n} THEN {text(kind[which])}" for n, kind in enumerate(SECRET_KINDS)) + " END"
+
+
+@query(f"SELECT event_id, {_secret_sql(1)} AS scrubbed FROM events")
+def scrub_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with a secret each, and what must be left of them."""
+    text = F.expr(_secret_sql(0).replace("VARCHAR", "STRING").replace("\\", "\\\\"))
+    return td.read(spark, sf_dir, "events").select("event_id", scalar.scrub(text).alias("scrubbed"))
+
+
+#: Paths of a project by kind, and the qname each stands for (none for the last three).
+PATHS = [
+    ("force-app/main/default/classes/C{k}.cls", "ApexClass:C{k}"), ("classes/C{k}.cls-meta.xml", "ApexClass:C{k}"), ("src/triggers/T{k}.trigger", "ApexTrigger:T{k}"), ("a/lwc/tile{k}/tile.js", "LWC:tile{k}"), ("flows/F{k}.flow", "Flow:F{k}"),
+    ("x/flows/F{k}.flow-meta.xml", "Flow:F{k}"), ("objects/O{k}.object", "CustomObject:O{k}"), ("objects/O{k}/O{k}.object-meta.xml", "CustomObject:O{k}"), ("objects/O{k}/fields/N.field-meta.xml", "CustomField:O{k}.N"),
+    ("main\\classes\\W{k}.cls", "ApexClass:W{k}"), ("objects/O{k}/P{k}.object-meta.xml", None), ("permissionsets/P{k}.permissionset-meta.xml", None), ("README{k}.md", None),
+]
+
 
+def _path_sql(which: int) -> str:
+    text = lambda t: "NULL" if t is None else "'" + t.replace("{k}", "' || p_partkey || '") + "'"
+    return f"CASE p_partkey % {len(PATHS)} " + " ".join(f"WHEN {n} THEN {text(kind[which])}" for n, kind in enumerate(PATHS)) + " END"
 
-@query("""SELECT * FROM (VALUES ('ApexClass:Alpha', 'modified'), ('ApexTrigger:Beta', 'added'), ('LWC:tile', 'deleted'), ('CustomField:Acc.Name', 'modified'), ('CustomObject:Acc', 'modified')) AS t(qname, status)""")
+
+@query(f"SELECT {_path_sql(1)} AS qname, CASE WHEN p_size % 3 = 0 THEN 'added' WHEN p_size % 3 = 1 THEN 'deleted' ELSE 'modified' END AS status FROM part WHERE {_path_sql(1)} IS NOT NULL")
 def git_diff_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = spark.createDataFrame(list(enumerate(DIFF_TEXT.split("\n"))), "n int, line string")
+    """A unified diff with a file for each part: added, deleted or modified."""
+    p = td.read(spark, sf_dir, "part").withColumn("path", F.expr(_path_sql(0).replace("\\", "\\\\")))
+    old, new = F.when(F.col("p_size") % 3 == 0, F.lit("/dev/null")).otherwise(F.concat(F.lit("a/"), "path")), F.when(F.col("p_size") % 3 == 1, F.lit("/dev/null")).otherwise(F.concat(F.lit("b/"), "path"))
+    lines = F.array(F.concat(F.lit("--- "), old), F.concat(F.lit("+++ "), new), F.lit("@@ -1 +1 @@"), F.lit("-x"))
+    text = p.select("p_partkey", F.posexplode(lines).alias("at", "line")).select((F.col("p_partkey") * 10 + F.col("at")).alias("n"), "line")
     return diff.parse_diff(text).select(diff.path_to_qname(F.col("path")).alias("qname"), "status").filter("qname is not null")
 
 
-APEX = [
-    ("A", "void f() {\n  for (Account a : accs) {\n    insert a;\n    List<X> x = [SELECT Id FROM X];\n  }\n}", False),
-    ("B", "trigger T on Account (before insert) {\n  doIt();\n}", True),
-    ("C", "// for (;;) { insert x; }\nList<X> x = [SELECT Id FROM X WHERE Id = :i];\nwhile (true) update y;", False),
-    ("D", "trigger U on X (before insert) { for (X x : Trigger.new) x.f = 'insert [select';  }", True),
+#: Sources by kind and the risks (kind, line) in each.
+SOURCES = [
+    ("void f{k}() {\n  for (A a : as) {\n    insert a{k};\n    X x = [SELECT Id FROM X];\n  }\n}", [("dml_in_loop", 3), ("soql_in_loop", 4), ("unbounded_query", 4)]),
+    ("trigger T{k} on Account (before insert) {\n  doIt();\n}", [("no_bulk", -1)]),
+    ("// for (;;) { insert x; }\nX x = [SELECT Id FROM X WHERE Id = :i{k}];\nwhile (true) update y;", [("dml_in_loop", 3)]),
+    ("trigger U{k} on X (before insert) { for (X x : Trigger.new) { x.f = 'insert y; [select'; } }", []),
+    ("trigger V{k} on X (after update) { for (X x : Trigger.old) { } }", [("no_bulk", -1)]),
+    ("X x{k} = [SELECT Id\n FROM X\n LIMIT 5];\nfor (;;) { for (;;) { } }\ndelete z;", []),
 ]
 
 
-@query("""SELECT * FROM (VALUES ('A', 'dml_in_loop', 3), ('A', 'soql_in_loop', 4), ('A', 'unbounded_query', 4), ('B', 'trigger_no_bulk', 1), ('C', 'dml_in_loop', 3)) AS t(qname, risk_type, line)""")
+def _source_sql(which: str) -> str:
+    text = lambda t: "'" + t.replace("'", "''").replace("{k}", "' || p_partkey || '").replace("\n", "' || chr(10) || '") + "'"
+    return f"CASE p_partkey % {len(SOURCES)} " + " ".join(f"WHEN {n} THEN {text(t)}" for n, (t, _) in enumerate(SOURCES)) + " END"
+
+
+@query("SELECT 'S' || p_partkey AS qname, r.risk_type, r.line FROM part JOIN (VALUES " + ", ".join(f"({n}, '{kind}', {line})" for n, (_, found) in enumerate(SOURCES) for kind, line in found) + f") AS r(n, risk_type, line) ON p_partkey % {len(SOURCES)} = r.n")
 def governor_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.governor_risks(spark.createDataFrame(APEX, "qname string, text string, trigger boolean")).select("qname", "risk_type", F.col("line").cast("int").alias("line"))
+    """A source for each part; its kind says what runs into limits."""
+    d = td.read(spark, sf_dir, "part").select(F.concat(F.lit("S"), F.col("p_partkey").cast("string")).alias("qname"), F.expr(_source_sql("spark").replace("''", "\\'")).alias("text"))
+    return audit.governor_risks(d).select("qname", "risk_type", F.col("line").cast("int").alias("line"))
 
 
 @query("""SELECT o_orderkey AS k, split_part(o_orderpriority, '-', 1) AS first_part, lower(o_orderpriority) AS low, regexp_extract(o_orderpriority, '([A-Z]+)$', 1) AS last_word,
@@ -528,7 +638,7 @@ def store_merge_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([("inserted", one["inserted"], two["unchanged"])], "action string, n long, again long")
 
 
-# Parsing, on members given here
+# Parsing
 
 
 MEMBERS = [
@@ -577,30 +687,52 @@ TRIGGER_FIRES_ON WorkflowRule:Item__c.R CustomObject:Item__c
 WORKFLOW_UPDATES_FIELD Workflow:Item__c CustomField:Item__c.Name__c"""
 
 
-def _parsed(spark: SparkSession) -> DataFrame:
+#: What each supplier's members have in place of the names above.
+NAMES = ["Orders", "OnItem", "Item__c", "Ship", "Sales", "Sync", "tile"]
+
+
+def _named(text, k):
+    """text with the names numbered by k, so that each row has members of its own."""
+    for name in NAMES:
+        new = "Item{}__c" if name == "Item__c" else name + "{}"
+        a, z = new.split("{}")
+        text = F.regexp_replace(text, rf"(?<![A-Za-z.'-]){name}(?![A-Za-z])|(?<=['/:]){name}(?![A-Za-z_])", F.concat(F.lit(a), k, F.lit(z)))
+    return text
+
+
+def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .parse import registry
 
-    d = spark.createDataFrame(MEMBERS, "member_type string, member_name string, content string")
+    each = spark.createDataFrame(MEMBERS, "member_type string, member_name string, content string")
+    k = td.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("k"))
+    d = k.join(F.broadcast(each)).select("member_type", _named(F.col("member_name"), F.col("k")).alias("member_name"), _named(F.col("content"), F.col("k")).alias("content"))
     return registry.parse_members(d.select(F.lit("org1").alias("org_id"), "member_type", "member_name", F.lit("").alias("source_uri"), F.lit(None).cast("string").alias("namespace"), "content"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join("('" + "', '".join(line.split(" ")) + "')" for line in PARSED_EDGES.split("\n")) + ") AS t(rel_type, src, dst)")
+def _numbered(column: str) -> str:
+    for name in NAMES:
+        a, z = ("Item", "__c") if name == "Item__c" else (name, "")
+        column = f"regexp_replace({column}, '(^|[:.])({name})($|[.(-])', '\\1{a}' || s_suppkey || '{z}\\3')"
+    return column
+
+
+@query(f"SELECT DISTINCT rel_type, {_numbered('src')} AS src, {_numbered('dst')} AS dst FROM supplier, (VALUES " + ", ".join("('" + "', '".join(line.split(" ")) + "')" for line in PARSED_EDGES.split("\n")) + ") AS t(rel_type, src, dst)")
 def parse_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges that parsers and rules make of members of nine types."""
+    """Edges that parsers and rules make of members of nine types, for each supplier."""
     from .parse import registry
 
-    return registry.edges_of(_parsed(spark)).select("rel_type", "src", "dst").distinct()
+    return registry.edges_of(_parsed(spark, sf_dir)).select("rel_type", "src", "dst").distinct()
 
 
-@query("SELECT * FROM (VALUES ('ApexClass', 1), ('ApexMethod', 1), ('ApexTrigger', 1), ('CustomField', 2), ('CustomObject', 1), ('Flow', 1), ('FlowVersion', 1), ('IntegrationProcedure', 1), ('LWC', 1), ('LWCBundle', 1), ('Layout', 1), ('PermissionSet', 1), ('Workflow', 1), ('WorkflowRule', 1)) AS t(label, n)")
+@query("SELECT label, CAST(n * c AS INTEGER) AS n FROM (VALUES ('ApexClass', 1), ('ApexMethod', 1), ('ApexTrigger', 1), ('CustomField', 2), ('CustomObject', 1), ('Flow', 1), ('FlowVersion', 1), ('IntegrationProcedure', 1), ('LWC', 1), ('LWCBundle', 1), ('Layout', 1), ('PermissionSet', 1), ('Workflow', 1), ('WorkflowRule', 1)) AS t(label, n), (SELECT count(*) AS c FROM supplier)")
 def parse_node_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .parse import registry
 
-    return registry.nodes_of(_parsed(spark)).groupBy("label").agg(F.count("*").cast("int").alias("n"))
+    return registry.nodes_of(_parsed(spark, sf_dir)).groupBy("label").agg(F.count("*").cast("int").alias("n"))
 
 
-@query(f"""WITH {LOOSE_SQL} SELECT 'dangling-reference' AS rule_id, 'warning' AS level, count(*) AS n FROM loose HAVING count(*) > 0""")
+@query(f"""WITH {LOOSE_SQL} SELECT 'graph.dangling-edge' AS rule_id, 'note' AS level, count(*) AS n FROM loose HAVING count(*) > 0 UNION ALL SELECT 'security.sharing-full-access', 'warning', count(*) FROM nation WHERE n_regionkey < 3""")
 def sarif_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results by rule, as a SARIF document has them (but for its cap)."""
-    found = audit.collect_findings(loose=audit.dangling(td.edges(spark, sf_dir, td.CORE), _index(spark, sf_dir)))
+    found = audit.collect_findings(sharing=audit.open_sharing(_sharing(spark, sf_dir)), loose=audit.dangling(td.edges(spark, sf_dir, td.CORE), _index(spark, sf_dir)))
     return audit.per_rule(found).join(found.select("rule_id", "level").distinct(), "rule_id").select("rule_id", "level", "n")

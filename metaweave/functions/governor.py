@@ -69,8 +69,8 @@ def loop_spans(code: str) -> list[tuple[int, int]]:
     return spans
 
 
-def scan_source(source: str, trigger: bool = False) -> list[tuple[str, int, str]]:
-    """(kind, line, evidence): queries and data changes in loops, queries without a condition or limit, triggers that never look at Trigger.new."""
+def scan_source(source: str) -> list[tuple[str, int, str]]:
+    """(kind, line, evidence): queries and data changes in loops, queries without a condition or limit, triggers that never look at Trigger.new (line -1)."""
     code = blank(source)
     loops = loop_spans(code)
     inside = lambda at: any(a <= at < z for a, z in loops)
@@ -89,6 +89,6 @@ def scan_source(source: str, trigger: bool = False) -> list[tuple[str, int, str]
     for m in _CHANGE.finditer(code):
         if inside(m.start()):
             add("dml_in_loop", m.start())
-    if trigger and not re.search(r"\bTrigger\s*\.\s*(?:new|old)\w*", code, re.I):
-        add("trigger_no_bulk", 0)
+    if re.search(r"\btrigger\s+\w+\s+on\s+\w+", code, re.I) and not re.search(r"\bTrigger\s*\.\s*new", code, re.I):
+        found["no_bulk", -1] = "trigger without Trigger.new iteration"
     return [(kind, line, text) for (kind, line), text in found.items()]

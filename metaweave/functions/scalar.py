@@ -58,9 +58,9 @@ def bare_name(qname: Column) -> Column:
     return F.regexp_replace(qname, "^[^:]*:", "")
 
 
-def normalize_key(qname: Column) -> Column:
-    """The bare name in lower case, without namespace and flavour prefix."""
-    return F.lower(F.regexp_replace(F.regexp_replace(bare_name(qname), "^[A-Za-z0-9]+__(?=[A-Za-z])", ""), "(?i)^(DR_|IP_|OS_|VC_|OMNI_)", ""))
+def normalize_key(qname: Column, namespace: str | None = None) -> Column:
+    """The bare name in lower case, without the org's own namespace and a flavour prefix. Other namespaces stay: they are other packages."""
+    return F.lower(F.regexp_replace(strip_namespace(bare_name(qname), namespace), "(?i)^(DR_|IP_|OS_|VC_|OMNI_)", ""))
 
 
 def formula_fields(formula: Column) -> Column:
@@ -104,17 +104,17 @@ def evidence(text: Column) -> Column:
     return F.substring(F.trim(text), 1, 200)
 
 
-#: Personal data and what stands for it, in the order they are looked for. Fixed values.
+#: Secrets and personal data and what stands for them, in the order they are looked for. Fixed values.
 SCRUBS = [
-    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "<email>"),
-    (r"https?://[^\s\"'<>]+", "<url>"),
-    (r"\b00D[A-Za-z0-9]{12}(?:[A-Za-z0-9]{3})?\b", "<org>"),
-    (r"\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b", "<ip>"),
-    (r"\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b", "<uuid>"),
-    (r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", "<token>"),
-    (r"(?:/home/|/Users/)[^/\s]+", "<home>"),
-    (r"\b[0-9]{13,19}\b", "<number>"),
-    (r"\+?[0-9][0-9() -]{7,}[0-9]", "<phone>"),
+    (r"(?i)Authorization:\s*Bearer\s+[A-Za-z0-9._\-+/=]+", "<bearer-token>"),
+    (r"\bBearer\s+[A-Za-z0-9._\-+/=]+", "<bearer-token>"),
+    (r"\b00D[0-9A-Za-z]{12,15}![A-Za-z0-9._\-+/=]+", "<sf-session>"),
+    (r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", "<email>"),
+    (r"\b[a-zA-Z0-9-]+(?:\.[a-zA-Z0-9-]+)*\.(?:my\.salesforce\.com|lightning\.force\.com|visualforce\.com|cloudforce\.com|salesforce\.com|force\.com)\b", "<sf-host>"),
+    (r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b", "<uuid>"),
+    (r"\b[A-Za-z]:\\[^\s\"']*", "<path>"),
+    (r"(?:/Users|/home|/var|/tmp|/private|/opt|/etc)/[^\s\"':,]*", "<path>"),
+    (r"\b(?:001|003|005|006|00D|00e|00G|00Q|00T|00U|01p|a00|a01|a02|a03|a04|a05|a06|a07|a08|a09|0WO|0WP)[A-Za-z0-9]{12}(?:[A-Za-z0-9]{3})?\b", "<sf-id>"),
 ]
 
 
@@ -124,6 +124,27 @@ def scrub(text: Column) -> Column:
     return text
 
 
+def scrub_value(value, depth: int = 0):
+    """scrub() for all strings of a nested value; what lies deeper than ten levels is left out."""
+    import re
+
+    if depth > 10:
+        return "<max-depth>"
+    if isinstance(value, str):
+        for pattern, name in SCRUBS:
+            value = re.sub(pattern, name, value, flags=re.ASCII)
+        return value
+    if isinstance(value, list):
+        return [scrub_value(v, depth + 1) for v in value]
+    return {k: scrub_value(v, depth + 1) for k, v in value.items()} if isinstance(value, dict) else value
+
+
+def json_with(attributes: Column, fields: dict[str, Column]) -> Column:
+    """A JSON object with further fields (those that aren't null), which it doesn't have."""
+    body, extra = F.trim(F.coalesce(attributes, F.lit("{}"))), F.to_json(F.struct(*[c.alias(k) for k, c in fields.items()]))
+    return F.when(extra == "{}", body).when(body.isin("{}", ""), extra).otherwise(F.concat(F.regexp_replace(body, r"\s*\}$", ""), F.lit(","), F.substring(extra, F.lit(2), F.length(extra))))
+
+
 def skip_category(message: Column) -> Column:
     """Why a source was skipped, by words of its error."""
     m = F.upper(message)
@@ -131,21 +152,22 @@ def skip_category(message: Column) -> Column:
     return F.when(has("INVALID_TYPE", "NOT SUPPORTED"), "unsupported").when(has("INSUFFICIENT_ACCESS", "FORBIDDEN", "PERMISSION"), "no_access").when(has("TIMEOUT", "TIMED OUT", "ECONNRESET", "SOCKET"), "transient").when(has("LIMIT", "QUOTA", "TOO MANY"), "limit").otherwise("other")
 
 
-def _leaves(value, path: str = "", depth: int = 0) -> Iterator[tuple[str, str]]:
+def _leaves(value, path: str = "", key: str | None = None, depth: int = 0) -> Iterator[tuple[str, str | None, str]]:
+    """Path, nearest key and value of every string."""
     if depth > MAX_DEPTH:
         return
     if isinstance(value, str):
-        yield path, value
+        yield path, key, value
     elif isinstance(value, dict):
         for k, v in value.items():
-            yield from _leaves(v, f"{path}.{k}" if path else k, depth + 1)
+            yield from _leaves(v, f"{path}.{k}" if path else k, k, depth + 1)
     elif isinstance(value, list):
         for v in value:
-            yield from _leaves(v, path, depth + 1)
+            yield from _leaves(v, path, key, depth + 1)
 
 
 def json_leaves(rows: DataFrame, json_col: str = "attributes") -> DataFrame:
-    """The other columns (strings) with path and value of every string in the JSON. How deep it goes isn't known, so it is walked in Python, in Arrow batches."""
+    """The other columns (strings) with path, nearest key and value of every string in the JSON. How deep it goes isn't known, so it is walked in Python, in Arrow batches."""
     others = [c for c in rows.columns if c != json_col]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -157,10 +179,10 @@ def json_leaves(rows: DataFrame, json_col: str = "attributes") -> DataFrame:
                     value = json.loads(text) if text else None
                 except ValueError:
                     continue
-                out += [(*[getattr(row, c) for c in others], p, v) for p, v in _leaves(value)]
-            yield pd.DataFrame(out, columns=[*others, "path", "value"])
+                out += [(*[getattr(row, c) for c in others], p, k, v) for p, k, v in _leaves(value)]
+            yield pd.DataFrame(out, columns=[*others, "path", "key", "value"])
 
-    return rows.mapInPandas(run, ", ".join(f"{c} string" for c in others) + ", path string, value string")
+    return rows.mapInPandas(run, ", ".join(f"{c} string" for c in others) + ", path string, key string, value string")
 
 
 def walk_all(value, key: str) -> list:

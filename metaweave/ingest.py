@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import argparse
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import audit, merge, resolve
+from .operators import audit, merge, resolve, vector
 from .parse import registry
 from .sources import filesystem
 from .store import GraphStore
@@ -24,6 +25,7 @@ class Report:
     deleted: int = 0
     resolved: dict[str, dict[str, int]] = field(default_factory=dict)
     dangling: int = 0
+    embedded: dict[str, int] = field(default_factory=dict)
     snapshot: str | None = None
 
 
@@ -35,23 +37,39 @@ def choose_mode(mode: str, last_synced: int | None, tracks_changes: bool) -> str
 
 
 def _add_edges(store: GraphStore, org: str, made: DataFrame, now: int) -> dict[str, int]:
+    if "attributes" in made.columns:
+        return store.merge_edges(made.select(F.lit(org).alias("org_id"), "rel_type", "src", "dst", "attributes").dropDuplicates(["rel_type", "src", "dst"]), now)
     d = made.select(F.lit(org).alias("org_id"), "rel_type", "src", "dst", F.to_json(F.struct(*[c for c in made.columns if c not in ("org_id", "rel_type", "src", "dst")] or [F.lit("resolver").alias("source")])).alias("attributes"))
     return store.merge_edges(d.dropDuplicates(["rel_type", "src", "dst"]), now)
 
 
-def run_resolvers(store: GraphStore, org: str, now: int) -> dict[str, dict[str, int]]:
-    """Flavours, invocable methods, overloads, inferred references: in this order, each on what the others left. One that fails ends no other."""
+def run_resolvers(store: GraphStore, org: str, now: int, namespace: str | None = None) -> dict[str, dict[str, int]]:
+    """Flavours, invocable methods, overloads, inferred references, comparison of flavours: in this order, each on what the others left. One that fails ends no other."""
     out: dict[str, dict[str, int]] = {}
 
     def own() -> tuple[DataFrame, DataFrame]:
         return store.read("nodes").filter(F.col("org_id") == org), store.read("edges").filter(F.col("org_id") == org)
 
     def flavors() -> dict[str, int]:
-        return _add_edges(store, org, resolve.link_flavors(own()[0]), now)
+        n = own()[0]
+        links = materialize(resolve.link_flavors(n, namespace=namespace))
+        if links.isEmpty():
+            return {}
+        made = materialize(resolve.unite_flavors(n, links))
+        store.merge_nodes(made.select("org_id", "label", "qname", "attributes", "source_hash", "last_modified_at"), now)
+        return _add_edges(store, org, links, now)
+
+    def overlap() -> dict[str, int]:
+        _, e = own()
+        compared = materialize(resolve.compare_flavors(e))
+        if compared.isEmpty():
+            return {}
+        _add_edges(store, org, materialize(resolve.annotate_flavors(e, compared, now)), now)
+        return {r["status"]: r["count"] for r in compared.groupBy("status").count().collect()}
 
     def invocable() -> dict[str, int]:
         n, e = own()
-        r = resolve.resolve_invocable(e, n.filter(F.col("label") == "ApexMethod"))
+        r = resolve.resolve_invocable(e, n.filter(F.col("label").isin("ApexMethod", "TestMethod")))
         _add_edges(store, org, r.edges, now)
         return r.counters.first().asDict()
 
@@ -69,7 +87,7 @@ def run_resolvers(store: GraphStore, org: str, now: int) -> dict[str, dict[str,
         _add_edges(store, org, r.edges, now)
         return r.counters.first().asDict()
 
-    for step in (flavors, invocable, arity, references):
+    for step in (flavors, invocable, arity, references, overlap):
         try:
             out[step.__name__] = step()
         except Exception as error:
@@ -77,7 +95,20 @@ def run_resolvers(store: GraphStore, org: str, now: int) -> dict[str, dict[str,
     return out
 
 
-def sync(store: GraphStore, members: DataFrame, org: str, mode: str = "full", now: int | None = None, detect_deletions: bool = True, snapshot: bool = True, keep_days: int = 30, analyse: bool = True) -> Report:
+def embed_nodes(store: GraphStore, org: str, embedder: Callable) -> dict[str, int]:
+    """Embeds nodes (label, name and description) whose text has no vector yet. An embedder that fails ends no sync."""
+    n = store.read("nodes").filter((F.col("org_id") == org) & (F.col("label") != "ParseError"))
+    text = F.concat_ws(" ", "label", F.regexp_replace("qname", "^[^:]*:", ""), F.get_json_object("attributes", "$.description"))
+    try:
+        if store._current("node_vectors"):
+            n = vector.stale_vectors(n, store.read("node_vectors").filter(F.col("org_id") == org), text)
+        made = materialize(vector.embed(n, text, embedder).withColumn("org_id", F.lit(org)))
+        return store.upsert_vectors(made)
+    except Exception as error:
+        return {"failed": 1, str(error)[:80]: 1}
+
+
+def sync(store: GraphStore, members: DataFrame, org: str, mode: str = "full", now: int | None = None, detect_deletions: bool = True, snapshot: bool = True, keep_days: int = 30, analyse: bool = True, namespace: str | None = None, embedder: Callable | None = vector.hashing_embedder) -> Report:
     """Merges members (schema.MEMBERS, with org_id) into the store.
 
     A full sync deletes nodes that it did not touch, but only if nothing failed to parse, and only of labels that it
@@ -104,7 +135,9 @@ def sync(store: GraphStore, members: DataFrame, org: str, mode: str = "full", no
     out.deleted = dead.count()
     if out.deleted:
         store.delete_nodes(dead)
-    out.resolved = run_resolvers(store, org, at)
+    out.resolved = run_resolvers(store, org, at, namespace)
+    if embedder is not None:
+        out.embedded = embed_nodes(store, org, embedder)
     n, e = store.read("nodes").filter(F.col("org_id") == org), store.read("edges").filter(F.col("org_id") == org)
     out.dangling = audit.dangling(e, n).count()
     store.write("orgs", store.read("orgs").withColumn("last_synced_at", F.when(F.col("id") == org, F.lit(at)).otherwise(F.col("last_synced_at"))))

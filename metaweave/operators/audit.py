@@ -43,6 +43,11 @@ def in_degrees(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("dst").alias("qname")).agg(F.count("*").alias("in_degree"))
 
 
+#: Labels that are looked at for dead code: at once, and for the table of scores. Fixed values (components under both names they have here).
+DEAD_LABELS = ["ApexClass", "LWC", "LightningComponentBundle", "Flow"]
+SCORED_LABELS = [*DEAD_LABELS, "ApexPage", "ApexComponent"]
+
+
 def dead_code_scores(nodes: DataFrame, edges: DataFrame, now: int) -> DataFrame:
     """qname, in_degree, score, confidence (how surely it is dead) and reasons; nodes both referenced and current are left out."""
     d = nodes.select("qname", "label", freshness(F.col("last_modified_at"), now).alias("fresh")).join(in_degrees(edges), "qname", "left").withColumn("in_degree", F.coalesce("in_degree", F.lit(0)).cast("long"))
@@ -107,31 +112,48 @@ def access_gaps(fields: DataFrame, edges: DataFrame, nodes: DataFrame, rel: str
     return fields.select("qname").join(granted_by(edges, nodes, rel, granters), "qname", "left_anti")
 
 
+#: Values of a sharing rule's access and accessLevel that count as full access. Fixed values.
+FULL_ACCESS = {"access": ("Edit",), "accessLevel": ("Edit", "All")}
+
+
 def open_sharing(nodes: DataFrame) -> DataFrame:
-    """Sharing rules that give full access, as findings."""
-    level = F.lower(F.get_json_object("attributes", "$.accessLevel"))
-    return nodes.filter(F.col("label").startswith("Sharing") & level.isin("all", "full", "fullaccess")).select("org_id", "qname", F.lit("sharing-full-access").alias("rule_id"), F.lit(-1).cast("long").alias("line"), F.lit("error").alias("severity"), F.lit("Sharing rule gives full access").alias("message"), level.alias("evidence"))
+    """Sharing rules that give full access, as rows of the findings table."""
+    read = {k: F.get_json_object("attributes", f"$.{k}") for k in FULL_ACCESS}
+    full = F.lit(False)
+    for key, values in FULL_ACCESS.items():
+        full = full | F.coalesce(read[key].isin(*values), F.lit(False))
+    shown = F.to_json(F.struct(F.coalesce(read["accessLevel"], read["access"]).alias("accessLevel")))
+    return nodes.filter((F.col("label") == "SharingRule") & full).select("org_id", "qname", F.lit("sharing.full_access").alias("rule_id"), F.lit(-1).cast("long").alias("line"), F.lit("high").alias("severity"), F.lit("sharing rule grants full access (All/Edit)").alias("message"), shown.alias("evidence"))
 
 
 def governor_risks(snippets: DataFrame) -> DataFrame:
-    """snippets: qname, text (Apex), trigger (bool). qname, risk_type, line, evidence of what runs into limits; each (risk_type, line) once.
+    """snippets: qname, text (Apex). qname, risk_type, line, evidence of what runs into limits; each (risk_type, line) once.
 
     Loops need a scan that counts braces, so source goes through Python in Arrow batches, a snippet at a time.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(q, kind, line, text) for q, source, trigger in zip(b["qname"], b["text"], b["trigger"]) for kind, line, text in scan_source(source or "", bool(trigger))]
+            rows = [(q, kind, line, text) for q, source in zip(b["qname"], b["text"]) for kind, line, text in scan_source(source or "")]
             yield pd.DataFrame(rows, columns=["qname", "risk_type", "line", "evidence"])
 
-    return snippets.select("qname", "text", "trigger").mapInPandas(run, "qname string, risk_type string, line long, evidence string")
+    return snippets.select("qname", "text").mapInPandas(run, "qname string, risk_type string, line long, evidence string")
+
+
+#: Attributes by which a parser hints at a risk, and the risk. Fixed values.
+RISK_FLAGS = {"hasSoqlInLoop": "soql_in_loop", "hasDmlInLoop": "dml_in_loop"}
 
 
 def governor_flags(nodes: DataFrame) -> DataFrame:
     """Risks that a parser has left as flags in the attributes."""
-    flags = {"hasSoqlInLoop": "soql_in_loop", "hasDmlInLoop": "dml_in_loop", "hasUnboundedQuery": "unbounded_query", "hasNoBulkHandling": "trigger_no_bulk"}
-    each = F.array_compact(F.array(*[F.when(F.get_json_object("attributes", f"$.{f}") == "true", F.lit(kind)) for f, kind in flags.items()]))
-    return nodes.select("qname", F.explode(each).alias("risk_type"))
+    each = F.array_compact(F.array(*[F.when(F.get_json_object("attributes", f"$.{f}") == "true", F.struct(F.lit(kind).alias("risk_type"), F.lit(f"attribute {f}=true").alias("evidence"))) for f, kind in RISK_FLAGS.items()]))
+    return nodes.select("qname", F.explode(each).alias("x")).select("qname", "x.risk_type", F.lit(-1).cast("long").alias("line"), "x.evidence")
+
+
+def risks_with_hints(risks: DataFrame, nodes: DataFrame) -> DataFrame:
+    """risks and, at line -1, what the attributes of classes and triggers hint at."""
+    hints = governor_flags(nodes.filter(F.col("label").isin("ApexClass", "ApexTrigger"))).withColumn("evidence", F.lit("attribute hint"))
+    return risks.unionByName(hints)
 
 
 def staleness(last_synced: Column, now: int) -> tuple[Column, Column]:
@@ -140,39 +162,45 @@ def staleness(last_synced: Column, now: int) -> tuple[Column, Column]:
     return days, days.isNull() | (days >= 7)
 
 
-#: Rules that findings refer to: level and text. Fixed values.
+#: Rules that findings refer to: level and short description. Fixed values.
 RULES = {
-    "dead-code": ("warning", "Nothing refers to this and it has not changed for long"),
-    "soql-in-loop": ("error", "Query inside a loop"),
-    "dml-in-loop": ("error", "Data change inside a loop"),
-    "unbounded-query": ("warning", "Query without a condition or a limit"),
-    "trigger-no-bulk": ("warning", "Trigger does not work on all its records"),
-    "sharing-full-access": ("error", "Sharing rule gives full access"),
-    "field-access-gap": ("note", "No permission set grants this field"),
-    "dangling-reference": ("warning", "Reference to something unknown"),
+    "governor.soql-in-loop": ("error", "Apex method executes SOQL inside a loop."),
+    "governor.dml-in-loop": ("error", "Apex method executes DML inside a loop."),
+    "governor.unbounded-query": ("warning", "Apex method runs SOQL with no LIMIT or WHERE."),
+    "governor.no-bulk": ("error", "Trigger touches a single record per fire — fails on bulk DML."),
+    "security.fls-gap": ("warning", "CustomField has no FLS grant on any profile/permission set."),
+    "security.sharing-full-access": ("warning", "OWD or sharing rule grants Modify All / View All to a broad audience."),
+    "dead-code.unreferenced": ("note", "Node has no incoming edges and is not an obvious entry point."),
+    "graph.dangling-edge": ("note", "Edge points to a destination node that doesn't exist in the graph."),
 }
 
 
-def as_findings(rule: Column | str, found: DataFrame, line: str | None = None, evidence: str | None = None) -> DataFrame:
+def as_findings(rule: Column | str, found: DataFrame, message: Column, line: str | None = None, evidence: str | None = None) -> DataFrame:
     rule = F.lit(rule) if isinstance(rule, str) else rule
-    return found.select(rule.alias("rule_id"), "qname", (F.col(line).cast("long") if line else F.lit(None).cast("long")).alias("line"), (F.col(evidence).cast("string") if evidence else F.lit(None).cast("string")).alias("evidence"))
+    return found.select(rule.alias("rule_id"), "qname", message.alias("message"), (F.col(line).cast("long") if line else F.lit(None).cast("long")).alias("line"), (F.col(evidence).cast("string") if evidence else F.lit(None).cast("string")).alias("evidence"))
 
 
 def collect_findings(dead: DataFrame | None = None, governor: DataFrame | None = None, sharing: DataFrame | None = None, gaps: DataFrame | None = None, loose: DataFrame | None = None) -> DataFrame:
-    """Findings of the audits given, with level and message of their rules (joined by a broadcast: RULES)."""
-    parts = [
-        as_findings("dead-code", dead) if dead is not None else None,
-        as_findings(F.replace("risk_type", F.lit("_"), F.lit("-")), governor, "line" if "line" in governor.columns else None) if governor is not None else None,
-        as_findings("sharing-full-access", sharing) if sharing is not None else None,
-        as_findings("field-access-gap", gaps) if gaps is not None else None,
-        as_findings("dangling-reference", loose.select(F.col("src").alias("qname"), "dst"), evidence="dst") if loose is not None else None,
-    ]
-    parts = [p for p in parts if p is not None]
+    """Findings of the audits given: rule_id, level (that of the rule), qname, message, line, evidence. A dangling edge is found at its source."""
+    parts = []
+    if governor is not None:
+        parts.append(as_findings(F.concat(F.lit("governor."), F.replace("risk_type", F.lit("_"), F.lit("-"))), governor, F.concat("qname", F.lit(": "), "evidence"), "line", "evidence"))
+    if gaps is not None:
+        parts.append(as_findings("security.fls-gap", gaps, F.concat("qname", F.lit(": no FLS grant on any profile/permission set"))))
+    if sharing is not None:
+        parts.append(as_findings("security.sharing-full-access", sharing, F.concat("qname", F.lit(": granted full access via sharing rule or OWD"))))
+    if dead is not None:
+        parts.append(as_findings("dead-code.unreferenced", dead, F.concat("qname", F.lit(": no incoming references"))))
+    if loose is not None:
+        text = F.concat("qname", F.lit(" --"), "rel_type", F.lit("--> "), "dst", F.lit(": dst node missing"))
+        parts.append(as_findings("graph.dangling-edge", loose.withColumnRenamed("src", "qname"), text, evidence="dst"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    rules = out.sparkSession.createDataFrame([(k, *v) for k, v in RULES.items()], "rule_id string, level string, message string")
-    return out.join(F.broadcast(rules), "rule_id", "left")
+    level = F.lit("warning")
+    for rule, (own, _) in RULES.items():
+        level = F.when(F.col("rule_id") == rule, own).otherwise(level)
+    return out.withColumn("level", level)
 
 
 def per_rule(findings: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,23 +45,31 @@ def diff_working_tree(local: DataFrame, stored: DataFrame, walked_labels: list[s
     return d if walked_labels is None else d.filter((F.col("change") != REMOVED) | F.col("label").isin(walked_labels))
 
 
-#: Labels whose type in a deployment manifest has another name. Fixed values.
-MEMBER_TYPES = {"LWC": "LightningComponentBundle", "LWCBundle": "LightningComponentBundle", "ApexInterface": "ApexClass", "PlatformEvent": "CustomObject", "CustomMetadataRecord": "CustomMetadata"}
+#: Labels that a deployment manifest has members of, by the type they have there: first those of the same name, then the others. Fixed values.
+SAME_TYPES = """
+ApexClass ApexTrigger ApexPage ApexComponent LightningComponentBundle AuraDefinitionBundle Flow CustomObject CustomField Profile
+PermissionSet PermissionSetGroup NamedCredential ExternalServiceRegistration PlatformEventChannel StaticResource Layout RecordType
+ValidationRule Workflow WorkflowRule ApprovalProcess Queue Group Role ConnectedApp RemoteSiteSetting EmailTemplate Report Dashboard
+FlexiPage DuplicateRule Network GenAiPlanner GenAiPlugin
+""".split()
+OTHER_TYPES = {"SharingRule": "SharingRules", "CustomLabel": "CustomLabels", "CustomMetadataType": "CustomObject", "CustomMetadataRecord": "CustomMetadata", "MatchingRule": "MatchingRules"}
 API_VERSION = "59.0"
 
 
-def member_name(qname: Column) -> Column:
-    """What follows the prefix, without a method's signature."""
-    return F.regexp_replace(F.substring(qname, F.instr(qname, ":") + 1, 10_000), r"\(\d*\?*\)$", "")
+def member_name(label: Column, qname: Column) -> Column:
+    """What follows the prefix; of a sharing rule the object's name only."""
+    name = F.substring(qname, F.instr(qname, ":") + 1, F.length(qname))
+    return F.when(label == "SharingRule", F.substring_index(name, ".", 1)).otherwise(name)
 
 
 def manifest_members(diff: DataFrame) -> DataFrame:
-    """diff: qname, label, side. destructive, type, and the sorted distinct members: adds are what only A has or what changed, removals what only B has."""
-    kind = F.col("label")
-    for label, name in MEMBER_TYPES.items():
-        kind = F.when(F.col("label") == label, name).otherwise(kind)
-    d = diff.select((F.col("side") == "only_in_b").alias("destructive"), kind.alias("type"), member_name(F.col("qname")).alias("member"))
-    return d.groupBy("destructive", "type").agg(F.array_sort(F.collect_set("member")).alias("members"), F.count("*").alias("n"))
+    """diff: qname, label, side. destructive, type, the sorted distinct members and the number of nodes: adds are what only A has or what
+    changed, removals what only B has. Labels that no manifest has members of are left out."""
+    kind = F.when(F.col("label").isin(SAME_TYPES), F.col("label"))
+    for label, name in OTHER_TYPES.items():
+        kind = kind.when(F.col("label") == label, name)
+    d = diff.select((F.col("side") == "only_in_b").alias("destructive"), kind.alias("type"), member_name(F.col("label"), F.col("qname")).alias("member"))
+    return d.filter(F.col("type").isNotNull() & (F.col("member") != "")).groupBy("destructive", "type").agg(F.array_sort(F.collect_set("member")).alias("members"), F.count("*").alias("n"))
 
 
 def escape_xml(c: Column) -> Column:
@@ -94,20 +100,21 @@ def parse_diff(text: DataFrame) -> DataFrame:
 
 #: Where files of a project belong: pattern, and the qname its groups make. Fixed values, tried in order.
 PATH_RULES = [
-    (r"(?:^|/)classes/([^/]+)\.cls(?:-meta\.xml)?$", "ApexClass:$1"),
-    (r"(?:^|/)triggers/([^/]+)\.trigger(?:-meta\.xml)?$", "ApexTrigger:$1"),
-    (r"(?:^|/)lwc/([^/]+)/", "LWC:$1"),
-    (r"(?:^|/)flows/([^/]+)\.flow-meta\.xml$", "Flow:$1"),
-    (r"(?:^|/)objects/([^/]+)/fields/([^/]+)\.field-meta\.xml$", "CustomField:$1.$2"),
-    (r"(?:^|/)objects/([^/]+)/\1\.object-meta\.xml$", "CustomObject:$1"),
-    (r"(?:^|/)permissionsets/([^/]+)\.permissionset-meta\.xml$", "PermissionSet:$1"),
+    (r"classes/([^/]+)\.cls(?:-meta\.xml)?$", "ApexClass:$1"),
+    (r"triggers/([^/]+)\.trigger(?:-meta\.xml)?$", "ApexTrigger:$1"),
+    (r"lwc/([^/]+)/.*$", "LWC:$1"),
+    (r"flows/([^/]+)\.flow(?:-meta\.xml)?$", "Flow:$1"),
+    (r"objects/([^/]+)/fields/([^/]+)\.field-meta\.xml$", "CustomField:$1.$2"),
+    (r"objects/([^/]+)/\1\.object-meta\.xml$", "CustomObject:$1"),
+    (r"objects/([^/]+)\.object$", "CustomObject:$1"),
 ]
 
 
 def path_to_qname(path: Column) -> Column:
-    """The qname a project file stands for; null for other files."""
+    """The qname a project file stands for, whichever way its slashes lean; null for other files."""
+    path = F.replace(path, F.lit("\\"), F.lit("/"))
     out = F.lit(None).cast("string")
     for pattern, name in reversed(PATH_RULES):
-        whole = F.regexp_extract(path, pattern, 0)
-        out = F.when(path.rlike(pattern), F.regexp_replace(whole, pattern, re.sub(r"^", "", name))).otherwise(out)
+        made = F.regexp_replace(F.regexp_extract(path, pattern, 0), pattern, name)
+        out = F.when(path.rlike(pattern), made).otherwise(out)
     return out

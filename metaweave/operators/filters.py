@@ -65,11 +65,17 @@ def search(nodes: DataFrame, text: str, limit: int = 100) -> DataFrame:
 
 
 def in_scope(qname: Column, object_name: str | None = None, field: str | None = None) -> Column:
-    """Whether a qname is the field of the object, or any field of it if no field is given; all are without an object."""
+    """Whether a qname is the field of the object, or the object or any field of it if no field is given; all are without an object.
+
+    The object may have a label before it, and the field may be a whole qname.
+    """
     bare = F.substring_index(qname, ":", -1)
+    if field and ":" in field:
+        return qname == field
     if not object_name:
         return F.lit(True)
-    return bare == f"{object_name}.{field}" if field else bare.startswith(object_name + ".")
+    name = object_name.split(":")[-1]
+    return bare == f"{name}.{field}" if field else bare.startswith(name + ".") | (bare == name)
 
 
 def adjacent(edges: DataFrame, qname: str, reverse: bool = False, rel: str | None = None) -> DataFrame:

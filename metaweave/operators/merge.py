@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 INSERTED, UPDATED, UNCHANGED = "inserted", "updated", "unchanged"
@@ -21,10 +21,11 @@ def merge_actions(stored: DataFrame, facts: DataFrame, key: list[str], changed_b
     return d.select(*key, action.alias("action"))
 
 
-def merge(stored: DataFrame, facts: DataFrame, key: list[str], now: int, changed_by: str = "source_hash", modified: bool = True) -> DataFrame:
+def merge(stored: DataFrame, facts: DataFrame, key: list[str], now: int, changed_by: str = "source_hash", modified: bool = True, seen: Observation | None = None) -> DataFrame:
     """stored with facts (one of each key): new rows as they are; changed ones with the fact's content, the first time seen kept; unchanged ones seen again.
 
     Both sides are shuffled once, on the key. Times are milliseconds; last_modified_at moves only with content.
+    seen: gets how many were inserted, updated and unchanged once the result has been written.
     """
     content = [c for c in stored.columns if c not in (*key, "first_seen_at", "last_seen_at", "last_modified_at")]
     s = stored.select(*key, F.struct(*[c for c in stored.columns if c not in key]).alias("o"), F.lit(True).alias("__had"))
@@ -33,6 +34,8 @@ def merge(stored: DataFrame, facts: DataFrame, key: list[str], now: int, changed
     new, had = F.col("__new").isNotNull(), F.col("__had").isNotNull()
     changed = new & had & ~F.col(f"o.{changed_by}").eqNullSafe(F.col(f"f.{changed_by}"))
     fresh = new & (~had | changed)
+    if seen is not None:
+        d = d.observe(seen, F.count_if(new & ~had).alias(INSERTED), F.count_if(changed).alias(UPDATED), F.count_if(new & had & ~changed).alias(UNCHANGED))
     out = [F.col(k) for k in key] + [F.when(fresh, F.col(f"f.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in content]
     times = {"first_seen_at": F.when(had, F.col("o.first_seen_at")).otherwise(F.lit(now)), "last_seen_at": F.when(new, F.lit(now)).otherwise(F.col("o.last_seen_at"))}
     if modified:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import json_leaves, normalize_key
+from ..functions.scalar import json_leaves, json_with, normalize_key
 
 
 @dataclass
@@ -43,79 +43,114 @@ def resolve_arity(edges: DataFrame, methods: DataFrame, rel: str = "CALLS", limi
     return Resolved(kept.unionByName(made).dropDuplicates(["rel_type", "src", "dst"]), counters)
 
 
+#: A method's qname, as far as flows can call it: class, name, arity. Fixed value.
+METHOD = r"^ApexMethod:(.+)\.([A-Za-z_]\w*)\(\d+\)$"
+
+
 def resolve_invocable(edges: DataFrame, methods: DataFrame) -> Resolved:
-    """Flow -> class edges become flow -> method edges where the class has exactly one invocable method."""
-    own, _, _ = method_parts(F.col("qname"))
-    flag = F.get_json_object("attributes", "$.isInvocable") == "true"
-    byclass = methods.filter(flag).select(own.alias("c"), "qname").groupBy("c").agg(F.count("*").alias("n"), F.min("qname").alias("method"))
-    d = edges.filter(F.col("rel_type") == "FLOW_INVOKES_APEX").withColumn("c", F.substring_index("dst", ":", -1)).join(byclass, "c", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    made = d.filter("n = 1").select("src", F.col("method").alias("dst"), F.lit("FLOW_INVOKES_METHOD").alias("rel_type"))
-    counters = d.agg(F.count("*").alias("scanned"), F.count_if(F.col("n") == 1).alias("resolved"), F.count_if(F.col("n") > 1).alias("ambiguous"), F.count_if(F.col("n") == 0).alias("missing"))
+    """FLOW_INVOKES_APEX_METHOD edges from flows to every invocable method of the class they name, marked ambiguous if there are several.
+
+    methods: qname, attributes. The edges keep the attributes of those to the class, which stay. Counters: scanned, resolved (with any method),
+    ambiguous (with several), missing (with none).
+    """
+    flag = (F.get_json_object("attributes", "$.isInvocable") == "true") & F.col("qname").rlike(METHOD)
+    byclass = methods.filter(flag).select(F.regexp_extract("qname", METHOD, 1).alias("c"), "qname").groupBy("c").agg(F.collect_set("qname").alias("found"))
+    d = edges.filter((F.col("rel_type") == "FLOW_INVOKES_APEX") & F.col("dst").startswith("ApexClass:"))
+    d = d.withColumn("c", F.substring("dst", F.lit(len("ApexClass:") + 1), F.length("dst"))).join(byclass, "c", "left").withColumn("n", F.when(F.col("found").isNull(), 0).otherwise(F.size("found")))
+    own = F.col("attributes") if "attributes" in edges.columns else F.lit(None).cast("string")
+    attributes = json_with(own, {"resolvedBy": F.lit("flow-invocable-resolver"), "ambiguous": F.col("n") > 1})
+    made = d.filter("n > 0").select("src", F.explode("found").alias("dst"), F.lit("FLOW_INVOKES_APEX_METHOD").alias("rel_type"), attributes.alias("attributes"), (F.col("n") > 1).alias("ambiguous"))
+    counters = d.agg(F.count("*").alias("scanned"), F.count_if(F.col("n") > 0).alias("resolved"), F.count_if(F.col("n") > 1).alias("ambiguous"), F.count_if(F.col("n") == 0).alias("missing"))
     return Resolved(made, counters)
 
 
-#: Labels of the two flavours of the same thing. Fixed values.
+#: Labels of the two flavours of the same thing, and what stands for both in a signature. Fixed values.
 FLAVOR_PAIRS = [("DataRaptor", "OmniDataTransform"), ("IntegrationProcedure", "OmniIntegrationProcedure"), ("OmniScript", "OmniProcess"), ("VlocityCard", "OmniUiCard")]
+FLAVOR_TOKENS = ["dr_or_odt", "ip_or_oip", "os_or_op", "vc_or_ouc"]
 
 
-def link_flavors(nodes: DataFrame, pairs: list[tuple[str, str]] = FLAVOR_PAIRS) -> DataFrame:
-    """CANONICAL_OF edges, both ways, between nodes of paired labels with one normalised name; of equal names the last qname stands."""
+def link_flavors(nodes: DataFrame, pairs: list[tuple[str, str]] = FLAVOR_PAIRS, namespace: str | None = None) -> DataFrame:
+    """CANONICAL_OF edges, both ways, between nodes of paired labels with one normalised name, with `pair` (the labels, the source's first); of equal names the last qname stands."""
     made = None
-    keyed = nodes.select("qname", "label", normalize_key(F.col("qname")).alias("k"))
+    keyed = nodes.select("qname", "label", normalize_key(F.col("qname"), namespace).alias("k"))
     for a, b in pairs:
         one = keyed.filter(F.col("label") == a).groupBy("k").agg(F.max("qname").alias("x"))
         d = one.join(keyed.filter(F.col("label") == b).select("k", F.col("qname").alias("y")), "k")
-        both = d.select(F.col("x").alias("src"), F.col("y").alias("dst")).unionByName(d.select(F.col("y").alias("src"), F.col("x").alias("dst")))
+        both = d.select(F.col("x").alias("src"), F.col("y").alias("dst"), F.lit(f"{a}<>{b}").alias("pair")).unionByName(d.select(F.col("y").alias("src"), F.col("x").alias("dst"), F.lit(f"{b}<>{a}").alias("pair")))
         made = both if made is None else made.unionByName(both)
     return made.withColumn("rel_type", F.lit("CANONICAL_OF"))
 
 
-def family(label: Column) -> Column:
-    """The family two flavours' labels fall into."""
-    return F.when(label.rlike("DataRaptor|DataTransform"), "data").when(label.rlike("IntegrationProcedure"), "procedure").when(label.rlike("OmniScript|OmniProcess"), "script").when(label.rlike("Card"), "card").otherwise(label)
+def unite_flavors(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """The nodes that links join (src, pair), with the union of their `flavors` and both labels in the attributes, and a hash that tells the change."""
+    labels = links.select(F.col("src").alias("qname"), F.split("pair", "<>").alias("labels")).distinct().groupBy("qname").agg(F.flatten(F.collect_list("labels")).alias("labels"))
+    d = nodes.join(labels, "qname")
+    old = F.from_json(F.get_json_object("attributes", "$.flavors"), "array<string>")
+    d = d.withColumn("next", F.array_sort(F.array_distinct(F.concat(F.coalesce(old, F.array().cast("array<string>")), "labels"))))
+    without = F.regexp_replace(F.regexp_replace("attributes", r'"flavors"\s*:\s*\[[^\]]*\]\s*,?\s*', ""), r",\s*\}$", "}")
+    d = d.withColumns({"attributes": json_with(without, {"flavors": F.col("next")}), "source_hash": F.concat(F.col("source_hash"), F.lit("+canonical:"), F.array_join("next", ","))})
+    return d.select(nodes.columns)
 
 
-def relation_family(rel: Column) -> Column:
-    """Relations of two flavours that mean the same."""
-    return F.when(rel.rlike("_CALLS_DR|_USES_DR|DATA_TRANSFORM"), "uses_data").when(rel.rlike("_CALLS_IP|INTEGRATION_PROCEDURE"), "calls_procedure").when(rel.rlike("EMBEDS_VC|UI_CARD"), "embeds_card").when(rel.rlike("REMOTE"), "invokes_remote").otherwise(rel)
+def signature_token(qname: Column) -> Column:
+    """What an edge's target counts as: the two labels of a flavour as one, others by their label in lower case."""
+    out = F.lower(F.substring_index(qname, ":", 1))
+    for pair, token in zip(FLAVOR_PAIRS, FLAVOR_TOKENS):
+        out = F.when(qname.rlike("(?i)^(" + "|".join(pair) + "):"), token).otherwise(out)
+    return out
 
 
 def compare_flavors(edges: DataFrame) -> DataFrame:
-    """For each unordered pair of CANONICAL_OF nodes: status (matched, diverged, empty) and the points in which their outgoing edges differ, as `key: n vs m`."""
-    pairs = edges.filter("rel_type = 'CANONICAL_OF'").select(F.least("src", "dst").alias("x"), F.greatest("src", "dst").alias("y")).distinct()
-    key = F.concat_ws("|", relation_family(F.col("rel_type")), family(F.substring_index("dst", ":", 1)))
-    signs = edges.filter("rel_type <> 'CANONICAL_OF'").select(F.col("src").alias("q"), key.alias("k")).groupBy("q", "k").agg(F.count("*").alias("n"))
+    """For each CANONICAL_OF pair (x the older flavour, y the newer): status (matched, diverged, empty) and the points in which their outgoing
+    edges differ, as `relation|token: n vs m` in order of the keys. Relations count by their names."""
+    older = F.substring_index("src", ":", 1).isin([a for a, _ in FLAVOR_PAIRS])
+    pairs = edges.filter((F.col("rel_type") == "CANONICAL_OF") & older).select(F.col("src").alias("x"), F.col("dst").alias("y")).distinct()
+    signs = edges.filter("rel_type <> 'CANONICAL_OF'").select(F.col("src").alias("q"), F.concat_ws("|", "rel_type", signature_token(F.col("dst"))).alias("k")).groupBy("q", "k").agg(F.count("*").alias("n"))
     sides = []
     for end in ("x", "y"):
         sides.append(pairs.join(signs.withColumnRenamed("q", end), end).select("x", "y", "k", F.col("n").alias("n" + end)))
     d = sides[0].join(sides[1], ["x", "y", "k"], "full_outer").na.fill(0, ["nx", "ny"])
-    point = F.when(F.col("nx") != F.col("ny"), F.concat(F.col("k"), F.lit(": "), F.col("nx").cast("string"), F.lit(" vs "), F.col("ny").cast("string")))
-    per = d.groupBy("x", "y").agg(F.array_sort(F.collect_list(point)).alias("points"))
+    point = F.when(F.col("nx") != F.col("ny"), F.struct("k", F.concat(F.col("k"), F.lit(": "), F.col("nx").cast("string"), F.lit(" vs "), F.col("ny").cast("string")).alias("text")))
+    per = d.groupBy("x", "y").agg(F.transform(F.array_sort(F.collect_list(point)), lambda p: p["text"]).alias("points"))
     out = pairs.join(per, ["x", "y"], "left")
     return out.select("x", "y", F.when(F.col("points").isNull(), "empty").when(F.size("points") == 0, "matched").otherwise("diverged").alias("status"), F.coalesce("points", F.array().cast("array<string>")).alias("points"))
 
 
+def annotate_flavors(edges: DataFrame, compared: DataFrame, at: int) -> DataFrame:
+    """The CANONICAL_OF edges of compared pairs, both ways, with signaturesMatch, divergencePoints and overlapEvaluatedAt (ms) in their attributes."""
+    both = compared.select(F.col("x").alias("src"), F.col("y").alias("dst"), "points").unionByName(compared.select(F.col("y").alias("src"), F.col("x").alias("dst"), "points"))
+    d = edges.filter("rel_type = 'CANONICAL_OF'").join(both, ["src", "dst"])
+    return d.select("src", "dst", "rel_type", json_with(F.col("attributes"), {"signaturesMatch": F.size("points") == 0, "divergencePoints": F.col("points"), "overlapEvaluatedAt": F.lit(at)}).alias("attributes"))
+
+
 #: Words that are never names of nodes. Fixed values.
-RESERVED = ["true", "false", "null", "none", "string", "boolean", "integer", "number", "object", "array", "date", "datetime", "text", "active", "inactive", "draft", "public", "private", "global", "default", "custom"]
+RESERVED = ["true", "false", "null", "undefined", "this", "self", "string", "number", "boolean", "object", "array", "any", "void", "id", "name", "type", "value", "default", "none", "yes", "no"]
 
 
-def infer_references(nodes: DataFrame, scope: list[str] | None = None, per_source: int = 200) -> Resolved:
+def infer_references(nodes: DataFrame, scope: list[str] | None = None, per_source: int = 200, min_length: int = 4) -> Resolved:
     """REFERENCES edges to nodes whose bare name stands as a string anywhere in a node's attributes: as it is, else in lower case.
 
-    Strings that are short, reserved, numeric or have white space don't count. `ambiguous` if several labels have
-    the name; at most per_source edges of a source, in order of target and path.
+    Strings that are short, reserved, numeric or have white space don't count. `via_key`: the nearest key above the string. `ambiguous` if
+    several nodes have the name; at most per_source edges of a source, in order of target and path. No source needs more than the first
+    per_source + 1 nodes of a name, so a name has no more rows than that; a value counts once a source before the join.
     """
     d = nodes.filter(F.col("label").isin(scope)) if scope else nodes
-    leaf = json_leaves(d.select("qname", "attributes")).select(F.col("qname").alias("src"), "path", F.trim("value").alias("v"))
-    leaf = leaf.filter((F.length("v") >= 4) & ~F.lower("v").isin(RESERVED) & ~F.col("v").rlike(r"\s") & ~F.col("v").rlike("^[0-9-]+$"))
-    names = d.select(F.col("qname").alias("dst"), F.regexp_replace("qname", "^[^:]*:", "").alias("name"))
-    exact = leaf.join(names.withColumnRenamed("name", "v"), "v")
-    rest = leaf.join(names.select(F.col("name").alias("v")).distinct(), "v", "left_anti").withColumn("v", F.lower("v"))
-    lower = rest.join(names.select("dst", F.lower("name").alias("v")), "v")
-    found = exact.select("src", "dst", "path", "v").unionByName(lower.select("src", "dst", "path", "v")).filter("src <> dst")
-    found = found.withColumn("ambiguous", F.size(F.collect_set("dst").over(Window.partitionBy("src", "path", "v"))) > 1)
-    first = found.groupBy("src", "dst").agg(F.min("path").alias("via_key"), F.max("ambiguous").alias("ambiguous"))
-    w = Window.partitionBy("src").orderBy("dst", "via_key")
-    ranked = first.withColumn("n", F.row_number().over(w))
+    leaf = json_leaves(d.select("qname", "attributes")).select(F.col("qname").alias("src"), "path", "key", F.col("value").alias("v"))
+    leaf = leaf.filter((F.length("v") >= min_length) & ~F.lower("v").isin(RESERVED) & ~F.col("v").rlike(r"\s") & ~F.col("v").rlike("^[0-9-]+$"))
+    leaf = leaf.groupBy("src", "v").agg(F.min(F.struct("path", "key")).alias("at"))
+    names = d.select(F.col("qname").alias("dst"), F.regexp_replace("qname", "^[^:]*:", "").alias("name")).filter("name <> ''")
+
+    def candidates(key: Column) -> DataFrame:
+        keyed = names.select(key.alias("v"), "dst")
+        many = keyed.groupBy("v").agg((F.count("*") > 1).alias("ambiguous"))
+        first = keyed.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("dst"))).filter(F.col("n") <= per_source + 1)
+        return first.groupBy("v").agg(F.collect_list("dst").alias("found")).join(many, "v")
+
+    exact = leaf.join(candidates(F.col("name")), "v", "left")
+    rest = exact.filter("found is null").select(F.lower("v").alias("v"), "src", "at")
+    hit = exact.filter("found is not null").select("src", "at", "found", "ambiguous").unionByName(rest.join(candidates(F.lower("name")), "v").select("src", "at", "found", "ambiguous"))
+    found = hit.select("src", "at", "ambiguous", F.explode("found").alias("dst")).filter("src <> dst")
+    first = found.groupBy("src", "dst").agg(F.min(F.struct("at.path", "at.key", "ambiguous")).alias("f")).select("src", "dst", F.col("f.path").alias("path"), F.col("f.key").alias("via_key"), F.col("f.ambiguous").alias("ambiguous"))
+    ranked = first.withColumn("n", F.row_number().over(Window.partitionBy("src").orderBy("dst", "path")))
     counters = ranked.agg(F.count_if(F.col("n") <= per_source).alias("edges"), F.count_distinct(F.when(F.col("n") > per_source, F.col("src"))).alias("truncated_sources"))
     return Resolved(ranked.filter(F.col("n") <= per_source).select("src", "dst", F.lit("REFERENCES").alias("rel_type"), "via_key", "ambiguous"), counters)

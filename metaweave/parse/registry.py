@@ -9,9 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import apex, lwc, markup, omni
+from . import apex, lwc, markup, metadata, omni
 from .base import Context, Facts, parse_json
-from .rules import RULES, Rule, run_rule
+from .rules import Rule, run_rule
 
 #: (name, content, context) -> Facts. The content of bundles, objects and rules with several fields is JSON.
 Parser = Callable[[str, str, Context], Facts]
@@ -69,8 +69,8 @@ register("VlocityDataRaptor", omni.parse_data_raptor)
 register("OmniDataTransform", omni.parse_data_transform)
 for _kind, _label in {"VlocityIntegrationProcedure": "IntegrationProcedure", "VlocityOmniScript": "OmniScript", "VlocityCard": "VlocityCard", "OmniProcess": "OmniProcess", "OmniIntegrationProcedure": "OmniIntegrationProcedure", "OmniUiCard": "OmniUiCard"}.items():
     register(_kind, lambda name, content, context, label=_label: omni.parse_elements(label, name, content, context))
-for _rule in RULES:
-    register_rule(_rule)
+for _kind in metadata.READERS:
+    register(_kind, lambda name, content, context, kind=_kind: metadata.parse(kind, name, content, context))
 
 SCHEMA = "kind string, org_id string, type string, qname string, dst string, attributes string, source_hash string, text string, start_line long, end_line long"
 

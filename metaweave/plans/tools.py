@@ -232,7 +232,7 @@ def governor_risk_check(store: GraphStore, org: str) -> Response:
 def dead_code_audit(store: GraphStore, org: str, now: int | None = None) -> Response:
     n, e = _tables(store, org)
     cached = _has(store, "dead_code_scores")
-    d = store.read("dead_code_scores").filter(F.col("org_id") == org) if cached else audit.dead_code(n.filter(F.col("label").isin(CODE)), e, _now(now))
+    d = store.read("dead_code_scores").filter(F.col("org_id") == org) if cached else audit.dead_code(n.filter(F.col("label").isin(audit.DEAD_LABELS)), e, _now(now))
     d = d.orderBy("score", "qname")
     return Response(f"{d.count()} candidates", render.markdown_table(d), {"dead": d, "cached": cached})
 
@@ -340,8 +340,8 @@ def export_sarif(store: GraphStore, org: str, audits: list[str] | None = None, n
     want = set(audits or ["dead_code", "governor", "security", "dangling"])
     fields = n.filter(F.col("label") == "CustomField")
     found = audit.collect_findings(
-        dead=audit.dead_code(n.filter(F.col("label").isin(CODE)), e, _now(now)) if "dead_code" in want else None,
-        governor=audit.governor_flags(n) if "governor" in want else None,
+        dead=audit.dead_code(n.filter(F.col("label").isin(audit.DEAD_LABELS)), e, _now(now)) if "dead_code" in want else None,
+        governor=audit.governor_flags(n.filter(F.col("label") == "ApexClass")) if "governor" in want else None,
         sharing=audit.open_sharing(n) if "security" in want else None,
         gaps=audit.access_gaps(fields, e, n) if "security" in want else None,
         loose=audit.dangling(e, n).orderBy("src", "dst").limit(1000) if "dangling" in want else None,

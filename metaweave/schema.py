@@ -26,7 +26,10 @@ MEMBERS = _struct(category=S, member_type=S, member_name=S, last_modified_at=L,
 KEYS = {"nodes": ["org_id", "qname"], "edges": ["org_id", "rel_type", "src", "dst"], "snippets": ["org_id", "qname"]}
 
 _NAME = re.compile(r"[A-Za-z][A-Za-z0-9_]{0,63}")
-_ALIAS = re.compile(r"[A-Za-z0-9][A-Za-z0-9_.@-]{0,79}")
+_ALIAS = re.compile(r"[A-Za-z][A-Za-z0-9_-]{0,63}")
+_ID = re.compile(r"[A-Za-z0-9]{15}(?:[A-Za-z0-9]{3})?")
+#: Names that some file systems keep for themselves. Fixed values.
+RESERVED = {"con", "prn", "aux", "nul", *(f"{d}{n}" for d in ("com", "lpt") for n in range(1, 10))}
 
 
 def check_name(name: str) -> str:
@@ -37,7 +40,7 @@ def check_name(name: str) -> str:
 
 
 def check_org(name: str) -> str:
-    """An org identifier: an id of 15 or 18 letters and digits, or an alias without path parts or control characters."""
-    if not name or ".." in name or not (re.fullmatch(r"[A-Za-z0-9]{15}(?:[A-Za-z0-9]{3})?", name) or _ALIAS.fullmatch(name)):
+    """An org identifier: an id of 15 or 18 letters and digits, or an alias: a letter, then up to 63 letters, digits, `_` and `-`; no reserved name."""
+    if not isinstance(name, str) or name.lower() in RESERVED or not (_ID.fullmatch(name) or _ALIAS.fullmatch(name)):
         raise ValueError(f"not an org identifier: {name!r}")
     return name

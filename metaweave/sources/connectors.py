@@ -72,8 +72,8 @@ class MemberSource(DataSource):
         return _Feed(self.options)
 
 
-def read_archives(spark: SparkSession, path: str, most: int = 50_000_000) -> DataFrame:
-    """Files in zip archives: archive, path, content (null for one larger than `most` bytes). Archives are unpacked in the tasks that read them."""
+def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    """Files in zip archives: archive, path, content. Archives are unpacked in the tasks that read them, a file at a time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -81,7 +81,7 @@ def read_archives(spark: SparkSession, path: str, most: int = 50_000_000) -> Dat
                 with zipfile.ZipFile(io.BytesIO(data)) as z:
                     for info in z.infolist():
                         if not info.is_dir():
-                            text = z.read(info).decode("utf-8", "replace") if info.file_size <= most else None
+                            text = z.read(info).decode("utf-8", "replace")
                             yield pd.DataFrame([(archive, info.filename, text)], columns=["archive", "path", "content"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select(F.col("path").alias("archive"), "content")

@@ -6,7 +6,7 @@ import time
 import uuid
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from . import schema
@@ -72,12 +72,14 @@ class GraphStore:
 
     def _merge(self, table: str, facts: DataFrame, changed_by: str, now: int, order: str | None) -> dict[str, int]:
         key = schema.KEYS[table]
-        stored = self.read(table)
-        actions = merge.batch_actions(stored, facts, key, order, changed_by) if order else merge.merge_actions(stored, facts, key, changed_by)
-        counts = {r["action"]: r["n"] for r in merge.counts(actions).collect()}
-        last = merge.last_of_each(facts, key, order).drop(order) if order else facts
-        self.write(table, merge.merge(stored, last, key, now, changed_by, modified=table == "nodes"))
-        return {a: counts.get(a, 0) for a in (merge.INSERTED, merge.UPDATED, merge.UNCHANGED)}
+        stored, modified, kinds = self.read(table), table == "nodes", (merge.INSERTED, merge.UPDATED, merge.UNCHANGED)
+        if order is None:  # counted while it is written
+            seen = Observation()
+            self.write(table, merge.merge(stored, facts, key, now, changed_by, modified, seen))
+            return {a: seen.get[a] for a in kinds}
+        counts = {r["action"]: r["n"] for r in merge.counts(merge.batch_actions(stored, facts, key, order, changed_by)).collect()}
+        self.write(table, merge.merge(stored, merge.last_of_each(facts, key, order).drop(order), key, now, changed_by, modified))
+        return {a: counts.get(a, 0) for a in kinds}
 
     def merge_nodes(self, facts: DataFrame, now: int, order: str | None = None) -> dict[str, int]:
         """Upserts facts (order: a column that tells their order, if keys may repeat); how many were inserted, updated, unchanged."""
@@ -201,9 +203,9 @@ class GraphStore:
         """Writes dead-code scores, governor risks, test counts and sharing findings, which reports then read."""
         n = self.read("nodes").filter(F.col("org_id") == org)
         e = self.read("edges").filter(F.col("org_id") == org)
-        code = n.filter(F.col("label").isin(labels)) if labels else n
+        code = n.filter(F.col("label").isin(labels or audit.SCORED_LABELS))
         self.write("dead_code_scores", audit.dead_code_scores(code, e, now).withColumn("org_id", F.lit(org)))
-        source = self.read("snippets").filter(F.col("org_id") == org).select("qname", "text", F.col("qname").startswith("ApexTrigger:").alias("trigger"))
-        self.write("governor_risks", audit.governor_risks(source).withColumn("org_id", F.lit(org)))
+        source = self.read("snippets").filter(F.col("org_id") == org).filter("format = 'apex'").select("qname", "text")
+        self.write("governor_risks", audit.risks_with_hints(audit.governor_risks(source), n).withColumn("org_id", F.lit(org)))
         self.write("test_coverage", audit.test_counts(n.filter(F.col("label") == "ApexClass"), e).withColumn("org_id", F.lit(org)))
         self.write("findings", audit.open_sharing(n).withColumn("computed_at", F.lit(now)).select(schema.FINDINGS.names))

@@ -16,6 +16,8 @@ def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir as the session has it; one of our own only where it is unset, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = _own.setdefault("folder", "file://" + tempfile.mkdtemp(prefix="metaweave-"))
     return folder
 

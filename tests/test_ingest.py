@@ -29,7 +29,7 @@ def test_sync(spark, tmp_path):
     first = ingest.sync(store, members(spark, [("ApexClass", "A", False, A), ("ApexClass", "B", False, B), ("Flow", "F", False, FLOW), ("LightningComponentBundle", "x", False, lwc)]), "org1", now=10)
     assert first.parse_errors == 0 and first.deleted == 0 and first.nodes["inserted"] == 9
     e = {(r.rel_type, r.src, r.dst) for r in store.read("edges").collect()}
-    assert ("FLOW_INVOKES_METHOD", "FlowVersion:F.v0", "ApexMethod:A.h(0)") in e
+    assert ("FLOW_INVOKES_APEX_METHOD", "FlowVersion:F.v0", "ApexMethod:A.h(0)") in e
     again = ingest.sync(store, members(spark, [("ApexClass", "A", False, A)]), "org1", now=20)
     assert again.nodes == {"inserted": 0, "updated": 0, "unchanged": 3} and again.snapshot
     assert again.deleted == 2  # class B and its method; flows weren't read
@@ -91,14 +91,14 @@ def test_sources(spark, tmp_path):
 
 
 def test_scalars(spark):
-    d = spark.createDataFrame([("pkg__DR_Name", "my-long-name", "A__r.B__c + C.D * 2 + A__r.B__c", "a\nb\nc", "mail x@y.com 1.2.3.4")], "q string, k string, f string, t string, p string")
+    d = spark.createDataFrame([("pkg__DR_Name", "my-long-name", "A__r.B__c + C.D * 2 + A__r.B__c", "a\nb\nc", "mail x@y.com 1.2.3.4 Bearer a.b")], "q string, k string, f string, t string, p string")
     r = d.select(
-        scalar.normalize_key(F.concat(F.lit("DataRaptor:"), "q")).alias("a"), scalar.kebab_to_camel(F.col("k")).alias("b"), scalar.formula_fields(F.col("f")).alias("c"),
+        scalar.normalize_key(F.concat(F.lit("DataRaptor:"), "q"), "pkg").alias("a"), scalar.kebab_to_camel(F.col("k")).alias("b"), scalar.formula_fields(F.col("f")).alias("c"),
         scalar.line_of(F.col("t"), F.lit(3)).alias("d"), scalar.scrub(F.col("p")).alias("e"), scalar.split_csv(F.lit(" a,,b ")).alias("f"), scalar.strip_namespace(F.col("q"), "pkg").alias("g"),
         scalar.bundle_hash(F.create_map(F.lit("b"), F.lit("2"), F.lit("a"), F.lit("1"))).alias("h"), scalar.bundle_hash(F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2"))).alias("i"),
         scalar.diagram_label(F.lit("x" * 40)).alias("j"), scalar.first_match(F.lit("ab12"), "([a-z]+)[0-9]").alias("k"), scalar.truthy(F.lit("false")).alias("l"), scalar.layer(F.lit("ApexClass")).alias("m"),
     ).first()
-    assert (r.a, r.b, r.c, r.d, r.e, r.f, r.g) == ("name", "myLongName", ["A.B__c", "C.D"], 2, "mail <email> <ip>", ["a", "b"], "DR_Name")
+    assert (r.a, r.b, r.c, r.d, r.e, r.f, r.g) == ("name", "myLongName", ["A.B__c", "C.D"], 2, "mail <email> 1.2.3.4 <bearer-token>", ["a", "b"], "DR_Name")
     assert r.h == r.i and len(r.j) == 30 and (r.k, r.l, r.m) == ("ab", True, "Apex")
     for good in ("ApexClass", "A_1"):
         assert schema.check_name(good) == good
@@ -108,3 +108,33 @@ def test_scalars(spark):
         except ValueError:
             continue
         raise AssertionError(bad)
+
+
+def test_tombstones_take_their_edges(spark, tmp_path):
+    from metaweave.streaming.merge import apply_batch
+
+    store = GraphStore(spark, f"file://{tmp_path}/s")
+    fact = "org_id string, label string, qname string, attributes string, source_hash string, ordinal long, obsolete boolean"
+    row = lambda q, n, gone: ("org1", "Flow", f"Flow:{q}", "{}", q, n, gone)
+    apply_batch(store, spark.createDataFrame([row("a", 1, False), row("b", 2, False), row("c", 3, False)], fact), 1)
+    store.merge_edges(spark.createDataFrame([("org1", "R", "Flow:a", "Flow:b", "{}"), ("org1", "R", "Flow:b", "Flow:c", "{}"), ("org1", "R", "Flow:a", "Flow:c", "{}")], "org_id string, rel_type string, src string, dst string, attributes string"), 1)
+    apply_batch(store, spark.createDataFrame([row("b", 4, True)], fact), 2)
+    assert {r.qname for r in store.read("nodes").collect()} == {"Flow:a", "Flow:c"}
+    assert [(r.src, r.dst) for r in store.read("edges").collect()] == [("Flow:a", "Flow:c")]
+
+
+def test_org_identifiers_and_scrubbing():
+    for good in ("dev", "a-b_1", "00D000000000001", "0" * 18):
+        assert schema.check_org(good) == good
+    for bad in ("", "1dev", "a.b", "a@b", "..", "CON", "com3", "a" * 65, "a/b", None):
+        try:
+            schema.check_org(bad)
+        except ValueError:
+            continue
+        raise AssertionError(bad)
+    value = scalar.scrub_value({"a": ["Bearer x.y", {"b": "u@v.org"}], "n": 5})
+    assert value == {"a": ["<bearer-token>", {"b": "<email>"}], "n": 5}
+    deep = "x"
+    for _ in range(12):
+        deep = [deep]
+    assert "<max-depth>" in str(scalar.scrub_value(deep))

@@ -120,4 +120,5 @@ def test_governor():
     code = "for (A a : [SELECT Id FROM A]) { update a; }\n/* while (1) { insert x; } */ do { } while (x);\ninsert y;"
     assert sorted(scan_source(code))[0][:2] == ("dml_in_loop", 1)
     assert {k for k, _, _ in scan_source(code)} == {"dml_in_loop", "unbounded_query"}
-    assert scan_source("trigger t on A (before insert) { f(Trigger.new); }", True) == []
+    assert scan_source("trigger t on A (before insert) { f(Trigger.new); }") == []
+    assert scan_source("trigger t on A (before insert) { f(Trigger.old); }") == [("no_bulk", -1, "trigger without Trigger.new iteration")]

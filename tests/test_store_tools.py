@@ -69,15 +69,17 @@ def test_resolvers(spark):
     f = graph(spark, [("Flow:F", "ApexClass:A"), ("Flow:F", "ApexClass:Q")], "FLOW_INVOKES_APEX")
     r = resolve.resolve_invocable(f, m)
     assert r.edges.first().dst == "ApexMethod:A.g(0)" and tuple(r.counters.first()) == (2, 1, 0, 1)
+    two = resolve.resolve_invocable(f, m.union(spark.createDataFrame([("ApexMethod:A.h(1)", '{"isInvocable": true}'), ("ApexMethod:Q.x(?)", '{"isInvocable": true}')], m.schema)))
+    assert {(x.dst, x.rel_type, x.ambiguous) for x in two.edges.collect()} == {("ApexMethod:A.g(0)", "FLOW_INVOKES_APEX_METHOD", True), ("ApexMethod:A.h(1)", "FLOW_INVOKES_APEX_METHOD", True)} and tuple(two.counters.first()) == (2, 1, 1, 1)
     n = spark.createDataFrame([("A", "A:Name1", '{"deep": [{"k": "name2"}]}'), ("B", "B:Name2", "{}"), ("C", "C:name2", '{"self": "name2", "s": "two words", "t": "true"}')], "label string, qname string, attributes string")
     r = resolve.infer_references(n)
-    assert [(x.src, x.dst, x.via_key) for x in r.edges.collect()] == [("A:Name1", "C:name2", "deep.k")]
+    assert [(x.src, x.dst, x.via_key) for x in r.edges.collect()] == [("A:Name1", "C:name2", "k")]
     assert resolve.infer_references(n.union(spark.createDataFrame([("D", "D:name2", "{}")], n.schema)), per_source=1).counters.first().truncated_sources == 1
 
 
 def test_diff_text(spark):
     assert filters.glob_to_regex("A?c*[0-9]{x,y}.z") == r"^A[^/]c[^/]*[0-9](?:x|y)\.z$"
-    m = diff.manifest_members(spark.createDataFrame([("LWC:b", "LWC", "only_in_a"), ("LWC:a<", "LWC", "changed"), ("Flow:f", "Flow", "only_in_b")], "qname string, label string, side string"))
+    m = diff.manifest_members(spark.createDataFrame([("LightningComponentBundle:b", "LightningComponentBundle", "only_in_a"), ("LightningComponentBundle:a<", "LightningComponentBundle", "changed"), ("Flow:f", "Flow", "only_in_b"), ("ApexMethod:m", "ApexMethod", "changed")], "qname string, label string, side string"))
     text = diff.manifest_xml(m, False)
     assert text.index("a&lt;") < text.index("<members>b<") and "LightningComponentBundle" in text and "59.0" in text and "Flow" not in text
     assert "<members>f<" in diff.manifest_xml(m, True)
