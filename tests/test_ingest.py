@@ -26,16 +26,16 @@ def test_sync(spark, tmp_path):
     store = GraphStore(spark, f"file://{tmp_path}/s")
     store.upsert_org("org1", "dev", "", "", 1)
     lwc = '{"files": {"x.js": "import h from \'@salesforce/apex/A.h\';"}}'
-    first = ingest.sync(store, members(spark, [("ApexClass", "A", False, A), ("ApexClass", "B", False, B), ("Flow", "F", False, FLOW), ("LightningComponentBundle", "x", False, lwc)]), "org1", now=10)
+    first = ingest.sync(store, members(spark, [("ApexClass", "A", False, A), ("ApexClass", "B", False, B), ("Flow", "F", False, FLOW), ("LightningComponentBundle", "x", False, lwc)]), "org1", now=10, embedder=None)
     assert first.parse_errors == 0 and first.deleted == 0 and first.nodes["inserted"] == 9
     e = {(r.rel_type, r.src, r.dst) for r in store.read("edges").collect()}
     assert ("FLOW_INVOKES_APEX_METHOD", "FlowVersion:F.v0", "ApexMethod:A.h(0)") in e
-    again = ingest.sync(store, members(spark, [("ApexClass", "A", False, A)]), "org1", now=20)
+    again = ingest.sync(store, members(spark, [("ApexClass", "A", False, A)]), "org1", now=20, embedder=None)
     assert again.nodes == {"inserted": 0, "updated": 0, "unchanged": 3} and again.snapshot
     assert again.deleted == 2  # class B and its method; flows weren't read
-    gone = ingest.sync(store, members(spark, [("Flow", "F", True, "")]), "org1", mode="incremental", now=30)
+    gone = ingest.sync(store, members(spark, [("Flow", "F", True, "")]), "org1", mode="incremental", now=30, embedder=None)
     assert gone.deleted == 1 and "Flow:F" not in {r.qname for r in store.read("nodes").collect()}
-    broken = ingest.sync(store, members(spark, [("ApexClass", "C", False, "class C {")]), "org1", now=40)
+    broken = ingest.sync(store, members(spark, [("ApexClass", "C", False, "class C {")]), "org1", now=40, embedder=None)
     assert broken.parse_errors == 1 and broken.deleted == 0
     assert store.read("orgs").first().last_synced_at == 40
     assert ingest.choose_mode("auto", 1, True) == "incremental" and ingest.choose_mode("auto", None, True) == "full"
