@@ -95,7 +95,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     own = docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t"), F.col(f"`{lang_col}`").cast("string").alias("l"), held_out(id_col).alias("held"))
     own = own.filter("t is not null and l is not null and i is not null and not held")
     own = own.withColumn("x", F.xxhash64("i", "t"))
-    share = own.groupBy("l").agg((F.lit(1.1 * per_lang + 100) / F.count("*")).alias("share"))  # a row for each language
+    share = own.groupBy("l").agg((F.lit(1.1 * per_lang + 100) / F.approx_count_distinct("x", 0.02)).alias("share"))  # a row for each language
     taken = own.join(F.broadcast(share), "l").filter((F.col("x") / F.lit(2.0**64) + 0.5) < F.col("share")).groupBy("l", "x").agg(F.first("t").alias("t"))
     first = F.row_number().over(Window.partitionBy("l").orderBy("x"))
     taken = taken.withColumn("rank", first).filter(F.col("rank") <= per_lang).repartition(partitions(docs.sparkSession), "x")

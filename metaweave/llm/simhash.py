@@ -372,7 +372,8 @@ def similar_links(proposed: DataFrame, made: DataFrame, similarity: float) -> Da
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float | None = 0.8, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", exact: bool = False) -> DataFrame:
-    """i (the id; the largest number for null), h (hash of the text), f0 (, f1) (fingerprint), component (the smallest i linked with the row's), null (1 if that is of rows without an id only).
+    """i (the id; the largest number for null), h (hash of the text), f0 (, f1) (fingerprint), component (the smallest i linked with the row's), null (1 if that is of rows without an id only),
+    group (a number of the component, which tells components apart even where ids repeat).
 
     With similarity None, 64-bit fingerprints link within radius, and no such link is lost. With a similarity, 128-bit fingerprints
     of the different shingles within WIDE_RADIUS hang together, in buckets of texts that share the least hashes of their shingles; of
@@ -408,9 +409,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float | None =
     linked = components(joined)
     kinds = kinds.join(linked.select(F.col("u").alias("m"), F.col("v").alias("r")), "m", "left").withColumn("r", F.coalesce("r", "m"))
     least = kinds.groupBy("r").agg(F.min("i").alias("component"), F.min("null").alias("null"))
-    named = Table(kinds.drop("null").join(least, "r").select(*by, "component", "null")).read()
+    named = Table(kinds.drop("null").join(least, "r").select(*by, "component", "null", "r")).read()
     release(spark)
-    return rows.join(named, by).select("i", "h", *columns, "component", "null")
+    return rows.join(named, by).select("i", "h", *columns, "component", "null", F.col("r").alias("group"))
 
 
 def hex_fingerprint(column: str) -> Column:
@@ -420,7 +421,7 @@ def hex_fingerprint(column: str) -> Column:
 def kept_rows(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay: of each group of near duplicates the one with the smallest id (of several such rows, that with the smallest hash of its text)."""
     d = near_duplicates(docs, words, similarity, id_col=id_col, text_col=text_col)
-    stay = d.filter(F.col("i") == F.col("component")).groupBy("i").agg(F.min("h").alias("h"))
+    stay = d.groupBy("group").agg(F.min(F.struct("i", "h")).alias("first")).select("first.*").distinct()
     i, h = key_columns(id_col, text_col)
     out = docs.withColumns({"__i": i, "__h": h}).join(stay.select(F.col("i").alias("__i"), F.col("h").alias("__h")), ["__i", "__h"], "left_semi")
     return out.dropDuplicates(["__i", "__h"]).select([F.col(f"`{c}`") for c in docs.columns])
