@@ -39,9 +39,13 @@ def gram_codes(url: Column) -> Column:
     s = F.translate(s, "/.-", "|}~")
     codes = F.transform(F.regexp_extract_all(F.concat(F.lit("|" * ORDER), s), F.lit("(?s)."), F.lit(0)), lambda x: F.pmod(F.ascii(x) - 97, F.lit(SYMBOLS)))
     width = SYMBOLS**ORDER
-    index = F.sequence(F.lit(1), F.size(codes) - ORDER)
-    gram = F.transform(index, lambda i: sum((F.element_at(codes, i + k) * (width // SYMBOLS**k) for k in range(ORDER + 1)), F.lit(0)).cast("int"))
-    return F.when(F.size(codes) > ORDER, gram).otherwise(F.array().cast("array<int>"))
+
+    def grams(own: Column) -> Column:
+        index = F.sequence(F.lit(1), F.size(own) - ORDER)
+        gram = F.transform(index, lambda i: sum((F.element_at(own, i + k) * (width // SYMBOLS**k) for k in range(ORDER + 1)), F.lit(0)).cast("int"))
+        return F.when(F.size(own) > ORDER, gram).otherwise(F.array().cast("array<int>"))
+
+    return F.get(F.transform(F.array(codes), grams), F.lit(0))  # so a URL's codes are made once, not for each character
 
 
 def markov_model(grams: DataFrame) -> DataFrame:
