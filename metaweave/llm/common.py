@@ -29,6 +29,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not folder:
         done = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = done.get() if done.isDefined() else None
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not folder:
         folder = _local.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="ckpt-"))
         spark.sparkContext.setCheckpointDir(folder)
