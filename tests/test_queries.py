@@ -2,14 +2,17 @@
 
 import pytest
 
-from metaweave import catalog
+from metaweave import app_queries, catalog
 
 SMALL = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
+QUERIES, ORACLE_SQL = catalog.QUERIES | app_queries.QUERIES, catalog.ORACLE_SQL | app_queries.ORACLE_SQL
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_same_rows_as_sql(name, spark, duck, same):
-    same(catalog.QUERIES[name](spark, SMALL), duck.sql(catalog.ORACLE_SQL[name]))
+    same(QUERIES[name](spark, SMALL), duck.sql(ORACLE_SQL[name]))
 
 
 def test_entry(spark):
