@@ -54,13 +54,13 @@ def rule_query(type_: str, name: str, content: str, edges: list[str], nodes: lis
     text = lambda t: "'" + t.replace("{k}", _K).replace("{s}", "' || c_mktsegment || '") + "'"
     sql = " UNION ALL ".join(f"SELECT '{a}' AS type, {text(b)} AS qname, {text(c)} AS dst, {text(d)} AS attribute FROM customer" for a, b, c, d in rows)
     keys = {(a, "" if not d else d.split("=")[0]) for a, _, _, d in rows}
-    shown = F.lit("")
-    for kind, key in sorted(keys):
-        if key:
-            value = F.get_json_object("attributes", f"$.{key}")
-            shown = F.when((F.col("type") == kind) & value.isNotNull(), F.concat(F.lit(f"{key}="), value)).otherwise(shown)
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        shown = F.lit("")
+        for kind, key in sorted(keys):
+            if key:
+                value = F.get_json_object("attributes", f"$.{key}")
+                shown = F.when((F.col("type") == kind) & value.isNotNull(), F.concat(F.lit(f"{key}="), value)).otherwise(shown)
         facts = _members(spark, sf_dir, type_, name, content).filter("kind in ('node', 'edge')")
         return facts.select("type", "qname", F.coalesce("dst", F.lit("")).alias("dst"), shown.alias("attribute"))
 
