@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import schema
 from .operators import audit, merge, resolve, vector
 from .parse import registry
 from .sources import filesystem
@@ -77,9 +78,8 @@ def run_resolvers(store: GraphStore, org: str, now: int, namespace: str | None =
         n, e = own()
         r = resolve.resolve_arity(e, n.filter(F.col("label").isin("ApexMethod", "TestMethod")))
         counters = r.counters.first().asDict()
-        rest = store.read("edges").filter(F.col("org_id") != org)
         attributes = F.when(F.col("ambiguous").isNull(), F.col("attributes")).otherwise(F.to_json(F.struct("ambiguous")))
-        store.write("edges", rest.unionByName(r.edges.withColumn("attributes", attributes).select(rest.columns)))
+        store.replace_org("edges", org, r.edges.withColumn("attributes", attributes).select(schema.EDGES.names))
         return counters
 
     def references() -> dict[str, int]:

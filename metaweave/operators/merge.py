@@ -65,14 +65,23 @@ def detect_deletions(stored: DataFrame, touched: DataFrame, finished_labels: lis
     return d.join(touched.select("qname").distinct(), "qname", "left_anti")
 
 
+def _named(rows: DataFrame, gone: DataFrame) -> list[str]:
+    """The columns by which rows go: with the org, where both have one."""
+    return [c for c in ("org_id",) if c in rows.columns and c in gone.columns]
+
+
 def delete_nodes(nodes: DataFrame, gone: DataFrame) -> DataFrame:
-    return nodes.join(gone.select("qname").distinct(), "qname", "left_anti")
+    key = [*_named(nodes, gone), "qname"]
+    return nodes.join(gone.select(*key).distinct(), key, "left_anti").select(nodes.columns)
 
 
 def delete_edges_for(edges: DataFrame, gone: DataFrame) -> DataFrame:
     """Without the edges that touch a node that goes, at either end."""
-    q = gone.select("qname").distinct()
-    return edges.join(q.withColumnRenamed("qname", "src"), "src", "left_anti").join(q.withColumnRenamed("qname", "dst"), "dst", "left_anti")
+    org = _named(edges, gone)
+    q = gone.select(*org, "qname").distinct()
+    for end in ("src", "dst"):
+        edges = edges.join(q.withColumnRenamed("qname", end), [*org, end], "left_anti").select(edges.columns)
+    return edges
 
 
 def rename_edges(edges: DataFrame, renames: DataFrame) -> DataFrame:

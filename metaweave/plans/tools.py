@@ -305,15 +305,15 @@ def staleness_check(store: GraphStore, org: str, now: int | None = None) -> Resp
 @tool
 def explain_code(store: GraphStore, org: str, qname: str, annotation: str | None = None, refresh: bool = False, now: int | None = None) -> Response:
     """A snippet with its kept explanation; an annotation (up to 16 KiB) becomes its explanation."""
-    d = store.read("snippets")
-    mine = (F.col("org_id") == org) & (F.col("qname") == qname)
+    d = store.read("snippets", store.parts("snippets", org))
+    mine = F.col("qname") == qname
     row = d.filter(mine).first()
     if row is None:
         raise ToolError("NOT_FOUND", f"no source of {qname!r}")
     if annotation is not None:
         if len(annotation.encode()) > ANNOTATION:
             raise ToolError("INVALID_INPUT", "an annotation has 16 KiB at most")
-        store.write("snippets", d.withColumns({"explanation": F.when(mine, F.lit(annotation)).otherwise(F.col("explanation")), "explained_at": F.when(mine, F.lit(_now(now))).otherwise(F.col("explained_at"))}))
+        store.replace_org("snippets", org, d.withColumns({"explanation": F.when(mine, F.lit(annotation)).otherwise(F.col("explanation")), "explained_at": F.when(mine, F.lit(_now(now))).otherwise(F.col("explained_at"))}))
         return Response("kept", data={"text": row.text, "explanation": annotation})
     return Response(qname, data={"text": row.text, "format": row.format, "explanation": None if refresh else row.explanation})
 

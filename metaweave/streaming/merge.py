@@ -13,16 +13,9 @@ from ..tables import materialize
 
 def apply_batch(store: GraphStore, batch: DataFrame, now: int) -> None:
     """batch: node facts with `ordinal` and `obsolete`. The last fact of a key counts: it is merged, or its node deleted with all its edges."""
-    key = ["org_id", "qname"]
-    last = merge.last_of_each(batch, key, "ordinal")
-    facts = last.filter(~F.coalesce("obsolete", F.lit(False))).drop("obsolete", "ordinal")
-    stored = store.read("nodes")
-    merged = merge.merge(stored, facts, key, now)
-    gone = last.filter("obsolete").select(*key)
-    gone = materialize(gone)
-    store.write("nodes", merged.join(gone, key, "left_anti"))
-    if not gone.isEmpty():
-        store.write("edges", merge.delete_edges_for(store.read("edges"), gone))
+    last = materialize(merge.last_of_each(batch, ["org_id", "qname"], "ordinal"))
+    store.merge_nodes(last.filter(~F.coalesce("obsolete", F.lit(False))).drop("obsolete", "ordinal"), now)
+    store.delete_nodes(last.filter("obsolete"))
 
 
 def sync(spark: SparkSession, store: GraphStore, changes: DataFrame, checkpoint: str, now: int = 0) -> StreamingQuery:
