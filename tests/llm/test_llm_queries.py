@@ -28,6 +28,9 @@ COLUMNS = {
     "op8": {"doc_id", "held_out", "lang_pred", "score"},
     "op9": {"page_id", "host", "path", "rule", "verdict"},
     "op10": {"doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"},
+    "op11": {"vec_id", "code", "error", "label_error", "codebooks_sha256"},
+    "op12": {"doc_id", "n_shingles", "component_id", "kept"},
+    "op13": {"item_id", "rank", "doc_id", "score"},
 }
 
 
