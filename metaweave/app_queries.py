@@ -39,7 +39,7 @@ def _members(spark: SparkSession, sf_dir: str, type_: str, name: str, content: s
     """A member for each customer: {k} stands for its key, {s} for its market segment."""
     fill = lambda t: F.replace(F.replace(F.lit(t), F.lit("{k}"), F.col("c_custkey").cast("string")), F.lit("{s}"), F.col("c_mktsegment"))
     d = td.read(spark, sf_dir, "customer").select(F.lit("org1").alias("org_id"), F.lit(type_).alias("member_type"), fill(name).alias("member_name"), F.lit("").alias("source_uri"), F.lit("ns").alias("namespace"), fill(content).alias("content"))
-    return registry.parse_members(d)
+    return registry.parse_members(d, kinds=[type_])
 
 
 def rule_query(type_: str, name: str, content: str, edges: list[str], nodes: list[str]) -> None:
@@ -94,6 +94,25 @@ rule_query("SharingRules", "O{k}", "<SharingRules><sharingOwnerRules><fullName>W
 rule_query("Workflow", "O{k}", "<Workflow><rules><fullName>R{k}</fullName><active>true</active></rules><rules><name>S</name></rules><fieldUpdates><field>F{k}</field></fieldUpdates><fieldUpdates><name>n</name></fieldUpdates></Workflow>", ["WORKFLOW_TRIGGERS Workflow:O{k} WorkflowRule:O{k}.R{k}", "WORKFLOW_TRIGGERS Workflow:O{k} WorkflowRule:O{k}.S", "TRIGGER_FIRES_ON WorkflowRule:O{k}.R{k} CustomObject:O{k}", "TRIGGER_FIRES_ON WorkflowRule:O{k}.S CustomObject:O{k}", "WORKFLOW_UPDATES_FIELD Workflow:O{k} CustomField:O{k}.F{k}"], ["Workflow Workflow:O{k}", "WorkflowRule WorkflowRule:O{k}.R{k} active=true", "WorkflowRule WorkflowRule:O{k}.S active=false"])
 
 
+def _variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Permission sets of all orders: without any grant, with one, with many, broken, of another root; names with and without a namespace."""
+    k = F.col("o_orderkey").cast("string")
+    grant = lambda n: F.concat(F.lit("<fieldPermissions><field>"), F.when(F.col("o_orderkey") % 2 == 0, "ns__").otherwise("other__"), F.lit("T.F"), F.lit(str(n)), F.lit("</field><readable>"), (F.col("o_custkey") % 2 + n > 0).cast("string"), F.lit("</readable></fieldPermissions>"))
+    body = F.when(F.col("o_orderkey") % 7 == 0, "").when(F.col("o_orderkey") % 7 < 4, grant(0)).otherwise(F.concat(grant(0), F.lit("<!-- c -->"), grant(1), F.lit("<fieldPermissions/>"), grant(2)))
+    end = F.when(F.col("o_orderkey") % 11 == 0, "</Permission").otherwise("</x:PermissionSet>")
+    xml = F.when(F.col("o_orderkey") % 13 == 0, "<Profile><fieldPermissions><field>A.B</field></fieldPermissions></Profile>").otherwise(F.concat(F.lit("<?xml version='1.0'?>\n<x:PermissionSet xmlns:x='urn:x' xmlns='urn:y'>"), body, end))
+    d = td.read(spark, sf_dir, "orders").select(F.lit("org1").alias("org_id"), F.lit("PermissionSet").alias("member_type"), F.concat(F.lit("S"), k).alias("member_name"), F.lit("").alias("source_uri"), F.lit("ns").alias("namespace"), xml.alias("content"))
+    facts = registry.parse_members(d, kinds=["PermissionSet"])
+    return facts.select("type", "qname", F.coalesce("dst", F.lit("")).alias("dst"), F.coalesce(F.get_json_object("attributes", "$.readable"), F.lit("")).alias("readable"))
+
+
+add("rule_variants", """WITH o AS (SELECT o_orderkey AS k, o_custkey % 2 AS p FROM orders),
+    good AS (SELECT * FROM o WHERE k % 11 <> 0 OR k % 13 = 0),
+    g AS (SELECT k, p, unnest(CASE WHEN k % 13 = 0 OR k % 7 = 0 THEN [] WHEN k % 7 < 4 THEN [0] ELSE [0, 1, 2] END) AS n FROM good)
+    SELECT CASE WHEN k % 11 = 0 AND k % 13 <> 0 THEN 'ParseError' ELSE 'PermissionSet' END AS type, CASE WHEN k % 11 = 0 AND k % 13 <> 0 THEN 'ParseError:PermissionSet:S' ELSE 'PermissionSet:S' END || k AS qname, '' AS dst, '' AS readable FROM o
+    UNION ALL SELECT 'GRANTS_FIELD_ACCESS', 'PermissionSet:S' || k, 'CustomField:' || CASE WHEN k % 2 = 0 THEN '' ELSE 'other__' END || 'T.F' || n, CAST(p + n > 0 AS VARCHAR) FROM g""", _variants)
+
+
 # Scalar functions
 
 

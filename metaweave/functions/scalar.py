@@ -15,11 +15,11 @@ MAX_DEPTH = 32
 
 def strip_namespace(name: Column, namespace: str | None) -> Column:
     """Without `namespace__` at its start."""
-    return F.when(name.startswith(f"{namespace}__"), F.substring(name, len(namespace) + 3, 100_000)).otherwise(name) if namespace else name
+    return F.when(name.startswith(f"{namespace}__"), F.substring(name, F.lit(len(namespace) + 3), F.length(name))).otherwise(name) if namespace else name
 
 
 def strip_prefix(text: Column, prefix: str) -> Column:
-    return F.when(text.startswith(prefix), F.substring(text, len(prefix) + 1, 1_000_000)).otherwise(text)
+    return F.when(text.startswith(prefix), F.substring(text, F.lit(len(prefix) + 1), F.length(text))).otherwise(text)
 
 
 def split_at(text: Column, separator: str, index: int) -> Column:
@@ -37,10 +37,10 @@ def truthy(value: Column) -> Column:
 
 
 def first_match(text: Column, pattern: str) -> Column:
-    """The first group of the first match, or all of it without groups; null without a match."""
+    """The first group of the first match, or all of it without groups; empty without a match."""
     import re
 
-    return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, 1 if re.compile(pattern).groups else 0))
+    return F.coalesce(F.regexp_extract(text, pattern, 1 if re.compile(pattern).groups else 0), F.lit(""))
 
 
 def all_matches(text: Column, pattern: str) -> Column:
@@ -183,17 +183,3 @@ def json_leaves(rows: DataFrame, json_col: str = "attributes") -> DataFrame:
             yield pd.DataFrame(out, columns=[*others, "path", "key", "value"])
 
     return rows.mapInPandas(run, ", ".join(f"{c} string" for c in others) + ", path string, key string, value string")
-
-
-def walk_all(value, key: str) -> list:
-    """Everything under a key, however deep."""
-    out = []
-    if isinstance(value, dict):
-        for k, v in value.items():
-            if k == key:
-                out.append(v)
-            out += walk_all(v, key)
-    elif isinstance(value, list):
-        for v in value:
-            out += walk_all(v, key)
-    return out

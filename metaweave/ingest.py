@@ -119,7 +119,7 @@ def sync(store: GraphStore, members: DataFrame, org: str, mode: str = "full", no
     if snapshot and store._current("nodes"):
         out.snapshot = store.create_snapshot(org, f"pre-sync-{at}", True, at)
     gone = members.filter(F.coalesce("obsolete", F.lit(False)))
-    facts = materialize(registry.parse_members(members.filter(~F.coalesce("obsolete", F.lit(False))), at))
+    facts = registry.parse_stored(members.filter(~F.coalesce("obsolete", F.lit(False))), at)
     nodes = registry.nodes_of(facts)
     out.parse_errors = nodes.filter("label = 'ParseError'").count()
     nodes = materialize(merge.last_of_each(nodes.withColumn("__n", F.monotonically_increasing_id()), ["org_id", "qname"], "__n").drop("__n"))

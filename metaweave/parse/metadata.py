@@ -1,321 +1,224 @@
-"""Members of declarative metadata: what nodes and edges each type of record gives.
+"""Members of declarative metadata: what nodes and edges each type of record gives, as columns.
 
-A function for each type looks at the record (the XML's root as plain values, with the member's other fields beside it) and
-adds facts. Labels, relations, and the names of elements and attributes are fixed values.
+A reader for each type asks a member for its elements and returns arrays of facts. Labels, relations, and the names of elements and
+attributes are fixed values.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from typing import Any
 
-from .base import Context, Facts, as_dict, local, many, parse_json, parse_xml
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from .columns import Member, Reader, View, json_text, texts_under
 
-Reader = Callable[["Record", Facts], None]
 #: Root element and reader of each type.
 READERS: dict[str, tuple[str, Reader]] = {}
 
 
-class Record:
-    """A record: what its fields say, with names freed of the org's own namespace."""
-
-    def __init__(self, fields: dict, context: Context, source: str = ""):
-        self.fields, self.context, self.source = fields, context, source
-
-    def raw(self, *path: str) -> Any:
-        """The value at a path as it stands; through lists it gives a list."""
-        at: list[Any] = [self.fields]
-        listed = False
-        for step in path:
-            found = [as_dict(x).get(step) for x in at]
-            at = []
-            for x in found:
-                listed = listed or isinstance(x, list)
-                at += [y for y in many(x) if y is not None]
-        return at if listed else at[0] if at else None
-
-    def name(self, *path: str) -> str:
-        """The value at a path as a name, empty if there is none."""
-        return local(self.raw(*path), self.context.namespace)
-
-    def first(self, *keys: str) -> str:
-        """The first of these fields that says anything, as a name."""
-        return next((n for n in map(self.name, keys) if n), "")
+def reads(type_: str, root: str = "") -> Callable[[Reader], Reader]:
+    def add(f: Reader) -> Reader:
+        READERS[type_] = (root or type_, f)
+        return f
 
-    def all(self, *path: str) -> list[Record]:
-        """The records at a path, one or many."""
-        return [Record(x, self.context) for x in many(self.raw(*path)) if isinstance(x, dict)]
+    return add
 
-    def texts(self, *path: str) -> list[str]:
-        """The plain values at a path as names."""
-        return [local(x, self.context.namespace) for x in many(self.raw(*path)) if x not in (None, "") and not isinstance(x, (dict, list))]
 
-    def flags(self, *keys: str) -> dict[str, bool]:
-        return {k: self.raw(k) not in (None, False, "", 0) for k in keys}
+def named(label: str, *parts: str | Column) -> Column:
+    return F.concat(F.lit(f"{label}:"), *[F.lit(p) if isinstance(p, str) else p for p in parts])
 
-    def values(self, *keys: str) -> dict[str, Any]:
-        return {k: self.raw(k) for k in keys}
 
+def main_node(m: Member, label: str, attributes: dict[str, Column] | None = None, key: str = "name") -> tuple[Column, Column]:
+    """The qualified name of the member itself, and its node."""
+    q = named(label, m.name(key))
+    return q, F.array(m.node(label, q, {key: json_text(m.name(key))} | (attributes or {})))
 
-def reads(type_: str, root: str = "") -> Callable[[Reader], Reader]:
-    def add(f: Reader) -> Reader:
-        READERS[type_] = (root or type_, f)
-        return f
 
-    return add
+def attribute_of(markup: Column, name: str) -> Column:
+    """The value of the first attribute of that name (in any case, in double quotes) that has one in a page's markup; empty without one."""
+    return F.coalesce(F.regexp_extract(markup, rf'(?i){name}\s*=\s*"([^"]+)"', 1), F.lit(""))
 
 
-def parse(type_: str, name: str, content: str, context: Context) -> Facts:
-    """Facts of a member of one of READERS. content: XML, or a JSON object of the fields (xml, body, object and others)."""
-    root, reader = READERS[type_]
-    out = Facts(context)
-    given = as_dict(parse_json(content)) if content.lstrip().startswith("{") else {"xml": content}
-    given = {"name": name, "object": name, "apiName": name} | given
-    fields: dict = {}
-    if given.get("xml"):
-        try:
-            found, value = parse_xml(given["xml"])
-        except ValueError as error:
-            return out.error(type_, name, str(error))
-        fields = as_dict(value) if found == root else {}
-    reader(Record(fields | {k: v for k, v in given.items() if k != "xml"}, context, given.get("xml") or given.get("body") or ""), out)
-    return out
-
-
-def main_node(r: Record, out: Facts, label: str, attributes: dict | None = None, key: str = "name") -> str:
-    """The node that stands for the member itself."""
-    return out.node(label, f"{label}:{r.name(key)}", {key: r.name(key)} | (attributes or {}), r.source)
-
-
-def walk(value: Any, key: str) -> list:
-    """What lies under a key, wherever it stands in a tree, from the outside."""
-    out, open_ = [], [value]
-    while open_:
-        at = open_.pop(0)
-        if isinstance(at, dict):
-            out += many(at.get(key))
-            open_ = list(at.values()) + open_
-        elif isinstance(at, list):
-            open_ = at + open_
-    return out
-
-
-def attribute_of(markup: str, name: str) -> str:
-    """The value of the first attribute of that name (in any case, in double quotes) in a page's markup; empty without one."""
-    low, at = markup.lower(), 0
-    while (at := low.find(name, at)) >= 0:
-        at += len(name)
-        rest = markup[at:].lstrip()
-        if rest.startswith("="):
-            quoted = rest[1:].lstrip()
-            if quoted.startswith('"') and '"' in quoted[1:]:
-                value = quoted[1 : quoted.index('"', 1)]
-                if value:
-                    return value
-    return ""
-
-
-def page_markup(r: Record, out: Facts, label: str) -> str:
-    q = main_node(r, out, label, r.values("apiVersion", "label"))
-    body = str(r.raw("body") or "")
-    if controller := local(attribute_of(body, "controller"), r.context.namespace):
-        out.edge("CONTROLLED_BY", q, f"ApexClass:{controller}")
-    for part in attribute_of(body, "extensions").split(","):
-        if part.strip():
-            out.edge("EXTENDS_CONTROLLER", q, f"ApexClass:{local(part.strip(), r.context.namespace)}")
-    return q
+def page_markup(m: Member, label: str) -> tuple[Column, list[Column]]:
+    q, node = main_node(m, label, m.values("apiVersion", "label"))
+    body = F.col("__body")
+    others = F.filter(F.transform(F.split(attribute_of(body, "extensions"), ","), lambda x: F.trim(x)), lambda x: x != "")
+    controller = F.array(m.to("CONTROLLED_BY", q, "ApexClass", m.local(attribute_of(body, "controller"))))
+    return q, [node, controller, m.each_name(others, lambda x: m.to("EXTENDS_CONTROLLER", q, "ApexClass", x))]
 
 
 @reads("ApexComponent")
-def apex_component(r: Record, out: Facts) -> None:
-    page_markup(r, out, "ApexComponent")
+def apex_component(m: Member) -> list[Column]:
+    return page_markup(m, "ApexComponent")[1]
 
 
 @reads("ApexPage")
-def apex_page(r: Record, out: Facts) -> None:
-    q = page_markup(r, out, "ApexPage")
-    for controller in r.texts("controller"):
-        out.edge("CONTROLLED_BY", q, f"ApexClass:{controller}")
-
-
-def custom_fields(formula: str) -> list[str]:
-    """The words of a formula that are names of custom fields, each time they stand there."""
-    words, word = [], ""
-    for c in formula + " ":
-        if c.isascii() and (c.isalnum() or c == "_"):
-            word += c
-            continue
-        if word.endswith("__c") and len(word) > 3 and not word[0].isdigit():
-            words.append(word)
-        word = ""
-    return words
+def apex_page(m: Member) -> list[Column]:
+    q, parts = page_markup(m, "ApexPage")
+    return [*parts, m.each_name(m.nodes("controller").texts(), lambda x: m.to("CONTROLLED_BY", q, "ApexClass", x))]
 
 
 @reads("ApprovalProcess")
-def approval_process(r: Record, out: Facts) -> None:
-    q = main_node(r, out, "ApprovalProcess", r.flags("active"))
-    formula = r.raw("entryCriteria", "formula")
-    for field in custom_fields(str(formula or "")):
-        out.edge("APPROVAL_USES_FORMULA", q, f"CustomField:{local(field, r.context.namespace)}", {"formula": formula})
+def approval_process(m: Member) -> list[Column]:
+    """A formula's words that are names of custom fields, each time they stand there."""
+    q, node = main_node(m, "ApprovalProcess", m.flags("active"))
+    formula = m.text("entryCriteria", "formula")
+    fields = F.regexp_extract_all(F.coalesce(formula, F.lit("")), F.lit(r"(?<![A-Za-z0-9_])([A-Za-z_][A-Za-z0-9_]*__c)(?![A-Za-z0-9_])"), F.lit(1))
+    return [node, m.each_name(fields, lambda x: m.to("APPROVAL_USES_FORMULA", q, "CustomField", x, {"formula": json_text(formula)}))]
 
 
 @reads("CustomLabels")
-def custom_labels(r: Record, out: Facts) -> None:
-    for x in r.all("labels"):
-        if name := x.first("fullName", "name"):
-            out.node("CustomLabel", f"CustomLabel:{name}", {"name": name} | x.values("value", "language"), r.source)
+def custom_labels(m: Member) -> list[Column]:
+    def label(x: View) -> list[Column]:
+        name = x.first("fullName", "name")
+        return [m.node("CustomLabel", named("CustomLabel", name), {"name": json_text(name)} | x.values("value", "language"), name != "")]
+
+    return [m.each(m.nodes("labels"), label)]
 
 
 @reads("CustomMetadata")
-def custom_metadata(r: Record, out: Facts) -> None:
+def custom_metadata(m: Member) -> list[Column]:
     """A record is named Type.Record (or says that it is one); what isn't, is a type."""
-    name = r.name("name")
-    kind, _, record = name.partition(".")
-    if not record and r.raw("kind") != "record":
-        out.node("CustomMetadataType", f"CustomMetadataType:{name}", {"name": name} | r.values("label"), r.source)
-        return
-    q = out.node("CustomMetadataRecord", f"CustomMetadataRecord:{name}", {"name": name}, r.source)
-    if kind:
-        out.edge("INSTANCE_OF", q, f"CustomMetadataType:{kind}")
+    name = m.name("name")
+    kind, dot = F.substring_index(name, ".", 1), F.instr(name, ".") > 0
+    record = (dot & ~name.rlike(r"^[^.]*\.$")) | F.coalesce(m.text("kind") == "record", F.lit(False))
+    q = named("CustomMetadataRecord", name)
+    own = {"name": json_text(name)}
+    type_ = m.node("CustomMetadataType", named("CustomMetadataType", name), own | m.values("label"), ~record)
+    return [F.array(type_, m.node("CustomMetadataRecord", q, own, record), m.edge("INSTANCE_OF", q, named("CustomMetadataType", kind), when=record & (kind != "")))]
 
 
-def uses(type_: str, relation: str, target: str, path: tuple[str, ...], keys: tuple[str, ...], plain: tuple[str, ...] = (), flags: tuple[str, ...] = ()) -> None:
-    """A type whose node has an edge for each record at a path that names a target."""
+def uses(type_: str, relation: str, target: str, path: str, keys: tuple[str, ...], plain: tuple[str, ...] = (), flags: tuple[str, ...] = ()) -> None:
+    """A type whose node has an edge for each element that names a target."""
 
-    def read(r: Record, out: Facts) -> None:
-        q = main_node(r, out, type_, r.values(*plain) | r.flags(*flags))
-        for x in r.all(*path):
-            if name := x.first(*keys):
-                out.edge(relation, q, f"{target}:{name}")
+    def read(m: Member) -> list[Column]:
+        q, node = main_node(m, type_, m.values(*plain) | m.flags(*flags))
+        return [node, m.each(m.nodes(path), lambda x: [m.to(relation, q, target, x.first(*keys))])] if path else [node]
 
     READERS[type_] = (type_, read)
 
 
-uses("Dashboard", "DASHBOARD_USES_REPORT", "Report", ("components",), ("report",), plain=("title",))
-uses("DuplicateRule", "REFERENCES", "MatchingRule", ("duplicateRuleMatchRules",), ("matchingRule",), flags=("isActive",))
-uses("GenAiPlanner", "PLANNER_USES_PLUGIN", "GenAiPlugin", ("genAiPlugins",), ("genAiPluginName", "name"))
-uses("GenAiPlugin", "PLUGIN_INVOKES_FUNCTION", "GenAiFunction", ("genAiFunctions",), ("functionName", "name"))
-uses("NamedCredential", "", "", ("",), (), plain=("endpoint", "principalType", "protocol"))
+uses("Dashboard", "DASHBOARD_USES_REPORT", "Report", "components", ("report",), plain=("title",))
+uses("DuplicateRule", "REFERENCES", "MatchingRule", "duplicateRuleMatchRules", ("matchingRule",), flags=("isActive",))
+uses("GenAiPlanner", "PLANNER_USES_PLUGIN", "GenAiPlugin", "genAiPlugins", ("genAiPluginName", "name"))
+uses("GenAiPlugin", "PLUGIN_INVOKES_FUNCTION", "GenAiFunction", "genAiFunctions", ("functionName", "name"))
+uses("NamedCredential", "", "", "", (), plain=("endpoint", "principalType", "protocol"))
 
 
 @reads("ExternalServiceRegistration")
-def external_service(r: Record, out: Facts) -> None:
-    q = main_node(r, out, "ExternalServiceRegistration", r.values("status", "schemaType"))
-    if credential := r.first("namedCredential", "namedCredentialReference"):
-        out.edge("ESR_USES_NAMED_CREDENTIAL", q, f"NamedCredential:{credential}")
+def external_service(m: Member) -> list[Column]:
+    q, node = main_node(m, "ExternalServiceRegistration", m.values("status", "schemaType"))
+    return [node, F.array(m.to("ESR_USES_NAMED_CREDENTIAL", q, "NamedCredential", m.first("namedCredential", "namedCredentialReference")))]
 
 
 @reads("Layout")
-def layout(r: Record, out: Facts) -> None:
+def layout(m: Member) -> list[Column]:
     """A layout is named Object-Layout."""
-    shown = r.name("name").split("-")[0]
-    q = main_node(r, out, "Layout", {"object": shown})
-    for item in r.all("layoutSections", "layoutColumns", "layoutItems"):
-        if field := item.name("field"):
-            out.edge("RENDERS_FIELD", q, f"CustomField:{shown}.{field}")
+    shown = F.substring_index(m.name("name"), "-", 1)
+    q, node = main_node(m, "Layout", {"object": json_text(shown)})
+    return [node, m.each(m.nodes("layoutSections", "layoutColumns", "layoutItems"), lambda x: [m.edge("RENDERS_FIELD", q, named("CustomField", shown, ".", x.name("field")), when=x.name("field") != "")])]
 
 
 @reads("FlexiPage")
-def flexi_page(r: Record, out: Facts) -> None:
-    q = main_node(r, out, "FlexiPage", r.values("type", "sobjectType"))
-    for name in walk(r.raw("flexiPageRegions"), "componentName"):
-        if name:
-            out.edge("EMBEDS_LWC", q, f"LightningComponentBundle:{local(str(name).removeprefix('c:'), r.context.namespace)}")
+def flexi_page(m: Member) -> list[Column]:
+    """Components stand at any depth of a page's regions."""
+    q, node = main_node(m, "FlexiPage", m.values("type", "sobjectType"))
+    names = F.flatten(F.transform(m.nodes("flexiPageRegions").texts(), lambda x: texts_under(x, "componentName")))
+    return [node, F.transform(names, lambda x: m.to("EMBEDS_LWC", q, "LightningComponentBundle", m.local(F.regexp_replace(x, "^c:", ""))))]
 
 
 @reads("Network")
-def network(r: Record, out: Facts) -> None:
-    q = main_node(r, out, "Network", r.values("status"))
-    bundles = [x.name("lightningCommunityBundle") for x in r.all("networkPageOverrides")] + r.texts("communityBundles")
-    for bundle in filter(None, bundles):
-        out.edge("NETWORK_USES_BUNDLE", q, f"LightningComponentBundle:{bundle}")
+def network(m: Member) -> list[Column]:
+    q, node = main_node(m, "Network", m.values("status"))
+    bundle = lambda name: m.to("NETWORK_USES_BUNDLE", q, "LightningComponentBundle", name)
+    return [node, m.each(m.nodes("networkPageOverrides"), lambda x: [bundle(x.name("lightningCommunityBundle"))]), m.each_name(m.nodes("communityBundles").texts(), bundle)]
 
 
 @reads("PermissionSetGroup")
-def permission_set_group(r: Record, out: Facts) -> None:
-    q = main_node(r, out, "PermissionSetGroup", r.values("label"))
-    for name in r.texts("permissionSets"):
-        out.edge("GRANTS_USER_PERMISSION", q, f"PermissionSet:{name}")
+def permission_set_group(m: Member) -> list[Column]:
+    q, node = main_node(m, "PermissionSetGroup", m.values("label"))
+    return [node, m.each_name(m.nodes("permissionSets").texts(), lambda x: m.to("GRANTS_USER_PERMISSION", q, "PermissionSet", x))]
 
 
 OBJECT_RIGHTS = ["allowRead", "allowEdit", "allowCreate", "allowDelete"]
 
 
-def grants(r: Record, out: Facts, q: str, rights: list[str]) -> None:
+def grants(m: Member, q: Column, rights: list[str]) -> list[Column]:
     """Edges to what a profile or permission set gives access to: objects, fields (Object.Field), classes."""
-    for x in r.all("objectPermissions"):
-        if name := x.name("object"):
-            out.edge("GRANTS_OBJECT_ACCESS", q, f"CustomObject:{name}", x.flags(*rights))
-    for x in r.all("fieldPermissions"):
-        obj, _, field = str(x.raw("field") or "").partition(".")
-        if obj:
-            out.edge("GRANTS_FIELD_ACCESS", q, f"CustomField:{local(obj, r.context.namespace)}.{local(field.split('.')[0], r.context.namespace)}", x.flags("readable", "editable"))
-    for x in r.all("classAccesses"):
-        if name := x.name("apexClass"):
-            out.edge("GRANTS_APEX_ACCESS", q, f"ApexClass:{name}", x.flags("enabled"))
+
+    def field(x: View) -> list[Column]:
+        parts = F.split(F.coalesce(x.text("field"), F.lit("")), r"\.")
+        return [m.edge("GRANTS_FIELD_ACCESS", q, named("CustomField", x.local(F.get(parts, F.lit(0))), ".", x.local(F.get(parts, F.lit(1)))), x.flags("readable", "editable"), F.get(parts, F.lit(0)) != "")]
+
+    return [
+        m.each(m.nodes("objectPermissions"), lambda x: [m.to("GRANTS_OBJECT_ACCESS", q, "CustomObject", x.name("object"), x.flags(*rights))]),
+        m.each(m.nodes("fieldPermissions"), field),
+        m.each(m.nodes("classAccesses"), lambda x: [m.to("GRANTS_APEX_ACCESS", q, "ApexClass", x.name("apexClass"), x.flags("enabled"))]),
+    ]
 
 
 @reads("PermissionSet")
-def permission_set(r: Record, out: Facts) -> None:
-    grants(r, out, main_node(r, out, "PermissionSet", r.values("label")), OBJECT_RIGHTS)
+def permission_set(m: Member) -> list[Column]:
+    q, node = main_node(m, "PermissionSet", m.values("label"))
+    return [node, *grants(m, q, OBJECT_RIGHTS)]
 
 
 @reads("Profile")
-def profile(r: Record, out: Facts) -> None:
-    q = main_node(r, out, "Profile")
-    grants(r, out, q, [*OBJECT_RIGHTS, "modifyAllRecords", "viewAllRecords"])
-    for x in r.all("pageAccesses"):
-        if name := x.name("apexPage"):
-            out.edge("GRANTS_PAGE_ACCESS", q, f"ApexPage:{name}", x.flags("enabled"))
-    for x in r.all("tabVisibilities"):
-        if name := x.name("tab"):
-            out.edge("GRANTS_TAB_ACCESS", q, f"CustomTab:{name}", x.values("visibility"))
+def profile(m: Member) -> list[Column]:
+    q, node = main_node(m, "Profile")
+    pages = m.each(m.nodes("pageAccesses"), lambda x: [m.to("GRANTS_PAGE_ACCESS", q, "ApexPage", x.name("apexPage"), x.flags("enabled"))])
+    tabs = m.each(m.nodes("tabVisibilities"), lambda x: [m.to("GRANTS_TAB_ACCESS", q, "CustomTab", x.name("tab"), x.values("visibility"))])
+    return [node, *grants(m, q, [*OBJECT_RIGHTS, "modifyAllRecords", "viewAllRecords"]), pages, tabs]
 
 
 @reads("PlatformEvent", "CustomObject")
-def platform_event(r: Record, out: Facts) -> None:
-    main_node(r, out, "PlatformEvent", r.values("label", "eventType", "publishBehavior"), "apiName")
+def platform_event(m: Member) -> list[Column]:
+    return [main_node(m, "PlatformEvent", m.values("label", "eventType", "publishBehavior"), "apiName")[1]]
 
 
 @reads("Report")
-def report(r: Record, out: Facts) -> None:
-    kind = r.name("reportType")
-    q = main_node(r, out, "Report", {"reportType": str(r.raw("reportType") or "")})
-    if kind:
-        out.edge("REPORTS_ON", q, f"CustomObject:{kind}")
-    for column in r.all("columns"):
-        if field := column.name("field"):
-            out.edge("READS_FIELD", q, f"CustomField:{field}")
+def report(m: Member) -> list[Column]:
+    q, node = main_node(m, "Report", {"reportType": json_text(F.coalesce(m.text("reportType"), F.lit("")))})
+    columns = m.each(m.nodes("columns"), lambda x: [m.to("READS_FIELD", q, "CustomField", x.name("field"))])
+    return [node, F.array(m.to("REPORTS_ON", q, "CustomObject", m.name("reportType"))), columns]
 
 
 @reads("SharingRules")
-def sharing_rules(r: Record, out: Facts) -> None:
+def sharing_rules(m: Member) -> list[Column]:
     """An object's rules; each says who gets which access, by owner or by criteria."""
-    obj = r.name("object")
-    for kind, key in (("owner", "sharingOwnerRules"), ("criteria", "sharingCriteriaRules")):
-        for x in r.all(key):
-            name = x.first("fullName", "name")
-            level = {"accessLevel": str(x.raw("accessLevel") or ""), "audit": x.raw("accessLevel") == "All"}
-            q = out.node("SharingRule", f"SharingRule:{obj}.{name}", {"ruleName": name, "object": obj, "kind": kind} | level, r.source)
-            out.edge("SHARING_GRANTS", q, f"CustomObject:{obj}", level)
-            if group := x.name("sharedTo", "group"):
-                out.edge("SHARING_TO_GROUP", q, f"Group:{group}")
+    obj = m.name("object")
+
+    def rules(kind: str) -> Callable[[View], list[Column]]:
+        def facts(x: View) -> list[Column]:
+            name, access = x.first("fullName", "name"), F.coalesce(x.text("accessLevel"), F.lit(""))
+            level = {"accessLevel": json_text(access), "audit": (access == "All").cast("string")}
+            q = named("SharingRule", obj, ".", name)
             below = x.name("sharedTo", "roleAndSubordinates")
-            if role := x.name("sharedTo", "role") or below:
-                out.edge("SHARING_TO_ROLE", q, f"Role:{role}", {"includesSubordinates": bool(below)})
-            if kind == "owner" and (group := x.name("sharedFrom", "group")):
-                out.edge("SHARING_FROM_OWNER_GROUP", q, f"Group:{group}")
+            role = F.coalesce(F.nullif(x.name("sharedTo", "role"), F.lit("")), below)
+            out = [
+                m.node("SharingRule", q, {"ruleName": json_text(name), "object": json_text(obj), "kind": json_text(F.lit(kind))} | level),
+                m.edge("SHARING_GRANTS", q, named("CustomObject", obj), level),
+                m.to("SHARING_TO_GROUP", q, "Group", x.name("sharedTo", "group")),
+                m.to("SHARING_TO_ROLE", q, "Role", role, {"includesSubordinates": (below != "").cast("string")}),
+            ]
+            return [*out, m.to("SHARING_FROM_OWNER_GROUP", q, "Group", x.name("sharedFrom", "group"))] if kind == "owner" else out
+
+        return facts
+
+    return [m.each(m.nodes(key), rules(kind)) for kind, key in (("owner", "sharingOwnerRules"), ("criteria", "sharingCriteriaRules"))]
 
 
 @reads("Workflow")
-def workflow(r: Record, out: Facts) -> None:
-    obj = r.name("object")
-    q = main_node(r, out, "Workflow", key="object")
-    for x in r.all("rules"):
+def workflow(m: Member) -> list[Column]:
+    obj = m.name("object")
+    q, node = main_node(m, "Workflow", key="object")
+
+    def rule(x: View) -> list[Column]:
         name = x.first("fullName", "name")
-        rule = out.node("WorkflowRule", f"WorkflowRule:{obj}.{name}", {"name": name, "object": obj} | x.flags("active"), r.source)
-        out.edge("WORKFLOW_TRIGGERS", q, rule)
-        out.edge("TRIGGER_FIRES_ON", rule, f"CustomObject:{obj}")
-    for x in r.all("fieldUpdates"):
-        if field := x.name("field"):
-            out.edge("WORKFLOW_UPDATES_FIELD", q, f"CustomField:{obj}.{field}")
+        own = named("WorkflowRule", obj, ".", name)
+        about = {"name": json_text(name), "object": json_text(obj)} | x.flags("active")
+        return [m.node("WorkflowRule", own, about), m.edge("WORKFLOW_TRIGGERS", q, own), m.edge("TRIGGER_FIRES_ON", own, named("CustomObject", obj))]
+
+    updates = m.each(m.nodes("fieldUpdates"), lambda x: [m.edge("WORKFLOW_UPDATES_FIELD", q, named("CustomField", obj, ".", x.name("field")), when=x.name("field") != "")])
+    return [node, m.each(m.nodes("rules"), rule), updates]

@@ -4,41 +4,43 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import apex, lwc, markup, metadata, omni
+from ..tables import materialize
+from . import apex, columns, lwc, markup, metadata, omni
 from .base import Context, Facts, parse_json
-from .rules import Rule, run_rule
+from .columns import SCHEMA, Reader
+from .rules import Rule, applies, reader
 
 #: (name, content, context) -> Facts. The content of bundles, objects and rules with several fields is JSON.
 Parser = Callable[[str, str, Context], Facts]
 _PARSERS: dict[str, Parser] = {}
+#: Types that columns read: their root element and reader.
+PLANS: dict[str, tuple[str, Reader]] = dict(metadata.READERS)
 
 
 def register(kind: str, parser: Parser) -> None:
     """ValueError if the type has a parser."""
-    if kind in _PARSERS:
+    if kind in _PARSERS or kind in PLANS:
         raise ValueError(f"{kind} has a parser already")
     _PARSERS[kind] = parser
 
 
 def register_rule(rule: Rule) -> None:
-    def run(name: str, content: str, context: Context) -> Facts:
-        fields = parse_json(content) if content.lstrip().startswith("{") else {"xml": content}
-        parts = {"name": name, "object": name, "apiName": name} | fields
-        try:
-            return run_rule(rule, parts, context)
-        except ValueError as error:
-            return Facts(context).error(rule.type, name, str(error))
-
-    register(rule.type, run)
+    """A type that a rule describes; it is read by columns, as those of metadata are. A rule for other inputs than XML or JSON is refused."""
+    if rule.input not in ("xml", "json", "object"):
+        raise ValueError(f"{rule.type}: no input {rule.input!r}")
+    if rule.type in _PARSERS or rule.type in PLANS:
+        raise ValueError(f"{rule.type} has a parser already")
+    PLANS[rule.type] = (rule.root or rule.type, reader(rule) if applies(rule.applies_when, {}) else lambda m: [])
 
 
 def types() -> list[str]:
-    return sorted(_PARSERS)
+    return sorted([*_PARSERS, *PLANS])
 
 
 def parse_member(kind: str, name: str, content: str, context: Context) -> Facts:
@@ -69,20 +71,32 @@ register("VlocityDataRaptor", omni.parse_data_raptor)
 register("OmniDataTransform", omni.parse_data_transform)
 for _kind, _label in {"VlocityIntegrationProcedure": "IntegrationProcedure", "VlocityOmniScript": "OmniScript", "VlocityCard": "VlocityCard", "OmniProcess": "OmniProcess", "OmniIntegrationProcedure": "OmniIntegrationProcedure", "OmniUiCard": "OmniUiCard"}.items():
     register(_kind, lambda name, content, context, label=_label: omni.parse_elements(label, name, content, context))
-for _kind in metadata.READERS:
-    register(_kind, lambda name, content, context, kind=_kind: metadata.parse(kind, name, content, context))
-
-SCHEMA = "kind string, org_id string, type string, qname string, dst string, attributes string, source_hash string, text string, start_line long, end_line long"
-
 
-def parse_members(members: DataFrame, now: int = 0) -> DataFrame:
+def parse_members(members: DataFrame, now: int = 0, kinds: list[str] | None = None) -> DataFrame:
     """members: org_id, member_type, member_name, source_uri, namespace, content. Node, edge and snippet facts in one table, told by `kind`.
 
-    Parsing needs Python; it runs in Arrow batches, and a member that can't be parsed gives a ParseError node.
+    Each declarative type is a plan of its own over its members, without Python; kinds, if known, names the types there are, and the others get
+    no plan. Members are read once for each plan: give a table that is stored in order of member_type, so that a plan reads its part of the files. The rest
+    is source code and trees, which need Python; it runs in Arrow batches, and a member that can't be parsed gives a ParseError node.
     """
+    d = members.select("org_id", "member_type", "member_name", "source_uri", "namespace", "content")
+    planned = [k for k in PLANS if kinds is None or k in kinds]
+    out = [columns.plan(d, k, *PLANS[k]) for k in planned]
+    if kinds is None or set(kinds) - set(planned):
+        out.append(_parsed(d.filter(F.col("member_type").isNull() | ~F.col("member_type").isin(list(PLANS))), now))
+    return reduce(DataFrame.unionByName, out)
+
+
+def parse_stored(members: DataFrame, now: int = 0) -> DataFrame:
+    """The facts of members that are written first, in order of member_type, so that sources are read once and each type's plan reads its part; then written themselves."""
+    kept = materialize(members.sortWithinPartitions("member_type"))
+    kinds = [r.member_type for r in kept.select("member_type").distinct().collect()]  # some dozens
+    return materialize(parse_members(kept, now, kinds))
+
 
+def _parsed(members: DataFrame, now: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in SCHEMA.split(", ")]
+        names = [c.split()[0] for c in SCHEMA.split(", ")]
         for b in batches:
             rows = []
             for m in b.itertuples(index=False):
@@ -94,9 +108,9 @@ def parse_members(members: DataFrame, now: int = 0) -> DataFrame:
                 rows += [("node", m.org_id, t, q, None, json.dumps(a, sort_keys=True), h, None, None, None) for t, q, a, h in f.nodes]
                 rows += [("edge", m.org_id, t, s, d, json.dumps(a, sort_keys=True), None, None, None, None) for t, s, d, a in f.edges]
                 rows += [("snippet", m.org_id, t, q, None, None, None, text, x, y) for q, t, text, x, y in f.snippets]
-            yield pd.DataFrame(rows, columns=columns)
+            yield pd.DataFrame(rows, columns=names)
 
-    return members.select("org_id", "member_type", "member_name", "source_uri", "namespace", "content").mapInPandas(run, SCHEMA)
+    return members.mapInPandas(run, SCHEMA)
 
 
 def nodes_of(facts: DataFrame) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
-from functools import lru_cache
 from typing import Any
 
-from .base import Context, Facts, as_dict, many, parse_json, parse_xml
-from .selectors import Scope, Template, truthy
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from .columns import Member, Nodes, Reader
+from .selectors import Scope, Template, Value, predicate
 
 
 @dataclass
@@ -46,45 +49,35 @@ def applies(condition: Any, caps: dict) -> bool:
     return isinstance(condition, dict) and bool(condition) and all(k in checks and checks[k](v) for k, v in condition.items())
 
 
-@lru_cache(maxsize=4096)
-def _template(source: str) -> Template:
-    return Template(source)
-
-
-def record_of(rule: Rule, member: dict) -> dict:
-    """The record a rule looks at: the root's content, with the member's other fields beside it."""
-    if rule.input == "json":
-        return as_dict(parse_json(member.get("content", member)))
-    if rule.input == "object":
-        return member
-    value: Any = {}
-    if member.get("xml"):
-        name, value = parse_xml(member["xml"])
-        value = value if name == rule.root else {}
-    return as_dict(value) | {k: v for k, v in member.items() if k != "xml"}
-
-
-def run_rule(rule: Rule, member: dict, context: Context) -> Facts:
-    out = Facts(context)
-    if not applies(rule.applies_when, context.caps):
-        return out
-    scope = Scope(record_of(rule, member), None, context.namespace, context.caps)
-    source = member.get("xml") or member.get("body") or ""
-    for emits, edge in ((rule.nodes, False), (rule.edges, True)):
-        for e in emits:
-            for item in many(_template(e.each)(scope)) if e.each else [None]:
-                own = Scope(scope.record, item, scope.namespace, scope.caps)
-                if e.when and not truthy(_template(e.when).alone(own)):
-                    continue
-                a, b = _template(e.src)(own), _template(e.dst)(own) if edge else None
-                if not a or edge and not b:
-                    continue
-                props = {k: _template(v)(own) if isinstance(v, str) else v for k, v in e.props.items()}
-                if edge:
-                    out.edge(e.kind, str(a), str(b), props)
-                else:
-                    out.node(e.kind, str(a), props, source)
-    return out
+def reader(rule: Rule) -> Reader:
+    """The rule as a reader of columns. A rule with an empty name at either end of an edge, or for a node, makes nothing there."""
+
+    def facts(m: Member) -> list[Column]:
+        def fact(e: Emit, edge: bool, scope: Scope) -> Column:
+            src = Template(e.src).text(scope)
+            props = {k: Template(v)(scope).json() if isinstance(v, str) else F.lit(json.dumps(v)) for k, v in e.props.items()}
+            good = src != ""
+            if e.when:
+                good &= predicate(e.when, scope)
+            if not edge:
+                return m.node(e.kind, src, props, good)
+            dst = Template(e.dst).text(scope)
+            return m.edge(e.kind, src, dst, props, good & (dst != ""))
+
+        def all_of(e: Emit, edge: bool) -> Column:
+            scope = Scope(m, None, {})
+            if not e.each:
+                return F.array(fact(e, edge, scope))
+            many = Template(e.each).alone(scope)
+            if many.kind == "nodes":
+                # an item is a list of one: whether it is a record or a text shows only when the rest has been read
+                nodes = many.value
+                return F.transform(nodes.column, lambda x: fact(e, edge, Scope(m, Value("nodes", Nodes(F.array(x), nodes.shape)), {})))
+            return F.transform(many.texts(), lambda x: fact(e, edge, Scope(m, Value("text", x), {})))
+
+        return [all_of(e, edge) for emits, edge in ((rule.nodes, False), (rule.edges, True)) for e in emits]
+
+    return facts
 
 
 def load_yaml(text: str) -> Rule:

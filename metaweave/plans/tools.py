@@ -247,9 +247,8 @@ def security_audit(store: GraphStore, org: str, object_name: str | None = None,
 
 
 def _working_tree(store: GraphStore, org: str, root: str, now: int) -> tuple[DataFrame, DataFrame]:
-    from ..tables import materialize
 
-    facts = materialize(registry.parse_members(filesystem.read_project(store.spark, root, org), now))
+    facts = registry.parse_stored(filesystem.read_project(store.spark, root, org), now)
     return registry.nodes_of(facts), registry.edges_of(facts)
 
 
