@@ -177,3 +177,14 @@ def test_stages_on_odd_documents(spark):
     for name, stage in corpus_pipeline.STAGES:
         none = stage(spark, d.limit(0), "")
         assert none.count() == 0 and (name == "best_fit_packing" or none.columns == corpus_pipeline.COLUMNS)
+
+
+def test_documents_stay_where_no_language_was_learned(spark):
+    """Without labels, or with none that aren't held out, the first stage drops only what has no letter."""
+    held = [k for k in range(200) if zlib.crc32(str(k).encode()) % 4 == 2]
+    texts = ["plain words", "Ünï", "12 34 --", "", None, "日本"]
+    stage = dict(corpus_pipeline.STAGES)["language_id"]
+    for lang in (None, "en"):
+        rows = [(k, texts[n % 6], lang, "s", 1) for n, k in enumerate(held)]
+        d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+        assert sorted(x.doc_id for x in stage(spark, d, "").collect()) == [k for n, k in enumerate(held) if n % 6 in (0, 1, 5)]
