@@ -20,6 +20,7 @@ ORGS = _struct(id=S, alias=S, instance_url=S, api_version=S, created_at=L, last_
 SNAPSHOTS = _struct(id=S, org_id=S, label=S, created_at=L, is_auto=B)
 SERVICE_IDS = _struct(org_id=S, service_id=S, qname=S, label=S, first_seen_at=L, last_seen_at=L)
 FINDINGS = _struct(org_id=S, qname=S, rule_id=S, line=L, severity=S, message=S, evidence=S)
+FAILURES = _struct(org_id=S, qname=S, text=S, error=S, attempts=L, batch=L)
 MEMBERS = _struct(category=S, member_type=S, member_name=S, last_modified_at=L, source_uri=S, obsolete=B, namespace=S, content=S)
 
 #: Key columns of each table.

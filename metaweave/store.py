@@ -18,7 +18,7 @@ from .tables import delete_path, materialize, path_exists
 
 #: Versions that stay.
 KEEP = 5
-_SCHEMAS = {"nodes": schema.NODES, "edges": schema.EDGES, "snippets": schema.SNIPPETS, "orgs": schema.ORGS, "snapshots": schema.SNAPSHOTS, "service_ids": schema.SERVICE_IDS, "findings": schema.FINDINGS}
+_SCHEMAS = {"nodes": schema.NODES, "edges": schema.EDGES, "snippets": schema.SNIPPETS, "orgs": schema.ORGS, "snapshots": schema.SNAPSHOTS, "service_ids": schema.SERVICE_IDS, "findings": schema.FINDINGS, "embedding_failures": schema.FAILURES}
 _PARTITIONS = {"nodes": ["org_id", "label"], "edges": ["org_id", "rel_type"], "orgs": [], "snapshots": []}
 
 
@@ -155,6 +155,16 @@ class GraphStore:
         """Upserts facts (order: a column that tells their order, if keys may repeat); how many were inserted, updated, unchanged."""
         return self._merge("nodes", facts, "source_hash", now, order)
 
+    def put_nodes(self, rows: DataFrame) -> None:
+        """rows: nodes with all their columns, and `gone`. They take the place of those with their keys, or leave it empty; nothing is compared, so doing it twice changes nothing."""
+        rows = materialize(rows.select(*schema.NODES.names, "gone"))
+        new, key = rows.filter("NOT gone").drop("gone"), schema.KEYS["nodes"]
+        orgs = {r.org_id for r in rows.select("org_id").distinct().collect()}
+        held = self.read("nodes", {x for x in self.parts("nodes") if x[0] in orgs}).select(*key, "label")
+        touched = self._parts_of("nodes", new) | self._parts_of("nodes", held.join(rows.select(*key), key, "left_semi"))
+        if touched:
+            self.write("nodes", self.read("nodes", touched).join(rows.select(*key), key, "left_anti").unionByName(new), touched)
+
     def merge_edges(self, facts: DataFrame, now: int, order: str | None = None) -> dict[str, int]:
         return self._merge("edges", facts, "attributes", now, order)
 

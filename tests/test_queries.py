@@ -2,12 +2,12 @@
 
 import pytest
 
-from metaweave import app_queries, catalog
+from metaweave import app_queries, catalog, stream_queries
 
 SMALL = "/root/testdata/sf0.001"
 
 
-QUERIES, ORACLE_SQL = catalog.QUERIES | app_queries.QUERIES, catalog.ORACLE_SQL | app_queries.ORACLE_SQL
+QUERIES, ORACLE_SQL = catalog.QUERIES | app_queries.QUERIES | stream_queries.QUERIES, catalog.ORACLE_SQL | app_queries.ORACLE_SQL | stream_queries.ORACLE_SQL
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
