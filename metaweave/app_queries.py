@@ -127,15 +127,15 @@ function_query("truthy", "orders", "o_orderkey", lambda: scalar.truthy(F.when(_c
 function_query("split_csv", "part", "p_partkey", lambda: F.array_join(scalar.split_csv(F.concat(F.lit(" a ,,"), _c("p_brand"), F.lit(", "), _text("p_size"), F.lit(" ,"))), "|"), "'a|' || p_brand || '|' || p_size")
 function_query("bare_name", "part", "p_partkey", lambda: scalar.bare_name(F.concat(F.lit("A:"), _c("p_brand"), F.lit(":x"))), "p_brand || ':x'")
 function_query("normalize_key", "part", "p_partkey", lambda: scalar.normalize_key(F.concat(F.lit("DataRaptor:"), F.when(_c("p_size") > 25, "own__").otherwise("Else__"), F.lit("Ip_"), _c("p_brand")), "own"), "CASE WHEN p_size > 25 THEN '' ELSE 'else__ip_' END || lower(p_brand)")
-function_query("formula_fields", "part", "p_partkey", lambda: F.array_join(scalar.formula_fields(F.concat(F.lit("Acc__r.F"), _text("p_size"), F.lit("__c * 2 + B.C - Acc__r.F"), _text("p_size"), F.lit("__c"))), ","), "'Acc.F' || p_size || '__c,B.C'")
+function_query("formula_fields", "part", "p_partkey", lambda: F.array_join(scalar.formula_fields(F.concat(F.lit("Zed.Last + Acc__r.F"), _text("p_size"), F.lit("__c * 2 + B.C - Acc__r.F"), _text("p_size"), F.lit("__c / lower.Case + Upper.case"))), ","), "'Zed.Last,Acc.F' || p_size || '__c,B.C'")
 function_query("kebab_to_camel", "customer", "c_custkey", lambda: scalar.kebab_to_camel(F.concat(F.lower("c_mktsegment"), F.lit("-my-"), _text("c_nationkey"), F.lit("-tile"))), "lower(c_mktsegment) || 'My' || c_nationkey || 'Tile'")
-function_query("bundle_hash", "supplier", "s_suppkey", lambda: scalar.bundle_hash(F.create_map(F.lit("b.js"), _c("s_name"), F.lit("a.html"), _text("s_nationkey"))), "sha256(encode('a.html' || chr(0) || s_nationkey || chr(0) || 'b.js' || chr(0) || s_name))")
-function_query("diagram_id", "part", "p_partkey", lambda: scalar.diagram_id(F.concat(F.lit("Part:"), _c("p_brand"), F.lit(".x"))), "'n_Part_' || regexp_replace(p_brand, '[^A-Za-z0-9]', '_', 'g') || '_x'")
-function_query("diagram_label", "part", "p_partkey", lambda: scalar.diagram_label(F.concat(F.lit('"['), F.repeat(_c("p_type"), 3))), "CASE WHEN length('  ' || repeat(p_type, 3)) > 30 THEN substring('  ' || repeat(p_type, 3), 1, 27) || '...' ELSE '  ' || repeat(p_type, 3) END")
-function_query("layer", "part", "p_partkey", lambda: scalar.layer(F.element_at(F.array(*[F.lit(x) for x in ("LWCBundle", "ApexClass", "TestMethod", "SOQL", "CustomField", "Flow")]), (_c("p_partkey") % 6 + 1).cast("int"))), "CASE p_partkey % 6 WHEN 0 THEN 'LWC' WHEN 1 THEN 'Apex' WHEN 2 THEN 'Apex' WHEN 3 THEN 'SOQL' WHEN 4 THEN 'Field' ELSE 'Other' END")
+function_query("bundle_hash", "supplier", "s_suppkey", lambda: scalar.bundle_hash(F.create_map(F.lit("b.js"), _c("s_name"), F.lit("a.html"), _text("s_nationkey"))), "sha256(encode('a.html' || chr(0) || s_nationkey || chr(0) || 'b.js' || chr(0) || s_name || chr(0)))")
+function_query("diagram_id", "part", "p_partkey", lambda: scalar.diagram_id(F.concat(F.lit("Part_1:"), _c("p_brand"), F.lit(".x"))), "'Part_1_' || regexp_replace(p_brand, '[^A-Za-z0-9_]', '_', 'g') || '_x'")
+function_query("diagram_label", "part", "p_partkey", lambda: scalar.diagram_label(F.concat(F.lit('"[f(x)]|{'), F.expr("substring(repeat(p_type, 3), 1, cast(18 + p_partkey % 6 as int))"))), "(SELECT regexp_replace(replace(CASE WHEN length(t) > 30 THEN substring(t, 1, 27) || chr(8230) ELSE t END, '\"', ''''), '[\\[\\]()]', '_', 'g') FROM (SELECT '\"[f(x)]|{' || substring(repeat(p_type, 3), 1, 18 + p_partkey % 6) AS t))")
+function_query("layer", "part", "p_partkey", lambda: scalar.layer(F.element_at(F.array(*[F.lit(x) for x in ("LWCBundle", "ApexClass", "TestMethod", "LightningComponentBundle", "CustomField", "CustomObject", "LWC")]), (_c("p_partkey") % 7 + 1).cast("int"))), "CASE p_partkey % 7 WHEN 0 THEN 'LWCBundle' WHEN 1 THEN 'Apex' WHEN 2 THEN 'TestMethod' WHEN 3 THEN 'LWC' WHEN 4 THEN 'Field' WHEN 5 THEN 'SOQL' ELSE 'LWC' END")
 function_query("line_of", "documents", "doc_id", lambda: scalar.line_of(F.coalesce("text", F.lit("")), F.lit(40)), "1 + length(substring(coalesce(text, ''), 1, 40)) - length(replace(substring(coalesce(text, ''), 1, 40), chr(10), ''))")
 function_query("evidence", "documents", "doc_id", lambda: F.sha2(scalar.evidence(F.concat(F.lit("  "), F.coalesce("text", F.lit("")), F.lit(" x  "))), 256), "sha256(substring(ltrim(coalesce(text, ''), ' ') || ' x', 1, 200))")
-function_query("skip_category", "events", "event_id", lambda: scalar.skip_category(F.element_at(F.array(*[F.lit(x) for x in ("INVALID_TYPE: x", "insufficient_access on y", "read timed out", "REQUEST_LIMIT_EXCEEDED", "odd")]), (_c("event_id") % 5 + 1).cast("int"))), "CASE event_id % 5 WHEN 0 THEN 'unsupported' WHEN 1 THEN 'no_access' WHEN 2 THEN 'transient' WHEN 3 THEN 'limit' ELSE 'other' END")
+function_query("skip_category", "events", "event_id", lambda: scalar.skip_category(F.element_at(F.array(*[F.lit(x) for x in ("INVALID_TYPE: x", "insufficient_access on y", "read timed out", "REQUEST_LIMIT_EXCEEDED", "odd", "connect ETIMEDOUT 1.2.3.4", "Forbidden", "entity not_found")]), (_c("event_id") % 8 + 1).cast("int"))), "CASE event_id % 8 WHEN 0 THEN 'not_found' WHEN 1 THEN 'insufficient_access' WHEN 2 THEN 'unknown' WHEN 3 THEN 'rate_limit' WHEN 4 THEN 'unknown' WHEN 5 THEN 'network' WHEN 6 THEN 'insufficient_access' ELSE 'not_found' END")
 function_query("all_matches", "part", "p_partkey", lambda: F.array_join(scalar.all_matches(F.concat(_c("p_brand"), F.lit(" a"), _text("p_size"), F.lit("b7")), "([0-9]+)"), ","), "array_to_string(regexp_extract_all(p_brand || ' a' || p_size || 'b7', '([0-9]+)', 1), ',')")
 function_query("method_qname", "part", "p_partkey", lambda: F.concat_ws("|", *[p.cast("string") for p in _method(F.concat(F.lit("ApexMethod:Out.C"), _text("p_size"), F.lit(".go("), F.when(_c("p_size") > 9, _text("p_size")).otherwise("?"), F.lit(")")))]), "'Out.C' || p_size || '|go' || CASE WHEN p_size > 9 THEN '|' || p_size ELSE '' END")
 function_query("prefix", "part", "p_partkey", lambda: audit.prefix(F.when(_c("p_size") > 25, F.concat(F.lit("Part:"), _text("p_partkey"))).when(_c("p_size") > 10, F.lit(":x")).otherwise("bare")), "CASE WHEN p_size > 25 THEN 'Part' ELSE '(unlabeled)' END")
@@ -278,14 +278,14 @@ _syncs: dict[tuple[str, str], tuple[GraphStore, ingest.Report]] = {}
 
 
 def _synced(spark: SparkSession, sf_dir: str) -> tuple[GraphStore, ingest.Report]:
-    """A class, its test, a flow and two flavours of a procedure for each nation, synced. Made once for a session and folder."""
+    """A class, its test, a flow and two flavours of a procedure for each customer, synced. Made once for a session and folder."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key in _syncs:
         return _syncs[key]
     store = GraphStore(spark, f"{shared_folder(spark)}/sync-{uuid.uuid4().hex}")
     store.upsert_org("org1", "dev", "", "61.0", 1)
-    k = F.col("n_nationkey").cast("string")
-    n = td.read(spark, sf_dir, "nation")
+    k = F.col("c_custkey").cast("string")
+    n = td.read(spark, sf_dir, "customer")
     parts = []
     for kind, name, content in (
         ("ApexClass", F.concat(F.lit("N"), k), F.concat(F.lit("public class N"), k, F.lit(" { @InvocableMethod public static void go(Integer i) { insert x; } }"))),
@@ -302,13 +302,13 @@ def _synced(spark: SparkSession, sf_dir: str) -> tuple[GraphStore, ingest.Report
     return _syncs[key]
 
 
-add("sync_edges", """SELECT 'FLOW_INVOKES_APEX_METHOD' AS rel_type, 'FlowVersion:F' || n_nationkey || '.v60' AS src, 'ApexMethod:N' || n_nationkey || '.go(1)' AS dst FROM nation
-    UNION ALL SELECT 'IS_TEST_FOR', 'ApexClass:T' || n_nationkey, 'ApexClass:N' || n_nationkey FROM nation
-    UNION ALL SELECT 'CANONICAL_OF', 'IntegrationProcedure:IP_P' || n_nationkey, 'OmniIntegrationProcedure:p' || n_nationkey FROM nation
-    UNION ALL SELECT 'CANONICAL_OF', 'OmniIntegrationProcedure:p' || n_nationkey, 'IntegrationProcedure:IP_P' || n_nationkey FROM nation""", lambda spark, sf_dir: _synced(spark, sf_dir)[0].read("edges").filter("rel_type in ('FLOW_INVOKES_APEX_METHOD', 'IS_TEST_FOR', 'CANONICAL_OF')").select("rel_type", "src", "dst"))
-add("sync_flavors", """SELECT 'IntegrationProcedure:IP_P' || n_nationkey AS qname, 'IntegrationProcedure,OmniIntegrationProcedure' AS flavors, 'IP_CALLS_DR|dr_or_odt: 1 vs 0' AS points FROM nation""", lambda spark, sf_dir: _sync_flavors(_synced(spark, sf_dir)[0]))
-add("sync_similar", "SELECT 'ApexClass:N' || n_nationkey AS qname FROM nation WHERE n_nationkey = 3", lambda spark, sf_dir: tools.dispatch("find_similar", _synced(spark, sf_dir)[0], org="org1", text="ApexClass N3", k=1).data["hits"].select("qname"))
-add("sync_dead_code_labels", "SELECT 'ApexClass' AS label, count(*) AS n FROM nation UNION ALL SELECT 'Flow', count(*) FROM nation", lambda spark, sf_dir: _synced(spark, sf_dir)[0].read("dead_code_scores").filter("in_degree = 0").groupBy("label").agg(F.count("*").alias("n")))
+add("sync_edges", """SELECT 'FLOW_INVOKES_APEX_METHOD' AS rel_type, 'FlowVersion:F' || c_custkey || '.v60' AS src, 'ApexMethod:N' || c_custkey || '.go(1)' AS dst FROM customer
+    UNION ALL SELECT 'IS_TEST_FOR', 'ApexClass:T' || c_custkey, 'ApexClass:N' || c_custkey FROM customer
+    UNION ALL SELECT 'CANONICAL_OF', 'IntegrationProcedure:IP_P' || c_custkey, 'OmniIntegrationProcedure:p' || c_custkey FROM customer
+    UNION ALL SELECT 'CANONICAL_OF', 'OmniIntegrationProcedure:p' || c_custkey, 'IntegrationProcedure:IP_P' || c_custkey FROM customer""", lambda spark, sf_dir: _synced(spark, sf_dir)[0].read("edges").filter("rel_type in ('FLOW_INVOKES_APEX_METHOD', 'IS_TEST_FOR', 'CANONICAL_OF')").select("rel_type", "src", "dst"))
+add("sync_flavors", """SELECT 'IntegrationProcedure:IP_P' || c_custkey AS qname, 'IntegrationProcedure,OmniIntegrationProcedure' AS flavors, 'IP_CALLS_DR|dr_or_odt: 1 vs 0' AS points FROM customer""", lambda spark, sf_dir: _sync_flavors(_synced(spark, sf_dir)[0]))
+add("sync_similar", "SELECT 'ApexClass:N' || c_custkey AS qname FROM customer WHERE c_custkey = 3", lambda spark, sf_dir: tools.dispatch("find_similar", _synced(spark, sf_dir)[0], org="org1", text="ApexClass: ApexClass:N3", k=1).data["hits"].select("qname"))
+add("sync_dead_code_labels", "SELECT 'ApexClass' AS label, least(count(*), 100) AS n FROM customer UNION ALL SELECT 'Flow', least(count(*), 100) FROM customer", lambda spark, sf_dir: _synced(spark, sf_dir)[0].read("dead_code_scores").filter("in_degree = 0").groupBy("label").agg(F.count("*").alias("n")))
 
 
 def _sync_flavors(store: GraphStore) -> DataFrame:

@@ -385,26 +385,38 @@ def node_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Resolvers, on names made of parts and sizes
 
 METHODS_SQL = "m AS (SELECT DISTINCT 'ApexMethod:C' || (p_partkey % 40) || '.m' || (p_size % 7) || '(' || (p_partkey % 3) || ')' AS qname FROM part)"
-CALLS_SQL = "c AS (SELECT DISTINCT 'ApexMethod:K' || (p_partkey % 90) || '.run(0)' AS src, 'ApexMethod:C' || (p_partkey % 45) || '.m' || (p_size % 8) || '(?)' AS dst FROM part)"
+CALLS_SQL = """c AS (SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN 'CALLS' WHEN 1 THEN 'IMPORTS_APEX' ELSE 'USES_WIRE' END AS rel_type, CASE WHEN p_partkey % 3 = 0 THEN 'ApexMethod:K' || (p_partkey % 90) || '.run(0)' ELSE 'LWC:tile' || (p_partkey % 90) END AS src,
+    CASE WHEN p_partkey % 11 = 0 THEN 'ApexMethod:C' || (p_partkey % 45) || '(?)' WHEN p_partkey % 13 = 0 THEN 'ApexClass:C' || (p_partkey % 45) ELSE 'ApexMethod:C' || (p_partkey % 45) || '.m' || (p_size % 8) || '(?)' END AS dst, p_partkey % 5 AS line FROM part),
+    k AS (SELECT rel_type, src, dst, min(line) AS line FROM c GROUP BY ALL)"""
 
 
 def _methods(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Methods with overloads, and edges of three relations: to methods of unknown arity, to a name that isn't a method's, to classes."""
     p = td.read(spark, sf_dir, "part")
     t = lambda e: F.expr(f"cast({e} as string)")
     methods = p.select(F.concat(F.lit("ApexMethod:C"), t("p_partkey % 40"), F.lit(".m"), t("p_size % 7"), F.lit("("), t("p_partkey % 3"), F.lit(")")).alias("qname")).distinct()
-    calls = p.select(F.lit("CALLS").alias("rel_type"), F.concat(F.lit("ApexMethod:K"), t("p_partkey % 90"), F.lit(".run(0)")).alias("src"), F.concat(F.lit("ApexMethod:C"), t("p_partkey % 45"), F.lit(".m"), t("p_size % 8"), F.lit("(?)")).alias("dst")).distinct()
-    return methods, calls
+    k, n = F.col("p_partkey") % 3, t("p_partkey % 45")
+    rel = F.when(k == 0, "CALLS").when(k == 1, "IMPORTS_APEX").otherwise("USES_WIRE")
+    src = F.when(k == 0, F.concat(F.lit("ApexMethod:K"), t("p_partkey % 90"), F.lit(".run(0)"))).otherwise(F.concat(F.lit("LWC:tile"), t("p_partkey % 90")))
+    dst = F.when(F.col("p_partkey") % 11 == 0, F.concat(F.lit("ApexMethod:C"), n, F.lit("(?)"))).when(F.col("p_partkey") % 13 == 0, F.concat(F.lit("ApexClass:C"), n)).otherwise(F.concat(F.lit("ApexMethod:C"), n, F.lit(".m"), t("p_size % 8"), F.lit("(?)")))
+    calls = p.groupBy(rel.alias("rel_type"), src.alias("src"), dst.alias("dst")).agg(F.min(F.col("p_partkey") % 5).alias("line"))
+    return methods, calls.select("rel_type", "src", "dst", F.to_json(F.struct(F.col("line"), F.lit(True).alias("unresolvedArity"))).alias("attributes"))
 
 
-@query(f"""WITH {METHODS_SQL}, {CALLS_SQL}, o AS (SELECT regexp_replace(qname, '\\([0-9]+\\)$', '(?)') AS k, qname FROM m), n AS (SELECT k, count(*) AS n FROM o GROUP BY 1)
-    SELECT c.src, coalesce(o.qname, c.dst) AS dst, coalesce(n.n > 1, false) AS ambiguous FROM c LEFT JOIN o ON o.k = c.dst LEFT JOIN n ON n.k = c.dst""")
+ARITY_SQL = f"""{METHODS_SQL}, {CALLS_SQL}, o AS (SELECT regexp_replace(qname, '\\([0-9]+\\)$', '(?)') AS loose, qname FROM m), n AS (SELECT loose, count(*) AS n FROM o GROUP BY 1)"""
+
+
+@query(f"""WITH {ARITY_SQL}
+    SELECT k.rel_type, k.src, coalesce(o.qname, k.dst) AS dst, CAST(k.line AS VARCHAR) AS line, CASE WHEN n.n IS NULL THEN 'true' END AS unresolved, CASE WHEN n.n IS NOT NULL THEN 'arity-resolver' END AS resolved_by, CASE WHEN n.n > 1 THEN 'true' WHEN n.n = 1 THEN 'false' END AS ambiguous, CAST(n.n AS VARCHAR) AS overloads
+    FROM k LEFT JOIN o ON o.loose = k.dst LEFT JOIN n ON n.loose = k.dst""")
 def arity_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     methods, calls = _methods(spark, sf_dir)
-    return resolve.resolve_arity(calls, methods).edges.select("src", "dst", F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"))
+    j = lambda key, name: F.get_json_object("attributes", f"$.{key}").alias(name)
+    return resolve.resolve_arity(calls, methods).edges.select("rel_type", "src", "dst", j("line", "line"), j("unresolvedArity", "unresolved"), j("resolvedBy", "resolved_by"), j("ambiguous", "ambiguous"), j("overloadCount", "overloads"))
 
 
-@query(f"""WITH {METHODS_SQL}, {CALLS_SQL}, n AS (SELECT regexp_replace(qname, '\\([0-9]+\\)$', '(?)') AS k, count(*) AS n FROM m GROUP BY 1), j AS (SELECT coalesce(n, 0) AS n FROM c LEFT JOIN n ON k = dst)
-    SELECT count(*) AS scanned, count(*) FILTER (WHERE n = 1) AS resolved, count(*) FILTER (WHERE n > 1) AS ambiguous, count(*) FILTER (WHERE n = 0) AS missing FROM j""")
+@query(f"""WITH {ARITY_SQL}, j AS (SELECT coalesce(n, 0) AS n FROM k LEFT JOIN n ON loose = dst WHERE dst LIKE 'ApexMethod:%(?)')
+    SELECT count(*) AS scanned, count(*) FILTER (WHERE n > 0) AS resolved, count(*) FILTER (WHERE n > 1) AS ambiguous, count(*) FILTER (WHERE n = 0) AS missing, CAST(sum(n) AS BIGINT) AS emitted FROM j""")
 def arity_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     methods, calls = _methods(spark, sf_dir)
     return resolve.resolve_arity(calls, methods).counters

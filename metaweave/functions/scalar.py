@@ -64,34 +64,36 @@ def normalize_key(qname: Column, namespace: str | None = None) -> Column:
 
 
 def formula_fields(formula: Column) -> Column:
-    """The distinct `Object.Field` of a formula, relations without their suffix."""
-    found = F.regexp_extract_all(formula, F.lit(r"\b[A-Za-z]\w*\.[A-Za-z]\w*\b"), F.lit(0))
-    return F.array_sort(F.array_distinct(F.transform(found, lambda x: F.regexp_replace(x, r"__r\.", "."))))
+    """The distinct `Object.Field` of a formula in their order, relations without their suffix. Both names start with a capital."""
+    found = F.regexp_extract_all(formula, F.lit(r"\b[A-Z]\w*\.[A-Z]\w*\b"), F.lit(0))
+    return F.array_distinct(F.transform(found, lambda x: F.regexp_replace(x, r"__r\.", ".")))
 
 
 def kebab_to_camel(name: Column) -> Column:
     parts = F.split(name, "-")
-    rest = F.transform(F.slice(parts, 2, 1000), lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 1000)))
+    rest = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, F.lit(2), F.length(x))))
     return F.concat(F.get(parts, F.lit(0)), F.array_join(rest, ""))
 
 
 def bundle_hash(files: Column) -> Column:
-    """sha256 over the names and contents of a map of files, whatever their order."""
+    """sha256 over the names and contents of a map of files, each with a zero byte after it, whatever their order."""
     entries = F.array_sort(F.map_entries(files))
-    return F.sha2(F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("\x00"), e["value"])), "\x00"), 256)
+    return F.sha2(F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("\x00"), F.coalesce(e["value"], F.lit("")), F.lit("\x00"))), ""), 256)
 
 
 def diagram_id(qname: Column) -> Column:
-    return F.concat(F.lit("n_"), F.regexp_replace(qname, "[^A-Za-z0-9]", "_"))
+    return F.regexp_replace(qname, "[^A-Za-z0-9_]", "_")
 
 
 def diagram_label(text: Column) -> Column:
-    clean = F.regexp_replace(text, r"[\"\[\]{}|<>]", " ")
-    return F.when(F.length(clean) > 30, F.concat(F.substring(clean, 1, 27), F.lit("..."))).otherwise(clean)
+    """At most 30 signs, without quotes and brackets."""
+    short = F.when(F.length(text) > 30, F.concat(F.substring(text, 1, 27), F.lit("\u2026"))).otherwise(text)
+    return F.regexp_replace(F.replace(short, F.lit('"'), F.lit("'")), r"[\[\]()]", "_")
 
 
 def layer(label: Column) -> Column:
-    return F.when(label.startswith("LWC") | label.startswith("Lightning"), "LWC").when(label.startswith("Apex") | (label == "TestMethod"), "Apex").when(label == "SOQL", "SOQL").when(label.isin("CustomField", "CustomObject"), "Field").otherwise("Other")
+    """The layer of a sequence that a label belongs to; others are layers of their own."""
+    return F.when(label.isin("LWC", "LightningComponentBundle"), "LWC").when(label.startswith("Apex"), "Apex").when(label == "CustomField", "Field").when(label == "CustomObject", "SOQL").otherwise(label)
 
 
 def line_of(text: Column, offset: Column) -> Column:
@@ -145,11 +147,22 @@ def json_with(attributes: Column, fields: dict[str, Column]) -> Column:
     return F.when(extra == "{}", body).when(body.isin("{}", ""), extra).otherwise(F.concat(F.regexp_replace(body, r"\s*\}$", ""), F.lit(","), F.substring(extra, F.lit(2), F.length(extra))))
 
 
+#: Words of an error (in capitals) and why a source was skipped, then, in the order they are looked for. Fixed values.
+SKIPS = [
+    ("insufficient_access", ("INSUFFICIENT", "FORBIDDEN")),
+    ("not_found", ("NOT_FOUND", "INVALID_TYPE")),
+    ("rate_limit", ("REQUEST_LIMIT_EXCEEDED", "RATE_LIMIT")),
+    ("network", ("ECONNREFUSED", "ENOTFOUND", "ETIMEDOUT")),
+]
+UNKNOWN = "unknown"
+
+
 def skip_category(message: Column) -> Column:
     """Why a source was skipped, by words of its error."""
-    m = F.upper(message)
-    has = lambda *words: F.greatest(*[m.contains(w) for w in words], F.lit(False))
-    return F.when(has("INVALID_TYPE", "NOT SUPPORTED"), "unsupported").when(has("INSUFFICIENT_ACCESS", "FORBIDDEN", "PERMISSION"), "no_access").when(has("TIMEOUT", "TIMED OUT", "ECONNRESET", "SOCKET"), "transient").when(has("LIMIT", "QUOTA", "TOO MANY"), "limit").otherwise("other")
+    m, out = F.upper(message), F.lit(UNKNOWN)
+    for name, words in reversed(SKIPS):
+        out = F.when(F.greatest(*[m.contains(w) for w in words], F.lit(False)), name).otherwise(out)
+    return out
 
 
 def _leaves(value, path: str = "", key: str | None = None, depth: int = 0) -> Iterator[tuple[str, str | None, str]]:

@@ -15,6 +15,7 @@ from .operators import audit, merge, resolve, vector
 from .parse import registry
 from .sources import filesystem
 from .store import GraphStore
+from .streaming import embedding
 from .tables import materialize
 
 
@@ -78,8 +79,8 @@ def run_resolvers(store: GraphStore, org: str, now: int, namespace: str | None =
         n, e = own()
         r = resolve.resolve_arity(e, n.filter(F.col("label").isin("ApexMethod", "TestMethod")))
         counters = r.counters.first().asDict()
-        attributes = F.when(F.col("ambiguous").isNull(), F.col("attributes")).otherwise(F.to_json(F.struct("ambiguous")))
-        store.replace_org("edges", org, r.edges.withColumn("attributes", attributes).select(schema.EDGES.names))
+        if counters["resolved"]:
+            store.swap_edges(r.gone, r.made.select(schema.EDGES.names))
         return counters
 
     def references() -> dict[str, int]:
@@ -95,15 +96,14 @@ def run_resolvers(store: GraphStore, org: str, now: int, namespace: str | None =
     return out
 
 
-def embed_nodes(store: GraphStore, org: str, embedder: Callable) -> dict[str, int]:
-    """Embeds nodes (label, name and description) whose text has no vector yet. An embedder that fails ends no sync."""
-    n = store.read("nodes").filter((F.col("org_id") == org) & (F.col("label") != "ParseError"))
-    text = F.concat_ws(" ", "label", F.regexp_replace("qname", "^[^:]*:", ""), F.get_json_object("attributes", "$.description"))
+def embed_nodes(store: GraphStore, org: str, embedder: Callable, at: int) -> dict[str, int]:
+    """Embeds nodes (label, name and description) whose text has no vector yet, and texts that failed before. One that fails fails alone, and ends no sync."""
+    n = store.read("nodes", store.parts("nodes", org)).filter(F.col("label") != "ParseError")
+    text = F.concat("label", F.lit(": "), "qname", F.lit("\n"), F.coalesce(F.get_json_object("attributes", "$.description"), F.lit("")))
     try:
-        if store._current("node_vectors"):
-            n = vector.stale_vectors(n, store.read("node_vectors").filter(F.col("org_id") == org), text)
-        made = materialize(vector.embed(n, text, embedder).withColumn("org_id", F.lit(org)))
-        return store.upsert_vectors(made)
+        if store._current(embedding.VECTORS):
+            n = vector.stale_vectors(n, store.read(embedding.VECTORS).filter(F.col("org_id") == org), text)
+        return embedding.apply_texts(store, n.select("org_id", "qname", text.alias("text"), F.lit(0).alias("ordinal")), at, embedder)
     except Exception as error:
         return {"failed": 1, str(error)[:80]: 1}
 
@@ -137,7 +137,7 @@ def sync(store: GraphStore, members: DataFrame, org: str, mode: str = "full", no
         store.delete_nodes(dead)
     out.resolved = run_resolvers(store, org, at, namespace)
     if embedder is not None:
-        out.embedded = embed_nodes(store, org, embedder)
+        out.embedded = embed_nodes(store, org, embedder, at)
     n, e = store.read("nodes").filter(F.col("org_id") == org), store.read("edges").filter(F.col("org_id") == org)
     out.dangling = audit.dangling(e, n).count()
     store.write("orgs", store.read("orgs").withColumn("last_synced_at", F.when(F.col("id") == org, F.lit(at)).otherwise(F.col("last_synced_at"))))

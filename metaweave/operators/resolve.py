@@ -14,6 +14,8 @@ from ..functions.scalar import json_leaves, json_with, normalize_key
 class Resolved:
     edges: DataFrame
     counters: DataFrame
+    made: DataFrame | None = None
+    gone: DataFrame | None = None
 
 
 def method_parts(qname: Column) -> tuple[Column, Column, Column]:
@@ -22,25 +24,35 @@ def method_parts(qname: Column) -> tuple[Column, Column, Column]:
     return F.regexp_extract(body, r"^(.*)\.[^.(]+\(", 1), F.regexp_extract(body, r"([^.(]+)\([^)]*\)$", 1), F.try_to_number(F.regexp_extract(body, r"\((\d+)\)$", 1), F.lit("999999999")).cast("int")
 
 
-def resolve_arity(edges: DataFrame, methods: DataFrame, rel: str = "CALLS", limit: int | None = None) -> Resolved:
-    """Calls of a method of unknown arity, `(?)`, become calls of every overload; those without any stay.
+#: Names of methods of unknown and of known arity: class, method, arity. Fixed values.
+STRANDED, KNOWN = r"^ApexMethod:(.+)\.([A-Za-z_]\w*)\(\?\)$", r"^ApexMethod:(.+)\.([A-Za-z_]\w*)\((\d+)\)$"
 
-    Overloads are counted per (class, method) before the join, so a call only fans out to them.
+
+def resolve_arity(edges: DataFrame, methods: DataFrame, limit: int | None = None) -> Resolved:
+    """Edges of any relation to a method of unknown arity, `(?)`, become edges to each of its overloads; those without any stay as they are.
+
+    New edges keep the old one's attributes (JSON) but unresolvedArity, and its times; resolvedBy, ambiguous and overloadCount say how they came about. made and gone
+    are the edges that differ, edges all after that. Overloads are gathered by class and method before the join, so an edge only fans out to them.
+    Counters: scanned, resolved (with any overload), ambiguous (with several), missing (with none), emitted (new edges).
     """
-    call = edges.filter((F.col("rel_type") == rel) & F.col("dst").endswith("(?)"))
-    call = call.orderBy("src", "dst").limit(limit) if limit is not None else call
-    c, m, _ = method_parts(F.col("dst"))
-    call = call.withColumns({"c": c, "m": m})
-    oc, om, oa = method_parts(F.col("qname"))
-    overloads = methods.select("qname", oc.alias("c"), om.alias("m"), oa.alias("a")).filter("a is not null").groupBy("c", "m").agg(F.collect_set("qname").alias("targets"))
-    d = call.join(overloads, ["c", "m"], "left")
-    n = F.coalesce(F.size("targets"), F.lit(0))
-    others = [x for x in edges.columns if x != "dst"]
-    made = d.filter("targets is not null").select(*others, F.explode("targets").alias("dst"), (F.size("targets") > 1).alias("ambiguous"))
-    gone = d.filter("targets is not null").select("rel_type", "src", "dst")
-    kept = edges.join(gone, ["rel_type", "src", "dst"], "left_anti").withColumn("ambiguous", F.lit(None).cast("boolean"))
-    counters = d.agg(F.count("*").alias("scanned"), F.count_if(n == 1).alias("resolved"), F.count_if(n > 1).alias("ambiguous"), F.count_if(n == 0).alias("missing"))
-    return Resolved(kept.unionByName(made).dropDuplicates(["rel_type", "src", "dst"]), counters)
+    loose = edges.filter(F.col("dst").startswith("ApexMethod:") & F.col("dst").endswith("(?)"))
+    loose = loose.orderBy("rel_type", "src", "dst").limit(limit) if limit is not None else loose
+    loose = loose.withColumns({"c": F.regexp_extract("dst", STRANDED, 1), "m": F.regexp_extract("dst", STRANDED, 2)})
+    overloads = methods.filter(F.col("qname").rlike(KNOWN)).select(F.regexp_extract("qname", KNOWN, 1).alias("c"), F.regexp_extract("qname", KNOWN, 2).alias("m"), "qname")
+    overloads = overloads.groupBy("c", "m").agg(F.collect_set("qname").alias("targets"))
+    d = loose.join(overloads, ["c", "m"], "left").withColumn("n", F.when(F.col("targets").isNull(), 0).otherwise(F.size("targets")))
+    found = d.filter("n > 0")
+    how = {"resolvedBy": F.lit("arity-resolver"), "ambiguous": F.col("n") > 1, "overloadCount": F.col("n")}
+    own = F.lit("{}")
+    if "attributes" in edges.columns:
+        fields = F.map_filter(F.from_json(F.coalesce("attributes", F.lit("{}")), "map<string, variant>"), lambda k, v: ~k.isin("unresolvedArity", *how))
+        own = F.coalesce(F.to_json(fields), F.lit("{}"))
+    key = [c for c in ("org_id", "rel_type", "src", "dst") if c in edges.columns]
+    made = found.withColumn("attributes", json_with(own, how)).withColumn("dst", F.explode("targets")).drop("c", "m", "targets", "n").dropDuplicates(key)
+    gone = found.select(*key)
+    kept = edges.join(gone, key, "left_anti").withColumn("attributes", F.col("attributes") if "attributes" in edges.columns else F.lit(None).cast("string"))
+    counters = d.agg(F.count("*").alias("scanned"), F.count_if(F.col("n") > 0).alias("resolved"), F.count_if(F.col("n") > 1).alias("ambiguous"), F.count_if(F.col("n") == 0).alias("missing"), F.coalesce(F.sum("n"), F.lit(0)).alias("emitted"))
+    return Resolved(kept.unionByName(made).dropDuplicates(key), counters, made, gone)
 
 
 #: A method's qname, as far as flows can call it: class, name, arity. Fixed value.

@@ -82,7 +82,7 @@ def parse_members(members: DataFrame, now: int = 0, kinds: list[str] | None = No
     d = members.select("org_id", "member_type", "member_name", "source_uri", "namespace", "content")
     planned = [k for k in PLANS if kinds is None or k in kinds]
     out = [columns.plan(d, k, *PLANS[k]) for k in planned]
-    if kinds is None or set(kinds) - set(planned):
+    if kinds is None or not planned or set(kinds) - set(planned):
         out.append(_parsed(d.filter(F.col("member_type").isNull() | ~F.col("member_type").isin(list(PLANS))), now))
     return reduce(DataFrame.unionByName, out)
 

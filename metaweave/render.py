@@ -19,12 +19,12 @@ LAYERS = ["LWC", "Apex", "SOQL", "Field"]
 
 
 def diagram_id(name: str) -> str:
-    return "n_" + re.sub(r"[^A-Za-z0-9]", "_", name)
+    return re.sub(r"[^A-Za-z0-9_]", "_", name)
 
 
 def diagram_label(name: str) -> str:
-    clean = re.sub(r'["\[\]{}|<>]', " ", name)
-    return clean if len(clean) <= 30 else clean[:27] + "..."
+    short = name if len(name) <= 30 else name[:27] + "\u2026"
+    return re.sub(r"[\[\]()]", "_", short.replace('"', "'"))
 
 
 def dependency_graph(nodes: DataFrame, edges: DataFrame, focus: str | None = None, cap: int = CAP) -> str:
@@ -54,15 +54,17 @@ def wip_graph(changes: DataFrame, dependents: DataFrame, cap: int = CAP) -> str:
 
 
 def layer(qname: str) -> str:
+    """The layer that a name's label belongs to; others are layers of their own, after these."""
     label = qname.partition(":")[0]
-    return "LWC" if label.startswith(("LWC", "Lightning")) else "Apex" if label.startswith(("Apex", "TestMethod")) else "SOQL" if label == "SOQL" else "Field" if label in ("CustomField", "CustomObject") else "Other"
+    known = {"LightningComponentBundle": "LWC", "CustomField": "Field", "CustomObject": "SOQL"}
+    return "Apex" if label.startswith("Apex") else known.get(label, label)
 
 
 def sequence(participants: list[str], messages: list[tuple[str, str, str]]) -> str:
     place = {n: k for k, n in enumerate(LAYERS)}
     ordered = sorted(dict.fromkeys(participants), key=lambda q: place.get(layer(q), len(LAYERS)))
     lines = ["sequenceDiagram"] + [f"  participant {diagram_id(q)} as {diagram_label(q)}" for q in ordered]
-    return "\n".join(lines + [f"  {diagram_id(a)}->>{diagram_id(b)}: {rel}" for a, rel, b in messages])
+    return "\n".join(lines + [f"  {diagram_id(a)} ->> {diagram_id(b)}: {diagram_label(rel)}" for a, rel, b in messages])
 
 
 def markdown_table(df: DataFrame, limit: int = 20) -> str:

@@ -5,21 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
-#: Words of an error (in capitals) and the category they mean, in the order they are looked for. Fixed values.
-CATEGORIES = [
-    ("insufficient_access", ("INSUFFICIENT", "FORBIDDEN")),
-    ("not_found", ("NOT_FOUND", "INVALID_TYPE")),
-    ("rate_limit", ("REQUEST_LIMIT_EXCEEDED", "RATE_LIMIT")),
-    ("network", ("ECONNREFUSED", "ENOTFOUND", "ETIMEDOUT")),
-]
-UNKNOWN = "unknown"
+from ..functions.scalar import SKIPS, UNKNOWN
+
 #: Categories that may pass if tried again.
 TRANSIENT = ("rate_limit", "network")
 
 
 def category(message: str) -> str:
     text = message.upper()
-    return next((name for name, words in CATEGORIES if any(w in text for w in words)), UNKNOWN)
+    return next((name for name, words in SKIPS if any(w in text for w in words)), UNKNOWN)
 
 
 def halved(call: Callable[[list], list], items: list) -> tuple[list[tuple[Any, Any]], list[tuple[Any, str]]]:

@@ -168,6 +168,14 @@ class GraphStore:
     def merge_edges(self, facts: DataFrame, now: int, order: str | None = None) -> dict[str, int]:
         return self._merge("edges", facts, "attributes", now, order)
 
+    def swap_edges(self, gone: DataFrame, made: DataFrame) -> None:
+        """made in place of the edges gone (keys); of what is there already, the stored edge stays. Only the partitions of these are written anew."""
+        gone, made = materialize(gone), materialize(made)
+        key = schema.KEYS["edges"]
+        touched = self._parts_of("edges", gone) | self._parts_of("edges", made)
+        kept = self.read("edges", touched).join(gone.select(*key), key, "left_anti")
+        self.write("edges", kept.unionByName(made.join(kept.select(*key), key, "left_anti").select(kept.columns)), touched)
+
     def merge_snippets(self, facts: DataFrame) -> None:
         touched = self._parts_of("snippets", facts)
         if touched or not self._current("snippets"):

@@ -86,7 +86,7 @@ def test_sources(spark, tmp_path):
     parents, children = spark.createDataFrame([(1,), (2,)], "id int"), spark.createDataFrame([(1, 2, "y"), (1, 1, "x")], "parent int, seq int, v string")
     assert {r.id: r.elements for r in m.attach_children(parents, children, "id", "parent", "elements").collect()} == {1: ['{"seq":1,"v":"x"}', '{"seq":2,"v":"y"}'], 2: []}
     good, report = m.read_sources(spark, {"one": lambda: parents, "two": lambda: 1 / 0, "three": lambda: (_ for _ in ()).throw(RuntimeError("socket timed out"))})
-    assert good.count() == 2 and {r.category: r.n for r in m.skip_summary(report).collect()} == {"other": 1, "transient": 1}
+    assert good.count() == 2 and {r.category: r.n for r in m.skip_summary(report).collect()} == {"unknown": 2}
     assert m.applicable([{"n": 1, "applies_when": {"capability": "x"}}, {"n": 2, "applies_when": {"not": {"capability": "x"}}}], {"x": True}) == [{"n": 1, "applies_when": {"capability": "x"}}]
 
 
