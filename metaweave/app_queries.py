@@ -6,12 +6,12 @@ import json
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import ingest
 from .functions import scalar
-from .operators import audit, traverse
+from .operators import audit, pivots, traverse, vector
 from .parse import registry
 from .plans import tools
 from .sources import testdata as td
@@ -308,10 +308,47 @@ add("sync_edges", """SELECT 'FLOW_INVOKES_APEX_METHOD' AS rel_type, 'FlowVersion
     UNION ALL SELECT 'CANONICAL_OF', 'OmniIntegrationProcedure:p' || c_custkey, 'IntegrationProcedure:IP_P' || c_custkey FROM customer""", lambda spark, sf_dir: _synced(spark, sf_dir)[0].read("edges").filter("rel_type in ('FLOW_INVOKES_APEX_METHOD', 'IS_TEST_FOR', 'CANONICAL_OF')").select("rel_type", "src", "dst"))
 add("sync_flavors", """SELECT 'IntegrationProcedure:IP_P' || c_custkey AS qname, 'IntegrationProcedure,OmniIntegrationProcedure' AS flavors, 'IP_CALLS_DR|dr_or_odt: 1 vs 0' AS points FROM customer""", lambda spark, sf_dir: _sync_flavors(_synced(spark, sf_dir)[0]))
 add("sync_similar", "SELECT 'ApexClass:N' || c_custkey AS qname FROM customer WHERE c_custkey = 3", lambda spark, sf_dir: tools.dispatch("find_similar", _synced(spark, sf_dir)[0], org="org1", text="ApexClass: ApexClass:N3", k=1).data["hits"].select("qname"))
-add("sync_dead_code_labels", "SELECT 'ApexClass' AS label, least(count(*), 100) AS n FROM customer UNION ALL SELECT 'Flow', least(count(*), 100) FROM customer", lambda spark, sf_dir: _synced(spark, sf_dir)[0].read("dead_code_scores").filter("in_degree = 0").groupBy("label").agg(F.count("*").alias("n")))
+# names of four signs and more (from key 100 on) are found in the attributes of what belongs to them
+add("sync_dead_code_labels", "SELECT 'ApexClass' AS label, count(*) AS n FROM customer WHERE c_custkey < 100 UNION ALL SELECT 'Flow', count(*) FROM customer WHERE c_custkey < 100", lambda spark, sf_dir: _synced(spark, sf_dir)[0].read("dead_code_scores").filter("in_degree = 0").groupBy("label").agg(F.count("*").alias("n")))
 
 
 def _sync_flavors(store: GraphStore) -> DataFrame:
     e = store.read("edges").filter("rel_type = 'CANONICAL_OF' and src like 'IntegrationProcedure:%'").select(F.col("src").alias("qname"), F.array_join(F.from_json(F.get_json_object("attributes", "$.divergencePoints"), "array<string>"), ",").alias("points"))
     n = store.read("nodes").select("qname", F.array_join(F.from_json(F.get_json_object("attributes", "$.flavors"), "array<string>"), ",").alias("flavors"))
     return e.join(n, "qname").select("qname", "flavors", "points")
+
+
+# Vectors: an exact index, and bundles of several vectors
+
+_FAR = "sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) * (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)))))"
+
+
+def _pivot_index(spark: SparkSession, sf_dir: str) -> pivots.PivotIndex:
+    return pivots.PivotIndex.build(td.read(spark, sf_dir, "embeddings"), f"{shared_folder(spark)}/pivots-{uuid.uuid4().hex}", 32)
+
+
+def pivot_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest vectors of each vector whose id is divisible by 20, among all others, by cells that the triangle inequality leaves."""
+    queries = td.read(spark, sf_dir, "embeddings").filter(F.col("vec_id") % 20 == 0)
+    return _pivot_index(spark, sf_dir).search_many(queries, 5).select("query", "rank", "id", F.round("distance", 5).alias("distance"))
+
+
+add("pivot_knn", f"""WITH d AS (SELECT a.vec_id AS query, b.vec_id AS id, {_FAR} AS d FROM embeddings AS a JOIN embeddings AS b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)
+    SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY d, id) AS INTEGER) AS rank, id, round(d, 5) AS distance FROM d QUALIFY rank <= 5""", pivot_knn)
+
+
+def _ranked(d: DataFrame, *order: str) -> DataFrame:
+    return d.withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # some ten rows
+
+
+def bundle_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 bundles of three vectors each that are nearest to vector 7, in their order."""
+    d = td.read(spark, sf_dir, "embeddings")
+    query = d.filter("vec_id = 7").first().embedding
+    found = vector.search_bundles(d.withColumn("bundle", F.floor(F.col("vec_id") / 3)), list(query), 10)
+    return _ranked(found, "distance", "bundle").select("rank", "bundle", F.round("distance", 5).alias("distance"))
+
+
+add("bundle_search", f"""WITH d AS (SELECT CAST(a.vec_id // 3 AS VARCHAR) AS bundle, min({_FAR}) AS d FROM embeddings AS a, embeddings AS b WHERE b.vec_id = 7 GROUP BY 1)
+    SELECT CAST(row_number() OVER (ORDER BY d, bundle) AS INTEGER) AS rank, bundle, round(d, 5) AS distance FROM d ORDER BY d, bundle LIMIT 10""", bundle_search)
+add("vector_counts", "SELECT 'org' || CASE WHEN label IS NULL THEN -1 ELSE label END AS org_id, count(*) AS vectors, count(DISTINCT md5(CAST(vec_id % 100 AS VARCHAR))) AS contents FROM embeddings GROUP BY 1", lambda spark, sf_dir: vector.vector_counts(td.read(spark, sf_dir, "embeddings").select(F.concat(F.lit("org"), F.coalesce("label", F.lit(-1)).cast("string")).alias("org_id"), F.md5((F.col("vec_id") % 100).cast("string")).alias("content_hash"))))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +50,35 @@ def similar(vectors: DataFrame, focal: int, k: int, id_col: str = "vec_id", vect
     return d.withColumn("similarity", F.lit(1.0) - F.col("distance") / 2)
 
 
+def search_bundles(vectors: DataFrame, query: list[float], k: int, bundle_col: str = "bundle", vector_col: str = "embedding", org: str | None = None) -> DataFrame:
+    """bundle and distance (L2) of the k nearest bundles, nearest first, ties by name. A bundle has several vectors, and is as near as the nearest of them.
+
+    A bundle's vectors may lie in many tasks. Each task keeps the k nearest bundles of those it has seen: one that is among the k nearest of all is so in the task with its
+    nearest vector. Those meet by bundle. Null vectors and those of another length are left out.
+    """
+    k = max(0, min(k, MAX_K))
+    d = vectors.filter(F.col("org_id") == org) if org is not None else vectors
+    d = d.filter(F.size(vector_col) == len(query)).select(F.col(bundle_col).cast("string").alias("bundle"), F.col(vector_col).alias("v"))
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        q = np.asarray(query, np.float64)
+        kept = pd.Series(dtype=float)
+        for b in batches:
+            if len(b):
+                far = np.sqrt(np.square(np.stack(b["v"].to_numpy()).astype(np.float64) - q).sum(axis=1))
+                both = pd.concat([kept, pd.Series(far, index=b["bundle"].to_numpy())]) if len(kept) else pd.Series(far, index=b["bundle"].to_numpy())
+                both = both.groupby(level=0).min()
+                kept = both.sort_index().sort_values(kind="stable").head(k)
+        yield pd.DataFrame({"bundle": kept.index.to_numpy(dtype=object), "distance": kept.to_numpy(dtype=float)})
+
+    return d.mapInPandas(nearest, "bundle string, distance double").groupBy("bundle").agg(F.min("distance").alias("distance")).orderBy("distance", "bundle").limit(k)
+
+
+def vector_counts(vectors: DataFrame) -> DataFrame:
+    """How many vectors each org has, and of how many different contents."""
+    return vectors.groupBy("org_id").agg(F.count("*").alias("vectors"), F.count_distinct("content_hash").alias("contents"))
+
+
 def hashing_embedder(dim: int = 384) -> Callable[[list[str]], list[list[float]]]:
     """A stand-in that needs no model: counts of hashed words, of length 1 (zeros for no words). It is not a language model."""
     import re
