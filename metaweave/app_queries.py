@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from . import ingest
 from .functions import scalar
-from .operators import audit, pivots, traverse, vector
+from .operators import audit, merge, pivots, traverse, vector
 from .parse import registry
 from .plans import tools
 from .sources import testdata as td
+from .sources.members import baseline_edges
 from .store import GraphStore
 from .tables import materialize, shared_folder
 
@@ -352,3 +353,33 @@ def bundle_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("bundle_search", f"""WITH d AS (SELECT CAST(a.vec_id // 3 AS VARCHAR) AS bundle, min({_FAR}) AS d FROM embeddings AS a, embeddings AS b WHERE b.vec_id = 7 GROUP BY 1)
     SELECT CAST(row_number() OVER (ORDER BY d, bundle) AS INTEGER) AS rank, bundle, round(d, 5) AS distance FROM d ORDER BY d, bundle LIMIT 10""", bundle_search)
 add("vector_counts", "SELECT 'org' || CASE WHEN label IS NULL THEN -1 ELSE label END AS org_id, count(*) AS vectors, count(DISTINCT md5(CAST(vec_id % 100 AS VARCHAR))) AS contents FROM embeddings GROUP BY 1", lambda spark, sf_dir: vector.vector_counts(td.read(spark, sf_dir, "embeddings").select(F.concat(F.lit("org"), F.coalesce("label", F.lit(-1)).cast("string")).alias("org_id"), F.md5((F.col("vec_id") % 100).cast("string")).alias("content_hash"))))
+
+
+# Renames of one batch, and the platform's own edges
+
+_NEW = "CASE WHEN k % 10 = 9 THEN -1 - k // 100 WHEN k % 3 = 2 THEN k - 2 ELSE k + 1 END"
+
+
+def rename_simultaneous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part is renamed: within threes each takes the next one's name, and some of a hundred take one name together. Edges from orders follow, and meet."""
+    e = td.read(spark, sf_dir, "lineitem").groupBy(F.concat(F.lit("Order:"), F.col("l_orderkey").cast("string")).alias("src"), F.concat(F.lit("Part:"), F.col("l_partkey").cast("string")).alias("dst")).agg(F.min("l_linenumber").cast("long").alias("first_seen_at"), F.max("l_linenumber").cast("long").alias("last_seen_at"))
+    k = td.read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("k")).distinct()
+    new = F.expr(_NEW.replace("//", "div"))
+    renames = k.select(F.concat(F.lit("Part:"), F.col("k").cast("string")).alias("old"), F.concat(F.lit("Part:"), new.cast("string")).alias("new"))
+    return merge.rename_edges(e.withColumn("rel_type", F.lit("HAS")), renames).select("src", "dst", F.col("first_seen_at").alias("first"), F.col("last_seen_at").alias("last"))
+
+
+add("rename_simultaneous", f"WITH e AS (SELECT l_orderkey AS o, l_partkey AS k, l_linenumber AS n FROM lineitem) SELECT 'Order:' || o AS src, 'Part:' || ({_NEW}) AS dst, CAST(min(n) AS BIGINT) AS first, CAST(max(n) AS BIGINT) AS last FROM e GROUP BY 1, 2", rename_simultaneous)
+
+
+def baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a dependency table, from all lines of orders: names with the org's namespace, with another, with their id for a name."""
+    text = lambda c: F.col(c).cast("string")
+    ref = F.when(F.col("l_partkey") % 5 == 0, F.concat(F.lit("id"), text("l_partkey"))).otherwise(F.concat(F.lit("ns__F"), text("l_partkey")))
+    other = F.col("l_orderkey") % 2 == 0
+    d = td.read(spark, sf_dir, "lineitem").select(F.lit("Layout").alias("component_type"), F.concat(F.when(other, "pk__").otherwise("ns__"), F.lit("L"), (F.col("l_orderkey") % 50).cast("string")).alias("component_name"), F.lit("c").alias("component_id"), F.when(other, "pk").alias("component_namespace"), F.lit("CustomField").alias("ref_type"), ref.alias("ref_name"), F.concat(F.lit("id"), text("l_partkey")).alias("ref_id"), F.lit(None).cast("string").alias("ref_namespace"))
+    made = baseline_edges(d, ["Layout"], "ns")
+    return made.select("rel_type", "src", "dst", F.get_json_object("attributes", "$.mcdDstType").alias("kind"), F.coalesce(F.get_json_object("attributes", "$.dynamic"), F.lit("false")).alias("dynamic"))
+
+
+add("baseline_edges", """SELECT DISTINCT 'REFERENCES' AS rel_type, 'Layout:L' || (l_orderkey % 50) AS src, 'CustomField:' || CASE WHEN l_partkey % 5 = 0 THEN 'id' ELSE 'F' END || l_partkey AS dst, 'CustomField' AS kind, CASE WHEN l_partkey % 5 = 0 THEN 'true' ELSE 'false' END AS dynamic FROM lineitem""", baseline)

@@ -14,6 +14,7 @@ from . import schema
 from .operators import audit, merge, resolve, vector
 from .parse import registry
 from .sources import filesystem
+from .sources.members import baseline_edges
 from .store import GraphStore
 from .streaming import embedding
 from .tables import materialize
@@ -28,6 +29,8 @@ class Report:
     resolved: dict[str, dict[str, int]] = field(default_factory=dict)
     dangling: int = 0
     embedded: dict[str, int] = field(default_factory=dict)
+    renamed: int = 0
+    baseline: dict[str, int] = field(default_factory=dict)
     snapshot: str | None = None
 
 
@@ -108,22 +111,45 @@ def embed_nodes(store: GraphStore, org: str, embedder: Callable, at: int) -> dic
         return {"failed": 1, str(error)[:80]: 1}
 
 
-def sync(store: GraphStore, members: DataFrame, org: str, mode: str = "full", now: int | None = None, detect_deletions: bool = True, snapshot: bool = True, keep_days: int = 30, analyse: bool = True, namespace: str | None = None, embedder: Callable | None = vector.hashing_embedder) -> Report:
+def follow_renames(store: GraphStore, org: str, members: DataFrame, at: int) -> int:
+    """Records the members' service ids, and renames what has another name now; how many did."""
+    name = F.concat_ws(":", "member_type", "member_name")
+    seen = members.filter(F.coalesce("service_id", F.lit("")) != "").groupBy(F.lit(org).alias("org_id"), "service_id").agg(F.max(name).alias("qname"), F.max("member_type").alias("label"))
+    renames = store.record_service_ids(materialize(seen), at)
+    n = renames.count()
+    if n:
+        store.rename(org, renames, nodes=True)
+    return n
+
+
+def add_baseline(store: GraphStore, org: str, dependencies: DataFrame, parsed: DataFrame, at: int, namespace: str | None = None) -> dict[str, int]:
+    """Merges the platform's edges, but for those that were parsed: these count more."""
+    made = baseline_edges(dependencies, namespace=namespace).join(parsed.select("rel_type", "src", "dst"), ["rel_type", "src", "dst"], "left_anti")
+    return store.merge_edges(materialize(made.select(F.lit(org).alias("org_id"), "rel_type", "src", "dst", "attributes")), at)
+
+
+def sync(store: GraphStore, members: DataFrame, org: str, mode: str = "full", now: int | None = None, detect_deletions: bool = True, snapshot: bool = True, keep_days: int = 30, analyse: bool = True, namespace: str | None = None, embedder: Callable | None = vector.hashing_embedder, dependencies: DataFrame | None = None) -> Report:
     """Merges members (schema.MEMBERS, with org_id) into the store.
 
     A full sync deletes nodes that it did not touch, but only if nothing failed to parse, and only of labels that it
     read. An incremental one deletes what the feed says is gone. A snapshot is taken before, old automatic ones go after.
+    Members with a service_id that had another name before are renamed first, all at once, nodes and edges. dependencies: a
+    table of the platform's own (members.baseline_edges), whose edges are added; parsed ones of the same relation and names count more.
     """
     at = int(time.time() * 1000) if now is None else now
     out = Report()
     if snapshot and store._current("nodes"):
         out.snapshot = store.create_snapshot(org, f"pre-sync-{at}", True, at)
     gone = members.filter(F.coalesce("obsolete", F.lit(False)))
+    if "service_id" in members.columns:
+        out.renamed = follow_renames(store, org, members.filter(~F.coalesce("obsolete", F.lit(False))), at)
     facts = registry.parse_stored(members.filter(~F.coalesce("obsolete", F.lit(False))), at)
     nodes = registry.nodes_of(facts)
     out.parse_errors = nodes.filter("label = 'ParseError'").count()
     nodes = materialize(merge.last_of_each(nodes.withColumn("__n", F.monotonically_increasing_id()), ["org_id", "qname"], "__n").drop("__n"))
     edges = materialize(merge.last_of_each(registry.edges_of(facts).withColumn("__n", F.monotonically_increasing_id()), ["org_id", "rel_type", "src", "dst"], "__n").drop("__n"))
+    if dependencies is not None:
+        out.baseline = add_baseline(store, org, dependencies, edges, at, namespace)
     out.nodes, out.edges = store.merge_nodes(nodes, at), store.merge_edges(edges, at)
     store.merge_snippets(registry.snippets_of(facts).dropDuplicates(["org_id", "qname"]))
     stored = store.read("nodes").filter(F.col("org_id") == org)

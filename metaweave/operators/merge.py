@@ -84,19 +84,43 @@ def delete_edges_for(edges: DataFrame, gone: DataFrame) -> DataFrame:
     return edges
 
 
+def _latest(rows: DataFrame, key: list[str]) -> DataFrame:
+    """One row of each key: what was seen last (ties: the largest content), with the first and last time any of them was seen."""
+    times = [c for c in ("first_seen_at", "last_seen_at") if c in rows.columns]
+    rest = [c for c in rows.columns if c not in (*key, *times)]
+    if not rest and not times:
+        return rows.dropDuplicates(key)
+    order = F.struct(*[F.col(c) for c in ("last_seen_at",) if c in times], *rest)
+    out = rows.groupBy(*key).agg(F.max(order).alias("o"), *[(F.min if c == "first_seen_at" else F.max)(c).alias(f"__{c}") for c in times])
+    return out.select(*key, *[F.col(f"o.{c}").alias(c) for c in rest], *[F.col(f"__{c}").alias(c) for c in times]).select(rows.columns)
+
+
+def renamed(rows: DataFrame, renames: DataFrame, names: tuple[str, ...], key: list[str]) -> DataFrame:
+    """rows with these columns renamed (renames: old, new; each old name once), all at once: chains and swaps of one batch each move a step.
+
+    Where two rows meet under one key they become one.
+    """
+    out = rows
+    for c in names:
+        out = out.join(renames.select(F.col("old").alias(c), F.col("new").alias("__new")), c, "left").withColumn(c, F.coalesce("__new", c)).drop("__new")
+    return _latest(out.select(rows.columns), key)
+
+
 def rename_edges(edges: DataFrame, renames: DataFrame) -> DataFrame:
     """edges with both ends renamed (renames: old, new), and each edge once."""
-    out = edges
-    for end in ("src", "dst"):
-        out = out.join(renames.select(F.col("old").alias(end), F.col("new").alias("__new")), end, "left").withColumn(end, F.coalesce("__new", end)).drop("__new")
-    return out.select(edges.columns).dropDuplicates(["rel_type", "src", "dst"])
+    return renamed(edges, renames, ("src", "dst"), [c for c in ("org_id", "rel_type", "src", "dst") if c in edges.columns])
+
+
+def rename_nodes(nodes: DataFrame, renames: DataFrame) -> DataFrame:
+    """nodes under their new names, seen first when they were; one that takes another's name becomes one with it."""
+    return renamed(nodes, renames, ("qname",), [c for c in ("org_id", "qname") if c in nodes.columns])
 
 
 def record_service_ids(known: DataFrame, seen: DataFrame, now: int) -> tuple[DataFrame, DataFrame]:
-    """known after seeing (org_id, service_id, qname, label), and the renames that shows: old, new."""
+    """known after seeing (org_id, service_id, qname, label; each id once), and the renames that shows: old, new. A name that several ids leave for different ones goes to the first of these."""
     key = ["org_id", "service_id"]
     d = known.select(*key, F.struct("qname", "label", "first_seen_at", "last_seen_at").alias("o")).join(seen.select(*key, F.struct("qname", "label").alias("s")), key, "full_outer")
-    renames = d.filter("o.qname <> s.qname").select("org_id", F.col("o.qname").alias("old"), F.col("s.qname").alias("new"))
+    renames = d.filter("o.qname <> s.qname").groupBy("org_id", F.col("o.qname").alias("old")).agg(F.min("s.qname").alias("new"))
     after = d.select(*key, F.coalesce("s.qname", "o.qname").alias("qname"), F.coalesce("s.label", "o.label").alias("label"), F.coalesce(F.col("o.first_seen_at"), F.lit(now)).cast("long").alias("first_seen_at"), F.when(F.col("s").isNotNull(), F.lit(now)).otherwise(F.col("o.last_seen_at")).cast("long").alias("last_seen_at"))
     return after, renames
 

@@ -63,14 +63,32 @@ def applicable(entries: list[dict], caps: dict) -> list[dict]:
     return [e for e in entries if applies(e.get("applies_when"), caps)]
 
 
-def baseline_edges(dependencies: DataFrame, types: list[str] | None = None) -> DataFrame:
-    """Rows of a dependency table as REFERENCES edges, each pair once; `dynamic` if either side has no name."""
+def baseline_edges(dependencies: DataFrame, types: list[str] | None = None, namespace: str | None = None) -> DataFrame:
+    """Rows of a dependency table (component_ and ref_ with type, name, and where there are such, id and namespace) as REFERENCES edges, each pair once.
+
+    An edge is dynamic if either side's name is its id: then an id stands in the source in place of a name.
+    """
     d = dependencies
     if types:
         d = d.filter(F.col("component_type").isin(types) | F.col("ref_type").isin(types))
-    side = lambda p: F.concat_ws(":", F.col(f"{p}_type"), F.col(f"{p}_name"))
-    d = d.select(side("component").alias("src"), side("ref").alias("dst"), (F.col("component_name").isNull() | F.col("ref_name").isNull()).alias("dynamic"))
-    return d.groupBy("src", "dst").agg(F.max("dynamic").alias("dynamic")).select(F.lit("REFERENCES").alias("rel_type"), "src", "dst", F.to_json(F.struct(F.lit("mcd").alias("source"), F.col("dynamic"))).alias("attributes"))
+    has = lambda c: c in dependencies.columns
+
+    def side(p: str) -> Column:
+        """The name without the prefix of its own namespace, or else of the org's."""
+        name, own = F.coalesce(F.col(f"{p}_name"), F.lit("")), F.lit(namespace or "")
+        if has(f"{p}_namespace"):
+            own = F.coalesce(F.nullif(F.col(f"{p}_namespace"), F.lit("")), own)
+        prefix = F.concat(own, F.lit("__"))
+        bare = F.when((own != "") & name.startswith(prefix), F.substring(name, F.length(prefix) + 1, F.length(name))).otherwise(name)
+        return F.concat(F.col(f"{p}_type"), F.lit(":"), bare)
+
+    literal = F.lit(False)
+    for p in ("component", "ref"):
+        literal = literal | (F.coalesce(F.col(f"{p}_id") == F.col(f"{p}_name"), F.lit(False)) if has(f"{p}_id") else F.lit(False))
+    d = d.select(side("component").alias("src"), side("ref").alias("dst"), literal.alias("dynamic"), F.col("component_type").alias("a"), F.col("ref_type").alias("b"))
+    one = d.groupBy("src", "dst").agg(F.max("dynamic").alias("dynamic"), F.min("a").alias("a"), F.min("b").alias("b"))
+    attributes = F.to_json(F.struct(F.lit("mcd").alias("source"), F.col("a").alias("mcdSrcType"), F.col("b").alias("mcdDstType"), F.when(F.col("dynamic"), True).alias("dynamic")))
+    return one.select(F.lit("REFERENCES").alias("rel_type"), "src", "dst", attributes.alias("attributes"))
 
 
 def managed_stub(body: Column, namespace: Column, own: str | None) -> Column:

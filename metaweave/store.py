@@ -140,7 +140,9 @@ class GraphStore:
             orgs = {o for o, _ in touched}
             others = self.read(table, {x for x in self.parts(table) - touched if x[0] in orgs})
             touched |= self._parts_of(table, others.join(facts.select(*key), key, "left_semi"))
-        if not touched and self._current(table):
+        if not touched:
+            if not self._current(table):
+                self.write(table, self.read(table))
             return dict.fromkeys(kinds, 0)
         stored = self.read(table, touched)
         if order is None:  # counted while it is written
@@ -192,7 +194,9 @@ class GraphStore:
         gone = gone.select("org_id", "qname").distinct()
         if with_edges and (touched := self._edges_at(gone)):
             self.write("edges", merge.delete_edges_for(self.read("edges", touched), gone), touched)
-        if touched := self._parts_of("nodes", self.read("nodes").join(gone, ["org_id", "qname"], "left_semi")):
+        orgs = {r.org_id for r in gone.select("org_id").distinct().collect()}
+        held = self.read("nodes", {x for x in self.parts("nodes") if x[0] in orgs})
+        if touched := self._parts_of("nodes", held.join(gone, ["org_id", "qname"], "left_semi")):
             self.write("nodes", merge.delete_nodes(self.read("nodes", touched), gone), touched)
 
     def delete_dangling(self, org: str) -> int:
@@ -203,11 +207,16 @@ class GraphStore:
             self.write("edges", audit.delete_dangling(self.read("edges", touched), n).select(e.columns), touched)
         return sum(found.values())
 
-    def rename(self, org: str, renames: DataFrame) -> None:
-        """renames: old and new names; only the relations whose edges have an old one are written anew."""
+    def rename(self, org: str, renames: DataFrame, nodes: bool = False) -> None:
+        """renames: old and new names. Only relations whose edges have an old one are written anew; with nodes, labels that have an old or new one, too."""
         old = renames.select(F.lit(org).alias("org_id"), F.col("old").alias("qname"))
         if touched := self._edges_at(old):
             self.write("edges", merge.rename_edges(self.read("edges", touched), renames), touched)
+        if nodes:
+            names = old.union(renames.select(F.lit(org), "new")).distinct()
+            held = self.read("nodes", self.parts("nodes", org))
+            if touched := self._parts_of("nodes", held.join(names, ["org_id", "qname"], "left_semi")):
+                self.write("nodes", merge.rename_nodes(self.read("nodes", touched), renames), touched)
 
     def record_service_ids(self, seen: DataFrame, now: int) -> DataFrame:
         touched = self._parts_of("service_ids", seen)

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .sources import failsoft
 from .sources import testdata as td
-from .sources.changes import Changes
+from .sources.changes import Changes, folder_changes
 from .store import GraphStore
 from .streaming import embedding, state
 from .tables import shared_folder
@@ -112,3 +113,40 @@ def embedding_side_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = store.read(embedding.VECTORS).select("qname", F.get("embedding", F.lit(0)).cast("int").alias("length"))
     failed = store.read(embedding.FAILURES).select("qname", F.col("attempts").cast("int").alias("attempts"))
     return vectors.join(failed, "qname", "full_outer").select(F.col("qname").cast("long").alias("k"), "length", "attempts")
+
+
+def flaky(kind: str, args: dict) -> Iterator[tuple]:
+    """Members of a folder in order; at the first large one some kinds fail for good, and some on the first attempt only."""
+    for row in sorted(folder_changes(kind, -1, 2**62, args), key=lambda r: r[3]):
+        if row[7] == "50" and kind.endswith("1") and args["attempt"] == "0":
+            raise ConnectionError("connect ETIMEDOUT")
+        if row[7] == "50" and kind.endswith("2"):
+            raise ValueError("INVALID_TYPE")
+        yield row
+
+
+@query("""WITH p AS (SELECT p_brand AS b, p_partkey AS k, p_size AS s FROM part), l AS (SELECT b, min(k) FILTER (WHERE s = 50 AND b LIKE '%2') AS stop FROM p GROUP BY b)
+    SELECT b AS source, count(*) FILTER (WHERE stop IS NULL OR k < stop) AS rows, CASE WHEN any_value(stop) IS NOT NULL THEN 'not_found' END AS category, CAST(CASE WHEN any_value(stop) IS NOT NULL THEN 1 END AS INTEGER) AS attempts FROM p JOIN l USING (b) GROUP BY b""")
+def soft_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of all brands by a source that fails for some of them: what was read before stays, what may pass is read once more."""
+    root = f"{folder(spark)}/in"
+    d = td.read(spark, sf_dir, "part").select(F.col("p_brand").alias("member_type"), F.col("p_partkey").cast("string").alias("member_name"), F.lit(1).cast("long").alias("last_modified_at"), F.col("p_partkey").cast("long").alias("ordinal"), F.lit("").alias("source_uri"), F.lit(False).alias("obsolete"), F.lit(None).cast("string").alias("namespace"), F.col("p_size").cast("string").alias("content"))
+    d.repartition("member_type").write.partitionBy("member_type").parquet(root)
+    brands = [r.member_type for r in d.select("member_type").distinct().collect()]  # the brands there are
+    rows, report = failsoft.read_parts(spark, "metaweave.stream_queries:flaky", brands, {"path": root})
+    n = rows.groupBy(F.col("member_type").alias("source")).agg(F.count("*").alias("rows"))
+    every = d.select(F.col("member_type").alias("source")).distinct()
+    return every.join(n, "source", "left").join(report.select("source", "category", "attempts"), "source", "left").select("source", F.coalesce("rows", F.lit(0).cast("long")).alias("rows"), "category", "attempts")
+
+
+def _lookup(kind: str, names: list[str]) -> list[str]:
+    if any(int(n) % 97 == 0 for n in names):
+        raise ValueError("REQUEST_LIMIT_EXCEEDED")
+    return [f"{kind}:{n}" for n in names]
+
+
+@query("SELECT p_partkey AS k, CASE WHEN p_partkey % 97 <> 0 THEN p_brand || ':' || p_partkey END AS content, CASE WHEN p_partkey % 97 = 0 THEN 'rate_limit' END AS category FROM part")
+def names_by_halving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contents of all parts' names, asked for in batches, of which bad names fail alone."""
+    names = td.read(spark, sf_dir, "part").select(F.col("p_brand").alias("member_type"), F.col("p_partkey").cast("string").alias("member_name"))
+    return failsoft.read_names(names, _lookup).select(F.col("member_name").cast("long").alias("k"), "content", "category")

@@ -82,7 +82,7 @@ def test_sources(spark, tmp_path):
     rows = spark.createDataFrame([("{}", "bad{")], "ns__A__c string, ns__B__c string")
     assert m.normalize_rows(rows, "ns", ("A", "B")).first().asDict() == {"A": "{}", "B": '{"_raw":"bad{"}'}
     deps = spark.createDataFrame([("T", "a", "U", "b"), ("T", "a", "U", "b"), ("T", None, "U", "b")], "component_type string, component_name string, ref_type string, ref_name string")
-    assert sorted((r.src, r.dst) for r in m.baseline_edges(deps).collect()) == [("T", "U:b"), ("T:a", "U:b")]
+    assert sorted((r.src, r.dst) for r in m.baseline_edges(deps).collect()) == [("T:", "U:b"), ("T:a", "U:b")]
     parents, children = spark.createDataFrame([(1,), (2,)], "id int"), spark.createDataFrame([(1, 2, "y"), (1, 1, "x")], "parent int, seq int, v string")
     assert {r.id: r.elements for r in m.attach_children(parents, children, "id", "parent", "elements").collect()} == {1: ['{"seq":1,"v":"x"}', '{"seq":2,"v":"y"}'], 2: []}
     good, report = m.read_sources(spark, {"one": lambda: parents, "two": lambda: 1 / 0, "three": lambda: (_ for _ in ()).throw(RuntimeError("socket timed out"))})
@@ -138,3 +138,37 @@ def test_org_identifiers_and_scrubbing():
     for _ in range(12):
         deep = [deep]
     assert "<max-depth>" in str(scalar.scrub_value(deep))
+
+
+def test_renames_of_a_sync_happen_at_once(spark, tmp_path):
+    """A chain, a swap and two names that become one: nodes keep their first time, edges follow both ends and meet."""
+    store = GraphStore(spark, f"file://{tmp_path}/s")
+    store.upsert_org("org1", "dev", "", "", 1)
+    schema_ = "org_id string, category string, member_type string, member_name string, last_modified_at long, source_uri string, obsolete boolean, namespace string, content string, service_id string"
+
+    def sync(names, at):
+        rows = [("org1", "c", "Thing", n, 1, "u", False, None, "x", i) for i, n in names]
+        return ingest.sync(store, spark.createDataFrame(rows, schema_), "org1", now=at, embedder=None, analyse=False, snapshot=False)
+
+    sync([("1", "a"), ("2", "b"), ("3", "c"), ("4", "p"), ("5", "q"), ("6", "x"), ("7", "y")], 10)
+    edge = "org_id string, rel_type string, src string, dst string, attributes string"
+    t = lambda n: f"Thing:{n}"
+    store.merge_edges(spark.createDataFrame([("org1", "R", t(s), t(d), "{}") for s, d in (("a", "b"), ("b", "c"), ("p", "q"), ("q", "p"), ("a", "x"), ("a", "y"), ("x", "y"))], edge), 11)
+    report = sync([("1", "b"), ("2", "c"), ("3", "a"), ("4", "q"), ("5", "p"), ("6", "z"), ("7", "z"), ("8", "new")], 20)
+    assert report.renamed == 7
+    assert {(r.src, r.dst, r.first_seen_at) for r in store.read("edges").filter("rel_type = 'R'").collect()} == {(t(s), t(d), 11) for s, d in (("b", "c"), ("c", "a"), ("q", "p"), ("p", "q"), ("b", "z"), ("z", "z"))}
+    assert {(r.qname, r.first_seen_at, r.last_seen_at) for r in store.read("nodes").collect()} == {(t(n), 10, 20) for n in "abcpqz"} | {(t("new"), 20, 20)}
+    assert sync([("1", "b")], 30).renamed == 0
+
+
+def test_the_baseline_of_a_sync(spark, tmp_path):
+    store = GraphStore(spark, f"file://{tmp_path}/s")
+    store.upsert_org("org1", "dev", "", "", 1)
+    rule = "<DuplicateRule><duplicateRuleMatchRules><matchingRule>M</matchingRule></duplicateRuleMatchRules></DuplicateRule>"
+    deps = spark.createDataFrame([("DuplicateRule", "D", "i1", None, "MatchingRule", "M", "i2", "ns"), ("Layout", "ns__L", "i3", "ns", "CustomField", "003x", "003x", None)], "component_type string, component_name string, component_id string, component_namespace string, ref_type string, ref_name string, ref_id string, ref_namespace string")
+    for at in (10, 20):
+        report = ingest.sync(store, members(spark, [("DuplicateRule", "D", False, rule)]), "org1", now=at, embedder=None, dependencies=deps)
+        assert report.baseline == {"inserted": int(at == 10), "updated": 0, "unchanged": int(at == 20)}
+    got = {(r.src, r.dst): r.attributes for r in store.read("edges").filter("rel_type = 'REFERENCES'").collect()}
+    assert set(got) == {("DuplicateRule:D", "MatchingRule:M"), ("Layout:L", "CustomField:003x")}
+    assert "mcd" not in got["DuplicateRule:D", "MatchingRule:M"] and got["Layout:L", "CustomField:003x"] == '{"source":"mcd","mcdSrcType":"Layout","mcdDstType":"CustomField","dynamic":true}'

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from metaweave import stream_queries
-from metaweave.sources import changes
+from metaweave.sources import changes, failsoft
 from metaweave.sources.retry import category, halved
 from metaweave.store import GraphStore
 from metaweave.streaming import embedding, state
@@ -136,3 +136,39 @@ def test_feed_plan_has_no_driver_rows(spark, tmp_path):
     d.write.partitionBy("member_type").parquet(f"file://{tmp_path}/x")
     args = {"path": f"file://{tmp_path}/x"}
     assert changes.folder_latest(args) == 9 and [r[2] for r in changes.folder_changes("A", 3, 6, args)] == [4, 5, 6] and not list(changes.folder_changes("B", 0, 9, args))
+
+
+def parts(kind, args):
+    """Type A is whole; B ends in an error that passes; C in one that stays."""
+    for k in range(5):
+        if kind == "B" and k == 3 and args["attempt"] == "0":
+            raise ConnectionError("connect ETIMEDOUT")
+        if kind == "C" and k == 2:
+            raise ValueError("INVALID_TYPE: no such thing")
+        yield (kind, f"n{k}", 1, k, args["from"], False, None, f"{kind}{k} of {args['attempt']}")
+
+
+def test_a_source_that_fails_keeps_its_rows_and_is_read_once_more(spark):
+    rows, report = failsoft.read_parts(spark, "tests.test_streams:parts", ["A", "B", "C"], {"from": "here"})
+    got = {(r.member_type, r.member_name): r.content for r in rows.collect()}
+    assert got == {("A", f"n{k}"): f"A{k} of 0" for k in range(5)} | {("B", f"n{k}"): f"B{k} of 1" for k in range(5)} | {("C", f"n{k}"): f"C{k} of 0" for k in range(2)}
+    assert [(r.source, r.category, r.attempts) for r in report.collect()] == [("C", "not_found", 1)]
+    rows, report = failsoft.read_parts(spark, "tests.test_streams:parts", ["B"], {"from": "here"}, retries=0)
+    assert rows.count() == 3 and [(r.source, r.category) for r in report.collect()] == [("B", "network")]
+    rows, report = failsoft.read_parts(spark, "tests.test_streams:parts", [])
+    assert rows.count() == 0 and report.count() == 0
+
+
+def test_names_that_fail_a_batch_are_found_by_halving(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def call(kind, names):
+        calls.add(1)
+        if any(n in ("n3", "n20", "n63") for n in names):
+            raise ValueError("NOT_FOUND")
+        return [f"{kind}:{n}" for n in names]
+
+    d = spark.createDataFrame([("T", f"n{k}") for k in range(64)], "member_type string, member_name string").coalesce(1)
+    got = failsoft.read_names(d, call).collect()
+    assert {r.member_name for r in got if r.error} == {"n3", "n20", "n63"} and {r.category for r in got if r.error} == {"not_found"}
+    assert sum(r.content == f"T:{r.member_name}" for r in got) == 61 and calls.value <= 2 * 3 * 6 + 1
