@@ -1,15 +1,11 @@
-"""Sources that fetch: a Python data source with a fetch function of the caller's, archives, and a feed of changes as a stream."""
+"""Sources that fetch: a Python data source with a fetch function of the caller's, and a small feed of changes as a stream."""
 
 from __future__ import annotations
 
 import importlib
-import io
-import zipfile
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 SCHEMA = "member_type string, member_name string, last_modified_at long, source_uri string, obsolete boolean, namespace string, content string"
@@ -72,22 +68,6 @@ class MemberSource(DataSource):
         return _Feed(self.options)
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Files in zip archives: archive, path, content. Archives are unpacked in the tasks that read them, a file at a time."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for archive, data in zip(b["archive"], b["content"]):
-                with zipfile.ZipFile(io.BytesIO(data)) as z:
-                    for info in z.infolist():
-                        if not info.is_dir():
-                            text = z.read(info).decode("utf-8", "replace")
-                            yield pd.DataFrame([(archive, info.filename, text)], columns=["archive", "path", "content"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select(F.col("path").alias("archive"), "content")
-    return files.mapInPandas(run, "archive string, path string, content string")
-
-
 def listed_types(members: DataFrame, types: DataFrame) -> DataFrame:
     """Members of the types that a list (member_type) allows."""
     return members.join(types.select("member_type").distinct(), "member_type", "left_semi")

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .sources import failsoft
+from .sources import archives, failsoft
 from .sources import testdata as td
 from .sources.changes import Changes, folder_changes
 from .store import GraphStore
@@ -150,3 +153,23 @@ def names_by_halving(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contents of all parts' names, asked for in batches, of which bad names fail alone."""
     names = td.read(spark, sf_dir, "part").select(F.col("p_brand").alias("member_type"), F.col("p_partkey").cast("string").alias("member_name"))
     return failsoft.read_names(names, _lookup).select(F.col("member_name").cast("long").alias("k"), "content", "category")
+
+
+@query("SELECT 'orders/' || o_orderkey || '.txt' AS path, o_orderpriority AS content FROM orders")
+def archive_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders as entries of zip archives, read by entry."""
+    root = folder(spark)
+    made = td.read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("k"), F.col("o_orderpriority").alias("v")).repartition(4)
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, inner = fs.FileSystem.from_uri(root if "://" in root else "file://" + root.removeprefix("file:"))
+        system.create_dir(inner, recursive=True)
+        name = f"{inner}/{uuid.uuid4().hex}.zip"
+        with system.open_output_stream(name) as f, zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) as z:
+            for b in batches:
+                for k, v in zip(b["k"], b["v"]):
+                    z.writestr(f"orders/{k}.txt", v)
+        yield pd.DataFrame({"name": [name]})
+
+    made.mapInPandas(write, "name string").count()
+    return archives.read_archives(spark, root, chunk=1 << 16).filter("error IS NULL").select("path", "content")

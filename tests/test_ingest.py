@@ -1,5 +1,6 @@
 import io
 import sys
+import warnings
 import zipfile
 
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from metaweave import ingest, schema
 from metaweave.functions import scalar
 from metaweave.operators import vector
 from metaweave.plans import api, tools
-from metaweave.sources import connectors
+from metaweave.sources import archives, connectors
 from metaweave.sources import members as m
 from metaweave.store import GraphStore
 
@@ -75,7 +76,7 @@ def test_sources(spark, tmp_path):
     with zipfile.ZipFile(z, "w") as f:
         f.writestr("omni/x.json", "{}")
     (tmp_path / "a.zip").write_bytes(z.getvalue())
-    assert [(r.path, r.content) for r in connectors.read_archives(spark, f"file://{tmp_path}").collect()] == [("omni/x.json", "{}")]
+    assert [(r.path, r.content) for r in archives.read_archives(spark, f"file://{tmp_path}").collect()] == [("omni/x.json", "{}")]
     objects = spark.createDataFrame([("Account", False, True), ("AccountHistory", False, True), ("X__c", True, False), ("p__Y__c", True, True), ("Z", False, False), ("A__b", True, True)], "name string, custom boolean, queryable boolean")
     assert sorted(r.name for r in m.include_objects(objects).collect()) == ["Account", "X__c"]
     assert sorted(r.name for r in m.include_objects(objects, whitelist=spark.createDataFrame([("Z",)], "name string"), namespaces=["p"]).collect()) == ["Account", "X__c", "Z", "p__Y__c"]
@@ -172,3 +173,35 @@ def test_the_baseline_of_a_sync(spark, tmp_path):
     got = {(r.src, r.dst): r.attributes for r in store.read("edges").filter("rel_type = 'REFERENCES'").collect()}
     assert set(got) == {("DuplicateRule:D", "MatchingRule:M"), ("Layout:L", "CustomField:003x")}
     assert "mcd" not in got["DuplicateRule:D", "MatchingRule:M"] and got["Layout:L", "CustomField:003x"] == '{"source":"mcd","mcdSrcType":"Layout","mcdDstType":"CustomField","dynamic":true}'
+
+
+def test_archives_are_read_by_entry(spark, tmp_path):
+    """Many entries in many tasks; a bomb, a broken entry and a file that is no archive are errors of their own."""
+    with zipfile.ZipFile(tmp_path / "many.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for k in range(200):
+            z.writestr(f"d/{k}.txt", f"{k}-" + "x" * 500)
+        z.writestr("d/", "")
+        z.writestr("bomb.txt", "0" * 200_000)
+        z.writestr("twice.txt", "one")
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            z.writestr("twice.txt", "two")
+    data = bytearray((tmp_path / "many.zip").read_bytes())
+    (tmp_path / "odd name.zip").write_bytes(b"no archive")
+    with zipfile.ZipFile(tmp_path / "lies.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("big.txt", "1" * 50_000)
+        z.writestr("good.txt", "good")
+    lies = bytearray((tmp_path / "lies.zip").read_bytes())
+    at = lies.index(b"PK\x01\x02") + 24
+    lies[at : at + 4] = (10).to_bytes(4, "little")  # the directory says 10 bytes
+    (tmp_path / "lies.zip").write_bytes(lies)
+    d = archives.read_archives(spark, f"file://{tmp_path}", quota=10_000, chunk=5_000)
+    assert d.rdd.getNumPartitions() > 20 and len(data) > 0
+    got = d.collect()
+    by = lambda name: [r for r in got if r.archive.endswith(name)]
+    assert {r.path: r.content for r in by("many.zip") if r.path.startswith("d/")} == {f"d/{k}.txt": f"{k}-" + "x" * 500 for k in range(200)}
+    assert sorted(r.content for r in by("many.zip") if r.path == "twice.txt") == ["one", "two"]
+    assert [("quota" in r.error, r.content) for r in got if r.path == "bomb.txt"] == [(True, None)]
+    lied = {r.path: r for r in by("lies.zip")}
+    assert lied["good.txt"].content == "good" and (lied["big.txt"].error or len(lied["big.txt"].content) <= 10)
+    assert [(r.path, bool(r.error), "not found" in r.error.lower()) for r in by("name.zip")] == [(None, True, False)]
