@@ -269,7 +269,7 @@ add("tool_export_sarif", f"""WITH {APP} SELECT 'security.fls-gap' AS rule_id, co
 def _sarif(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = tools.dispatch("export_sarif", app_store(spark, sf_dir), org="org1", audits=["security"], now=NOW)
     assert r.data["lint"] == []
-    return spark.createDataFrame([(x["ruleId"],) for x in r.data["sarif"]["runs"][0]["results"]], "rule_id string").groupBy("rule_id").agg(F.count("*").alias("n"))
+    return r.data["findings"].groupBy("rule_id").agg(F.count("*").alias("n"))
 
 
 # A sync from members to tables

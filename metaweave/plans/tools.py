@@ -247,7 +247,6 @@ def security_audit(store: GraphStore, org: str, object_name: str | None = None,
 
 
 def _working_tree(store: GraphStore, org: str, root: str, now: int) -> tuple[DataFrame, DataFrame]:
-
     facts = registry.parse_stored(filesystem.read_project(store.spark, root, org), now)
     return registry.nodes_of(facts), registry.edges_of(facts)
 
@@ -346,7 +345,9 @@ def export_sarif(store: GraphStore, org: str, audits: list[str] | None = None, n
         loose=audit.dangling(e, n).orderBy("src", "dst").limit(1000) if "dangling" in want else None,
     )
     doc = render.sarif(found)
-    return Response(f"{len(doc['runs'][0]['results'])} results", data={"sarif": doc, "lint": render.lint_sarif(doc)})
+    run = doc["runs"][0]
+    truncated = run["properties"]["truncated"]
+    return Response(f"{len(run['results'])} results" + ", truncated" * truncated, data={"sarif": doc, "lint": render.lint_sarif(doc), "findings": found, "truncated": truncated})
 
 
 @tool

@@ -74,8 +74,9 @@ def markdown_table(df: DataFrame, limit: int = 20) -> str:
 
 
 def sarif(findings: DataFrame, version: str = "1.0.0", cap: int = 5000) -> dict[str, Any]:
-    """SARIF 2.1.0 of findings: only rules that are referred to, with a stub for ones unknown."""
-    rows = findings.orderBy("rule_id", "qname").limit(cap).collect()
+    """SARIF 2.1.0 of the first findings in order of rule and name: only rules that are referred to, with a stub for ones unknown. The run's properties say whether there were more than cap."""
+    rows = findings.orderBy("rule_id", "qname").limit(cap + 1).collect()
+    truncated, rows = len(rows) > cap, rows[:cap]
     used = sorted({r.rule_id for r in rows})
     rules = [{"id": r, "shortDescription": {"text": RULES[r][1] if r in RULES else r}, "defaultConfiguration": {"level": RULES[r][0] if r in RULES else "warning"}} for r in used]
     results = []
@@ -85,7 +86,7 @@ def sarif(findings: DataFrame, version: str = "1.0.0", cap: int = 5000) -> dict[
         if d.get("uri"):
             place["physicalLocation"] = {"artifactLocation": {"uri": d["uri"]}} | ({"region": {"startLine": d["line"]}} if (d.get("line") or 0) > 0 else {})
         results.append({"ruleId": r.rule_id, "ruleIndex": used.index(r.rule_id), "level": d.get("level") or "warning", "message": {"text": d.get("message") or r.rule_id}, "locations": [place]})
-    return {"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": {"name": "metaweave", "version": version, "rules": rules}}, "results": results}]}
+    return {"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": {"name": "metaweave", "version": version, "rules": rules}}, "results": results, "properties": {"truncated": truncated}}]}
 
 
 def lint_sarif(doc: dict[str, Any]) -> list[str]:

@@ -42,6 +42,7 @@ class GraphStore:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self._known: dict[str, tuple[int, dict]] = {}  # the last version read of each table; what a version says never changes
 
     # Versions
 
@@ -74,7 +75,9 @@ class GraphStore:
         """Schema and folders of a version, by default the current one."""
         n = self._current(table) if n is None else n
         if n:
-            return self._load(f"{self.root}/{table}/_versions/{n}")
+            if self._known.get(table, (0, {}))[0] != n:
+                self._known[table] = n, self._load(f"{self.root}/{table}/_versions/{n}")
+            return dict(self._known[table][1])
         if table not in _SCHEMAS:
             raise ValueError(f"no table {table!r}")
         return {"schema": _SCHEMAS[table].jsonValue(), "paths": []}

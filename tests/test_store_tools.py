@@ -138,6 +138,10 @@ def test_tools(store, spark):
     assert r.data["cached"] and {x.qname: x.confidence for x in r.data["dead"].collect()}["ApexClass:A"] == "high"
     assert {x.risk_type for x in call("governor_risk_check", org="org1").data["risks"].collect()} == {"dml_in_loop"}
     doc = call("export_sarif", org="org1", now=2000 * DAY)
+    n = doc.data["findings"].count()
+    assert not doc.data["truncated"] and len(doc.data["sarif"]["runs"][0]["results"]) == n > 1
+    cut = render.sarif(doc.data["findings"], cap=n - 1)["runs"][0]
+    assert cut["properties"] == {"truncated": True} and len(cut["results"]) == n - 1
     assert doc.data["lint"] == [] and json.loads(render.to_json(doc.data["sarif"]))["version"] == "2.1.0"
     assert "rule" in render.lint_sarif({"version": "2.1.0", "runs": [{"results": [{"ruleId": "x", "level": "note", "message": {"text": "t"}}]}]})[0]
     assert call("find_nodes", org="org1", pattern="ApexClass:*").data["total"] == 3
