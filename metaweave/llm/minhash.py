@@ -17,7 +17,7 @@ from .simhash import similar_links, split_buckets, whole_runs
 
 SEED = 42
 #: A signature has CHUNKS chunks of SLOTS numbers of 16 bits. Two with at most RADIUS different numbers have, by pigeonhole, a chunk with at
-#: most ERRORS different ones. Sets of similarity 0.8 differ in a fifth of the numbers: in over RADIUS of them in about 1 of a million cases.
+#: most ERRORS different ones. Sets of similarity 0.8 differ in a fifth of the numbers: in over RADIUS of them in about 3 of a million cases.
 CHUNKS, SLOTS, ERRORS = 12, 4, 1
 SIZE = CHUNKS * SLOTS
 RADIUS = CHUNKS * (ERRORS + 1) - 1

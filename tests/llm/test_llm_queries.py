@@ -1,6 +1,5 @@
 """The registered queries on the smallest tables, and the pipeline."""
 
-import hashlib
 import re
 
 import duckdb
@@ -37,7 +36,7 @@ COLUMNS = {
 def test_columns(spark):
     found = {n.split("_")[0]: f for n, f in queries.QUERIES.items()}
     assert set(found) == set(COLUMNS)
-    for n in ("op3", "op6", "op7"):
+    for n in ("op3", "op6", "op7", "op11", "op12", "op13"):
         assert COLUMNS[n] <= set(found[n](spark, SMALL).columns)
 
 
@@ -95,4 +94,3 @@ def test_pipeline(spark):
     for r in after:
         used[r.sequence_id] = used.get(r.sequence_id, 0) + r.length
     assert max(used.values()) <= 4096 and len(used) <= -(-sum(used.values()) // 4096) + 2
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
