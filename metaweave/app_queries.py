@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from .operators import audit, merge, pivots, traverse, vector
 from .parse import registry
 from .plans import tools
 from .sources import testdata as td
-from .sources.members import baseline_edges
+from .sources.members import baseline_counts, baseline_edges
 from .store import GraphStore
 from .tables import materialize, shared_folder
 
@@ -383,3 +384,60 @@ def baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 add("baseline_edges", """SELECT DISTINCT 'REFERENCES' AS rel_type, 'Layout:L' || (l_orderkey % 50) AS src, 'CustomField:' || CASE WHEN l_partkey % 5 = 0 THEN 'id' ELSE 'F' END || l_partkey AS dst, 'CustomField' AS kind, CASE WHEN l_partkey % 5 = 0 THEN 'true' ELSE 'false' END AS dynamic FROM lineitem""", baseline)
+
+
+add("baseline_counts", "SELECT member_type, CAST(sum(a) AS BIGINT) AS as_source, CAST(sum(b) AS BIGINT) AS as_target FROM (SELECT 'T' || (l_orderkey % 9) AS member_type, 1 AS a, 0 AS b FROM lineitem UNION ALL SELECT 'T' || (l_partkey % 7), 0, 1 FROM lineitem) GROUP BY 1",
+    lambda spark, sf_dir: baseline_counts(td.read(spark, sf_dir, "lineitem").select(F.concat(F.lit("T"), (F.col("l_orderkey") % 9).cast("string")).alias("component_type"), F.concat(F.lit("T"), (F.col("l_partkey") % 7).cast("string")).alias("ref_type"))))
+
+
+# Deletions from a store, over all parts and lines of orders
+
+
+def _line_store(spark: SparkSession, sf_dir: str) -> GraphStore:
+    """Parts, but for each 11th, as nodes of two labels, and edges of three relations from orders to all parts. A store of its own for each call."""
+    k = F.col("p_partkey")
+    store = GraphStore(spark, f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}")
+    p = td.read(spark, sf_dir, "part").filter(k % 11 != 0)
+    store.merge_nodes(p.select(F.lit("org1").alias("org_id"), F.concat(F.lit("L"), (k % 2).cast("string")).alias("label"), F.concat(F.lit("P:"), k.cast("string")).alias("qname"), F.lit("{}").alias("attributes"), F.sha2("p_name", 256).alias("source_hash")), 1)
+    line = td.read(spark, sf_dir, "lineitem").select(F.lit("org1").alias("org_id"), F.concat(F.lit("R"), (F.col("l_orderkey") % 3).cast("string")).alias("rel_type"), F.concat(F.lit("O:"), F.col("l_orderkey").cast("string")).alias("src"), F.concat(F.lit("P:"), F.col("l_partkey").cast("string")).alias("dst"), F.lit("{}").alias("attributes")).distinct()
+    store.merge_edges(line, 1)
+    return store
+
+
+_LINES = "n AS (SELECT p_partkey AS k FROM part WHERE p_partkey % 11 <> 0), e AS (SELECT DISTINCT 'R' || (l_orderkey % 3) AS rel_type, 'O:' || l_orderkey AS src, l_partkey AS k FROM lineitem)"
+
+
+def store_delete_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges that are left after every 7th part has gone, with all its edges."""
+    store = _line_store(spark, sf_dir)
+    store.delete_nodes(store.read("nodes").filter(F.substring("qname", 3, 20).cast("long") % 7 == 0))
+    left = store.read("nodes").select(F.lit("node").alias("kind"), F.lit("").alias("src"), F.col("qname").alias("dst"))
+    return left.union(store.read("edges").select("rel_type", "src", "dst"))
+
+
+add("store_delete_nodes", f"WITH {_LINES} SELECT 'node' AS kind, '' AS src, 'P:' || k AS dst FROM n WHERE k % 7 <> 0 UNION ALL SELECT rel_type, src, 'P:' || k FROM e WHERE k % 7 <> 0 OR k % 11 = 0", store_delete_nodes)
+
+
+def store_delete_dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges that are left when those to no node have gone."""
+    store = _line_store(spark, sf_dir)
+    store.delete_dangling("org1")
+    return store.read("edges").select("rel_type", "src", "dst")
+
+
+add("store_delete_dangling", f"WITH {_LINES} SELECT rel_type, src, 'P:' || k AS dst FROM e WHERE k % 11 <> 0", store_delete_dangling)
+
+
+def store_snapshots_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is in the snapshots that are left: old automatic ones go, others stay as they were though the store has changed."""
+    store, now = _line_store(spark, sf_dir), 100 * DAY
+    for name, auto, age in (("old-auto", True, 40), ("old", False, 40), ("new-auto", True, 3)):
+        store.create_snapshot("org1", name, auto, now - age * DAY)
+    store.delete_nodes(store.read("nodes").filter("label = 'L0'"), with_edges=False)
+    store.prune("org1", 30, now)
+    parts = [store.snapshot(r.id).groupBy("label").agg(F.count("*").alias("n")).select(F.lit(r.label).alias("snapshot"), "label", "n") for r in store.snapshots("org1").collect()]  # a few
+    parts.append(store.read("nodes").groupBy("label").agg(F.count("*").alias("n")).select(F.lit("current").alias("snapshot"), "label", "n"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+add("store_snapshots_pruned", f"WITH {_LINES}, c AS (SELECT 'L' || (k % 2) AS label, count(*) AS n FROM n GROUP BY 1) SELECT s AS snapshot, label, n FROM c, (VALUES ('old'), ('new-auto')) AS t(s) UNION ALL SELECT 'current', label, n FROM c WHERE label = 'L1'", store_snapshots_pruned)

@@ -91,6 +91,14 @@ def baseline_edges(dependencies: DataFrame, types: list[str] | None = None, name
     return one.select(F.lit("REFERENCES").alias("rel_type"), "src", "dst", attributes.alias("attributes"))
 
 
+def baseline_counts(dependencies: DataFrame, types: list[str] | None = None) -> DataFrame:
+    """member_type and how many rows of a dependency table have it as their source and as their target."""
+    side = lambda p: dependencies.select(F.col(f"{p}_type").alias("member_type"), F.lit(p).alias("p"))
+    d = side("component").union(side("ref"))
+    d = d.filter(F.col("member_type").isin(types)) if types else d
+    return d.groupBy("member_type").agg(F.count_if(F.col("p") == "component").alias("as_source"), F.count_if(F.col("p") == "ref").alias("as_target"))
+
+
 def managed_stub(body: Column, namespace: Column, own: str | None) -> Column:
     """Source of other namespaces isn't shown: it counts as empty."""
     return F.when(namespace.isNull() | (namespace == F.lit(own)), body).otherwise(F.lit(""))
