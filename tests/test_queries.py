@@ -2,12 +2,13 @@
 
 import pytest
 
-from metaweave import app_queries, catalog, stream_queries
+from metaweave import app_queries, catalog, source_queries, stream_queries
 
 SMALL = "/root/testdata/sf0.001"
 
 
-QUERIES, ORACLE_SQL = catalog.QUERIES | app_queries.QUERIES | stream_queries.QUERIES, catalog.ORACLE_SQL | app_queries.ORACLE_SQL | stream_queries.ORACLE_SQL
+MODULES = [catalog, app_queries, stream_queries, source_queries]
+QUERIES, ORACLE_SQL = ({k: v for m in MODULES for k, v in getattr(m, part).items()} for part in ("QUERIES", "ORACLE_SQL"))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
