@@ -261,7 +261,14 @@ add("tool_staleness_check", "SELECT 12 AS days, true AS stale", lambda spark, sf
 add("tool_explain_code", f"SELECT 'void f() {{ for (A a : as) {{ update a; }} }} // {CLASS}' AS text, 'apex' AS format", lambda spark, sf_dir: _values(spark, **{k: v for k, v in tools.dispatch("explain_code", app_store(spark, sf_dir), org="org1", qname=CLASS).data.items() if k != "explanation"}))
 tool_query("find_similar", ", d AS (SELECT 'LWC:L' || vec_id AS qname, list_distance(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)) AS d FROM embeddings JOIN customer ON c_custkey = vec_id WHERE vec_id <> 7) SELECT qname, round(1 - d / 2, 6) AS similarity FROM d ORDER BY d, qname LIMIT 5", lambda r: r.data["hits"].select("qname", F.round("similarity", 6).alias("similarity")), org="org1", qname="LWC:L7", k=5)
 GIT = "--- a/classes/C5.cls\n+++ b/classes/C5.cls\n--- a/lwc/L7/L7.js\n+++ b/lwc/L7/L7.js\n--- a/x.md\n+++ b/x.md"
-tool_query("impact_from_git_diff", "SELECT DISTINCT q AS qname FROM (SELECT src AS q FROM e WHERE dst = 'ApexClass:C5' UNION SELECT dst FROM e WHERE src IN ('ApexClass:C5', 'LWC:L7'))", lambda r: r.data["impacted"].select("qname"), org="org1", diff_text=GIT, depth=1)
+tool_query("impact_from_git_diff", "SELECT DISTINCT q AS qname FROM (SELECT src AS q FROM e WHERE dst = 'ApexClass:C5' UNION SELECT dst FROM e WHERE src IN ('ApexClass:C5', 'LWC:L7'))", lambda r: r.data["impacted"].filter("depth > 0").select("qname"), org="org1", diff_text=GIT, depth=1)
+#: L7 calls C7, so that what both seeds reach is found at two steps from one and at one from the other; seeds are among the impacted, those the graph doesn't know as well.
+GIT_FAR = GIT + "\n--- /dev/null\n+++ b/classes/New.cls"
+_FROM = "(SELECT 'ApexClass:C5' AS q UNION ALL SELECT 'LWC:L7' UNION ALL SELECT 'ApexClass:New')"
+tool_query("impact_from_git_diff", f""", up AS (SELECT q, 0 AS d FROM {_FROM} UNION SELECT src, d + 1 FROM up JOIN e ON dst = q WHERE d < 2), down AS (SELECT q, 0 AS d FROM {_FROM} UNION SELECT dst, d + 1 FROM down JOIN e ON src = q WHERE d < 2)
+    SELECT q AS qname, min(d) AS depth, min(coalesce(label, 'Changed')) AS label FROM (SELECT * FROM up UNION SELECT * FROM down) LEFT JOIN n ON qname = q WHERE d = 0 OR label IS NOT NULL GROUP BY 1""", lambda r: r.data["impacted"].select("qname", "depth", "label"), "_whole", org="org1", diff_text=GIT_FAR, depth=2)
+tool_query("impact_from_git_diff", f""", up AS (SELECT q, 0 AS d FROM {_FROM} UNION SELECT src, d + 1 FROM up JOIN e ON dst = q WHERE d < 2), down AS (SELECT q, 0 AS d FROM {_FROM} UNION SELECT dst, d + 1 FROM down JOIN e ON src = q WHERE d < 2)
+    SELECT DISTINCT rel_type, src, dst FROM e WHERE dst IN (SELECT q FROM up WHERE d < 2) OR src IN (SELECT q FROM down WHERE d < 2)""", lambda r: r.data["edges"].select("rel_type", "src", "dst"), "_edges", org="org1", diff_text=GIT_FAR, depth=2)
 tool_query("test_gap_intelligence_from_git_diff", "SELECT qname, qname IN (SELECT dst FROM e WHERE rel_type = 'IS_TEST_FOR') AS covered FROM (SELECT src AS qname FROM e WHERE dst = 'ApexClass:C5' AND rel_type <> 'IS_TEST_FOR' UNION SELECT 'ApexClass:C5' UNION SELECT 'LWC:L7')", lambda r: r.data["gaps"].unionByName(r.data["covered"]).select("qname", "covered"), org="org1", diff_text=GIT)
 add("tool_export_sarif", f"""WITH {APP} SELECT 'security.fls-gap' AS rule_id, count(*) AS n FROM n WHERE label = 'CustomField' AND qname NOT IN (SELECT dst FROM e WHERE rel_type = 'GRANTS_FIELD_ACCESS') HAVING count(*) > 0
     UNION ALL SELECT 'security.sharing-full-access', count(*) FROM n WHERE label = 'SharingRule' AND attributes LIKE '%Edit%'""", lambda spark, sf_dir: _sarif(spark, sf_dir))
@@ -314,6 +321,32 @@ add("sync_similar", "SELECT 'ApexClass:N' || c_custkey AS qname FROM customer WH
 add("sync_dead_code_labels", "SELECT 'ApexClass' AS label, count(*) AS n FROM customer WHERE c_custkey < 100 UNION ALL SELECT 'Flow', count(*) FROM customer WHERE c_custkey < 100", lambda spark, sf_dir: _synced(spark, sf_dir)[0].read("dead_code_scores").filter("in_degree = 0").groupBy("label").agg(F.count("*").alias("n")))
 
 
+#: A working tree: each customer's class as it is stored, or with another body (odd keys), or gone (keys that end in 4); a new class for each supplier that calls one.
+_TREE = "c_custkey % 10 <> 4 AND c_custkey % 2 = 1"
+
+
+def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, s = td.read(spark, sf_dir, "customer"), td.read(spark, sf_dir, "supplier")
+    k, n = F.col("c_custkey").cast("string"), F.col("s_suppkey").cast("string")
+    body = F.concat(F.lit("public class N"), k, F.lit(" { @InvocableMethod public static void go(Integer i) { insert x;"), F.when(F.col("c_custkey") % 2 == 1, " update x;").otherwise(""), F.lit(" } }"))
+    test = F.concat(F.lit("@IsTest class T"), k, F.lit(" { @IsTest static void t() { N"), k, F.lit(".go(1); } }"))
+    made = c.filter("c_custkey % 10 <> 4").select(F.concat(F.lit("N"), k).alias("member_name"), body.alias("content"))
+    made = made.unionByName(c.select(F.concat(F.lit("T"), k).alias("member_name"), test.alias("content")))
+    made = made.unionByName(s.select(F.concat(F.lit("M"), n).alias("member_name"), F.concat(F.lit("public class M"), n, F.lit(" { void a() { N"), n, F.lit(".go(1); } }")).alias("content")))
+    return made.select(F.lit("org1").alias("org_id"), F.lit("ApexClass").alias("member_type"), "member_name", F.lit("").alias("source_uri"), F.lit(None).cast("string").alias("namespace"), "content")
+
+
+def _wip(name: str, spark: SparkSession, sf_dir: str, **inputs) -> tools.Response:
+    return tools.dispatch(name, _synced(spark, sf_dir)[0], org="org1", members=_tree(spark, sf_dir), now=NOW, **inputs)
+
+
+add("tool_wip_diff", f"""SELECT 'ApexClass:N' || c_custkey AS qname, 'changed' AS change FROM customer WHERE {_TREE} UNION ALL SELECT 'ApexClass:N' || c_custkey, 'removed' FROM customer WHERE c_custkey % 10 = 4
+    UNION ALL SELECT 'ApexClass:M' || s_suppkey, 'added' FROM supplier""", lambda spark, sf_dir: _wip("wip_diff", spark, sf_dir, mode="full").data["changes"].filter("label = 'ApexClass'").select("qname", "change"))
+add("tool_wip_impact", f"""SELECT 'ApexClass:T' || c_custkey AS qname, 'ApexClass:N' || c_custkey AS seed, 1 AS depth, false AS covered FROM customer WHERE {_TREE}""", lambda spark, sf_dir: _wip("wip_impact", spark, sf_dir, depth=1).data["dependents"].filter("rel_type = 'IS_TEST_FOR'").select("qname", "seed", "depth", "covered"))
+# a flow points at the class and at its method; both have changed and are as near, so the smaller name counts
+add("tool_wip_test_gap", f"""SELECT 'FlowVersion:F' || c_custkey || '.v60' AS qname, 'FLOW_INVOKES_APEX' AS rel_type, 'ApexClass:N' || c_custkey AS seed FROM customer WHERE {_TREE}""", lambda spark, sf_dir: _wip("wip_test_gap", spark, sf_dir, depth=1).data["uncovered"].filter("qname LIKE 'FlowVersion:%'").select("qname", "rel_type", "seed"))
+
+
 def _sync_flavors(store: GraphStore) -> DataFrame:
     e = store.read("edges").filter("rel_type = 'CANONICAL_OF' and src like 'IntegrationProcedure:%'").select(F.col("src").alias("qname"), F.array_join(F.from_json(F.get_json_object("attributes", "$.divergencePoints"), "array<string>"), ",").alias("points"))
     n = store.read("nodes").select("qname", F.array_join(F.from_json(F.get_json_object("attributes", "$.flavors"), "array<string>"), ",").alias("flavors"))

@@ -291,12 +291,22 @@ def fls_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT DISTINCT p.dst AS qname, CASE WHEN p.dst IN (SELECT dst FROM t) THEN 'covered' ELSE 'at_risk' END AS risk FROM p JOIN c ON p.src = c.qname""")
 def what_broke_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     changed = diff.diff_nodes(*td.snapshot_pair(spark, sf_dir)).filter("change <> 'added'").select("qname")
-    reached = traverse.walk(td.edges(spark, sf_dir, ["PLACED_BY"]), changed, False, 1).nodes.filter("depth > 0")
+    reached = traverse.reach(td.edges(spark, sf_dir, ["PLACED_BY"]), changed, False, 1).nodes
     o = td.read(spark, sf_dir, "orders").filter("o_orderstatus = 'F'")
     tests = o.select(F.lit("IS_TEST_FOR").alias("rel_type"), F.concat(F.lit("Order:"), F.col("o_orderkey").cast("string")).alias("src"), F.concat(F.lit("Customer:"), F.col("o_custkey").cast("string")).alias("dst"))
     return audit.risk_buckets(changed, reached, tests)
 
 
+@query("""WITH s AS (SELECT c_custkey, 'Customer:' || c_custkey AS c, 'Nation:' || c_nationkey AS n, c_mktsegment = 'BUILDING' AS b FROM customer)
+    SELECT c AS qname, n AS seed, 1 AS depth, 'LOCATED_IN' AS rel_type FROM s
+    UNION ALL SELECT 'Order:' || o_orderkey, CASE WHEN b THEN c ELSE n END, CASE WHEN b THEN 1 ELSE 2 END, 'PLACED_BY' FROM orders JOIN s ON o_custkey = c_custkey""")
+def nearest_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What depends on the nations and on the customers of one segment, each with the nearest of them; such customers depend on their nations, too."""
+    c = td.read(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("Customer:"), F.col("c_custkey").cast("string")).alias("qname"))
+    seeds = td.nodes(spark, sf_dir, ["Nation"]).select("qname").unionByName(c)
+    return traverse.reach(td.edges(spark, sf_dir, ["PART_OF", "LOCATED_IN", "PLACED_BY"]), seeds, True, 2).nodes.select("qname", "seed", "depth", "rel_type")
+
+
 @query(f"SELECT qname, count(*) AS degree FROM (SELECT src AS qname FROM ({CORE_EDGES_SQL}) UNION ALL SELECT dst FROM ({CORE_EDGES_SQL})) GROUP BY 1 ORDER BY degree DESC, qname LIMIT 40")
 def degree_top40(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.degrees(td.edges(spark, sf_dir, td.CORE), 40)

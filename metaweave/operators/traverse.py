@@ -61,6 +61,36 @@ def walk(edges: DataFrame, seeds: DataFrame, reverse: bool = False, depth: int =
     return Reached(seen, followed, truncated)
 
 
+def reach(edges: DataFrame, seeds: DataFrame, reverse: bool = False, depth: int = 3, rels: list[str] | None = None) -> Reached:
+    """What any of the seeds reaches, each node once: qname, seed, depth, rel_type, parent of the nearest seed (the smallest of equally near ones) other than the node itself.
+
+    A node keeps its two nearest seeds and no more: a third one is at no neighbour among the nearest two that aren't the neighbour itself, so
+    a level has two rows a node, however many seeds there are. Seeds are among the nodes only if another seed reaches them. Repeated seeds count once.
+    """
+    if not 1 <= depth <= MAX_DEPTH:
+        raise ValueError(f"depth must be 1 to {MAX_DEPTH}")
+    e = _oriented(edges, reverse, rels).filter("at <> to")
+    none = F.lit(None).cast("string")
+    frontier = materialize(seeds.select(F.col("qname").alias("seed"), "qname", F.lit(0).alias("depth"), none.alias("rel_type"), none.alias("parent")).filter("qname IS NOT NULL").dropDuplicates(["qname"]))
+    seen = frontier
+    for level in range(1, depth + 1):
+        step = frontier.select("seed", F.col("qname").alias("at")).join(e, "at").groupBy(F.col("to").alias("qname"), "seed").agg(F.min(F.struct("rel_type", F.col("at").alias("parent"))).alias("via"))
+        new = step.join(seen.select("qname", "seed"), ["qname", "seed"], "left_anti")
+        first = new.withColumn("place", F.row_number().over(Window.partitionBy("qname").orderBy("seed"))).filter("place <= 2")
+        have = seen.groupBy("qname").agg(F.count("*").alias("have"))
+        kept = first.join(have, "qname", "left").filter(F.col("place") + F.coalesce("have", F.lit(0)) <= 2)
+        frontier = materialize(kept.select("seed", "qname", F.lit(level).alias("depth"), "via.rel_type", "via.parent"))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    nearest = seen.filter("seed <> qname").groupBy("qname").agg(F.min(F.struct("depth", "seed", "rel_type", "parent")).alias("x"))
+    nodes = nearest.select("x.seed", "qname", "x.depth", "x.rel_type", "x.parent")
+    expanded = seen.groupBy(F.col("qname").alias("at")).agg(F.min("depth").alias("d")).filter(F.col("d") < depth).select("at")
+    back = ("to", "at") if reverse else ("at", "to")
+    followed = _oriented(edges, reverse, rels).join(expanded, "at", "left_semi").select(F.col(back[0]).alias("src"), F.col(back[1]).alias("dst"), "rel_type").distinct()
+    return Reached(nodes, followed, False)
+
+
 def trace(edges: DataFrame, qname: str, reverse: bool, depth: int = 3, rels: list[str] | None = None, cap: int | None = None) -> Reached:
     """From one node; the node itself isn't among the nodes returned."""
     seeds = edges.sparkSession.createDataFrame([(qname,)], "qname string")

@@ -15,6 +15,7 @@ from ..operators import audit, diff, filters, traverse, vector
 from ..parse import registry
 from ..sources import filesystem
 from ..store import GraphStore
+from ..tables import materialize
 
 #: Labels whose nodes are code that can be dead. Fixed values.
 CODE = ["ApexClass", "ApexMethod", "ApexTrigger", "LWC", "Flow"]
@@ -142,7 +143,7 @@ def what_broke(store: GraphStore, org: str, since: str | None = None, depth: int
     changed = diff.diff_nodes(store.snapshot(since, "nodes", org), store.snapshot("current", "nodes", org)).filter(F.col("change") != diff.ADDED)
     if changed.isEmpty():
         return Response("no changes", data={"changed": changed})
-    reached = traverse.walk(e, changed, True, depth).nodes.filter("depth > 0")
+    reached = traverse.reach(e, changed, True, depth).nodes
     risks = audit.risk_buckets(changed, reached, e)
     return Response(f"{risks.filter(F.col('risk') == 'at_risk').count()} at risk", render.markdown_table(risks), {"changed": changed, "risks": risks}, ["test_gap_intelligence_from_git_diff"])
 
@@ -204,11 +205,15 @@ def _seeds(store: GraphStore, text: str) -> DataFrame:
 
 @tool
 def impact_from_git_diff(store: GraphStore, org: str, diff_text: str, depth: int = 3) -> Response:
-    _, e = _tables(store, org)
+    """What a diff's nodes depend on and what depends on them: impacted has each node once, at its smallest depth in either direction (0: changed itself);
+    edges those that were followed, in either; truncated, whether a seed came to the cap."""
+    n, e = _tables(store, org)
     seeds = _seeds(store, diff_text)
     up, down = (traverse.walk(e, seeds, reverse, depth, cap=NODE_CAP) for reverse in (True, False))
-    found = up.nodes.unionByName(down.nodes).filter("depth > 0").dropDuplicates(["qname"])
-    return Response(f"{seeds.count()} changed, {found.count()} impacted", render.markdown_table(found.select("qname", "seed", "depth")), {"seeds": seeds, "impacted": found})
+    found = up.nodes.unionByName(down.nodes).groupBy("qname").agg(F.min(F.struct("depth", "seed")).alias("x")).select("qname", "x.seed", "x.depth")
+    found = traverse.hydrate(found, n, "Changed").filter("depth = 0 or label <> 'Changed'")
+    edges, truncated = up.edges.unionByName(down.edges).distinct(), up.truncated or down.truncated
+    return Response(f"{seeds.count()} changed, {found.count()} impacted" + ", truncated" * truncated, render.markdown_table(found.select("qname", "seed", "depth")), {"seeds": seeds, "impacted": found, "edges": edges, "truncated": truncated})
 
 
 @tool
@@ -246,38 +251,42 @@ def security_audit(store: GraphStore, org: str, object_name: str | None = None,
     return Response(", ".join(f"{d.count()} {k}" for k, d in data.items()), data=data)
 
 
-def _working_tree(store: GraphStore, org: str, root: str, now: int) -> tuple[DataFrame, DataFrame]:
-    facts = registry.parse_stored(filesystem.read_project(store.spark, root, org), now)
-    return registry.nodes_of(facts), registry.edges_of(facts)
+def _working_tree(store: GraphStore, org: str, root: str | None, members: DataFrame | None, now: int) -> tuple[DataFrame, DataFrame]:
+    if (root is None) == (members is None):
+        raise ToolError("INVALID_INPUT", "give project_root or members")
+    facts = registry.parse_stored(filesystem.read_project(store.spark, root, org) if members is None else members, now)
+    nodes = registry.nodes_of(facts).filter("label <> 'ParseError'").dropDuplicates(["org_id", "qname", "source_hash"])
+    return nodes.groupBy("qname").agg(F.min("label").alias("label"), F.min("source_hash").alias("source_hash")), registry.edges_of(facts)
 
 
-def _wip(store: GraphStore, org: str, root: str, full: bool, now: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _wip(store: GraphStore, org: str, root: str | None, members: DataFrame | None, full: bool, now: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
     n, e = _tables(store, org)
-    local, own = _working_tree(store, org, root, _now(now))
+    local, own = _working_tree(store, org, root, members, _now(now))
     labels = [r.label for r in local.select("label").distinct().collect()] if full else []  # some dozens
-    return diff.diff_working_tree(local, n, labels), e, own
+    return materialize(diff.diff_working_tree(local, n, labels)), e, own
 
 
 @tool
-def wip_impact(store: GraphStore, org: str, project_root: str, depth: int = 3, mode: str = "changed", overlay_edges: bool = False, now: int | None = None) -> Response:
-    """What depends on what a working tree changes; with overlay_edges its own edges count, too."""
-    changes, e, own = _wip(store, org, project_root, mode == "full", now)
+def wip_impact(store: GraphStore, org: str, project_root: str | None = None, depth: int = 3, mode: str = "changed", overlay_edges: bool = False, now: int | None = None, members: DataFrame | None = None) -> Response:
+    """What depends on what a working tree (a folder, or its members as a table) changes or adds, each node once with its nearest change, and whether a
+    test covers it. With overlay_edges the tree's own edges count, too. Mode full also lists what is gone, within the labels the tree has."""
+    changes, e, own = _wip(store, org, project_root, members, mode == "full", now)
     if overlay_edges:
         e = e.select("rel_type", "src", "dst").unionByName(own.select("rel_type", "src", "dst")).distinct()
-    r = traverse.walk(e, changes, True, depth, cap=NODE_CAP)
-    found = audit.covered(r.nodes.filter("depth > 0"), e)
+    r = traverse.reach(e, changes.filter(F.col("change") != diff.REMOVED), True, depth)
+    found = audit.covered(r.nodes, e)
     return Response(f"{changes.count()} changes, {found.count()} dependents", render.wip_graph(changes, found), {"changes": changes, "dependents": found, "truncated": r.truncated}, ["wip_test_gap"])
 
 
 @tool
-def wip_diff(store: GraphStore, org: str, project_root: str, mode: str = "changed", now: int | None = None) -> Response:
-    changes, _, _ = _wip(store, org, project_root, mode == "full", now)
+def wip_diff(store: GraphStore, org: str, project_root: str | None = None, mode: str = "changed", now: int | None = None, members: DataFrame | None = None) -> Response:
+    changes, _, _ = _wip(store, org, project_root, members, mode == "full", now)
     return Response(f"{changes.count()} changes", render.markdown_table(changes), {"changes": changes})
 
 
 @tool
-def wip_test_gap(store: GraphStore, org: str, project_root: str, depth: int = 3, now: int | None = None) -> Response:
-    d = wip_impact(store, org, project_root, depth, now=now).data["dependents"].filter("not covered")
+def wip_test_gap(store: GraphStore, org: str, project_root: str | None = None, depth: int = 3, now: int | None = None, members: DataFrame | None = None) -> Response:
+    d = wip_impact(store, org, project_root, depth, now=now, members=members).data["dependents"].filter("not covered")
     return Response(f"{d.count()} without tests", render.markdown_table(d), {"uncovered": d})
 
 
