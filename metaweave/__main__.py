@@ -53,8 +53,7 @@ def main(args: list[str] | None = None):
     p.add_argument("--org", default="org1")
     sub = p.add_subparsers(dest="command", required=True)
     c = sub.add_parser("ingest")
-    c.add_argument("--source", required=True)
-    c.add_argument("--mode", default="auto", choices=["auto", "full", "incremental"])
+    ingest.add_options(c)
     c.add_argument("--rebuild", action="store_true")
     c = sub.add_parser("snapshot")
     c.add_argument("action", choices=["list", "create", "diff", "prune", "delete"])
@@ -73,7 +72,8 @@ def main(args: list[str] | None = None):
     if o.command == "ingest":
         if o.rebuild:
             store.rebuild()
-        ingest.main(["--source", o.source, "--store", o.store, "--org", o.org, "--mode", o.mode])
+        for org, report in ingest.run(store, o.org, o).items():
+            print(org, report)
         return None
     if o.command == "tool":
         r = tools.dispatch(o.name, store, **json.loads(o.inputs))

@@ -235,6 +235,9 @@ tool_query("analyze_field", f"SELECT CASE rel_type WHEN 'READS_FIELD' THEN 'read
 tool_query("cross_layer_flow_map", "SELECT count(*) AS n FROM (SELECT DISTINCT src AS q FROM e WHERE src = 'LWC:L89' UNION SELECT dst FROM e WHERE src = 'LWC:L89' UNION SELECT dst FROM e WHERE rel_type = 'READS_FIELD' AND src = 'ApexClass:C89')", lambda r: _values(SparkSession.getActiveSession(), n=len(r.data["participants"])), org="org1", entry="LWC:L89", cap=100_000)
 tool_query("cross_org_diff", "SELECT qname, 'changed' AS side FROM n WHERE label = 'LWC' UNION ALL SELECT qname, 'only_in_a' FROM n WHERE label = 'PermissionSet'", lambda r: r.data["diff"].select("qname", "side"), org_a="org1", org_b="org2")
 tool_query("cross_org_diff", "SELECT qname, 'only_in_a' AS side FROM n WHERE label = 'PermissionSet'", lambda r: r.data["diff"].select("qname", "side"), "_category", org_a="org1", org_b="org2", category="PermissionSet")
+# with a cap the first of each label by name are looked at, in each org
+tool_query("cross_org_diff", ", k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY qname) <= 20 AS a FROM n), o AS (SELECT * FROM k WHERE a) SELECT qname, 'changed' AS side, true AS truncated FROM o WHERE label = 'LWC' UNION ALL SELECT qname, 'only_in_a', true FROM o WHERE label = 'PermissionSet'", lambda r: r.data["diff"].select("qname", "side", F.lit(r.data["truncated"]).alias("truncated")), "_capped", org_a="org1", org_b="org2", cap=20)
+tool_query("security_audit", ", k AS (SELECT * FROM n WHERE label IN ('CustomField', 'PermissionSet') QUALIFY row_number() OVER (PARTITION BY label ORDER BY qname) <= 60) SELECT qname, true AS truncated FROM k WHERE label = 'CustomField' AND qname NOT IN (SELECT dst FROM e WHERE rel_type = 'GRANTS_FIELD_ACCESS')", lambda r: r.data["gaps"].select("qname", F.lit(r.data["truncated"]).alias("truncated")), "_capped", org="org1", cap=60)
 tool_query("deployment_manifest_gen", "SELECT false AS destructive, label AS type, count(*) AS n FROM n WHERE label = 'PermissionSet' GROUP BY 2", lambda r: r.data["by_type"], org_from="org1", org_to="org2")
 tool_query("deployment_manifest_gen", "SELECT true AS destructive, label AS type, count(*) AS n FROM n WHERE label = 'PermissionSet' GROUP BY 2", lambda r: r.data["by_type"], "_back", org_from="org2", org_to="org1")
 tool_query("point_in_time_diff", "SELECT qname, 'changed' AS change FROM n WHERE label = 'LWC'", lambda r: r.data["nodes"].select("qname", "change"), org="org1", before="current")

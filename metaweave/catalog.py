@@ -297,6 +297,25 @@ def what_broke_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.risk_buckets(changed, reached, tests)
 
 
+_PLACE = "CAST(%d AS INTEGER) AS place, %s AS type, CAST(%d AS INTEGER) AS part, %s AS member, %s AS line"
+
+
+@query(f"""WITH {td.TWO_ORGS_SQL}, m AS (SELECT DISTINCT replace(coalesce(a.qname, b.qname), 'Customer:', '') AS member, CASE WHEN CAST(replace(coalesce(a.qname, b.qname), 'Customer:', '') AS INTEGER) % 2 = 0 THEN 'ApexClass' ELSE 'Flow' END AS type
+        FROM a FULL JOIN b USING (qname) WHERE a.qname IS NOT NULL AND (b.qname IS NULL OR a.source_hash <> b.source_hash))
+    SELECT {_PLACE % (1, "type", 1, "member || '&'", "'    <members>' || member || '&amp;</members>'")} FROM m
+    UNION ALL SELECT DISTINCT {_PLACE % (1, "type", 0, "''", "'  <types>'")} FROM m
+    UNION ALL SELECT DISTINCT {_PLACE % (1, "type", 2, "''", "'    <name>' || type || '</name>'")} FROM m
+    UNION ALL SELECT DISTINCT {_PLACE % (1, "type", 3, "''", "'  </types>'")} FROM m
+    UNION ALL SELECT {_PLACE % (0, "''", 0, "''", """'<?xml version="1.0" encoding="UTF-8"?>'""")}
+    UNION ALL SELECT {_PLACE % (0, "''", 1, "''", """'<Package xmlns="http://soap.sforce.com/2006/04/metadata">'""")}
+    UNION ALL SELECT {_PLACE % (2, "''", 0, "''", "'  <version>59.0</version>'")} UNION ALL SELECT {_PLACE % (2, "''", 1, "''", "'</Package>'")}""")
+def manifest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of what one org has and the other hasn't or has otherwise, as lines in order; a sign in the names that XML escapes."""
+    k = F.split_part("qname", F.lit(":"), F.lit(2))
+    d = diff.diff_orgs(*td.two_orgs(spark, sf_dir)).withColumn("k", k).withColumn("label", F.when(F.col("k").cast("int") % 2 == 0, "ApexClass").otherwise("Flow"))
+    return diff.manifest_lines(d.withColumn("qname", F.concat("label", F.lit(":"), "k", F.lit("&"))), False)
+
+
 @query("""WITH s AS (SELECT c_custkey, 'Customer:' || c_custkey AS c, 'Nation:' || c_nationkey AS n, c_mktsegment = 'BUILDING' AS b FROM customer)
     SELECT c AS qname, n AS seed, 1 AS depth, 'LOCATED_IN' AS rel_type FROM s
     UNION ALL SELECT 'Order:' || o_orderkey, CASE WHEN b THEN c ELSE n END, CASE WHEN b THEN 1 ELSE 2 END, 'PLACED_BY' FROM orders JOIN s ON o_custkey = c_custkey""")

@@ -184,20 +184,55 @@ def sync_orgs(store: GraphStore, members: dict[str, DataFrame], **options) -> di
     return out
 
 
+def add_options(p: argparse.ArgumentParser) -> None:
+    """What can be said about a sync."""
+    p.add_argument("--source", required=True, help="a project folder, or with --members a table of members (Parquet)")
+    p.add_argument("--members", action="store_true")
+    p.add_argument("--mode", default="auto", choices=["auto", "full", "incremental"])
+    p.add_argument("--orgs", default="", help="orgs of one run, with commas between them, instead of --org; one that fails ends no other")
+    p.add_argument("--only", default="", help="types of members to read, with commas between them; nothing of others is deleted")
+    p.add_argument("--namespace", help="the org's own namespace, which names are compared without")
+    p.add_argument("--dependencies", help="the platform's table of dependencies (Parquet)")
+    p.add_argument("--no-deletions", action="store_true")
+    p.add_argument("--no-snapshot", action="store_true")
+    p.add_argument("--no-vectors", action="store_true")
+    p.add_argument("--no-analysis", action="store_true")
+
+
+def run(store: GraphStore, org: str, o: argparse.Namespace) -> dict[str, Report | str]:
+    """The syncs that options ask for, by org."""
+    spark, now = store.spark, int(time.time() * 1000)
+    out: dict[str, Report | str] = {}
+    for name in [x.strip() for x in o.orgs.split(",") if x.strip()] or [schema.check_org(org)]:
+        try:
+            known = store.read("orgs").filter(F.col("id") == schema.check_org(name)).first()
+            if known is None:
+                store.upsert_org(name, name, "", "", now)
+            if o.members:
+                members = spark.read.parquet(o.source)
+                members = members.filter(F.col("org_id") == name) if "org_id" in members.columns else members.withColumn("org_id", F.lit(name))
+            else:
+                members = filesystem.read_project(spark, o.source, name)
+            if o.only:
+                members = members.filter(F.col("member_type").isin([t.strip() for t in o.only.split(",")]))
+            mode = choose_mode(o.mode, known and known.last_synced_at, False)
+            given = {"embedder": None} if o.no_vectors else {}
+            out[name] = sync(store, members, name, mode, detect_deletions=not o.no_deletions, snapshot=not o.no_snapshot, analyse=not o.no_analysis, namespace=o.namespace, dependencies=spark.read.parquet(o.dependencies) if o.dependencies else None, **given)
+        except Exception as error:
+            if not o.orgs:
+                raise
+            out[name] = str(error)
+    return out
+
+
 def main(args: list[str] | None = None) -> None:
-    p = argparse.ArgumentParser(description="Ingest a project folder into a store.")
-    p.add_argument("--source", required=True)
+    p = argparse.ArgumentParser(description="Ingest a project folder or a table of members into a store.")
     p.add_argument("--store", required=True)
     p.add_argument("--org", default="org1")
-    p.add_argument("--mode", default="auto", choices=["auto", "full", "incremental"])
-    p.add_argument("--no-deletions", action="store_true")
+    add_options(p)
     o = p.parse_args(args)
-    spark = SparkSession.builder.appName("metaweave").getOrCreate()
-    store = GraphStore(spark, o.store)
-    if store.read("orgs").filter(F.col("id") == o.org).isEmpty():
-        store.upsert_org(o.org, o.org, "", "", int(time.time() * 1000))
-    last = store.read("orgs").filter(F.col("id") == o.org).first().last_synced_at
-    print(sync(store, filesystem.read_project(spark, o.source, o.org), o.org, choose_mode(o.mode, last, False), detect_deletions=not o.no_deletions))
+    for org, report in run(GraphStore(SparkSession.builder.appName("metaweave").getOrCreate(), o.store), o.org, o).items():
+        print(org, report)
 
 
 if __name__ == "__main__":

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ADDED, REMOVED, CHANGED = "added", "removed", "changed"
@@ -62,14 +62,23 @@ def member_name(label: Column, qname: Column) -> Column:
     return F.when(label == "SharingRule", F.substring_index(name, ".", 1)).otherwise(name)
 
 
-def manifest_members(diff: DataFrame) -> DataFrame:
-    """diff: qname, label, side. destructive, type, the sorted distinct members and the number of nodes: adds are what only A has or what
-    changed, removals what only B has. Labels that no manifest has members of are left out."""
+def _typed(diff: DataFrame) -> DataFrame:
+    """destructive, type and member of what a manifest names."""
     kind = F.when(F.col("label").isin(SAME_TYPES), F.col("label"))
     for label, name in OTHER_TYPES.items():
         kind = kind.when(F.col("label") == label, name)
     d = diff.select((F.col("side") == "only_in_b").alias("destructive"), kind.alias("type"), member_name(F.col("label"), F.col("qname")).alias("member"))
-    return d.filter(F.col("type").isNotNull() & (F.col("member") != "")).groupBy("destructive", "type").agg(F.array_sort(F.collect_set("member")).alias("members"), F.count("*").alias("n"))
+    return d.filter(F.col("type").isNotNull() & (F.col("member") != ""))
+
+
+def manifest_members(diff: DataFrame) -> DataFrame:
+    """diff: qname, label, side. destructive, type, the sorted distinct members and the number of nodes: adds are what only A has or what
+    changed, removals what only B has. Labels that no manifest has members of are left out. A type is one row: manifest_lines has a row a member."""
+    return _typed(diff).groupBy("destructive", "type").agg(F.array_sort(F.collect_set("member")).alias("members"), F.count("*").alias("n"))
+
+
+def manifest_counts(diff: DataFrame) -> DataFrame:
+    return _typed(diff).groupBy("destructive", "type").agg(F.count("*").alias("n"))
 
 
 def escape_xml(c: Column) -> Column:
@@ -79,23 +88,52 @@ def escape_xml(c: Column) -> Column:
 
 
 def manifest_xml(members: DataFrame, destructive: bool, version: str = API_VERSION) -> str:
-    """The manifest as XML: types and members in order. What reaches the driver is a line for each type."""
+    """The manifest as XML: types and members in order. All of it reaches the driver; write_manifest is for those of many members."""
     d = members.filter(F.col("destructive") == destructive).withColumn("members", F.transform("members", lambda m: F.concat(F.lit("    <members>"), escape_xml(m), F.lit("</members>\n"))))
     types = "".join(f"  <types>\n{''.join(r.members)}    <name>{r.type}</name>\n  </types>\n" for r in d.orderBy("type").collect())
     return f'<?xml version="1.0" encoding="UTF-8"?>\n<Package xmlns="http://soap.sforce.com/2006/04/metadata">\n{types}  <version>{version}</version>\n</Package>\n'
 
 
+def manifest_lines(diff: DataFrame, destructive: bool, version: str = API_VERSION) -> DataFrame:
+    """The lines of a manifest as rows, of any number of members; place, type, part and member are their order."""
+    d = _typed(diff).filter(F.col("destructive") == destructive).select("type", "member").distinct()
+    row = lambda place, type_, part, member, line: F.struct(F.lit(place).alias("place"), type_.alias("type"), F.lit(part).alias("part"), member.alias("member"), line.alias("line"))
+    none, kind = F.lit(""), F.col("type")
+    member = d.select(F.inline(F.array(row(1, kind, 1, F.col("member"), F.concat(F.lit("    <members>"), escape_xml(F.col("member")), F.lit("</members>"))))))
+    frame = d.select("type").distinct().select(F.inline(F.array(row(1, kind, 0, none, F.lit("  <types>")), row(1, kind, 2, none, F.concat(F.lit("    <name>"), kind, F.lit("</name>"))), row(1, kind, 3, none, F.lit("  </types>")))))
+    ends = [(0, 0, '<?xml version="1.0" encoding="UTF-8"?>'), (0, 1, '<Package xmlns="http://soap.sforce.com/2006/04/metadata">'), (2, 0, f"  <version>{version}</version>"), (2, 1, "</Package>")]
+    around = diff.sparkSession.range(1).select(F.inline(F.array(*[row(place, none, part, none, F.lit(line)) for place, part, line in ends])))
+    return member.unionByName(frame).unionByName(around)
+
+
+def write_manifest(diff: DataFrame, path: str, destructive: bool, version: str = API_VERSION) -> None:
+    """Writes a manifest's lines as text files, in order of name: one after another they are the manifest. No member passes the driver."""
+    manifest_lines(diff, destructive, version).orderBy("place", "type", "part", "member").select("line").write.text(path)
+
+
+#: Numbers of lines whose headings are ordered together.
+DIFF_SPAN = 100_000
+
+
 def parse_diff(text: DataFrame) -> DataFrame:
-    """text: n (order) and line of a unified diff. path and status (added, modified, deleted); the last entry of a path wins."""
-    from pyspark.sql import Window
-
-    head = text.filter(F.col("line").rlike(r"^(---|\+\+\+) "))
-    w = Window.orderBy("n")  # the headings of one diff
-    pair = head.withColumn("next", F.lead("line").over(w)).filter(F.col("line").startswith("--- ") & F.col("next").startswith("+++ "))
-    name = lambda c: F.regexp_replace(F.regexp_extract(c, r"^(?:---|\+\+\+) ([^\t]*)", 1), r"^[ab]/", "")
-    old, new = name(F.col("line")), name(F.col("next"))
-    d = pair.select("n", F.when(new == "/dev/null", old).otherwise(new).alias("path"), F.when(old == "/dev/null", ADDED).when(new == "/dev/null", "deleted").otherwise("modified").alias("status"))
-    return d.groupBy("path").agg(F.max_by("status", "n").alias("status"))
+    """text: n (order) and line of a unified diff. path and status (added, modified, deleted); the last entry of a path wins.
+
+    A `+++` heading ends an entry, whose old name is that of a `---` heading just before it among the headings; without one the file is new. Headings are
+    ordered in spans of line numbers, each of which hears the last heading before it: one row a span is all that is ordered at once.
+    """
+    head = text.select("n", F.rtrim("line").alias("line"), F.floor(F.col("n") / DIFF_SPAN).alias("span")).filter(F.col("line").rlike(r"^(---|\+\+\+) "))
+    near = head.withColumn("before", F.lag("line").over(Window.partitionBy("span").orderBy("n"))).filter(F.col("line").startswith("+++ "))
+    last = head.groupBy("span").agg(F.max_by("line", "n").alias("last"))
+    far = last.select("span", F.lag("last").over(Window.orderBy("span")).alias("far"))  # a row for each span
+    d = near.join(far, "span", "left").withColumn("before", F.coalesce("before", "far"))
+
+    def name(line: Column, start: str) -> Column:
+        found = F.regexp_replace(F.trim(F.regexp_extract(line, r"^(?:---|\+\+\+) ([^\t]*)", 1)), f"^{start}/", "")
+        return F.when(F.substring_index(F.trim(F.substring(line, 5, 10)), "\t", 1) != "/dev/null", found)
+
+    old, new = name(F.when(F.col("before").startswith("--- "), F.col("before")), "a"), name(F.col("line"), "b")
+    d = d.select("n", F.coalesce(new, old).alias("path"), F.when(old.isNull(), ADDED).when(new.isNull(), "deleted").otherwise("modified").alias("status"))
+    return d.filter(F.coalesce("path", F.lit("")) != "").groupBy("path").agg(F.max_by("status", "n").alias("status"))
 
 
 #: Where files of a project belong: pattern, and the qname its groups make. Fixed values, tried in order.

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import materialize
+
 
 def glob_to_regex(pattern: str, separator: str = "/") -> str:
     """`*` and `?` stop at the separator, `**` doesn't; [..] and [!..] are classes, {a,b} alternatives."""
@@ -88,5 +90,13 @@ def nodes_by_label(nodes: DataFrame, label: str, limit: int | None = None) -> Da
     return d.orderBy("qname").limit(limit) if limit is not None else d
 
 
+def first_of_labels(nodes: DataFrame, cap: int | None) -> tuple[DataFrame, bool]:
+    """The first nodes of each label by qname, as many as cap says, and whether a label has so many; all without a cap. A task keeps cap rows a label before they meet."""
+    if cap is None:
+        return nodes, False
+    kept = materialize(nodes.withColumn("__place", F.row_number().over(Window.partitionBy("label").orderBy("qname"))).filter(F.col("__place") <= cap))
+    return kept.drop("__place"), not kept.filter(F.col("__place") == cap).isEmpty()
+
+
 def get_node(nodes: DataFrame, org: str, qname: str) -> DataFrame:
     return nodes.filter((F.col("org_id") == org) & (F.col("qname") == qname))

@@ -117,11 +117,12 @@ def snapshot_list(store: GraphStore, org: str) -> Response:
 
 
 @tool
-def freshness_report(store: GraphStore, org: str, bucket: str | None = None, now: int | None = None, labels: list[str] | None = None) -> Response:
-    n, _ = _tables(store, org)
-    d = audit.freshness_report(n.filter(F.col("label").isin(labels or CODE)), _now(now))
+def freshness_report(store: GraphStore, org: str, bucket: str | None = None, now: int | None = None, labels: list[str] | None = None, cap: int | None = None) -> Response:
+    """The stalest nodes of each bucket. cap: how many nodes of a label are looked at (all without one); truncated tells whether a label has so many."""
+    n, truncated = filters.first_of_labels(_tables(store, org)[0].filter(F.col("label").isin(labels or CODE)), cap)
+    d = audit.freshness_report(n, _now(now))
     d = d.filter(F.col("bucket") == bucket) if bucket else d
-    return Response("Stalest first", render.markdown_table(d.select("bucket", "qname", "score")), {"rows": d})
+    return Response("Stalest first" + ", truncated" * truncated, render.markdown_table(d.select("bucket", "qname", "score")), {"rows": d, "truncated": truncated})
 
 
 @tool
@@ -183,18 +184,25 @@ def cross_layer_flow_map(store: GraphStore, org: str, entry: str, cap: int = 100
 
 
 @tool
-def cross_org_diff(store: GraphStore, org_a: str, org_b: str, category: str | None = None) -> Response:
+def cross_org_diff(store: GraphStore, org_a: str, org_b: str, category: str | None = None, cap: int | None = None) -> Response:
+    """What two orgs have differently. cap: as in freshness_report, of each org."""
     a, b = _tables(store, org_a)[0], _tables(store, org_b)[0]
     if category:
         a, b = a.filter(F.col("label") == category), b.filter(F.col("label") == category)
-    d = diff.diff_orgs(a, b)
-    return Response(f"{d.count()} differ", render.markdown_table(d), {"diff": d}, ["deployment_manifest_gen"])
+    (a, more_a), (b, more_b) = filters.first_of_labels(a, cap), filters.first_of_labels(b, cap)
+    d, truncated = diff.diff_orgs(a, b), more_a or more_b
+    return Response(f"{d.count()} differ" + ", truncated" * truncated, render.markdown_table(d), {"diff": d, "truncated": truncated}, ["deployment_manifest_gen"])
 
 
 @tool
-def deployment_manifest_gen(store: GraphStore, org_from: str, org_to: str, category: str | None = None, version: str = diff.API_VERSION) -> Response:
+def deployment_manifest_gen(store: GraphStore, org_from: str, org_to: str, category: str | None = None, version: str = diff.API_VERSION, out: str | None = None) -> Response:
+    """What brings one org to the other, as two manifests. With out they are written there, and nothing of them passes the driver."""
     d = cross_org_diff(store, org_from, org_to, category).data["diff"]
     m = diff.manifest_members(d)
+    if out is not None:
+        for name, destructive in (("package", False), ("destructive", True)):
+            diff.write_manifest(d, f"{out}/{name}", destructive, version)
+        return Response("Manifests", data={"package": f"{out}/package", "destructive": f"{out}/destructive", "by_type": diff.manifest_counts(d)})
     return Response("Manifests", data={"package": diff.manifest_xml(m, False, version), "destructive": diff.manifest_xml(m, True, version), "by_type": m.select("destructive", "type", "n")})
 
 
@@ -243,12 +251,16 @@ def dead_code_audit(store: GraphStore, org: str, now: int | None = None) -> Resp
 
 
 @tool
-def security_audit(store: GraphStore, org: str, object_name: str | None = None, field_name: str | None = None) -> Response:
+def security_audit(store: GraphStore, org: str, object_name: str | None = None, field_name: str | None = None, cap: int | None = None) -> Response:
+    """Open sharing, who is granted which field, and fields nobody is granted. cap: as in freshness_report, of sharing rules, permission sets and fields."""
     n, e = _tables(store, org)
+    truncated = False
+    if cap is not None:
+        n, truncated = filters.first_of_labels(n.filter(F.col("label").isin("SharingRule", "PermissionSet", "CustomField")), cap)
     fields = n.filter(F.col("label") == "CustomField").filter(filters.in_scope(F.col("qname"), object_name, field_name))
     matrix = audit.granted_by(e, n).filter(filters.in_scope(F.col("qname"), object_name, field_name))
     data = {"sharing": audit.open_sharing(n), "matrix": matrix, "gaps": audit.access_gaps(fields, e, n)}
-    return Response(", ".join(f"{d.count()} {k}" for k, d in data.items()), data=data)
+    return Response(", ".join(f"{d.count()} {k}" for k, d in data.items()) + ", truncated" * truncated, data=data | {"truncated": truncated})
 
 
 def _working_tree(store: GraphStore, org: str, root: str | None, members: DataFrame | None, now: int) -> tuple[DataFrame, DataFrame]:
