@@ -265,7 +265,7 @@ add("tool_explain_code", f"SELECT 'void f() {{ for (A a : as) {{ update a; }} }}
 tool_query("find_similar", ", d AS (SELECT 'LWC:L' || vec_id AS qname, list_distance(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)) AS d FROM embeddings JOIN customer ON c_custkey = vec_id WHERE vec_id <> 7) SELECT qname, round(1 - d / 2, 6) AS similarity FROM d ORDER BY d, qname LIMIT 5", lambda r: r.data["hits"].select("qname", F.round("similarity", 6).alias("similarity")), org="org1", qname="LWC:L7", k=5)
 GIT = "--- a/classes/C5.cls\n+++ b/classes/C5.cls\n--- a/lwc/L7/L7.js\n+++ b/lwc/L7/L7.js\n--- a/x.md\n+++ b/x.md"
 tool_query("impact_from_git_diff", "SELECT DISTINCT q AS qname FROM (SELECT src AS q FROM e WHERE dst = 'ApexClass:C5' UNION SELECT dst FROM e WHERE src IN ('ApexClass:C5', 'LWC:L7'))", lambda r: r.data["impacted"].filter("depth > 0").select("qname"), org="org1", diff_text=GIT, depth=1)
-#: L7 calls C7, so that what both seeds reach is found at two steps from one and at one from the other; seeds are among the impacted, those the graph doesn't know as well.
+#: Seeds are among the impacted, those that the graph doesn't know as well.
 GIT_FAR = GIT + "\n--- /dev/null\n+++ b/classes/New.cls"
 _FROM = "(SELECT 'ApexClass:C5' AS q UNION ALL SELECT 'LWC:L7' UNION ALL SELECT 'ApexClass:New')"
 tool_query("impact_from_git_diff", f""", up AS (SELECT q, 0 AS d FROM {_FROM} UNION SELECT src, d + 1 FROM up JOIN e ON dst = q WHERE d < 2), down AS (SELECT q, 0 AS d FROM {_FROM} UNION SELECT dst, d + 1 FROM down JOIN e ON src = q WHERE d < 2)
