@@ -72,3 +72,15 @@ def test_bundles_are_as_near_as_their_nearest_vector(spark):
     assert vector.search_bundles(d, [0.0] * 6, 0).collect() == [] and vector.search_bundles(d.filter("bundle = 'none'"), [0.0] * 6, 3).collect() == []
     counts = vector.vector_counts(d.select("org_id", F.lit("h").alias("content_hash"))).collect()
     assert {(c.org_id, c.vectors, c.contents) for c in counts} == {("o0", 300, 1), ("o1", 302, 1)}
+
+
+def test_texts_of_other_words_have_other_vectors(spark):
+    names = [f"ApexClass: ApexClass:N{k}\n" for k in range(1, 1501)]
+    v = np.array(vector.hashing_embedder()([*names, "b a", "a  B", "", None]), np.float32)
+    assert len(np.unique(v[:1500], axis=0)) == 1500 and v.shape == (1504, 384)
+    assert (v[1500] == v[1501]).all() and not v[1502:].any() and np.allclose(np.linalg.norm(v[:1501], axis=1), 1)
+    assert np.array(vector.hashing_embedder(70)(["a"])).shape == (1, 70)
+    # N1166, N205, N372 and N431, before N3 in order of name, had its vector
+    d = spark.createDataFrame([(n.split()[1], x.tolist()) for n, x in zip(names, v)], "qname string, embedding array<float>")
+    found = vector.knn(d, vector.hashing_embedder()(["ApexClass: ApexClass:N3"])[0], 2, "qname").collect()
+    assert found[0].qname == "ApexClass:N3" and found[0].distance < 1e-6 and found[1].distance > 0.1
