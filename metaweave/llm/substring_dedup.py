@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,7 @@ from .repeats import ALL, OPEN, SETTLED, SOURCE, Hashes, check_window, dealt, ex
 WINDOW = 50
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Words that are hashed at once.
-WORDS = 1_000_000
+WORDS = 500_000
 
 
 def split(text: str) -> list[bytes]:
@@ -30,12 +30,16 @@ def split(text: str) -> list[bytes]:
 class Block:
     """The words of several texts in one array of hashes."""
 
-    def __init__(self, words: list[list[bytes]]):
-        self.lengths = np.array([len(w) for w in words], np.int64)
-        self.bounds = np.concatenate([[0], np.cumsum(self.lengths)])
+    def __init__(self, words: Iterable[list[bytes]]):
+        """words: of one text after another; they aren't kept, so one text's lie in memory at a time."""
         digest = xxhash.xxh3_64_digest
-        self.symbols = np.frombuffer(b"".join([digest(w) for own in words for w in own]), "<u8")
-        self.hashes = Hashes(self.symbols)
+        lengths, symbols = [], []
+        for own in words:
+            lengths.append(len(own))
+            symbols.append(b"".join([digest(w) for w in own]))
+        self.lengths = np.array(lengths, np.int64)
+        self.bounds = np.concatenate([[0], np.cumsum(self.lengths)])
+        self.hashes = Hashes(np.frombuffer(b"".join(symbols), "<u8"))
 
     def starts(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Where runs of so many words begin, and the text of each."""
@@ -47,8 +51,7 @@ class Block:
 def word_blocks(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[pa.RecordBatch, Block]]:
     """Texts of at least so many words, about WORDS of them at once."""
     for b in blocks(batches, "t", 6 * WORDS):
-        words = [split(t) for t in b.column("t").to_pylist()]
-        yield b, Block([w if len(w) >= least else [] for w in words])
+        yield b, Block(w if len(w) >= least else [] for w in map(split, b.column("t").to_pylist()))
 
 
 #: Added to a place: the record is settled. Texts of half as many words and more aren't foreseen.

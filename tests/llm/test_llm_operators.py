@@ -617,3 +617,27 @@ def test_language_is_learned_from_a_bounded_number(spark):
     assert langs == ["de", "en"]
     same = language_id.fit(d.repartition(5), per_lang=50)
     assert same[0] == langs and np.allclose(same[1], v)
+
+
+def test_word_blocks_keep_hashes_and_not_words():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from metaweave.llm import fingerprint, substring_dedup
+
+    texts = [" ".join(f"w{k}x{n}" for n in range(5000)) for k in range(40)] + ["few words", ""]
+    n = 40 * 5000
+    batch = pa.RecordBatch.from_pydict({"t": texts})
+    fingerprint.powers(2 * n)
+    tracemalloc.start()
+    try:
+        made = substring_dedup.word_blocks(iter([batch]), 50)
+        b, own = next(made)
+        held, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert next(made, None) is None and b.num_rows == 42 and own.lengths.tolist() == [5000] * 40 + [0, 0]
+    assert held < 16 * n and peak < 64 * n, (held / n, peak / n)
+    start, whose = own.starts(25)
+    assert len(np.unique(own.hashes(start, start + 25))) == len(start) == 40 * 4976 and whose[-1] == 39
