@@ -21,8 +21,6 @@ from ..tables import materialize
 CODE = ["ApexClass", "ApexMethod", "ApexTrigger", "LWC", "Flow"]
 FLOW_RELS = ["CALLS_APEX_FROM_LWC", "CALLS", "EXECUTES_SOQL", "READS_FIELD"]
 READS, WRITES, GRANTS = ["READS_FIELD", "DR_READS_FIELD", "LWC_BINDS_FIELD"], ["WRITES_FIELD", "DR_WRITES_FIELD", "WORKFLOW_UPDATES_FIELD"], ["GRANTS_FIELD_ACCESS"]
-#: Nodes of a traversal.
-NODE_CAP = 500
 #: Characters of an annotation.
 ANNOTATION = 16 * 1024
 
@@ -157,21 +155,22 @@ def analyze_field(store: GraphStore, org: str, object_name: str, field_name: str
     return Response(f"{q}: " + ", ".join(f"{d.count()} {k}" for k, d in data.items()), data=data)
 
 
-def _trace(store: GraphStore, org: str, qname: str, depth: int, reverse: bool) -> Response:
+def _trace(store: GraphStore, org: str, qname: str, depth: int, reverse: bool, cap: int | None) -> Response:
+    """cap: how many nodes there may be, the start among them (all without one); truncated tells whether there are so many."""
     n, e = _tables(store, org)
-    r = traverse.trace(e, qname, reverse, depth, cap=NODE_CAP)
+    r = traverse.trace(e, qname, reverse, depth, cap=cap)
     nodes = traverse.hydrate(r.nodes, n)
     return Response(f"{nodes.count()} nodes" + ", truncated" * r.truncated, render.dependency_graph(n, r.edges, qname), {"nodes": nodes, "edges": r.edges, "truncated": r.truncated})
 
 
 @tool
-def trace_upstream(store: GraphStore, org: str, qname: str, depth: int = 3) -> Response:
-    return _trace(store, org, qname, depth, True)
+def trace_upstream(store: GraphStore, org: str, qname: str, depth: int = 3, cap: int | None = None) -> Response:
+    return _trace(store, org, qname, depth, True, cap)
 
 
 @tool
-def trace_downstream(store: GraphStore, org: str, qname: str, depth: int = 3) -> Response:
-    return _trace(store, org, qname, depth, False)
+def trace_downstream(store: GraphStore, org: str, qname: str, depth: int = 3, cap: int | None = None) -> Response:
+    return _trace(store, org, qname, depth, False, cap)
 
 
 @tool
@@ -211,23 +210,33 @@ def _seeds(store: GraphStore, text: str) -> DataFrame:
     return diff.parse_diff(lines).select(diff.path_to_qname(F.col("path")).alias("qname"), "status").filter("qname is not null").distinct()
 
 
+def _from_seeds(e: DataFrame, seeds: DataFrame, reverse: bool, depth: int, cap: int | None) -> traverse.Reached:
+    """The seeds (at depth 0) and what they reach. Without a cap (of the nodes of each seed) a node has its nearest seed only, with one a row for each seed."""
+    if cap is not None:
+        return traverse.walk(e, seeds, reverse, depth, cap=cap)
+    r = traverse.reach(e, seeds, reverse, depth)
+    own = seeds.select(F.col("qname").alias("seed"), "qname", F.lit(0).alias("depth")).distinct()
+    return traverse.Reached(own.unionByName(r.nodes.select("seed", "qname", "depth")), r.edges, False)
+
+
 @tool
-def impact_from_git_diff(store: GraphStore, org: str, diff_text: str, depth: int = 3) -> Response:
+def impact_from_git_diff(store: GraphStore, org: str, diff_text: str, depth: int = 3, cap: int | None = None) -> Response:
     """What a diff's nodes depend on and what depends on them: impacted has each node once, at its smallest depth in either direction (0: changed itself);
-    edges those that were followed, in either; truncated, whether a seed came to the cap."""
+    edges those that were followed, in either. cap: how many nodes a seed may have in a direction (all without one); truncated, whether one came to it."""
     n, e = _tables(store, org)
     seeds = _seeds(store, diff_text)
-    up, down = (traverse.walk(e, seeds, reverse, depth, cap=NODE_CAP) for reverse in (True, False))
-    found = up.nodes.unionByName(down.nodes).groupBy("qname").agg(F.min(F.struct("depth", "seed")).alias("x")).select("qname", "x.seed", "x.depth")
+    up, down = (_from_seeds(e, seeds, reverse, depth, cap) for reverse in (True, False))
+    found = up.nodes.select("seed", "qname", "depth").unionByName(down.nodes.select("seed", "qname", "depth")).groupBy("qname").agg(F.min(F.struct("depth", "seed")).alias("x")).select("qname", "x.seed", "x.depth")
     found = traverse.hydrate(found, n, "Changed").filter("depth = 0 or label <> 'Changed'")
     edges, truncated = up.edges.unionByName(down.edges).distinct(), up.truncated or down.truncated
     return Response(f"{seeds.count()} changed, {found.count()} impacted" + ", truncated" * truncated, render.markdown_table(found.select("qname", "seed", "depth")), {"seeds": seeds, "impacted": found, "edges": edges, "truncated": truncated})
 
 
 @tool
-def test_gap_intelligence_from_git_diff(store: GraphStore, org: str, diff_text: str, depth: int = 3) -> Response:
+def test_gap_intelligence_from_git_diff(store: GraphStore, org: str, diff_text: str, depth: int = 3, cap: int | None = None) -> Response:
+    """What a diff changes and what depends on it, and whether tests cover it. cap: as in impact_from_git_diff."""
     _, e = _tables(store, org)
-    found = traverse.walk(e, _seeds(store, diff_text), True, depth, cap=NODE_CAP).nodes.select("qname").distinct()
+    found = _from_seeds(e, _seeds(store, diff_text), True, depth, cap).nodes.select("qname").distinct()
     testers = e.filter("rel_type = 'IS_TEST_FOR'").select(F.col("src").alias("qname")).distinct()
     d = audit.covered(found.join(testers, "qname", "left_anti"), e)
     return Response(f"{d.filter('not covered').count()} without tests", render.markdown_table(d), {"gaps": d.filter("not covered"), "covered": d.filter("covered")})

@@ -3,7 +3,6 @@
 import os
 import shutil
 
-import pytest
 from pyspark.sql import functions as F
 
 from metaweave import app_queries
@@ -31,3 +30,24 @@ def test_evidence_of_blank_texts(spark, same, tmp_path):
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     folder, duck = tables(tmp_path, documents=d)
     same(app_queries.QUERIES["fn_evidence"](spark, folder), duck.sql(app_queries.ORACLE_SQL["fn_evidence"]))
+
+
+def test_tools_with_over_500_nodes(spark, same, tmp_path):
+    """Over 500 components call the class that has changed."""
+    k = F.col("id")
+    d = spark.range(47_000).select(k.alias("c_custkey"), F.lit("n").alias("c_name"), (k % 25).cast("int").alias("c_nationkey"), F.lit(0.0).alias("c_acctbal"), F.lit("BUILDING").alias("c_mktsegment"))
+    folder, duck = tables(tmp_path, customer=d)
+    for name in ("tool_trace_upstream", "tool_impact_from_git_diff", "tool_impact_from_git_diff_whole", "tool_test_gap_intelligence_from_git_diff"):
+        out = app_queries.QUERIES[name](spark, folder)
+        assert out.count() > 500
+        same(out, duck.sql(app_queries.ORACLE_SQL[name]))
+
+
+def test_cap_of_a_diff(spark, tmp_path):
+    folder, _ = tables(tmp_path)
+    impact = lambda **more: app_queries.tools.dispatch("impact_from_git_diff", app_queries.app_store(spark, folder), org="org1", diff_text=app_queries.GIT_FAR, depth=2, **more).data
+    whole, cut = impact(), impact(cap=5)
+    assert not whole["truncated"] and cut["truncated"] and cut["impacted"].count() < whole["impacted"].count()
+    wide = impact(cap=100_000)  # each seed by itself, and the nearest seeds together, give the same
+    assert sorted(map(tuple, whole["impacted"].collect())) == sorted(map(tuple, wide["impacted"].collect()))
+    assert sorted(map(tuple, whole["edges"].collect())) == sorted(map(tuple, wide["edges"].collect()))
