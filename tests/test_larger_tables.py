@@ -5,7 +5,10 @@ import shutil
 
 from pyspark.sql import functions as F
 
-from metaweave import app_queries
+from metaweave import app_queries, ingest
+from metaweave.functions import governor
+from metaweave.operators import resolve, vector
+from metaweave.store import GraphStore
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -51,3 +54,33 @@ def test_cap_of_a_diff(spark, tmp_path):
     wide = impact(cap=100_000)  # each seed by itself, and the nearest seeds together, give the same
     assert sorted(map(tuple, whole["impacted"].collect())) == sorted(map(tuple, wide["impacted"].collect()))
     assert sorted(map(tuple, whole["edges"].collect())) == sorted(map(tuple, wide["edges"].collect()))
+
+
+def test_resolvers_walk_attributes_once(spark, tmp_path, monkeypatch):
+    """What a resolver finds is read by the merge and by the counters, and worked out once."""
+    seen, walk = spark.sparkContext.accumulator(0), resolve.json_leaves
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    def leaves(rows):
+        d = walk(rows)
+        return d.mapInArrow(counted, d.schema)
+
+    monkeypatch.setattr(resolve, "json_leaves", leaves)
+    store = GraphStore(spark, f"file://{tmp_path}")
+    rows = [("org1", "A", f"A:Name{i}", '{"uses": "Name%d", "more": ["x", "Name%d"]}' % (i + 1, i + 2), "h") for i in range(20)]
+    store.merge_nodes(spark.createDataFrame(rows, "org_id string, label string, qname string, attributes string, source_hash string"), 1)
+    assert ingest.run_resolvers(store, "org1", 2)["references"] == {"edges": 37, "truncated_sources": 0}
+    assert seen.value == 60
+
+
+def test_blanks_and_vectors_as_they_were():
+    text = "a('it\\'s // x'); // c 'd'\n/* 'e' \n */ f('g\nh' /* i"
+    assert governor.blank(text) == "a('          ');         \n       \n    f(' \nh'    i"
+    long, short = ["w%d" % i for i in range(2 * vector.EMBED_WORDS)], ["a b", "", "b", "..."]
+    one = vector.hashing_embedder(70)
+    each = [one([t])[0].tolist() for t in [*short, " ".join(long)]]
+    assert [v.tolist() for v in one([*short, " ".join(long)])] == each and each[1] == [0.0] * 70
