@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from metaweave import app_queries, ingest
 from metaweave.functions import governor
 from metaweave.operators import resolve, vector
+from metaweave.parse import registry
 from metaweave.store import GraphStore
 
 SMALL = "/root/testdata/sf0.001"
@@ -84,3 +85,31 @@ def test_blanks_and_vectors_as_they_were():
     one = vector.hashing_embedder(70)
     each = [one([t])[0].tolist() for t in [*short, " ".join(long)]]
     assert [v.tolist() for v in one([*short, " ".join(long)])] == each and each[1] == [0.0] * 70
+
+
+def test_a_working_tree_is_parsed_by_all_tasks(spark):
+    """Small members in one partition, as of one file, are dealt before they are parsed."""
+    rows = [("org1", "ApexClass", f"A{i}", "", None, "class A%d { public void f() { } }" % i) for i in range(200)]
+    d = spark.createDataFrame(rows, "org_id string, member_type string, member_name string, source_uri string, namespace string, content string").coalesce(1)
+    facts = registry.parse_stored(d)
+    tasks = {r.f for r in facts.select(F.input_file_name().alias("f")).distinct().collect()}
+    assert facts.filter("kind = 'node'").count() == 400 and len(tasks) >= spark.sparkContext.defaultParallelism
+
+
+def test_similar_reads_the_vectors_once(spark, tmp_path, monkeypatch):
+    """The hits are counted, shown and returned, and searched for once."""
+    seen, search = spark.sparkContext.accumulator(0), vector.knn
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    monkeypatch.setattr(vector, "knn", lambda d, *more: search(d.mapInArrow(counted, d.schema), *more))
+    store = GraphStore(spark, f"file://{tmp_path}")
+    names = [f"A:Name{i}" for i in range(30)]
+    store.merge_nodes(spark.createDataFrame([("org1", "A", q, "{}", "h") for q in names], "org_id string, label string, qname string, attributes string, source_hash string"), 1)
+    store.upsert_vectors(vector.embed(store.read("nodes"), F.col("qname"), lambda: vector.hashing_embedder(16)).withColumn("org_id", F.lit("org1")))
+    hits = app_queries.tools.dispatch("find_similar", store, org="org1", text="A:Name7", k=3, embedder=vector.hashing_embedder(16)).data["hits"]
+    assert [r.qname for r in hits.collect()][0] == "A:Name7" and hits.count() == 3
+    assert seen.value == 30
