@@ -1,7 +1,10 @@
 """Queries give the rows of their SQL on odd texts, and on tables with larger groups than the test tables have."""
 
+import io
 import os
 import shutil
+import warnings
+import zipfile
 
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from metaweave import app_queries, ingest
 from metaweave.functions import governor
 from metaweave.operators import resolve, vector
 from metaweave.parse import registry
+from metaweave.sources import archives
 from metaweave.store import GraphStore
 
 SMALL = "/root/testdata/sf0.001"
@@ -113,3 +117,36 @@ def test_similar_reads_the_vectors_once(spark, tmp_path, monkeypatch):
     hits = app_queries.tools.dispatch("find_similar", store, org="org1", text="A:Name7", k=3, embedder=vector.hashing_embedder(16)).data["hits"]
     assert [r.qname for r in hits.collect()][0] == "A:Name7" and hits.count() == 3
     assert seen.value == 30
+
+
+def test_chunks_of_an_archive_read_no_directory(spark, tmp_path):
+    """The listing says where entries are: the directory may be gone by the time that they are read."""
+    with zipfile.ZipFile(tmp_path / "a.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for k in range(300):
+            z.writestr(f"d/{k}.txt", f"text {k}")
+        start = z.start_dir
+    d = archives.read_archives(spark, f"file://{tmp_path}", chunk=100)
+    data = bytearray((tmp_path / "a.zip").read_bytes())
+    data[start:] = bytes(len(data) - start)
+    (tmp_path / "a.zip").write_bytes(data)
+    assert {r.path: r.content for r in d.collect()} == {f"d/{k}.txt": f"text {k}" for k in range(300)}
+
+
+def test_directory_is_as_zipfile_reads_it(tmp_path):
+    path, data = tmp_path / "a.zip", io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+        z.comment = b"a comment"
+        for name, text in (("one.txt", "1"), ("d/", ""), ("ü.txt", "ü" * 50), ("one.txt", "2")):
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")
+                z.writestr(name, text)
+    path.write_bytes(b"#!/bin/sh\n" + data.getvalue())  # bytes before the archive
+    overlapping = bytearray(path.read_bytes())
+    at = overlapping.rindex(b"PK\x01\x02") + 42
+    overlapping[at : at + 4] = bytes(4)  # the last entry says that it lies where the first does
+    for content in (path.read_bytes(), overlapping):
+        path.write_bytes(content)
+        with zipfile.ZipFile(path) as z:
+            want = [(x.filename, x.header_offset, x._end_offset, x.CRC, x.file_size, x.compress_size) for x in z.infolist() if not x.is_dir()]
+        got = [(r.path, r.at, r.end, r.crc, r.size, r.packed) for d in archives._listed(str(path), 10) for r in d.itertuples()]
+        assert got == want
