@@ -18,6 +18,8 @@ from .rules import Rule, applies, reader
 
 #: (name, content, context) -> Facts. The content of bundles, objects and rules with several fields is JSON.
 Parser = Callable[[str, str, Context], Facts]
+#: Facts that go to Spark at once, about: a member may have many.
+ROWS = 10_000
 _to_json = json.JSONEncoder(sort_keys=True).encode
 _PARSERS: dict[str, Parser] = {}
 #: Types that columns read: their root element and reader.
@@ -104,8 +106,9 @@ def _parsed(members: DataFrame, now: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields = [c.split() for c in SCHEMA.split(", ")]
         kinds = pa.schema([(name, pa.int64() if kind == "long" else pa.string()) for name, kind in fields])
+        rows: list[tuple] = []
+        cut = lambda: pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*rows), kinds)], schema=kinds)
         for b in batches:
-            rows = []
             for m in b.to_pylist():
                 org, kind, name = m["org_id"], m["member_type"], m["member_name"]
                 context = Context(org, m["source_uri"] or "", now, m["namespace"])
@@ -116,8 +119,11 @@ def _parsed(members: DataFrame, now: int) -> DataFrame:
                 rows += [("node", org, t, q, None, _to_json(a), h, None, None, None) for t, q, a, h in f.nodes]
                 rows += [("edge", org, t, s, d, _to_json(a), None, None, None, None) for t, s, d, a in f.edges]
                 rows += [("snippet", org, t, q, None, None, None, text, x, y) for q, t, text, x, y in f.snippets]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*rows), kinds)], schema=kinds)
+                if len(rows) >= ROWS:
+                    yield cut()
+                    rows.clear()
+        if rows:
+            yield cut()
 
     return members.mapInArrow(run, SCHEMA)
 

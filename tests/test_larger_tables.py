@@ -6,12 +6,13 @@ import shutil
 import warnings
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from metaweave import app_queries, ingest
 from metaweave.functions import governor
 from metaweave.operators import resolve, vector
-from metaweave.parse import registry
+from metaweave.parse import base, registry
 from metaweave.sources import archives
 from metaweave.store import GraphStore
 
@@ -150,3 +151,23 @@ def test_directory_is_as_zipfile_reads_it(tmp_path):
             want = [(x.filename, x.header_offset, x._end_offset, x.CRC, x.file_size, x.compress_size) for x in z.infolist() if not x.is_dir()]
         got = [(r.path, r.at, r.end, r.crc, r.size, r.packed) for d in archives._listed(str(path), 10) for r in d.itertuples()]
         assert got == want
+
+
+def test_facts_of_large_members_go_in_small_batches(spark):
+    """A batch of members may have any number of facts; a source that many nodes have is hashed once."""
+    kept = []
+    members = type("Members", (), {"mapInArrow": lambda self, run, schema: kept.append(run)})()
+    registry._parsed(members, 0)
+    fields = "".join(f"<fields><fullName>F{i}__c</fullName><type>Text</type></fields>" for i in range(400))
+    rows = [{"org_id": "org1", "member_type": "CustomObject", "member_name": f"O{k}__c", "source_uri": "", "namespace": None, "content": f"<CustomObject><label>{k}</label>{fields}</CustomObject>"} for k in range(60)]
+    sizes = [b.num_rows for b in kept[0](iter([pa.RecordBatch.from_pylist(rows)]))]
+    assert sum(sizes) == 60 * 801 and len(sizes) > 1 and max(sizes) < registry.ROWS + 801
+    facts, calls = base.Facts(base.Context()), []
+    real, base.sha256 = base.sha256, lambda text: calls.append(text) or real(text)
+    try:
+        source, other = "a" * 50, "b"
+        for text in (source, source, other, "", source):
+            facts.node("L", "L:x", {}, text)
+    finally:
+        base.sha256 = real
+    assert [n[3] for n in facts.nodes] == [real(source), real(source), real(other), "", real(source)] and len(calls) == 3
